@@ -3,11 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wenloom.llm import copies, forms
+from wenloom.llm import copies, forms, overlap
 from wenloom.sources.tables import cut, spread, table
 
 
+def _evals(spark: SparkSession, folder: str) -> DataFrame:
+    dev, test = (table(spark, folder, n).select("row_id", "text", "source").withColumn("split_name", F.lit(n)) for n in ("dev", "test"))
+    return dev.unionByName(test)
+
+
+def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    train = cut(overlap.canonical(spread(table(spark, folder, "train").select("row_id", "text"))))
+    return overlap.overlaps(train, cut(overlap.canonical(_evals(spark, folder))))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _overlaps(spark, folder).select("train_row_id", "eval_row_id")
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.report(_overlaps(spark, folder), _evals(spark, folder))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     records = cut(copies.canonical(spread(table(spark, folder, "train").select("row_id", "text"))))
     return copies.members(records, copies.collapse(records))
