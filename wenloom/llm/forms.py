@@ -19,8 +19,6 @@ repeated ones; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -49,15 +47,19 @@ def dominant(skeleton: str) -> str:
     return "".join(twin.get(c, c) for c in skeleton)
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        plain = b["text"].map(looks.plain)
-        tokens, odd = [], []
-        for t in plain:
-            own = [] if t is None else sorted(set(_TOKEN.findall(t)))
-            tokens.append([{"token": w, "skeleton": looks.skeleton(w), "odd": o, "mixed": len(scripts(w)) > 1 if o else False} for w in own for o in (not _ODD.isdisjoint(w),)])
-            odd.append(any(x["odd"] for x in tokens[-1]))
-        yield pd.DataFrame({"row_id": b["row_id"], "text": b["text"], "form": plain, "word": b["text"].map(looks.has_word), "tokens": tokens, "odd": odd})
+_READ = T.StructType().add("form", "string").add("word", "boolean").add("odd", "boolean").add(
+    "tokens", T.ArrayType(T.StructType().add("token", "string").add("skeleton", "string").add("odd", "boolean").add("mixed", "boolean"))
+)
+
+
+@F.pandas_udf(_READ)
+def _read(text: pd.Series) -> pd.DataFrame:
+    plain = text.map(looks.plain)
+    tokens = []
+    for t in plain:
+        own = [] if t is None else sorted(set(_TOKEN.findall(t)))
+        tokens.append([{"token": w, "skeleton": looks.skeleton(w), "odd": o, "mixed": len(scripts(w)) > 1 if o else False} for w in own for o in (not _ODD.isdisjoint(w),)])
+    return pd.DataFrame({"form": plain, "word": text.map(looks.has_word), "odd": [any(x["odd"] for x in own) for own in tokens], "tokens": tokens})
 
 
 def spellings(read: DataFrame) -> DataFrame:
@@ -93,8 +95,7 @@ def forms(df: DataFrame, row_id: str = "row_id", text: str = "text") -> DataFram
 
     Only rows with odd tokens, and the vocabulary, are shuffled.
     """
-    schema = "row_id long, text string, form string, word boolean, tokens array<struct<token:string,skeleton:string,odd:boolean,mixed:boolean>>, odd boolean"
-    read = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text")).mapInPandas(_read, schema)
+    read = df.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"), _read(F.col(text)).alias("r")).select("row_id", "text", "r.*")
     plain = read.where("not odd").select("row_id", "text", "form", "word")
     odd = read.where("odd").select(F.xxhash64("text").alias("h"), "row_id", "text", "form", "word", "tokens")
     texts = odd.select("text", "form", F.explode(F.filter("tokens", lambda t: t["odd"])).alias("t")).select("text", "form", "t.token", "t.skeleton").distinct()

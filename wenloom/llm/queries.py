@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wenloom.llm import copies, forms, overlap
+from wenloom.llm import bpe, copies, forms, overlap
 from wenloom.sources.tables import cut, spread, table
 
 
@@ -45,6 +45,10 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return forms.lookalikes(cut(forms.forms(spread(table(spark, folder, "train").select("row_id", "text")))))
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encoded(spread(table(spark, folder, "documents").select("doc_id", "text"), 1))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
