@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wenloom.llm import bpe, copies, forms, overlap
+from wenloom.llm import bpe, copies, forms, leaks, overlap
 from wenloom.sources.tables import cut, spread, table
 
 
@@ -49,6 +49,11 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(spread(table(spark, folder, "documents").select("doc_id", "text"), 1))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), 1)
+    return leaks.leaked(leaks.passages(docs, table(spark, folder, "heldout_items")))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
