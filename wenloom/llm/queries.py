@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wenloom.llm import bpe, copies, forms, leaks, overlap
+from wenloom.llm import bpe, copies, forms, leaks, overlap, quota, terms
 from wenloom.sources.tables import cut, spread, table
 
 
@@ -27,6 +27,26 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.report(_overlaps(spark, folder), _evals(spark, folder))
 
 
+def _quota(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct records, their counts by bucket, and the report; the tree is root, selected or not, class."""
+    distinct = quota.records(table(spark, folder, "train"))
+    tree = table(spark, folder, "class_dim").select("label_id", F.array(F.when(F.col("selected"), "selected").otherwise("other")).alias("path"))
+    count = cut(quota.counts(distinct))
+    return distinct, count, quota.plan_report(table(spark, folder, "sample_plans"), count, tree)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _quota(spark, folder)[2].where("short > 0").select("plan_id", "label_id")
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _quota(spark, folder)[2]
+
+
+def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return quota.draw(*_quota(spark, folder))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     records = cut(copies.canonical(spread(table(spark, folder, "train").select("row_id", "text"))))
     return copies.members(records, copies.collapse(records))
@@ -37,6 +57,19 @@ def p5_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return copies.collapse(records).select("first_row_id", "leaves", "copies")
 
 
+def _train_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "preprocessed_data").where("split_name = 'train'").select("row_id", "tokens")
+
+
+def p6_terms(spark: SparkSession, folder: str) -> DataFrame:
+    tokens = _train_tokens(spark, folder)
+    return terms.marked(terms.frequencies(tokens), tokens)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_terms(spark, folder).where("mark is not null").select("term", "mark")
+
+
 def p7_forms(spark: SparkSession, folder: str) -> DataFrame:
     return forms.forms(spread(table(spark, folder, "train").select("row_id", "text"))).select("row_id", "form")
 
@@ -58,5 +91,21 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+_DISTINCT = "select label_id, count(distinct headline_key) as available from train where label_id is not null and headline_key is not null group by 1"
+_NEEDED = "greatest(coalesce(min_rows, 0), coalesce(cast(round(cast(target_share as decimal(20, 12)) * sample_rows) as bigint), 0))"
+_TERMS = r"""
+with rows as (select row_id, tokens from preprocessed_data where split_name = 'train'),
+     total as (select count(distinct row_id) as n from rows where tokens is not null),
+     pairs as (select row_id, unnest(tokens) as term from rows),
+     counted as (select term, count(*) as occurrences, count(distinct row_id) as records from pairs
+                 where term is not null and row_id is not null and not regexp_full_match(term, '[\s\x{00A0}\x{3000}\x{2000}-\x{200A}\x{202F}]*') group by 1)
+select term, occurrences, records, case when records < 2 then 'rare' when records > 0.8 * n then 'common' end as mark from counted, total
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": f"select plan_id, p.label_id from sample_plans p left join ({_DISTINCT}) d on d.label_id = p.label_id where coalesce(available, 0) < {_NEEDED}",
+        "p6_terms": _TERMS,
+        "p6_found": f"select term, mark from ({_TERMS}) where mark is not null",
+    }
