@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wenloom.llm import bpe, copies, forms, leaks, overlap, quota, terms
+from wenloom.llm import bpe, copies, forms, leaks, overlap, quota, similar, terms
 from wenloom.sources.tables import cut, spread, table
 
 
@@ -47,6 +47,20 @@ def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
     return quota.draw(*_quota(spark, folder))
 
 
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    one = (("bert", "bert_features_pca_100d", "x_pca"), ("word2vec", "word2vec_features", "x_w2v"), ("fused", "fused_features", "x_fused"))
+    bert, word2vec, fused = (similar.prepared(table(spark, folder, name), family, "row_id", column) for family, name, column in one)
+    return bert.unionByName(word2vec).unionByName(fused)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar.alike(_vectors(spark, folder), 0.9).select("family", "low_row_id", "high_row_id").distinct()
+
+
+def p4_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return similar.nearest(_vectors(spark, folder), 10)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     records = cut(copies.canonical(spread(table(spark, folder, "train").select("row_id", "text"))))
     return copies.members(records, copies.collapse(records))
