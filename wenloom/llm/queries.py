@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wenloom.llm import bpe, copies, forms, leaks, overlap, quota, similar, terms
+from wenloom.llm import bpe, copies, forms, leaks, overlap, quota, similar, subjects, terms
 from wenloom.sources.tables import cut, spread, table
 
 
@@ -101,6 +101,20 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(leaks.passages(docs, table(spark, folder, "heldout_items")))
 
 
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), 1)
+    headlines = spread(table(spark, folder, "train").select("text", "label_id"), 1)
+    return subjects.subjects(cut(subjects.on_classes(*subjects.model(headlines, docs, table(spark, folder, "doc_labels")))))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder)
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, folder), table(spark, folder, "documents").select("doc_id"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
