@@ -39,12 +39,13 @@ from wenloom.llm import looks
 from wenloom.sources.tables import cut
 
 CLASSES = 10
-TERMS = 20_000
-RANK = 96
+TERMS = 8192
+RANK = 64
 ROUNDS = 3
 SHARE = 0.25
 LEAST_COUNT = 4
 SMOOTH = 4.0
+LEAST_GAIN = 0.4
 LEAST_WEIGHT = 0.6
 LEAST_COSINE = 0.15
 
@@ -119,7 +120,7 @@ def vocabulary(counts: DataFrame, limit: int = TERMS) -> Vocabulary:
         p = (c + F.lit(SMOOTH * float(q))) / (everything + F.lit(SMOOTH))
         gain = gain + p * F.log(p / F.lit(float(q)))
     rows = counts.withColumn("gain", gain).withColumn("all", everything)
-    rows = rows.orderBy(F.desc(F.col("gain") * F.sqrt("all")), "term").limit(limit).collect()
+    rows = rows.where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc(F.col("gain") * F.sqrt("all")), "term").limit(limit).collect()
     n = np.array([[r[f"n{k}"] for k in range(CLASSES)] for r in rows], np.float64).reshape(-1, CLASSES)
     idf = np.log(prior.sum() / np.maximum(n.sum(axis=1), 1)) / np.log(max(prior.sum(), 2))
     return Vocabulary([r["term"] for r in rows], n, np.array([r["gain"] for r in rows]) * idf)
@@ -179,16 +180,16 @@ def _summed(rows: DataFrame, work, shape: tuple[int, int]) -> np.ndarray:
                 any_ = True
                 total += work(piece)
         if any_:
-            yield pd.DataFrame([(k, total[k * block : (k + 1) * block].tobytes()) for k in range(-(-shape[0] // block))], columns=["k", "m"])
+            yield pd.DataFrame([(k, total[k * block : (k + 1) * block].astype(np.float32).tobytes()) for k in range(-(-shape[0] // block))], columns=["k", "m"])
 
     def add(b: pd.DataFrame) -> pd.DataFrame:
-        m = sum(np.frombuffer(x, np.float64) for x in b["m"])
-        return pd.DataFrame({"k": [b["k"].iloc[0]], "m": [m.tobytes()]})
+        m = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in b["m"])
+        return pd.DataFrame({"k": [b["k"].iloc[0]], "m": [m.astype(np.float32).tobytes()]})
 
     parts = rows.mapInPandas(run, "k int, m binary").groupBy("k").applyInPandas(add, "k int, m binary").collect()
     out = np.zeros(shape)
     for k, m in parts:
-        out[k * block : (k + 1) * block] = np.frombuffer(m, np.float64).reshape(-1, shape[1])
+        out[k * block : (k + 1) * block] = np.frombuffer(m, np.float32).reshape(-1, shape[1])
     return out
 
 
