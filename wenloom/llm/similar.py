@@ -45,7 +45,7 @@ WIDE = 128
 SIGMAS = 4.5
 CELL_ROWS = 32_768
 PART_ROWS = 8_192
-SAMPLE_ROWS = 50_000
+SAMPLE_ROWS = 20_000
 CHUNK = 512
 
 
@@ -109,8 +109,8 @@ def _fit(vectors: DataFrame, cell_rows: int) -> tuple[dict[str, np.ndarray], dic
             out[family] = np.zeros((1, DIMENSION), np.float32)
             continue
         own = vectors.where(F.col("family") == family)
-        rows = own.sample(min(1.0, 1.2 * SAMPLE_ROWS / n), seed=3).select("vector").limit(SAMPLE_ROWS).collect()
-        out[family] = centroids(_unit(np.array([r[0] for r in rows], np.float64)), k)
+        rows = own.sample(min(1.0, 1.2 * SAMPLE_ROWS / n), seed=3).select("vector").limit(SAMPLE_ROWS).toArrow()
+        out[family] = centroids(_unit(rows.column(0).combine_chunks().flatten().to_numpy().reshape(-1, DIMENSION)), k)
     return out, {family: -(-n // len(out[family]) // PART_ROWS) for family, n in size.items()}
 
 
