@@ -74,27 +74,45 @@ def plan(n: int) -> tuple[int, int, int]:
     return length, stride, max(1, need)
 
 
-def longest(value: np.ndarray) -> tuple[int, int]:
-    """Start and length of the longest stretch whose sum isn't negative."""
+def longest(value: np.ndarray, allow: int = 0) -> tuple[int, int]:
+    """Start and length of the longest stretch whose sum is at least ``-allow``."""
     p = np.r_[0, np.cumsum(value)]
     top = np.maximum.accumulate(p[::-1])[::-1]
     low = np.flatnonzero(p < np.r_[np.inf, np.minimum.accumulate(p)[:-1]])
-    end = np.searchsorted(-top, -p[low], "right") - 1
+    end = np.searchsorted(-top, allow - p[low], "right") - 1
     k = int(np.argmax(end - low))
     return int(low[k]), int(end[k] - low[k])
 
 
 def align(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray) -> tuple[int, int, int]:
     """Start in the item, start in the document and length of the longest shared piece near the diagonals."""
-    d = np.arange(diagonals.min(), diagonals.max() + 1)
     n = len(item)
+    slack = n // RARE
+    own = np.unique(diagonals)
+    d = np.arange(own[0] - slack, own[-1] + slack + 1)
     at = np.arange(n)[:, None] + d
     same = (at >= 0) & (at < len(doc))
     same &= doc[np.clip(at, 0, len(doc) - 1)] == item[:, None]
+    # One diagonal that does is enough.
+    matched = same.sum(axis=0)
+    for k in own[np.argsort(-matched[own - d[0]], kind="stable")] - d[0]:
+        if 2 * matched[k] < n - slack - 1 and len(d) > 1:
+            break
+        a, size = longest(np.where(same[:, k], 1, 1 - RARE))
+        if 2 * size >= n or len(d) == 1:
+            return a, a + int(d[k]), size
+    # A piece with e alterations has e + 1 unaltered runs; each either has three
+    # characters or loses two, so few of its characters lie in no run of three.
+    run = same[:-2] & same[1:-1] & same[2:]
+    covered = np.zeros(n, bool)
+    if n > 2:
+        some = run.any(axis=1)
+        covered[:-2] |= some
+        covered[1:-1] |= some
+        covered[2:] |= some
+    if 2 * longest(np.where(covered, 3, 3 - RARE), 2 * RARE)[1] < n:
+        return 0, 0, 0
     value = np.where(same, 1, 1 - RARE)
-    if len(d) == 1:
-        a, size = longest(value[:, 0])
-        return a, a + int(d[0]), size
     slope = RARE * np.arange(len(d))
     score = np.zeros(len(d))
     source = np.empty((n, len(d)), np.int32)
@@ -102,7 +120,7 @@ def align(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray) -> tuple[int
         raised = score + slope
         best = np.maximum.accumulate(raised)
         stay = best - slope + value[i]
-        drop = np.r_[score[1:], -np.inf] + 1 - RARE
+        drop = np.append(score[1:], -np.inf) + 1 - RARE
         origin = np.maximum.accumulate(np.where(raised == best, np.arange(len(d)), 0))
         down = drop > stay
         source[i] = np.where(down, np.arange(len(d)) + 1, origin)
