@@ -1,0 +1 @@
+"""DataFrame operators, estimators and models."""
