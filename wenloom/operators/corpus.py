@@ -17,9 +17,10 @@ BUCKETS = 4096
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     """``text, label_id`` of the lines that are exactly text, tab, whole number; others are skipped.
 
-    A missing file raises; bytes that aren't UTF-8 become replacement characters, which are dropped.
+    A missing file raises; bytes that aren't UTF-8 are dropped.
     """
-    return labeled_lines(spark.read.text(path).select(F.replace("value", F.lit("�"), F.lit("")).alias("value")), "value")
+    fixed = F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit(""))
+    return labeled_lines(spark.read.text(path).select(F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(fixed).alias("value")), "value")
 
 
 def labeled_lines(df: DataFrame, line: str = "raw_line") -> DataFrame:

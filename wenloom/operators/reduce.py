@@ -184,6 +184,90 @@ def fit_pca(df: DataFrame, k: int, vector: str = "x") -> Pca:
     return Pca(mean, parts, kept / max(n - 1, 1), kept / total)
 
 
+def sparse_rows(coo: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """``row_id, at, value`` arrays from the long form; rows without a cell are left out."""
+    cells = F.array_sort(F.collect_list(F.struct("idx", "value")))
+    return coo.groupBy(row_id).agg(cells.alias("c")).select(row_id, F.transform("c", lambda c: c["idx"].cast("int")).alias("at"), F.transform("c", lambda c: c["value"]).alias("value"))
+
+
+def _flat(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = b["at"].map(len).to_numpy()
+    return np.concatenate(b["at"].to_numpy()).astype(np.int64), np.concatenate(b["value"].to_numpy()), np.repeat(np.arange(len(b)), size)
+
+
+def _row_sums(rows: DataFrame, work, size: int) -> np.ndarray:
+    """Sum over all partitions of a matrix with ``size`` rows."""
+
+    def run(batches):
+        total = None
+        for b in batches:
+            if len(b):
+                m = work(b)
+                total = m if total is None else total + m
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "row": [r.tobytes() for r in total]})
+
+    def add(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": [b["i"].iloc[0]], "row": [sum(np.frombuffer(r) for r in b["row"]).tobytes()]})
+
+    out: np.ndarray | None = None
+    for i, row in rows.mapInPandas(run, "i int, row binary").groupBy("i").applyInPandas(add, "i int, row binary").collect():
+        own = np.frombuffer(row)
+        if out is None:
+            out = np.zeros((size, len(own)))
+        out[i] = own
+    if out is None:
+        raise ValueError("nothing to fit on")
+    return out
+
+
+def fit_sparse_pca(rows: DataFrame, n_rows: int, n_features: int, k: int, passes: int = 4, seed: int = 42) -> Pca:
+    """Leading components of sparse rows by subspace iteration; nothing is densified.
+
+    Only matrices of features by components reach the driver. The ratios are
+    shares of the total variance of all features.
+    """
+    k = min(k, n_features, n_rows)
+
+    def moments(b: pd.DataFrame) -> np.ndarray:
+        at, value, _ = _flat(b)
+        return np.c_[np.bincount(at, value, n_features), np.bincount(at, value * value, n_features)]
+
+    first = _row_sums(rows.select("at", "value"), moments, n_features)
+    mean = first[:, 0] / n_rows
+    total = float(first[:, 1].sum() - n_rows * (mean * mean).sum())
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_features, min(n_features, k + 8))))[0]
+    for _ in range(passes):
+
+        def work(b: pd.DataFrame, basis: np.ndarray = basis) -> np.ndarray:
+            at, value, row = _flat(b)
+            inner = np.zeros((len(b), basis.shape[1]))
+            np.add.at(inner, row, basis[at] * value[:, None])
+            out = np.zeros(basis.shape)
+            np.add.at(out, at, inner[row] * value[:, None])
+            return out
+
+        image = _row_sums(rows.select("at", "value"), work, n_features) - n_rows * np.outer(mean, mean @ basis)
+        basis = np.linalg.qr(image)[0]
+    values, turn = np.linalg.eigh(basis.T @ (_row_sums(rows.select("at", "value"), lambda b, basis=basis: work(b, basis), n_features) - n_rows * np.outer(mean, mean @ basis)))
+    order = np.argsort(values)[::-1][:k]
+    parts = (basis @ turn[:, order]).T
+    parts = parts * np.sign(parts[np.arange(len(parts)), np.abs(parts).argmax(axis=1)])[:, None]
+    kept = np.clip(values[order], 0, None)
+    return Pca(mean, parts, kept / max(n_rows - 1, 1), kept / max(total, 1e-300))
+
+
+def project_sparse(rows: DataFrame, fitted: Pca, out: str = "x") -> DataFrame:
+    """``row_id, x``: components of sparse rows."""
+    m, shift = np.ascontiguousarray(fitted.components.T), fitted.mean @ fitted.components.T
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def times(at: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series([v @ m[a] - shift for a, v in zip(at, value)])
+
+    return rows.select("row_id", times("at", "value").alias(out))
+
+
 def cumulative(spark: SparkSession, ratio: np.ndarray, least: float = 0.95) -> DataFrame:
     """``k, ratio, cumulative, enough``: enough marks the first k that reaches the least."""
     run = np.cumsum(ratio)

@@ -1,0 +1 @@
+"""Pipelines put together from the operators."""

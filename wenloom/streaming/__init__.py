@@ -1,0 +1 @@
+"""Scoring of streams: every model's ``transform`` is a stateless plan."""
