@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ from wenloom.sources.tables import cut
 CLASSES = 10
 TERMS = 8192
 RANK = 64
-ROUNDS = 3
+ROUNDS = 2
 SHARE = 0.25
 LEAST_COUNT = 4
 SMOOTH = 4.0
@@ -58,8 +59,7 @@ def terms(statement: str) -> list[str]:
     out: dict[str, None] = {}
     for run in _TERM.findall(statement):
         if "㐀" <= run[0] <= "鿿":
-            for i in range(len(run) - 1):
-                out[run[i : i + 2]] = None
+            out.update(dict.fromkeys(map(add, run, run[1:])))
         else:
             out[run] = None
     return list(out)
@@ -78,12 +78,13 @@ def ideographic(own: list[str]) -> bool:
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Terms of labelled texts, counted per batch before they are shuffled."""
     for b in batches:
-        c: Counter = Counter()
+        seen = [Counter() for _ in range(CLASSES)]
         for text, labels in zip(b["text"], b["labels"], strict=True):
-            own = [int(x) for x in labels if x is not None]
             for s in statements(text):
-                c.update((t, k) for t in s for k in own)
-        yield pd.DataFrame([(t, k, n) for (t, k), n in c.items()], columns=["term", "label", "n"])
+                for k in labels:
+                    seen[int(k)].update(s)
+        for k, own in enumerate(seen):
+            yield pd.DataFrame({"term": list(own.keys()), "label": k, "n": list(own.values())})
 
 
 def term_counts(headlines: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -208,7 +209,7 @@ def svd_basis(rows: DataFrame, v: Vocabulary, rank: int = RANK, passes: int = 2)
             at, value = at[order], value[order]
             head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             out = np.zeros(basis.shape)
-            out[at[head]] = np.add.reduceat(inner[row] * value[:, None], head)
+            out[at[head]] = np.add.reduceat(inner[row] * value[:, None].astype(np.float32), head)
             return out
 
         basis = _summed(rows, work, basis.shape)
@@ -268,7 +269,7 @@ def on_classes(rows: DataFrame, v: Vocabulary, basis: np.ndarray, centers: np.nd
 
 def model(headlines: DataFrame, docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Vocabulary, np.ndarray, np.ndarray]:
     """Encoded statements, vocabulary, basis and centroids."""
-    v = vocabulary(term_counts(headlines, docs, labels))
+    v = vocabulary(cut(term_counts(headlines, docs, labels)))
     rows = cut(encoded(docs, v))
     if not v.names:
         return rows, v, np.zeros((0, RANK), np.float32), np.zeros((2 * CLASSES, RANK), np.float32)
