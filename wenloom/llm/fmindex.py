@@ -17,7 +17,8 @@ def suffix_array(sym: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for i in range(h):
         key <<= bits
-        key[: n - i] |= sym[i:] if i else sym
+        if i < n:
+            key[: n - i] |= sym[i:]
     sa = np.argsort(key)
     rank = np.empty(n, np.int64)
     new = np.r_[True, key[sa[1:]] != key[sa[:-1]]]

@@ -32,6 +32,7 @@ from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,16 +76,17 @@ def ideographic(own: list[str]) -> bool:
     return 2 * sum("㐀" <= t[0] <= "鿿" for t in own) > len(own)
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Terms of labelled texts, counted per batch before they are shuffled."""
     for b in batches:
         seen = [Counter() for _ in range(CLASSES)]
-        for text, labels in zip(b["text"], b["labels"], strict=True):
+        for text, labels in zip(b.column("text").to_pylist(), b.column("labels").to_pylist(), strict=True):
             for s in statements(text):
                 for k in labels:
-                    seen[int(k)].update(s)
-        for k, own in enumerate(seen):
-            yield pd.DataFrame({"term": list(own.keys()), "label": k, "n": list(own.values())})
+                    seen[k].update(s)
+        size = [len(c) for c in seen]
+        columns = [pa.array([t for c in seen for t in c], pa.string()), pa.array(np.repeat(np.arange(CLASSES, dtype=np.int32), size)), pa.array([n for c in seen for n in c.values()], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "label", "n"])
 
 
 def term_counts(headlines: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -93,7 +95,7 @@ def term_counts(headlines: DataFrame, docs: DataFrame, labels: DataFrame) -> Dat
     one = headlines.where(fine).select("text", F.array("label_id").alias("labels"))
     own = labels.where(fine).groupBy("doc_id").agg(F.collect_set("label_id").alias("labels"))
     rows = one.unionByName(docs.join(own, "doc_id").select("text", "labels"))
-    flat = rows.mapInPandas(_counted, "term string, label int, n long").groupBy("term", "label").agg(F.sum("n").alias("n"))
+    flat = rows.mapInArrow(_counted, "term string, label int, n long").groupBy("term", "label").agg(F.sum("n").alias("n"))
     sums = [F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(CLASSES)]
     return flat.groupBy("term").agg(*sums).where(" + ".join(f"n{k}" for k in range(CLASSES)) + f" >= {LEAST_COUNT}")
 
