@@ -1,11 +1,13 @@
+import json
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wenloom.operators import corpus, encoder, ensemble, metrics, models, reduce, terms, trees
+from wenloom.operators import corpus, encoder, ensemble, metrics, models, reduce, search, store, terms, trees
 from wenloom.plans import pipeline
+from wenloom.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -122,11 +124,14 @@ def test_tree_matches_exhaustive_search(spark):
 
 
 @pytest.mark.parametrize("name,own", [("naive_bayes", {}), ("svm", {"epochs": 10, "rate": 0.1}), ("knn", {}), ("logistic_regression", {"steps": 20, "rate": 0.5}), ("random_forest", {"n_trees": 3, "max_depth": 3}), ("gbdt", {"n_rounds": 2, "rate": 0.5}), ("xgboost", {"n_rounds": 2, "max_depth": 2, "rate": 0.5}), ("lightgbm", {"n_rounds": 1, "max_depth": 2}), ("decision_tree", {"max_depth": 3, "bins": 16})])
-def test_models_learn(spark, blobs, name, own):
+def test_models_learn(spark, blobs, name, own, tmp_path):
     fitted = models.base_model(name, **own).fit(blobs.where("row_id % 5 < 4"))
     out = fitted.transform(blobs.where("row_id % 5 = 4")).collect()
     assert all(abs(sum(r["probability"]) - 1) < 1e-9 for r in out if name != "svm")
     assert sum(r["p"] == r["y"] for r in out) >= (0.5 if name == "naive_bayes" else 0.8) * len(out)
+    store.save(spark, fitted, str(tmp_path / "m"))
+    again = store.load(spark, str(tmp_path / "m")).transform(blobs).select("row_id", "p").collect()
+    assert {tuple(r) for r in again} == {tuple(r) for r in fitted.transform(blobs).select("row_id", "p").collect()}
     losses = getattr(fitted, "losses", [])
     assert all(b <= a + 1e-9 for a, b in zip(losses, losses[1:]))
 
@@ -189,8 +194,10 @@ def test_pipeline(spark, tmp_path):
     fit = pipeline.train(df.where("row_id < 48"), df.where("row_id >= 48"), {"naive_bayes": {}, "logistic_regression": {"steps": 5, "rate": 0.5}}, ["词"], pipeline.Features(size=4), 2, models.SoftmaxRegression(rate=0.5, steps=5))
     assert fit.predict_text(spark, "银行 贷款 利率") == "财经" and fit.predict_text(spark, "裁判 进球") == "体育"
     assert fit.evaluate({"val": df.where("row_id >= 48")}, "stacking").first()["accuracy"] == 1.0
-    fit.features.save(spark, str(tmp_path / "f"))
-    again = pipeline.Features.load(spark, str(tmp_path / "f"))
+    fit.save(spark, str(tmp_path / "f"))
+    loaded = pipeline.Classifier.load(spark, str(tmp_path / "f"))
+    assert loaded.predict_text(spark, "裁判 进球", "stacking") == "体育"
+    again = loaded.features
     own = pipeline.tokens(df.limit(3), ["词"]).select("row_id", "tokens")
     a, b = ({r["row_id"]: r["x"] for r in f.transform(own).collect()} for f in (fit.features, again))
     assert all(np.allclose(a[k], b[k]) for k in a)
@@ -198,6 +205,19 @@ def test_pipeline(spark, tmp_path):
     assert pipeline.stopwords(spark, str(tmp_path / "stop.txt")) == ["了", "的"] and pipeline.stopwords(spark, str(tmp_path / "none.txt")) == []
 
 
+def test_weight_search(spark, blobs, tmp_path):
+    fam = {n: blobs.select("row_id", "x") for n in ("tfidf", "word2vec", "bert")}
+    found = pipeline.optimise(spark, fam, fam, blobs.select("row_id", "y"), 0.5, str(tmp_path))
+    assert found.count() == 6 and search.ranked(found).first()["f1_macro"] > 0.9
+    doc = json.loads(spark.read.text(f"{tmp_path}/weights").first()[0])
+    assert set(doc) == {"best_weights", "best_f1_macro", "all_results"} and len(doc["all_results"]) == 6
+    assert spark.read.parquet(f"{tmp_path}/fused").where("split = 'val'").count() == 150
+    assert search.cross_validate(blobs, 3).count() == 3
+    own = blobs.withColumn("split", F.lit("train"))
+    sinks.write_by_split(own, str(tmp_path / "s"), {"weights": [0.2]})
+    assert sinks.read_by_split(spark, str(tmp_path / "s"), "train").count() == 150 and sinks.read_about(spark, str(tmp_path / "s")) == {"weights": [0.2]}
+
+
 def test_streamed_scores(spark, blobs, tmp_path):
     from wenloom.streaming.score import score_stream
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wenloom.functions import text as X
-from wenloom.operators import ensemble, metrics, models, reduce, search, terms
+from wenloom.operators import ensemble, metrics, models, reduce, search, store, terms
 from wenloom.operators.wordvec import WordVectorModel, WordVectors
 from wenloom.sources.tables import cut
 
@@ -117,6 +117,17 @@ class Classifier:
         row = self.predict(spark.createDataFrame([(0, text)], "row_id long, text string"), method).first()
         return row["p"] if row else None
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.features.save(spark, f"{path}/features")
+        store.save_stacked(spark, self.fitted, f"{path}/ensemble")
+        about = json.dumps({"stopwords": self.stopwords, "tokenizer": self.tokenizer}, ensure_ascii=False)
+        spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Classifier:
+        about = json.loads(spark.read.text(f"{path}/about").first()[0])
+        return Classifier(Features.load(spark, f"{path}/features"), store.load_stacked(spark, f"{path}/ensemble"), about["stopwords"], about["tokenizer"])
+
     def evaluate(self, splits: dict[str, DataFrame], method: str = "voting") -> DataFrame:
         """``split`` and the metrics of labelled splits with ``row_id, text, y``."""
         out = None
