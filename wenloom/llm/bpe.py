@@ -102,6 +102,12 @@ class PairIndex:
             yield r, np.concatenate(self.places.pop(r))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats; sorting beats the hashing of np.unique."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def replay(pieces: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all pieces one after another, and where each piece starts."""
     size = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -126,7 +132,7 @@ def replay(pieces: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         ok = nxt < n
         place, nxt = place[ok], nxt[ok]
         ok = sym[nxt] == b
-        place = np.unique(place[ok])
+        place = _distinct(place[ok])
         if not len(place):
             continue
         nxt = after[place]
@@ -142,7 +148,7 @@ def replay(pieces: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         left = before[place]
         ok = left >= 0
         near = np.concatenate([left[ok], place])
-        near = np.unique(near[after[near] < n])
+        near = _distinct(near[after[near] < n])
         if len(near):
             rank = v.merges(sym[near].astype(np.int64), sym[after[near]].astype(np.int64))
             ok = rank > r

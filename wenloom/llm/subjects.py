@@ -28,7 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from operator import add
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -51,42 +51,67 @@ LEAST_GAIN = 0.4
 LEAST_WEIGHT = 0.6
 LEAST_COSINE = 0.15
 
-_CUT = re.compile(r"[。！？!?\n\r]+|\.(?=\s|$)")
-_TERM = re.compile(r"[㐀-䶿一-鿿]+|[^\W\d_㐀-䶿一-鿿]{2,}")
-
-
-def terms(statement: str) -> list[str]:
-    """Distinct terms of a statement."""
-    out: dict[str, None] = {}
-    for run in _TERM.findall(statement):
-        if "㐀" <= run[0] <= "鿿":
-            out.update(dict.fromkeys(map(add, run, run[1:])))
-        else:
-            out[run] = None
-    return list(out)
-
-
-def statements(text: str | None) -> list[list[str]]:
-    if not text:
-        return []
-    return [t for s in _CUT.split(looks.skeleton(text).casefold()) if (t := terms(s))]
-
-
-def ideographic(own: list[str]) -> bool:
-    return 2 * sum("㐀" <= t[0] <= "鿿" for t in own) > len(own)
+_WORD = re.compile(r"[^\W\d_㐀-䶿一-鿿]{2,}")
+_BREAKS = np.array([ord(c) for c in "。！？!?\n\r"], np.uint32)
+
+
+@dataclass
+class Cut:
+    """The statements of a batch of texts, cut with whole arrays.
+
+    ``pair`` holds each distinct pair of neighbouring ideographs of a statement
+    as statement << 32 | first << 16 | second; ``words`` the other terms.
+    """
+
+    text: np.ndarray  # of each statement
+    pair: np.ndarray
+    word_at: np.ndarray  # statement of each word
+    words: list[str]
+
+    @property
+    def ideographic(self) -> np.ndarray:
+        n = len(self.text)
+        return np.bincount(self.pair >> 32, minlength=n) > np.bincount(self.word_at, minlength=n)
+
+
+def cut_texts(texts: list[str | None]) -> Cut:
+    plain = [looks.skeleton(t).casefold() if t else "" for t in texts]
+    joined = "\n".join([*plain, ""])
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, plain), np.int64, len(plain)) + 1
+    end = np.isin(code, _BREAKS)
+    dot = np.flatnonzero(code[:-1] == ord("."))
+    end[[i for i in dot.tolist() if joined[i + 1].isspace()]] = True
+    statement = np.cumsum(end)
+    text = np.zeros(int(statement[-1]) + 1 if len(code) else 1, np.int64)
+    text[statement] = np.repeat(np.arange(len(plain)), size)
+    han = (code >= 0x3400) & (code <= 0x4DBF) | (code >= 0x4E00) & (code <= 0x9FFF)
+    at = np.flatnonzero(han[:-1] & han[1:])
+    # Sorting beats the hashing of np.unique by far.
+    pair = np.sort(statement[at] << 32 | code[at].astype(np.int64) << 16 | code[at + 1])
+    pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
+    seen: dict[tuple[int, str], None] = {}
+    for m in _WORD.finditer(joined):
+        seen[int(statement[m.start()]), m[0]] = None
+    return Cut(text, pair, np.fromiter((k for k, _ in seen), np.int64, len(seen)), [w for _, w in seen])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Terms of labelled texts, counted per batch before they are shuffled."""
     for b in batches:
-        seen = [Counter() for _ in range(CLASSES)]
-        for text, labels in zip(b.column("text").to_pylist(), b.column("labels").to_pylist(), strict=True):
-            for s in statements(text):
-                for k in labels:
-                    seen[k].update(s)
-        size = [len(c) for c in seen]
-        columns = [pa.array([t for c in seen for t in c], pa.string()), pa.array(np.repeat(np.arange(CLASSES, dtype=np.int32), size)), pa.array([n for c in seen for n in c.values()], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["term", "label", "n"])
+        labels = b.column("labels").to_pylist()
+        c = cut_texts(b.column("text").to_pylist())
+        terms, label, n = [], [], []
+        for k in range(CLASSES):
+            own = np.fromiter((k in x for x in labels), bool, len(labels))[c.text]
+            if not own.any():
+                continue
+            key, count = np.unique(c.pair[own[c.pair >> 32]] & 0xFFFFFFFF, return_counts=True)
+            words = Counter(w for w, t in zip(c.words, own[c.word_at].tolist()) if t)
+            terms += [chr(x >> 16) + chr(x & 0xFFFF) for x in key.tolist()] + list(words)
+            n += count.tolist() + list(words.values())
+            label += [k] * (len(key) + len(words))
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(label, pa.int32()), pa.array(n, pa.int64())], ["term", "label", "n"])
 
 
 def term_counts(headlines: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -130,15 +155,26 @@ def vocabulary(counts: DataFrame, limit: int = TERMS) -> Vocabulary:
 
 
 def _encoder(v: Vocabulary):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    two = {ord(t[0]) << 16 | ord(t[1]): i for t, i in v.index.items() if v.han[i]}
+    keys = np.array(sorted(two), np.int64)
+    number = np.array([two[k] for k in keys.tolist()], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                for s in statements(text):
-                    at = [v.index[t] for t in s if t in v.index]
-                    if at:
-                        rows.append((doc, ideographic(s), np.array(at, np.int32)))
-            yield pd.DataFrame(rows, columns=["doc_id", "han", "at"])
+            c = cut_texts(b.column("text").to_pylist())
+            hits = [(s << 32) | v.index[w] for s, w in zip(c.word_at.tolist(), c.words) if w in v.index]
+            cells = np.array(hits, np.int64)
+            if len(keys):
+                key = c.pair & 0xFFFFFFFF
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                known = keys[at] == key
+                cells = np.concatenate([cells, (c.pair[known] >> 32 << 32) | number[at[known]]])
+            cells.sort()
+            statement, first = np.unique(cells >> 32, return_index=True)
+            ends = pa.array(np.append(first, len(cells)).astype(np.int32))
+            at = pa.ListArray.from_arrays(ends, pa.array((cells & 0xFFFFFFFF).astype(np.int32)))
+            doc = b.column("doc_id").take(pa.array(c.text[statement]))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(c.ideographic[statement]), at], ["doc_id", "han", "at"])
 
     return run
 
@@ -146,7 +182,7 @@ def _encoder(v: Vocabulary):
 def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
     """``doc_id, han, at``: the vocabulary terms of every statement that has any."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return rows.mapInPandas(_encoder(v), "doc_id long, han boolean, at array<int>")
+    return rows.mapInArrow(_encoder(v), "doc_id long, han boolean, at array<int>")
 
 
 def _matrix(b: pd.DataFrame, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
