@@ -68,7 +68,7 @@ def plan(n: int) -> tuple[int, int, int]:
     """Phrase length, stride, and phrases at least found for any piece of an item of n characters."""
     sizes = range(-(-n // 2), n + 1)
     whole = min(-(-(m - m // RARE) // (m // RARE + 1)) for m in sizes)
-    stride = max(1, whole // 3)
+    stride = max(1, whole // 7)
     length = whole - stride + 1
     need = min((m - length + 1) // stride - (m // RARE) * -(-length // stride) for m in sizes)
     return length, stride, max(1, need)

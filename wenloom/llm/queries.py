@@ -97,7 +97,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), 1)
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     return leaks.leaked(leaks.passages(docs, table(spark, folder, "heldout_items")))
 
 
