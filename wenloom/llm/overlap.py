@@ -43,7 +43,7 @@ from wenloom.sources.tables import cut
 
 SHARE = 5
 WIDTH = 4
-SAMPLE_ROWS = 20_000
+SAMPLE_TEXTS = 2_000
 PARTITION_SUFFIXES = 1_500_000
 CHUNK = 4_000_000
 
@@ -125,23 +125,26 @@ def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
 
 
-def _boundaries(suffixes: DataFrame, total: int) -> list[int]:
-    """At most total / PARTITION_SUFFIXES keys, from a sample of bounded size."""
-    want = max(1, -(-total // PARTITION_SUFFIXES), min(total // 100_000, suffixes.sparkSession.sparkContext.defaultParallelism * 2))
-    share = min(1.0, 2 * SAMPLE_ROWS / max(total, 1))
-    keys = [r[0] for r in suffixes.sample(share, seed=7).select("key").limit(4 * SAMPLE_ROWS).collect()]
-    keys = np.sort(np.array(keys, np.int64).view(np.uint64))
-    if want == 1 or not len(keys):
+def _boundaries(both: DataFrame) -> list[int]:
+    """At most one key per PARTITION_SUFFIXES suffixes, from a bounded sample of texts, cut short for this purpose only."""
+    n, total = both.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("canon")), F.lit(0))).first()
+    want = max(1, -(-total // PARTITION_SUFFIXES), min(total // 100_000, both.sparkSession.sparkContext.defaultParallelism * 2))
+    if want == 1:
         return []
+    rows = both.sample(min(1.0, 1.5 * SAMPLE_TEXTS / max(n, 1)), seed=7).select("text_id", F.substring("canon", 1, 500).alias("canon"), "evals").limit(SAMPLE_TEXTS).collect()
+    parts = [b["key"].to_numpy() for b in _suffixes(iter([pd.DataFrame(rows, columns=["text_id", "canon", "evals"])]))]
+    if not parts:
+        return []
+    keys = np.sort(np.concatenate(parts).view(np.uint64))
     return [int(x) for x in keys[np.arange(1, want) * len(keys) // want]]
 
 
 def _placed(bounds: list[int]):
-    """Adds the partition; a key that is several boundaries holds several shares, which its records split."""
+    """Suffixes with their partition; a key that is several boundaries holds several shares, which its records split."""
     edge = np.array(bounds, np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _suffixes(batches):
             key = b["key"].to_numpy().view(np.uint64)
             lo, hi = np.searchsorted(edge, key, "left"), np.searchsorted(edge, key, "right")
             # A key equal to a boundary starts at its first partition; with one boundary it fills only part of two.
@@ -225,9 +228,7 @@ def overlaps(train: DataFrame, evals: DataFrame) -> DataFrame:
     same = texts_t.select("canon", F.col("text_id").alias("train_text")).join(texts_e.select("canon", F.col("text_id").alias("eval_text")), "canon")
     same = same.select("train_text", "eval_text", F.length("canon").alias("covered"))
     both = texts_t.unionByName(texts_e)
-    suffixes = cut(both.select("text_id", "canon", "evals").mapInPandas(_suffixes, _SUFFIX))
-    bounds = _boundaries(suffixes, suffixes.count())
-    placed = suffixes.mapInPandas(_placed(bounds), _SUFFIX + ", part long")
+    placed = both.select("text_id", "canon", "evals").mapInPandas(_placed(_boundaries(both)), _SUFFIX + ", part long")
     spans = placed.groupBy("part").applyInPandas(_array, "train_text long, eval_text long, place long, span long")
     covered = F.aggregate(
         F.array_sort(F.collect_set(F.struct("place", "span"))),
