@@ -196,6 +196,7 @@ def oracle_sql() -> dict[str, str]:
             select row_id, y as p from s qualify row_number() over (partition by row_id order by round(s, 10) desc, y) = 1""",
         "softmax_lr_step": f"""with {_FLAT}, long as (select row_id, y, idx, value from flat union all select row_id, y, 64, 1.0 from emb), n as (select count(*) as n from emb)
             select cast(c as int) as y, cast(idx as int) as idx, round(sum(value * (0.1 - case when long.y = c then 1.0 else 0.0 end)) / any_value(n), 6) + 0.0 as gradient from long, n, range(10) k(c) group by 1, 2""",
+        "feature_subset": "select cast(tree as int) as tree, cast(idx as int) as idx from range(5) t(tree), range((select max(len(embedding)) from embeddings)) r(idx) qualify row_number() over (partition by tree order by md5(concat_ws('-', tree, idx, '42'))) <= floor(sqrt((select max(len(embedding)) from embeddings)))",
         "ovo_pairs": "select a.name, b.name as other from class_dim a join class_dim b on a.name < b.name where a.selected and b.selected",
         "hard_vote": """with v as (select vec_id as row_id, unnest([embedding[1], embedding[2], embedding[3]])::double as x from embeddings), p as (select row_id, cast(cast(floor(x * 20) as bigint) % 3 + 3 as int) as p from v)
             select row_id, p from (select row_id, p, count(*) as n from p group by 1, 2) qualify row_number() over (partition by row_id order by n desc, p) = 1""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wenloom.functions import text as X
 from wenloom.functions import vectors as V
-from wenloom.operators import corpus, encoder, ensemble, metrics, models, reduce, terms, trees
+from wenloom.operators import corpus, encoder, ensemble, metrics, models, reduce, search, terms, trees
 from wenloom.operators.models import TINY
 from wenloom.sources import lines
 from wenloom.sources.tables import table
@@ -503,6 +503,15 @@ def ovo_vote(spark: SparkSession, d: str) -> DataFrame:
     return _pair_model().transform(_emb(spark, d)).select("row_id", "p")
 
 
+@query
+def feature_subset(spark: SparkSession, d: str) -> DataFrame:
+    """The features that each of five trees may use, of the embeddings' dimensions."""
+    size = _emb(spark, d).select(F.size("x").alias("n")).first()
+    draw = models.RandomForest()
+    rows = [(t, j) for t in range(5) for j in (draw.subset(t, size["n"]) if size else [])]
+    return spark.createDataFrame(rows, "tree int, idx int")
+
+
 # ---- ensembles and metrics ------------------------------------------------------
 
 
@@ -639,6 +648,23 @@ def stacking(spark: SparkSession, d: str) -> DataFrame:
     return fitted.transform(rest)
 
 
+def _families(spark: SparkSession, d: str, part: str) -> dict[str, DataFrame]:
+    """Three families of few dimensions, of one split by id."""
+    rows = corpus.with_split(_emb(spark, d)).where(F.col("split") == part)
+    return {n: rows.select("row_id", F.slice("x", a, 8).alias("x")) for n, a in (("tfidf", 1), ("word2vec", 9), ("bert", 17))}
+
+
+@query
+def weight_search(spark: SparkSession, d: str) -> DataFrame:
+    labels = _emb(spark, d).select("row_id", (F.col("y") % 3).alias("y"))
+    return search.grid_search(spark, _families(spark, d, "train"), _families(spark, d, "val"), labels, 0.5)
+
+
+@query
+def cv_scores(spark: SparkSession, d: str) -> DataFrame:
+    return search.cross_validate(_small(spark, d)[0], 3)
+
+
 @query
 def encoder_vectors(spark: SparkSession, d: str) -> DataFrame:
     c = encoder.EncoderConfig(vocab=256, width=32, layers=2, heads=4, inner=64, length=32)
