@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wenloom.llm import bpe, copies, forms, leaks, overlap, quota, similar, subjects, terms
+from wenloom.llm import bpe, copies, forms, leaks, looks, overlap, quota, similar, subjects, terms
 from wenloom.sources.tables import cut, spread, table
 
 
@@ -131,8 +131,35 @@ select term, occurrences, records, case when records < 2 then 'rare' when record
 """
 
 
+
+
+def _looks_sql() -> str:
+    """Table ``looked``: row_id, text and skeleton of the rows with a letter or digit."""
+    ranges = (*range(0x2E80, 0x2FE0), *range(0xF900, 0xFB00), *range(0xFF01, 0xFFEF))
+    single = {chr(i): f for i in ranges if isinstance(f := looks._plain_form(i), str) and len(f) == 1} | looks.LOOKS_LIKE
+    pair = f"'{''.join(single)}', '{''.join(single.values()).replace(chr(39), chr(39) * 2)}'"
+    gone = r"[\p{Cf}\x{0}-\x{8}\x{E}-\x{1F}\x{7F}-\x{84}\x{86}-\x{9F}\x{FE00}-\x{FE0F}" + looks.UNSEEN + "]"
+    seen = rf"regexp_replace(regexp_replace(text, '{gone}', '', 'g'), '\p{{Zs}}', ' ', 'g')"
+    skeleton = f"nfc_normalize(translate(nfc_normalize(translate({seen}, {pair})), {pair}))"
+    return rf"looked as (select * from (select row_id, text, {skeleton} as skeleton from train) where regexp_matches(skeleton, '[\p{{L}}\p{{N}}]'))"
+
+
+def _copies_sql() -> str:
+    bars = f"translate(skeleton, '{looks.BARS}', '{'|' * len(looks.BARS)}')"
+    bare = rf"lower(regexp_replace({bars}, '[\p{{P}}\p{{Z}}\t\n\r\x{{B}}\x{{C}}\x{{85}}]', '', 'g'))"
+    return f"""with {_looks_sql()}, keyed as (select row_id, array_to_string(list_sort(list_filter(string_split({bare}, '|'), lambda p: p <> '')), '|') as k from looked),
+        firsts as (select *, min(row_id) over (partition by k) as first_row_id from keyed) select first_row_id, row_id from firsts where row_id <> first_row_id"""
+
+
+def _alike_sql() -> str:
+    return f"""with {_looks_sql()}, firsts as (select row_id, text, skeleton, min(row_id) over (partition by skeleton) as first_row_id from looked)
+        select a.first_row_id, a.row_id from firsts a join looked b on b.row_id = a.first_row_id where a.text <> b.text"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": _copies_sql(),
+        "p7_found": _alike_sql(),
         "p3_found": f"select plan_id, p.label_id from sample_plans p left join ({_DISTINCT}) d on d.label_id = p.label_id where coalesce(available, 0) < {_NEEDED}",
         "p6_terms": _TERMS,
         "p6_found": f"select term, mark from ({_TERMS}) where mark is not null",
