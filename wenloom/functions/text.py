@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wenloom.functions.vectors import let
+
 # What cleaning removes. In the second, ``$-_`` is a range of characters.
 TAG = r"<[^>]+>"
 URL = r"https?://[a-z!$-_]+"
@@ -60,6 +62,11 @@ def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
     return F.concat(*[runs(n) for n in range(low, high + 1)])
 
 
+def word_ngrams(text: Column, low: int = 1, high: int = 2) -> Column:
+    """``ngrams`` of ``words``, which are cut once."""
+    return let(words(text), lambda own: ngrams(own, low, high))
+
+
 def characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
@@ -68,5 +75,9 @@ def encode_characters(text: Column, vocabulary: Column, length: int = 128, unkno
     """``ids`` and ``mask`` of a fixed length: first, the characters' ids, last; cut after that, padded with 0."""
     ids = F.transform(characters(F.coalesce(text, F.lit(""))), lambda c: F.coalesce(F.try_element_at(vocabulary, c), F.lit(unknown)))
     cut = F.slice(F.concat(F.array(F.lit(first)), ids, F.array(F.lit(last))), 1, length)
-    pad = F.array_repeat(F.lit(0), F.lit(length) - F.size(cut))
-    return F.struct(F.concat(cut, pad).alias("ids"), F.concat(F.transform(cut, lambda _: F.lit(1)), pad).alias("mask"))
+
+    def padded(own: Column) -> Column:
+        pad = F.array_repeat(F.lit(0), F.lit(length) - F.size(own))
+        return F.struct(F.concat(own, pad).alias("ids"), F.concat(F.array_repeat(F.lit(1), F.size(own)), pad).alias("mask"))
+
+    return let(cut, padded)

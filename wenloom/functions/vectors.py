@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TINY = 1e-10
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, also where ``f`` uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -57,9 +61,8 @@ def pad(v: Column, size: int) -> Column:
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    raised = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(raised, lambda x: x / total(raised))
+    raised = let(v, lambda own: let(F.array_max(own), lambda top: F.transform(own, lambda x: F.exp(x - top))))
+    return let(raised, lambda own: let(total(own), lambda s: F.transform(own, lambda x: x / s)))
 
 
 def mean(v: Column) -> Column:
@@ -68,9 +71,8 @@ def mean(v: Column) -> Column:
 
 def layer_norm(v: Column, tiny: float = 1e-12) -> Column:
     """To mean zero and population deviation one."""
-    m = mean(v)
-    spread = F.sqrt(mean(F.transform(v, lambda x: (x - m) * (x - m))) + F.lit(tiny))
-    return F.transform(v, lambda x: (x - m) / spread)
+    centred = let(v, lambda own: let(mean(own), lambda m: F.transform(own, lambda x: x - m)))
+    return let(centred, lambda own: let(F.sqrt(mean(F.transform(own, lambda x: x * x)) + F.lit(tiny)), lambda s: F.transform(own, lambda x: x / s)))
 
 
 def gelu(x: Column) -> Column:

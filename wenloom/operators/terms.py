@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wenloom.functions.text import ngrams, words
+from wenloom.functions.text import word_ngrams
 
 
 def term_counts(df: DataFrame, tokens: str = "tokens", row_id: str = "row_id") -> DataFrame:
@@ -69,7 +69,7 @@ class TfidfModel:
 
 
 def gram_rows(df: DataFrame, text: str, row_id: str, low: int, high: int) -> DataFrame:
-    return df.select(row_id, ngrams(words(F.coalesce(F.col(text), F.lit(""))), low, high).alias("grams"))
+    return df.select(row_id, word_ngrams(F.coalesce(F.col(text), F.lit("")), low, high).alias("grams"))
 
 
 @dataclass(frozen=True)

@@ -145,7 +145,7 @@ def token_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ngrams_1_2(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "train").select("row_id", F.array_join(X.ngrams(X.words(F.col("text"))), "|").alias("grams"))
+    return table(spark, d, "train").select("row_id", F.array_join(X.word_ngrams(F.col("text")), "|").alias("grams"))
 
 
 def _train_docs(spark: SparkSession, d: str) -> DataFrame:
