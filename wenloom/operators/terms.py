@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wenloom.functions.text import word_ngrams
+from wenloom.sources.tables import cut
 
 
 def term_counts(df: DataFrame, tokens: str = "tokens", row_id: str = "row_id") -> DataFrame:
@@ -84,10 +85,18 @@ class Tfidf:
     tf: str = "count"
     norm: str | None = "l2"
 
-    def fit(self, df: DataFrame, text: str = "text", row_id: str = "row_id") -> TfidfModel:
+    def _fitted(self, counts: DataFrame, df: DataFrame) -> TfidfModel:
         n = df.agg(F.count(F.lit(1)).alias("n"))
-        stats = term_df(term_counts(gram_rows(df, text, row_id, self.low, self.high), "grams", row_id))
-        return TfidfModel(idf(vocabulary(stats, n, self.max_features, self.min_df, self.max_df), n), self.low, self.high, self.tf, self.norm)
+        return TfidfModel(idf(vocabulary(term_df(counts), n, self.max_features, self.min_df, self.max_df), n), self.low, self.high, self.tf, self.norm)
+
+    def fit(self, df: DataFrame, text: str = "text", row_id: str = "row_id") -> TfidfModel:
+        return self._fitted(term_counts(gram_rows(df, text, row_id, self.low, self.high), "grams", row_id), df)
+
+    def fit_transform(self, df: DataFrame, text: str = "text", row_id: str = "row_id") -> tuple[TfidfModel, DataFrame]:
+        """The model and the weighted rows; the texts are cut and counted once."""
+        counts = cut(term_counts(gram_rows(df, text, row_id, self.low, self.high), "grams", row_id))
+        model = self._fitted(counts, df)
+        return model, weighted(counts, model.vocab, row_id, self.tf, self.norm)
 
 
 def pooled(tokens: DataFrame, vectors: DataFrame, weights: DataFrame, row_id: str = "row_id") -> DataFrame:

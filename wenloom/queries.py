@@ -12,7 +12,7 @@ from wenloom.functions import vectors as V
 from wenloom.operators import corpus, encoder, ensemble, metrics, models, reduce, search, terms, trees
 from wenloom.operators.models import TINY
 from wenloom.sources import lines
-from wenloom.sources.tables import table
+from wenloom.sources.tables import spread, table
 
 # The classes that the classifiers work on.
 SELECTED = ["entertainment", "finance", "education", "sports", "science"]
@@ -123,7 +123,7 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "preprocessed_data").select("row_id", "split_name", F.filter("tokens", lambda t: t.isNotNull() & (F.trim(t) != "")).alias("tokens"), "y")
+    return spread(table(spark, d, "preprocessed_data"), 1).select("row_id", "split_name", F.filter("tokens", lambda t: t.isNotNull() & (F.trim(t) != "")).alias("tokens"), "y")
 
 
 @query
@@ -174,15 +174,14 @@ def idf(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
-    docs = _train_docs(spark, d)
-    return terms.Tfidf().fit(docs).transform(docs).select("row_id", "term", "idx", _r(F.col("value")).alias("value"))
+    return terms.Tfidf().fit_transform(_train_docs(spark, d))[1].select("row_id", "term", "idx", _r(F.col("value")).alias("value"))
 
 
 @query
 def tfidf_top_terms(spark: SparkSession, d: str) -> DataFrame:
     """The five heaviest terms of each class."""
     docs = _train_docs(spark, d)
-    weights = terms.Tfidf().fit(docs).transform(docs)
+    weights = terms.Tfidf().fit_transform(docs)[1]
     labels = _tokens(spark, d).where("split_name = 'train' and y is not null").select("row_id", "y")
     sums = weights.join(labels, "row_id").groupBy("y", "term").agg(F.sum("value").alias("weight"))
     first = F.row_number().over(Window.partitionBy("y").orderBy(F.desc(F.round("weight", 6)), "term"))
@@ -684,7 +683,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus.labeled(table(spark, d, "train"), table(spark, d, "class_dim"), selected=True)
     tokens = X.tokenize(X.clean_text(F.col("text")), X.IDEOGRAPHIC)
     docs = rows.where("text is not null").select("row_id", "name_cn", F.array_join(X.without_stopwords(tokens, STOPWORDS), " ").alias("text"))
-    weights = terms.Tfidf().fit(docs).transform(docs)
+    weights = terms.Tfidf().fit_transform(docs)[1]
     sums = weights.join(docs.select("row_id", "name_cn"), "row_id").groupBy("name_cn", "term").agg(F.sum("value").alias("weight"))
     first = F.row_number().over(Window.partitionBy("name_cn").orderBy(F.desc("weight"), "term"))
     return sums.withColumn("rank", first).where("rank <= 10")
