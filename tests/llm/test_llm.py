@@ -275,5 +275,20 @@ def test_subjects(spark):
     assert subjects.on_classes(*none).count() == 0
 
 
+def test_no_telling_term_is_left_out(spark):
+    pairs = [chr(0x4E00 + i) + chr(0x6E00 + i % 97) for i in range(9_000)]
+    texts = [" ".join(pairs[k::10][i : i + 20]) for k in range(10) for i in range(0, 900, 20)]
+    often = [(t, i // 45, 5 if i % 45 else 4) for i, t in enumerate(texts)]
+    headlines = spark.createDataFrame([(t, k) for t, k, n in often for _ in range(n)], "text string, label_id int")
+    docs = spark.createDataFrame([(k * 45 + i, "。".join(pairs[k::10][i * 20 + j] + "，" + pairs[k::10][i * 20 + j + 1] for j in (0, 6, 12))) for k in range(10) for i in range(45)], "doc_id long, text string")
+    model = subjects.model(headlines, docs, spark.createDataFrame([], "doc_id long, label_id int"))
+    assert len(model[1].names) == 9_000
+    got = {r["doc_id"]: r["at"] for r in subjects.encoded(docs, model[1]).groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at")).collect()}
+    assert len(got) == 450 and all(len(a) == 6 for a in got.values())
+    x = model[2].writable()
+    gram = x.T @ x
+    assert np.allclose(gram, np.diag(np.diag(gram)), atol=1e-3)
+
+
 def test_names_are_normal():
     assert all(unicodedata.is_normalized("NFC", k) for k in looks.LOOKS_LIKE)

@@ -6,10 +6,12 @@
 2. Labelled headlines and labelled documents give counts of term and class. A
    term weighs its inverse document frequency times how far its classes are
    from the classes' overall shares (relative entropy), so that words of every
-   class weigh nothing. The TERMS strongest make the vocabulary.
+   class weigh nothing. Every term of at least LEAST_COUNT and LEAST_GAIN is in the
+   vocabulary, however many there are.
 3. The matrix of statements and terms is reduced by a truncated SVD: subspace
-   iterations over all statements, of which only a matrix of TERMS by RANK
-   reaches the driver.
+   iterations over all statements. The matrix of terms by RANK is a file that
+   the executors map to memory (``Matrix``); its sums are kept for the terms
+   that a task meets, SUM_BLOCKS blocks at a time.
 4. The seeds are the classes' term counts in that space, one centroid for
    statements in ideographs and one for others; ROUNDS passes over all
    statements assign each by cosine and move the centroids.
@@ -25,7 +27,10 @@ is assigned; of a document id that repeats all statements count together.
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +38,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,9 +47,8 @@ from wenloom.llm import looks
 from wenloom.sources.tables import cut
 
 CLASSES = 10
-TERMS = 8192
-RANK = 64
-ROUNDS = 2
+RANK = 96
+ROUNDS = 3
 SHARE = 0.25
 LEAST_COUNT = 4
 SMOOTH = 4.0
@@ -126,16 +131,15 @@ def term_counts(headlines: DataFrame, docs: DataFrame, labels: DataFrame) -> Dat
 
 
 class Vocabulary:
-    """The strongest terms with their weights and class counts; at most TERMS."""
+    """All telling terms with their weights and class counts."""
 
     def __init__(self, names: list[str], n: np.ndarray, weight: np.ndarray):
-        self.names, self.n, self.weight = names, n, weight
-        self.index = {t: i for i, t in enumerate(names)}
+        self.names, self.n, self.weight = names, n.astype(np.float32), weight.astype(np.float32)
         self.han = np.array(["㐀" <= t[0] <= "鿿" for t in names], bool)
 
 
-def vocabulary(counts: DataFrame, limit: int = TERMS) -> Vocabulary:
-    """Weights are worked out over all terms; the strongest by weight times root of count are kept."""
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """Weights are worked out over all terms; every term of LEAST_GAIN is kept."""
     columns = [F.col(f"n{k}").cast("double") for k in range(CLASSES)]
     total = counts.agg(*[F.sum(c) for c in columns]).first()
     prior = np.array([float(x or 0) for x in total]) + 1e-9
@@ -147,22 +151,23 @@ def vocabulary(counts: DataFrame, limit: int = TERMS) -> Vocabulary:
     for c, q in zip(columns, share):
         p = (c + F.lit(SMOOTH * float(q))) / (everything + F.lit(SMOOTH))
         gain = gain + p * F.log(p / F.lit(float(q)))
-    rows = counts.withColumn("gain", gain).withColumn("all", everything)
-    rows = rows.where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc(F.col("gain") * F.sqrt("all")), "term").limit(limit).collect()
-    n = np.array([[r[f"n{k}"] for k in range(CLASSES)] for r in rows], np.float64).reshape(-1, CLASSES)
-    idf = np.log(prior.sum() / np.maximum(n.sum(axis=1), 1)) / np.log(max(prior.sum(), 2))
-    return Vocabulary([r["term"] for r in rows], n, np.array([r["gain"] for r in rows]) * idf)
+    rows = counts.withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN).orderBy("term").toArrow()
+    n = np.stack([rows[f"n{k}"].to_numpy().astype(np.float32) for k in range(CLASSES)], axis=1)
+    idf = np.log(prior.sum() / np.maximum(n.sum(axis=1, dtype=np.float64), 1)) / np.log(max(prior.sum(), 2))
+    return Vocabulary(rows["term"].to_pylist(), n, rows["gain"].to_numpy() * idf)
 
 
 def _encoder(v: Vocabulary):
-    two = {ord(t[0]) << 16 | ord(t[1]): i for t, i in v.index.items() if v.han[i]}
-    keys = np.array(sorted(two), np.int64)
-    number = np.array([two[k] for k in keys.tolist()], np.int64)
+    number = np.flatnonzero(v.han)
+    keys = np.array([ord(v.names[i][0]) << 16 | ord(v.names[i][1]) for i in number.tolist()], np.int64)
+    order = np.argsort(keys)
+    keys, number = keys[order], number[order]
+    words = {v.names[i]: i for i in np.flatnonzero(~v.han).tolist()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c = cut_texts(b.column("text").to_pylist())
-            hits = [(s << 32) | v.index[w] for s, w in zip(c.word_at.tolist(), c.words) if w in v.index]
+            hits = [(s << 32) | words[w] for s, w in zip(c.word_at.tolist(), c.words) if w in words]
             cells = np.array(hits, np.int64)
             if len(keys):
                 key = c.pair & 0xFFFFFFFF
@@ -201,6 +206,8 @@ def _embed(b: pd.DataFrame, weight: np.ndarray, basis: np.ndarray) -> tuple[np.n
 
 
 _ROWS = 16_384
+BLOCK = 256  # terms summed in one row of a shuffle
+SUM_BLOCKS = 640  # blocks a task sums at once, 96 KB each
 
 
 def _pieces(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -208,9 +215,42 @@ def _pieces(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield b.iloc[i : i + _ROWS]
 
 
+class Matrix:
+    """A file of terms by rank that each executor fetches once and maps to memory, so that its size binds no heap."""
+
+    def __init__(self, shape: tuple[int, int]):
+        self.shape, self.name = shape, f"basis-{uuid.uuid4().hex}.npy"
+        self.path = os.path.join(tempfile.gettempdir(), self.name)
+        np.lib.format.open_memmap(self.path, mode="w+", dtype=np.float32, shape=shape).flush()
+
+    def writable(self) -> np.ndarray:
+        return np.load(self.path, mmap_mode="r+")
+
+    def shared(self, spark: SparkSession) -> Matrix:
+        spark.sparkContext.addFile(self.path)
+        return self
+
+    def open(self) -> np.ndarray:
+        return np.load(SparkFiles.get(self.name), mmap_mode="r")
+
+    def orthonormal(self) -> Matrix:
+        """Its columns made orthonormal in place, by blocks of rows; those without own direction become zero."""
+        x = self.writable()
+        gram = np.zeros((self.shape[1], self.shape[1]))
+        for i in range(0, len(x), _ROWS):
+            part = x[i : i + _ROWS].astype(np.float64)
+            gram += part.T @ part
+        value, turn = np.linalg.eigh(gram)
+        real = value > value.max() * 1e-10
+        turn = turn * np.where(real, 1 / np.sqrt(np.where(real, value, 1)), 0)
+        for i in range(0, len(x), _ROWS):
+            x[i : i + _ROWS] = x[i : i + _ROWS] @ turn
+        x.flush()
+        return self
+
+
 def _summed(rows: DataFrame, work, shape: tuple[int, int]) -> np.ndarray:
-    """Sum over all partitions of a matrix of bounded shape, added up by blocks of rows."""
-    block = 1024
+    """Sum over all partitions of a small matrix."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, any_ = np.zeros(shape), False
@@ -219,44 +259,80 @@ def _summed(rows: DataFrame, work, shape: tuple[int, int]) -> np.ndarray:
                 any_ = True
                 total += work(piece)
         if any_:
-            yield pd.DataFrame([(k, total[k * block : (k + 1) * block].astype(np.float32).tobytes()) for k in range(-(-shape[0] // block))], columns=["k", "m"])
+            yield pd.DataFrame({"m": [total.tobytes()]})
+
+    parts = rows.mapInPandas(run, "m binary").collect()
+    return sum((np.frombuffer(m, np.float64).reshape(shape) for (m,) in parts), np.zeros(shape))
 
-    def add(b: pd.DataFrame) -> pd.DataFrame:
-        m = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in b["m"])
-        return pd.DataFrame({"k": [b["k"].iloc[0]], "m": [m.astype(np.float32).tobytes()]})
 
-    parts = rows.mapInPandas(run, "k int, m binary").groupBy("k").applyInPandas(add, "k int, m binary").collect()
-    out = np.zeros(shape)
-    for k, m in parts:
-        out[k * block : (k + 1) * block] = np.frombuffer(m, np.float32).reshape(-1, shape[1])
+def _iterated(rows: DataFrame, v: Vocabulary, basis: Matrix) -> Matrix:
+    """The statements' matrix, transposed, times itself and ``basis``. Of a block of terms only the rows met are moved."""
+    rank = basis.shape[1]
+
+    def flushed(sums: dict[int, np.ndarray], met: dict[int, np.ndarray]) -> pd.DataFrame:
+        own = [(k, np.flatnonzero(met[k]).astype(np.int16).tobytes(), m[met[k]].tobytes()) for k, m in sums.items()]
+        return pd.DataFrame(own, columns=["k", "at", "m"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = basis.open()
+        sums: dict[int, np.ndarray] = {}
+        met: dict[int, np.ndarray] = {}
+        for b in batches:
+            for piece in _pieces(b):
+                at, value, start, _ = _matrix(piece, v.weight)
+                value = value.astype(np.float32)[:, None]
+                inner = np.add.reduceat(own[at] * value, start)
+                order = np.argsort(at, kind="stable")
+                row = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(at)]))[order]
+                at, value = at[order], value[order]
+                head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                out, at = np.add.reduceat(inner[row] * value, head), at[head]
+                edge = np.flatnonzero(np.r_[True, at[1:] // BLOCK != at[:-1] // BLOCK, True])
+                for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    k = int(at[i]) // BLOCK
+                    if k not in sums:
+                        sums[k], met[k] = np.zeros((BLOCK, rank), np.float32), np.zeros(BLOCK, bool)
+                    sums[k][at[i:j] % BLOCK] += out[i:j]
+                    met[k][at[i:j] % BLOCK] = True
+                if len(sums) > SUM_BLOCKS:
+                    yield flushed(sums, met)
+                    sums, met = {}, {}
+        if sums:
+            yield flushed(sums, met)
+
+    def add(b: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((BLOCK, rank))
+        for at, m in zip(b["at"], b["m"]):
+            total[np.frombuffer(at, np.int16)] += np.frombuffer(m, np.float32).reshape(-1, rank)
+        return pd.DataFrame({"k": [b["k"].iloc[0]], "m": [total.astype(np.float32).tobytes()]})
+
+    out = Matrix(basis.shape)
+    x = out.writable()
+    for k, m in rows.mapInPandas(run, "k int, at binary, m binary").groupBy("k").applyInPandas(add, "k int, m binary").toLocalIterator():
+        own = x[k * BLOCK : (k + 1) * BLOCK]
+        own[:] = np.frombuffer(m, np.float32).reshape(-1, rank)[: len(own)]
+    x.flush()
     return out
 
 
-def svd_basis(rows: DataFrame, v: Vocabulary, rank: int = RANK, passes: int = 2) -> np.ndarray:
-    """Right singular vectors of the statements' matrix: TERMS by rank."""
-    basis = np.random.default_rng(5).standard_normal((len(v.names), rank))
+def svd_basis(rows: DataFrame, v: Vocabulary, rank: int = RANK, passes: int = 2) -> Matrix:
+    """Right singular vectors of the statements' matrix: terms by rank."""
+    spark = rows.sparkSession
+    basis = Matrix((len(v.names), rank))
+    x, rng = basis.writable(), np.random.default_rng(5)
+    for i in range(0, len(x), _ROWS):
+        x[i : i + _ROWS] = rng.standard_normal(x[i : i + _ROWS].shape)
+    x.flush()
+    basis = basis.orthonormal().shared(spark)
     for _ in range(passes):
-        basis = np.linalg.qr(basis)[0].astype(np.float32)
-
-        def work(b: pd.DataFrame, basis: np.ndarray = basis) -> np.ndarray:
-            at, value, start, _ = _matrix(b, v.weight)
-            inner = np.add.reduceat(basis[at] * value[:, None].astype(np.float32), start)
-            size = np.diff(np.r_[start, len(at)])
-            order = np.argsort(at, kind="stable")
-            row = np.repeat(np.arange(len(start)), size)[order]
-            at, value = at[order], value[order]
-            head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            out = np.zeros(basis.shape)
-            out[at[head]] = np.add.reduceat(inner[row] * value[:, None].astype(np.float32), head)
-            return out
-
-        basis = _summed(rows, work, basis.shape)
-    return np.linalg.qr(basis)[0].astype(np.float32)
+        basis = _iterated(rows, v, basis).orthonormal().shared(spark)
+    return basis
 
 
-def seeds(v: Vocabulary, basis: np.ndarray) -> np.ndarray:
+def seeds(v: Vocabulary, basis: Matrix) -> np.ndarray:
     """2 * CLASSES centroids: of statements in other scripts, then of such in ideographs."""
-    return _scaled(np.concatenate([(v.n * (v.weight * own)[:, None]).T @ basis for own in (~v.han, v.han)]))
+    x = basis.writable()
+    return _scaled(np.concatenate([(v.n * (v.weight * own)[:, None]).T @ x for own in (~v.han, v.han)]))
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
@@ -276,11 +352,11 @@ def assign(b: pd.DataFrame, weight: np.ndarray, basis: np.ndarray, centers: np.n
     return np.where((norm >= LEAST_WEIGHT) & (cosine >= LEAST_COSINE), best, -1), cosine, norm, e
 
 
-def refine(rows: DataFrame, v: Vocabulary, basis: np.ndarray, centers: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def refine(rows: DataFrame, v: Vocabulary, basis: Matrix, centers: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     for _ in range(rounds):
 
         def work(b: pd.DataFrame, centers: np.ndarray = centers) -> np.ndarray:
-            best, _, _, e = assign(b, v.weight, basis, centers)
+            best, _, _, e = assign(b, v.weight, basis.open(), centers)
             out = np.zeros(centers.shape)
             np.add.at(out, best[best >= 0], e[best >= 0])
             return out
@@ -291,13 +367,13 @@ def refine(rows: DataFrame, v: Vocabulary, basis: np.ndarray, centers: np.ndarra
     return centers
 
 
-def on_classes(rows: DataFrame, v: Vocabulary, basis: np.ndarray, centers: np.ndarray) -> DataFrame:
+def on_classes(rows: DataFrame, v: Vocabulary, basis: Matrix | None, centers: np.ndarray) -> DataFrame:
     """``doc_id, label_id, statements``: how many statements of each document are on each class."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for piece in _pieces(b):
-                best = assign(piece, v.weight, basis, centers)[0]
+                best = assign(piece, v.weight, basis.open(), centers)[0]
                 on = best >= 0
                 own = pd.DataFrame({"doc_id": piece["doc_id"].to_numpy()[on], "label_id": (best[on] % CLASSES).astype(np.int32)})
                 yield own.groupby(["doc_id", "label_id"]).size().rename("n").reset_index()
@@ -305,12 +381,12 @@ def on_classes(rows: DataFrame, v: Vocabulary, basis: np.ndarray, centers: np.nd
     return rows.mapInPandas(run, "doc_id long, label_id int, n long").groupBy("doc_id", "label_id").agg(F.sum("n").alias("statements"))
 
 
-def model(headlines: DataFrame, docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Vocabulary, np.ndarray, np.ndarray]:
+def model(headlines: DataFrame, docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Vocabulary, Matrix | None, np.ndarray]:
     """Encoded statements, vocabulary, basis and centroids."""
     v = vocabulary(cut(term_counts(headlines, docs, labels)))
     rows = cut(encoded(docs, v))
     if not v.names:
-        return rows, v, np.zeros((0, RANK), np.float32), np.zeros((2 * CLASSES, RANK), np.float32)
+        return rows, v, None, np.zeros((2 * CLASSES, RANK), np.float32)
     basis = svd_basis(rows, v, min(RANK, len(v.names)))
     return rows, v, basis, refine(rows, v, basis, seeds(v, basis))
 
