@@ -166,6 +166,33 @@ def test_similar(spark):
     assert similar.nearest(vectors.where("row_id < 3"), 10).count() == 6
 
 
+@pytest.mark.parametrize("cells", [2, 8, 80])
+def test_partners_in_few_directions_meet(cells):
+    rng = np.random.default_rng(5)
+    scale = 1 / np.arange(1, 101)
+    x = similar._unit(rng.normal(size=(4_000, 100)) * scale)
+    away = rng.normal(size=x.shape) * scale
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    cosine = rng.uniform(0.9, 0.95, (len(x), 1))
+    y = similar._unit(cosine * x + np.sqrt(1 - cosine**2) * away / np.linalg.norm(away, axis=1, keepdims=True))
+    c = similar.centroids(np.concatenate([x, y]), cells)
+    (home, visit), (other, back) = (similar._visits(v, c, 0.9, None) for v in (x, y))
+    at = np.arange(len(x))
+    assert np.all(visit[at, other] | back[at, home]) and np.any(home != other)
+
+
+def test_similar_with_falling_spectrum(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 100)) / np.arange(1, 101)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = similar.prepared(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, v array<float>"), "f", "row_id", "v")
+    near = u @ u.T
+    got = {(r["low_row_id"], r["high_row_id"]) for r in similar.alike(vectors, 0.9, 150).collect()}
+    sure = {(i, j) for i, j in zip(*np.nonzero(near >= 0.9 + 1e-5)) if i < j}
+    may = {(i, j) for i, j in zip(*np.nonzero(near >= 0.9 - 1e-5)) if i < j}
+    assert sure and sure <= got <= may
+
+
 # ---- terms (6) ---------------------------------------------------------------------------
 
 

@@ -18,10 +18,10 @@ cell, which is split again by hash where it is above CELL_ROWS.
 * ``nearest``: the k most similar of each vector. Every vector visits its
   ``probes`` nearest cells (all cells if None). The k-th largest lower bound of
   a cell chooses what is reranked.
-* ``alike``: all pairs with at least a given cosine. A vector visits those
-  cells whose border it is near enough that a partner may lie beyond (SIGMAS
-  standard deviations of a random partner at that cosine); only codes and
-  8-bit queries are moved, and only pairs within the bounds meet their vectors.
+* ``alike``: all pairs with at least a given cosine. A vector visits every
+  cell whose border is no farther from it than the angle of that cosine, so a
+  partner in any direction is met; only codes and 8-bit queries are moved, and
+  only pairs within the bounds meet their vectors.
 
 Defined cases: null, empty, short, long, all-zero vectors and such with NaN or
 infinity are no cases; equal vectors are partners with cosine one; ties are
@@ -122,10 +122,13 @@ def _visits(x: np.ndarray, c: np.ndarray, cosine: float | None, probes: int | No
         if probes is None or probes >= len(c):
             return home, np.ones(near.shape, bool)
         return home, near >= np.partition(near, -probes, axis=1)[:, -probes, None]
-    # A partner at this cosine leans towards another cell by so much at most.
-    lean = SIGMAS * np.sqrt(1 - cosine**2) / np.sqrt(DIMENSION) / cosine
-    apart = np.linalg.norm(c[home][:, None] - c[None], axis=2) if len(c) <= 64 else np.float32(np.sqrt(2))
-    visit = near[np.arange(len(x)), home][:, None] - near <= lean * apart
+    if cosine <= 0:
+        visit = np.ones(near.shape, bool)
+    else:
+        # margin / apart is the sine of the angle to the border: a partner beyond it is at that angle at least.
+        square = (c.astype(np.float64) ** 2).sum(axis=1)
+        apart = np.sqrt(np.maximum(0, square[:, None] + square - 2 * c.astype(np.float64) @ c.T)).astype(np.float32)
+        visit = near[np.arange(len(x)), home][:, None] - near <= np.float32(np.sqrt(max(0, 1 - cosine**2))) * apart[home] + np.float32(1e-4)
     # Pairs across cells are met by the side with the lower cell.
     visit &= np.arange(len(c)) > home[:, None]
     visit[np.arange(len(x)), home] = True
