@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wenloom import queries
 from wenloom.operators import corpus, encoder, ensemble, metrics, models, reduce, search, store, terms, trees
 from wenloom.plans import pipeline
 from wenloom.sources import sinks
@@ -225,3 +226,55 @@ def test_streamed_scores(spark, blobs, tmp_path):
     m = models.NaiveBayes().fit(blobs)
     score_stream(spark.readStream.schema(blobs.schema).parquet(str(tmp_path / "in")), m, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 150
+
+
+@pytest.fixture(scope="module")
+def embeddings(spark, tmp_path_factory):
+    """A folder with vectors of 64 dimensions, whose last one tells the ten labels apart."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(200, 64))
+    x[:, 63] = np.arange(200) // 10 % 10 * 5 + rng.normal(0, 0.1, 200)
+    d = str(tmp_path_factory.mktemp("emb"))
+    spark.createDataFrame([(i, v.tolist(), i // 10 % 10) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    return d
+
+
+class Watched(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["decision_tree", "forest", "gbdt", "xgb", "lgbm", "svm", "lr"])
+def test_model_queries_fit_on_everything(spark, embeddings, monkeypatch, name):
+    made = []
+
+    def fit(self, df):
+        made.append((self, df))
+        raise Watched
+
+    kinds = [models.DecisionTree, models.RandomForest, models.Boosting, models.PairwiseSvm, models.SoftmaxRegression]
+    for kind in kinds:
+        monkeypatch.setattr(kind, "fit", fit)
+    with pytest.raises(Watched):
+        queries.queries()[f"{name}_predict"](spark, embeddings)
+    model, df = made[0]
+    default = {"forest": "random_forest", "xgb": "xgboost", "lgbm": "lightgbm", "lr": "logistic_regression"}.get(name, name)
+    assert model == models.base_model(default)
+    assert df.agg(F.min(F.size("x")), F.countDistinct("y")).first()[:] == (64, 10)
+
+
+def test_searches_take_everything(spark, embeddings, monkeypatch):
+    seen = []
+    monkeypatch.setattr(search, "logistic", lambda a, b: seen.append((len(a.first()["x"]), a.select("y").distinct().count())) or b.select("row_id", "y", F.col("y").alias("p")))
+    assert queries.queries()["weight_search"](spark, embeddings).count() == 66 and queries.queries()["cv_scores"](spark, embeddings).count() == 5
+    assert set(seen) == {(64, 10)} and len(seen) == 71
+
+
+@pytest.mark.parametrize("name,own", [("decision_tree", {"max_depth": 3}), ("random_forest", {"n_trees": 4, "max_depth": 3}), ("gbdt", {"n_rounds": 2, "max_depth": 2}), ("svm", {"epochs": 5, "rate": 0.1}), ("logistic_regression", {"steps": 5, "rate": 0.5})])
+def test_small_models(spark, embeddings, name, own):
+    rows = queries._emb(spark, embeddings).select("row_id", F.slice("x", 57, 8).alias("x"), (F.col("y") % 3).alias("y"))
+    got = models.base_model(name, **own).fit(rows).transform(rows)
+    assert got.where("p between 0 and 2").count() == 200
+
+
+def test_stacking_queries_keep_all_labels(spark, embeddings):
+    assert {r[0] for r in queries.queries()["oof_layout"](spark, embeddings).select(F.size("x")).collect()} == {20}

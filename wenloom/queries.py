@@ -609,59 +609,56 @@ def cv_summary(spark: SparkSession, d: str) -> DataFrame:
 # ---- trained models, without SQL twins -------------------------------------------
 
 
-def _small(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    train, rest = _split(spark, d)
-    cut = lambda df: df.withColumn("x", F.slice("x", 1, 8)).withColumn("y", F.col("y") % 3)
-    return cut(train), cut(rest)
-
+def _predicted(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Whole vectors and all labels, with the operator's own parameters."""
 
-def _predicted(name: str, **own) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        train, rest = _small(spark, d)
-        return models.base_model(name, **own).fit(train).transform(rest).select("row_id", "y", "p", F.transform("probability", lambda v: F.round(v, 6)).alias("probability"))
+        train, rest = _split(spark, d)
+        return models.base_model(name).fit(train).transform(rest).select("row_id", "y", "p", F.transform("probability", lambda v: F.round(v, 6)).alias("probability"))
 
     return run
 
 
 QUERIES |= {
-    "decision_tree_predict": _predicted("decision_tree", max_depth=3),
-    "forest_predict": _predicted("random_forest", n_trees=4, max_depth=3),
-    "gbdt_predict": _predicted("gbdt", n_rounds=2, max_depth=2),
-    "xgb_predict": _predicted("xgboost", n_rounds=2, max_depth=2),
-    "lgbm_predict": _predicted("lightgbm", n_rounds=2, max_depth=4),
-    "svm_predict": _predicted("svm", epochs=5, rate=0.1),
-    "lr_predict": _predicted("logistic_regression", steps=5, rate=0.5),
+    "decision_tree_predict": _predicted("decision_tree"),
+    "forest_predict": _predicted("random_forest"),
+    "gbdt_predict": _predicted("gbdt"),
+    "xgb_predict": _predicted("xgboost"),
+    "lgbm_predict": _predicted("lightgbm"),
+    "svm_predict": _predicted("svm"),
+    "lr_predict": _predicted("logistic_regression"),
 }
 
 
 @query
 def oof_layout(spark: SparkSession, d: str) -> DataFrame:
-    train, _ = _small(spark, d)
-    return ensemble.laid_out(ensemble.out_of_fold(train, {"naive_bayes": {}, "knn": {}}, 3), ["naive_bayes", "knn"]).select("row_id", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+    train, _ = _split(spark, d)
+    return ensemble.laid_out(ensemble.out_of_fold(train, {"naive_bayes": {}, "knn": {}}), ["naive_bayes", "knn"]).select("row_id", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
 
 
 @query
 def stacking(spark: SparkSession, d: str) -> DataFrame:
-    train, rest = _small(spark, d)
-    fitted = ensemble.fit_stacked(train, rest, {"naive_bayes": {}, "knn": {}}, 3, models.SoftmaxRegression(rate=0.1, steps=5))
+    train, rest = _split(spark, d)
+    fitted = ensemble.fit_stacked(train, rest, {"naive_bayes": {}, "knn": {}})
     return fitted.transform(rest)
 
 
 def _families(spark: SparkSession, d: str, part: str) -> dict[str, DataFrame]:
-    """Three families of few dimensions, of one split by id."""
+    """Three families of whole vectors, of one split by id: the embeddings, turned round and normalised."""
     rows = corpus.with_split(_emb(spark, d)).where(F.col("split") == part)
-    return {n: rows.select("row_id", F.slice("x", a, 8).alias("x")) for n, a in (("tfidf", 1), ("word2vec", 9), ("bert", 17))}
+    own = {"tfidf": F.col("x"), "word2vec": F.reverse("x"), "bert": V.layer_norm(F.col("x"))}
+    return {n: rows.select("row_id", x.alias("x")) for n, x in own.items()}
 
 
 @query
 def weight_search(spark: SparkSession, d: str) -> DataFrame:
-    labels = _emb(spark, d).select("row_id", (F.col("y") % 3).alias("y"))
-    return search.grid_search(spark, _families(spark, d, "train"), _families(spark, d, "val"), labels, 0.5)
+    labels = _emb(spark, d).select("row_id", "y")
+    return search.grid_search(spark, _families(spark, d, "train"), _families(spark, d, "val"), labels)
 
 
 @query
 def cv_scores(spark: SparkSession, d: str) -> DataFrame:
-    return search.cross_validate(_small(spark, d)[0], 3)
+    return search.cross_validate(_split(spark, d)[0])
 
 
 @query
