@@ -278,3 +278,18 @@ def test_small_models(spark, embeddings, name, own):
 
 def test_stacking_queries_keep_all_labels(spark, embeddings):
     assert {r[0] for r in queries.queries()["oof_layout"](spark, embeddings).select(F.size("x")).collect()} == {20}
+
+
+def test_encoder_takes_all_splits_and_characters(spark, tmp_path):
+    texts = {"train": ["的" * 40 + "甲", "龘x", None], "dev": ["的" * 40 + "乙"], "test": ["丙" * 200]}
+    for i, (n, own) in enumerate(texts.items()):
+        spark.createDataFrame([(10 * i + j, t) for j, t in enumerate(own)], "row_id long, text string").write.parquet(f"{tmp_path}/{n}.parquet")
+    got = {r["row_id"]: r for r in queries.queries()["char_encode_whole"](spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 1, 2, 10, 20} and all(len(r["ids"]) == len(r["mask"]) == 128 and 100 not in r["ids"] for r in got.values())
+    assert sum(got[0]["mask"]) == 43 and got[0]["ids"] != got[10]["ids"] and sum(got[20]["mask"]) == 128
+    vocab = {c: 200 + i for i, c in enumerate("x的甲乙丙龘")}
+    df = spark.createDataFrame([(0, "的甲?"), (1, None), (2, "丙" * 200)], "row_id long, text string")
+    column = df.select("row_id", encoder.encode_characters(F.col("text"), encoder.vocabulary_map(vocab)).alias("e")).select("row_id", "e.*").orderBy("row_id").collect()
+    assert column == encoder.character_ids(df, vocab).orderBy("row_id").collect()
+    x = {r["row_id"]: r["x"] for r in queries.queries()["encoder_vectors"](spark, str(tmp_path)).collect()}
+    assert set(x) == set(got) and not np.allclose(x[0], x[10], atol=1e-6)

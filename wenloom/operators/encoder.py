@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wenloom.functions.text import encode_characters
+from wenloom.functions.text import characters, encode_characters
 
 MASKED = -10000.0
 TINY = 1e-12
@@ -94,14 +94,41 @@ def read_vocabulary(spark: SparkSession, path: str) -> dict[str, int]:
     return {t.strip(): i for i, t in enumerate((lines[0] if lines else "").split("\n")) if t.strip()}
 
 
+def corpus_vocabulary(df: DataFrame, text: str = "text", first: int = 200) -> dict[str, int]:
+    """Every character of the texts to its id, by code point; at most one entry a code point."""
+    each = df.where(F.col(text).isNotNull()).select(F.explode(characters(F.col(text))).alias("c")).distinct()
+    return {c: first + i for i, c in enumerate(sorted(r["c"] for r in each.collect()))}
+
+
+def ids_of(text: str | None, vocab: dict[str, int], length: int, unknown: int = 100, first: int = 101, last: int = 102) -> list[int]:
+    """As ``encode_characters``, without the padding; for vocabularies too large for a map column."""
+    return [first, *[vocab.get(c, unknown) for c in text or ""], last][:length]
+
+
 def vocabulary_map(vocab: dict[str, int]) -> Column:
     return F.create_map(*[F.lit(x) for k, v in vocab.items() for x in (k, v)])
 
 
-def encoded(df: DataFrame, weights: dict[str, np.ndarray], c: EncoderConfig, vocab: Column, pooled: bool = False, text: str = "text", row_id: str = "row_id", batch: int = 32) -> DataFrame:
+def character_ids(df: DataFrame, vocab: dict[str, int], length: int = 128, text: str = "text", row_id: str = "row_id") -> DataFrame:
+    """``row_id, ids, mask`` of a fixed length, with a broadcast vocabulary of any size."""
+    own = df.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches):
+        for f in batches:
+            ids = [ids_of(t, own.value, length) for t in f["text"]]
+            pad = [[0] * (length - len(i)) for i in ids]
+            yield pd.DataFrame({"row_id": f["row_id"].to_numpy(), "ids": [i + p for i, p in zip(ids, pad)], "mask": [[1] * len(i) + p for i, p in zip(ids, pad)]})
+
+    return df.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).mapInPandas(run, "row_id long, ids array<int>, mask array<int>")
+
+
+def encoded(df: DataFrame, weights: dict[str, np.ndarray], c: EncoderConfig, vocab: Column | dict[str, int], pooled: bool = False, text: str = "text", row_id: str = "row_id", batch: int = 32) -> DataFrame:
     """``row_id, x``: the first place's hidden state, or the pooled one."""
     own = df.sparkSession.sparkContext.broadcast(weights)
-    rows = df.select(F.col(row_id).alias("row_id"), encode_characters(F.col(text), vocab, c.length).alias("e")).select("row_id", "e.ids", "e.mask")
+    if isinstance(vocab, dict):
+        rows = character_ids(df, vocab, c.length, text, row_id)
+    else:
+        rows = df.select(F.col(row_id).alias("row_id"), encode_characters(F.col(text), vocab, c.length).alias("e")).select("row_id", "e.ids", "e.mask")
 
     def run(batches):
         for f in batches:

@@ -661,10 +661,25 @@ def cv_scores(spark: SparkSession, d: str) -> DataFrame:
     return search.cross_validate(_split(spark, d)[0])
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Row and text of all three splits."""
+    train, dev, test = (table(spark, d, n).select("row_id", "text") for n in ("train", "dev", "test"))
+    return train.unionByName(dev).unionByName(test)
+
+
 @query
 def encoder_vectors(spark: SparkSession, d: str) -> DataFrame:
-    c = encoder.EncoderConfig(vocab=256, width=32, layers=2, heads=4, inner=64, length=32)
-    return encoder.encoded(table(spark, d, "dev"), encoder.random_weights(c), c, encoder.vocabulary_map(_CHARS))
+    rows = _texts(spark, d)
+    vocab = encoder.corpus_vocabulary(rows)
+    c = encoder.EncoderConfig(vocab=200 + len(vocab), width=128, layers=2, heads=2, inner=512)
+    return encoder.encoded(spread(rows), encoder.random_weights(c), c, vocab)
+
+
+@query
+def char_encode_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Ids and mask at full length with the corpus's characters; ``char_encode`` and ``bert_encode`` have those of their SQL."""
+    rows = _texts(spark, d)
+    return encoder.character_ids(rows, encoder.corpus_vocabulary(rows))
 
 
 @query
