@@ -293,3 +293,36 @@ def test_encoder_takes_all_splits_and_characters(spark, tmp_path):
     assert column == encoder.character_ids(df, vocab).orderBy("row_id").collect()
     x = {r["row_id"]: r["x"] for r in queries.queries()["encoder_vectors"](spark, str(tmp_path)).collect()}
     assert set(x) == set(got) and not np.allclose(x[0], x[10], atol=1e-6)
+
+
+def test_whole_splits_and_covariance(spark, embeddings):
+    rows = spark.read.parquet(f"{embeddings}/embeddings.parquet").orderBy("vec_id").collect()
+    x, y = np.array([r["embedding"] for r in rows], np.float64), np.array([r["label"] for r in rows])
+    run = lambda name: queries.queries()[name](spark, embeddings)
+    got = {(r["i"], r["j"]): r["cov"] for r in run("covariance_whole").collect()}
+    c = np.cov(x.T)
+    assert set(got) == {(i, j) for i in range(64) for j in range(i, 64)} and all(abs(v - c[k]) < 1e-6 for k, v in got.items())
+
+    def gini(k):
+        return 1 - sum((np.mean(y[k] == v) ** 2) for v in range(10))
+
+    def score(left):
+        g, h = 0.1 - (y == 0), np.full(len(y), 0.09)
+        part = lambda k: g[k].sum() ** 2 / (h[k].sum() + 1)
+        allowed = min(h[left].sum(), h[~left].sum()) >= 1
+        n = left.mean()
+        return (
+            gini(np.full(len(y), True)) - n * gini(left) - (1 - n) * gini(~left),
+            y.var() - n * y[left].var() - (1 - n) * y[~left].var(),
+            0.5 * (part(left) + part(~left) - part(np.full(len(y), True))) if allowed else -np.inf,
+        )
+
+    gains = np.full((3, 64), -np.inf)
+    for j in range(64):
+        for t in np.unique(x[:, j])[:-1]:
+            gains[:, j] = np.maximum(gains[:, j], score(x[:, j] <= t))
+    for i, name in enumerate(("gini", "mse", "xgb")):
+        best = run(f"best_split_{name}_whole").collect()
+        assert len(best) == 1 and best[0]["idx"] == gains[i].argmax() == 63 and abs(best[0]["gain"] - gains[i].max()) < 1e-5
+    own = {r["idx"]: r["gain"] for r in run("xgb_split_gain_whole").collect()}
+    assert len(own) == 64 and all(abs(own[j] - gains[2, j]) < 1e-5 for j in own)

@@ -291,6 +291,12 @@ def covariance(spark: SparkSession, d: str) -> DataFrame:
     return reduce.covariance(_eight(spark, d)).select("i", "j", _r(F.col("cov"), 8).alias("cov"))
 
 
+@query
+def covariance_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of all dimensions; ``covariance`` has the first eight, as its SQL."""
+    return reduce.covariance(_emb(spark, d)).select("i", "j", _r(F.col("cov"), 8).alias("cov"))
+
+
 @query
 def pca_transform(spark: SparkSession, d: str) -> DataFrame:
     return reduce.long_form(reduce.fit_pca(_emb(spark, d), 10).transform(_emb(spark, d))).select("row_id", "idx", _r(F.col("value")).alias("value"))
@@ -391,8 +397,8 @@ def majority_label(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("r", first).where("r = 1").select("source", "label_id")
 
 
-def _flat(spark: SparkSession, d: str, *targets) -> DataFrame:
-    return _eight(spark, d).select(F.lit(1.0).alias("w"), *targets, F.posexplode("x").alias("idx", "value"))
+def _flat(spark: SparkSession, d: str, *targets, rows=_eight) -> DataFrame:
+    return rows(spark, d).select(F.lit(1.0).alias("w"), *targets, F.posexplode("x").alias("idx", "value"))
 
 
 def _best(flat: DataFrame, criterion) -> DataFrame:
@@ -409,10 +415,10 @@ def best_split_mse(spark: SparkSession, d: str) -> DataFrame:
     return _best(_flat(spark, d, F.col("y").cast("double").alias("t")), trees.Variance())
 
 
-def _gradients(spark: SparkSession, d: str) -> DataFrame:
+def _gradients(spark: SparkSession, d: str, rows=_eight) -> DataFrame:
     """First round of class 0 against a flat start."""
     g = F.lit(0.1) - (F.col("y") == 0).cast("double")
-    return _flat(spark, d, g.alias("g"), F.lit(0.09).alias("h"))
+    return _flat(spark, d, g.alias("g"), F.lit(0.09).alias("h"), rows=rows)
 
 
 @query
@@ -423,10 +429,37 @@ def best_split_xgb(spark: SparkSession, d: str) -> DataFrame:
 @query
 def xgb_split_gain(spark: SparkSession, d: str) -> DataFrame:
     """The best gain of every feature."""
-    gains = trees.split_gains(_gradients(spark, d).withColumn("node", F.lit(1)), ["node"], trees.Gradient())
+    return _best_gains(_gradients(spark, d))
+
+
+def _best_gains(flat: DataFrame) -> DataFrame:
+    gains = trees.split_gains(flat.withColumn("node", F.lit(1)), ["node"], trees.Gradient())
     return gains.groupBy("idx").agg(_r(F.max("gain")).alias("gain"))
 
 
+# Over all dimensions; the four queries above have the first eight, as their SQL.
+
+
+@query
+def best_split_gini_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _best(_flat(spark, d, "y", rows=_emb), trees.Gini(10))
+
+
+@query
+def best_split_mse_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _best(_flat(spark, d, F.col("y").cast("double").alias("t"), rows=_emb), trees.Variance())
+
+
+@query
+def best_split_xgb_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _best(_gradients(spark, d, _emb), trees.Gradient())
+
+
+@query
+def xgb_split_gain_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _best_gains(_gradients(spark, d, _emb))
+
+
 @query
 def xgb_leaf_weight(spark: SparkSession, d: str) -> DataFrame:
     sums = _emb(spark, d).groupBy("y").agg(F.sum(F.lit(0.1) - (F.col("y") == 0).cast("double")).alias("g"), F.sum(F.lit(0.09)).alias("h"))
