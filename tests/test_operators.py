@@ -326,3 +326,22 @@ def test_whole_splits_and_covariance(spark, embeddings):
         assert len(best) == 1 and best[0]["idx"] == gains[i].argmax() == 63 and abs(best[0]["gain"] - gains[i].max()) < 1e-5
     own = {r["idx"]: r["gain"] for r in run("xgb_split_gain_whole").collect()}
     assert len(own) == 64 and all(abs(own[j] - gains[2, j]) < 1e-5 for j in own)
+
+
+def test_pipeline_has_the_encoder_family(spark, tmp_path):
+    rows = [(i, [f"甲{'乙丙丁戊'[i % 4]}", "己庚辛"[i % 3], "壬"]) for i in range(40)] + [(90, None)]
+    df = spark.createDataFrame(rows, "row_id long, tokens array<string>")
+    c = encoder.EncoderConfig(vocab=300, width=128, layers=2, heads=2, inner=512)
+    np.savez(tmp_path / "w.npz", **encoder.random_weights(c, 7))
+    f = pipeline.Features(size=3, bert=c, encoder_path=str(tmp_path / "w.npz")).fit(df)
+    assert np.allclose(f.bert_weights["word"], encoder.random_weights(c, 7)["word"]) and f.weights == {"tfidf": 0.2, "word2vec": 0.3, "bert": 0.5} and set(f.scalers) == set(f.weights)
+    parts = {n: {r["row_id"]: np.array(r["x"]) for r in f.scalers[n].transform(x).collect()} for n, x in f._families(df).items()}
+    fused = {r["row_id"]: np.array(r["x"]) for r in f.transform(df).collect()}
+    assert len(fused) == 41 and all(np.allclose(fused[k], sum(w * parts[n][k] for n, w in f.weights.items())) for k in fused)
+    assert any(np.abs(parts["bert"][k]).max() > 0.1 for k in fused)
+    f.save(spark, str(tmp_path / "f"))
+    again = {r["row_id"]: r["x"] for r in pipeline.Features.load(spark, str(tmp_path / "f")).transform(df).collect()}
+    assert all(np.allclose(fused[k], again[k]) for k in fused)
+    assert set(pipeline.Features(size=3).weights) == {"tfidf", "word2vec"}
+    with pytest.raises(ValueError):
+        pipeline.Features(size=3, bert=c, encoder_path=str(tmp_path / "none.npz")).fit(df)

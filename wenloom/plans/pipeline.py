@@ -7,13 +7,14 @@ DataFrame plans, so one text and a table of any size take the same way.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wenloom.functions import text as X
-from wenloom.operators import ensemble, metrics, models, reduce, search, store, terms
+from wenloom.operators import encoder, ensemble, metrics, models, reduce, search, store, terms
 from wenloom.operators.wordvec import WordVectorModel, WordVectors
 from wenloom.sources.tables import cut
 
@@ -40,10 +41,17 @@ def stopwords(spark: SparkSession, path: str) -> list[str]:
 
 @dataclass
 class Features:
-    """TF-IDF reduced to ``size`` dimensions and pooled word vectors, each standardised, then fused."""
+    """TF-IDF and encoder states reduced to ``size`` dimensions and pooled word vectors, each standardised, then fused.
+
+    ``weights`` names the families that are built: by default all three with a
+    file of encoder weights, ``encoder_path``, and TF-IDF and word vectors without,
+    since an encoder with random weights only adds noise; named in ``weights``
+    it is built all the same. ``bert`` is its configuration, whose vocabulary is
+    the training rows' characters unless ``characters`` are given.
+    """
 
     size: int = 100
-    weights: dict[str, float] = field(default_factory=lambda: {"tfidf": 0.4, "word2vec": 0.6})
+    weights: dict[str, float] | None = None
     max_features: int = 8000
     min_df: int = 2
     seed: int = 42
@@ -51,6 +59,15 @@ class Features:
     pca: reduce.Pca | None = None
     words: WordVectorModel | None = None
     scalers: dict[str, reduce.Scaler] = field(default_factory=dict)
+    bert: encoder.EncoderConfig = field(default_factory=lambda: encoder.EncoderConfig(vocab=0, width=128, layers=2, heads=2, inner=512))
+    encoder_path: str | None = None
+    characters: dict[str, int] = field(default_factory=dict)
+    bert_weights: dict | None = None
+    bert_pca: reduce.Pca | None = None
+
+    def __post_init__(self) -> None:
+        if self.weights is None:
+            self.weights = {"tfidf": 0.2, "word2vec": 0.3, "bert": 0.5} if self.encoder_path else {"tfidf": 0.4, "word2vec": 0.6}
 
     def _texts(self, df: DataFrame) -> DataFrame:
         return df.select("row_id", F.array_join(F.coalesce("tokens", F.array().cast("array<string>")), " ").alias("text"))
@@ -60,7 +77,26 @@ class Features:
         at_zero = F.array(*[F.lit(float(v)) for v in -(self.pca.components @ self.pca.mean)])
         reduced = df.select("row_id").join(reduce.project_sparse(rows, self.pca), "row_id", "left").select("row_id", F.coalesce("x", at_zero).alias("x"))
         pooled = self.words.transform(df.select("row_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")), self.tfidf.vocab.select("term", "idf"))
-        return {"tfidf": reduced, "word2vec": pooled}
+        own = {"tfidf": reduced, "word2vec": pooled}
+        if "bert" in self.weights:
+            own["bert"] = self.bert_pca.transform(self._states(df))
+        return {n: own[n] for n in self.weights}
+
+    def _states(self, df: DataFrame) -> DataFrame:
+        return encoder.encoded(self._texts(df), self.bert_weights, self.bert, self.characters)
+
+    def _fit_encoder(self, df: DataFrame) -> None:
+        self.characters = self.characters or encoder.corpus_vocabulary(self._texts(df))
+        known = max(self.characters.values(), default=0) + 1
+        self.bert = replace(self.bert, vocab=max(self.bert.vocab, known, 200))
+        self.bert_weights = encoder.load_weights(self.bert, self.encoder_path, self.seed)
+        if self.encoder_path and np.array_equal(self.bert_weights["word"], encoder.random_weights(self.bert, self.seed)["word"]):
+            raise ValueError("the encoder's file is missing or doesn't fit its configuration")
+        states = cut(self._states(df))
+        fitted = reduce.fit_pca(states, len(self.pca.components))
+        if len(fitted.components) < len(self.pca.components):
+            raise ValueError("the encoder is too narrow, or the rows too few, for the other families' size")
+        self.bert_pca = fitted
 
     def fit(self, df: DataFrame) -> Features:
         """``df``: ``row_id, tokens`` of the training rows."""
@@ -71,6 +107,8 @@ class Features:
         self.pca = reduce.fit_sparse_pca(rows, df.count(), self.tfidf.vocab.count(), self.size, seed=self.seed)
         self.words = WordVectors(size=len(self.pca.components), min_count=2, seed=self.seed).fit(df)
         self.words = WordVectorModel(cut(self.words.vectors), self.words.size)
+        if "bert" in self.weights:
+            self._fit_encoder(df)
         self.scalers = {n: reduce.fit_scaler(f) for n, f in self._families(df).items()}
         return self
 
@@ -86,7 +124,13 @@ class Features:
         self.pca.save(spark, f"{path}/pca")
         for n, s in self.scalers.items():
             s.save(spark, f"{path}/scaler_{n}")
-        about = json.dumps({"size": self.size, "weights": self.weights, "words": self.words.size})
+        about = {"size": self.size, "weights": self.weights, "words": self.words.size}
+        if "bert" in self.weights:
+            self.bert_pca.save(spark, f"{path}/bert_pca")
+            rows = [(n, list(x.shape), x.tobytes()) for n, x in self.bert_weights.items()]
+            spark.createDataFrame(rows, "name string, shape array<int>, value binary").write.mode("overwrite").parquet(f"{path}/bert_weights")
+            about |= {"bert": asdict(self.bert), "characters": self.characters}
+        about = json.dumps(about, ensure_ascii=False)
         spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @staticmethod
@@ -96,6 +140,11 @@ class Features:
         out.tfidf = terms.TfidfModel(spark.read.parquet(f"{path}/vocab"), 1, 2)
         out.words = WordVectorModel(spark.read.parquet(f"{path}/words"), about["words"])
         out.pca = reduce.Pca.load(spark, f"{path}/pca")
+        if "bert" in out.weights:
+            out.bert, out.characters = encoder.EncoderConfig(**about["bert"]), about["characters"]
+            out.bert_pca = reduce.Pca.load(spark, f"{path}/bert_pca")
+            rows = spark.read.parquet(f"{path}/bert_weights").toLocalIterator()
+            out.bert_weights = {r["name"]: np.frombuffer(r["value"], np.float32).reshape(r["shape"]) for r in rows}
         out.scalers = {n: reduce.Scaler.load(spark, f"{path}/scaler_{n}") for n in out.weights}
         return out
 
