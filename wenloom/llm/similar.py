@@ -7,13 +7,13 @@ product of a vector with its own code is its correction scalar f.
 
 For a query q and a coded vector o, <code, q> / f estimates <o, q>; its error is
 sqrt(1 - <o, q>^2) * sqrt(1 - f^2) / f / sqrt(WIDE - 1) times a standard normal
-number. SIGMAS of these give the bounds that choose vectors for reranking by
-the exact cosine.
+number. SIGMAS of these (``alike``) or two (``nearest``) give the bounds that
+choose vectors for reranking by the exact cosine.
 
 Vectors are grouped into cells around centroids of a bounded sample
 (SAMPLE_ROWS). A cell is compared in parts: each task holds the codes of one
-cell and the queries of one part, so the memory of a task is bounded by the
-cell, which is split again by hash where it is above CELL_ROWS.
+cell and the queries of one part. A cell above CELL_ROWS is not split again: where
+many vectors are equal or close, one task holds all of them and their pairs.
 
 * ``nearest``: the k most similar of each vector. Every vector visits its
   ``probes`` nearest cells (all cells if None). The k-th largest lower bound of
