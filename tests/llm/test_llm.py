@@ -100,6 +100,15 @@ def test_overlap_against_all_pairs(spark):
     assert overlap.overlaps(a.where("false"), b).count() == overlap.overlaps(a, b.where("false")).count() == 0
 
 
+def test_shared_passages_are_covered_whole(spark):
+    t = "".join(chr(0x4E00 + 11 * i) for i in range(40))
+    a, b = overlap.canonical(texts(spark, [t])), overlap.canonical(texts(spark, [t[:20] + "x" + t[21:]]))
+    pairs = overlap.overlaps(a, b)
+    assert [tuple(r) for r in pairs.collect()] == [(0, 0, 39)]
+    assert overlap.report(pairs, b.select("row_id", F.lit("dev").alias("split_name"), F.lit("s").alias("source"))).first()["covered"] == 39
+    assert overlap.covered_by("甲乙丙丁", "乙丙丁", [1 << 32]) == 3 and overlap.covered_by("abab", "ab", [0, 2 << 32]) == 4
+
+
 def test_hot_prefix_is_split_and_whole(spark, monkeypatch):
     monkeypatch.setattr(overlap, "PARTITION_SUFFIXES", 60)
     monkeypatch.setattr(overlap, "CHUNK", 50)

@@ -15,8 +15,9 @@ one piece occurs unchanged in the shorter text, shifted by at most d.
    each anchor the run of suffixes from the other split with the same prefix
    near the same place, and drops pairs whose letter sets already differ by
    more than the edits allow.
-4. The shared spans of a pair are merged into the number of characters covered,
-   and the pairs are confirmed by edit distance.
+4. The pairs are confirmed by edit distance. The places where a pair met are
+   extended to the full common passages, which are merged into the number of
+   characters covered.
 
 Every pair within the distance is found: pieces shorter than four characters
 (texts of 5 to 7, 10, 11 and 15 characters) have suffix keys of their own
@@ -165,7 +166,7 @@ def _placed(bounds: list[int]):
 
 
 def _array(b: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one partition's suffix array: (train, eval, place, length) spans."""
+    """Pairs of one partition's suffix array: (train, eval, places in both)."""
     d = {k: b[k].to_numpy() for k in b.columns}
     key, width = d["key"].view(np.uint64), d["width"]
     order = np.lexsort((d["place"], width, key))
@@ -207,13 +208,35 @@ def _array(b: pd.DataFrame) -> pd.DataFrame:
                 ok = off <= 2 * (own // SHARE)
                 q, m = q[ok], m[ok]
                 t, e = (m, q) if evals else (q, m)
-                found.append(pd.DataFrame({"train_text": d["text_id"][t], "eval_text": d["text_id"][e], "place": d["place"][t], "span": width[q]}))
+                found.append(pd.DataFrame({"train_text": d["text_id"][t], "eval_text": d["text_id"][e], "place": d["place"][t], "other": d["place"][e]}))
             at = to
     if not found:
-        return pd.DataFrame({"train_text": [], "eval_text": [], "place": [], "span": []}, dtype="int64")
+        return pd.DataFrame({"train_text": [], "eval_text": [], "place": [], "other": []}, dtype="int64")
     return pd.concat(found, ignore_index=True).drop_duplicates()
 
 
+def covered_by(a: str, b: str, places: list[int]) -> int:
+    """Characters of ``a`` in passages common with ``b``; places: of both, as place << 32 | other."""
+    on, reached = bytearray(len(a)), {}
+    for p in sorted(places):
+        i, j = p >> 32, p & 0xFFFFFFFF
+        if i < reached.get(i - j, -1):
+            continue
+        low, high = i, i
+        while low and low > i - j and a[low - 1] == b[low - 1 - i + j]:
+            low -= 1
+        while high < len(a) and high - i + j < len(b) and a[high] == b[high - i + j]:
+            high += 1
+        on[low:high] = b"\1" * (high - low)
+        reached[i - j] = high
+    return sum(on)
+
+
+@F.pandas_udf(T.LongType())
+def _covered(a: pd.Series, b: pd.Series, places: pd.Series) -> pd.Series:
+    return pd.Series([covered_by(x, y, p.tolist()) for x, y, p in zip(a, b, places)], dtype="int64")
+
+
 def _text_ids(canon: DataFrame, evals: bool) -> DataFrame:
     return canon.groupBy("canon").agg(F.min("row_id").alias("text_id"), F.count(F.lit(1)).alias("copies")).withColumn("evals", F.lit(evals))
 
@@ -221,31 +244,23 @@ def _text_ids(canon: DataFrame, evals: bool) -> DataFrame:
 def overlaps(train: DataFrame, evals: DataFrame) -> DataFrame:
     """``train_row_id, eval_row_id, covered``: all overlapping pairs of two canonical tables.
 
-    ``covered``: characters of the training text inside shared spans that the
-    suffix arrays revealed; equal texts are covered in full.
+    ``covered``: characters of the training text inside the full common passages
+    through places where the suffix arrays met; equal texts are covered in full.
     """
     texts_t, texts_e = cut(_text_ids(train, False)), cut(_text_ids(evals, True))
     same = texts_t.select("canon", F.col("text_id").alias("train_text")).join(texts_e.select("canon", F.col("text_id").alias("eval_text")), "canon")
-    same = same.select("train_text", "eval_text", F.length("canon").alias("covered"))
+    same = same.select("train_text", "eval_text", F.length("canon").cast("long").alias("covered"))
     both = texts_t.unionByName(texts_e)
     placed = both.select("text_id", "canon", "evals").mapInPandas(_placed(_boundaries(both)), _SUFFIX + ", part long")
-    spans = placed.groupBy("part").applyInPandas(_array, "train_text long, eval_text long, place long, span long")
-    covered = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("place", "span"))),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
-        lambda s, x: F.struct(
-            (s["n"] + F.greatest(F.lit(0).cast("long"), x["place"] + x["span"] - F.greatest(s["end"], x["place"]))).alias("n"),
-            F.greatest(s["end"], x["place"] + x["span"]).alias("end"),
-        ),
-        lambda s: s["n"],
-    )
-    merged = spans.groupBy("train_text", "eval_text").agg(covered.alias("covered"))
+    spans = placed.groupBy("part").applyInPandas(_array, "train_text long, eval_text long, place long, other long")
+    places = F.collect_set(F.shiftleft("place", 32).bitwiseOR(F.col("other")))
+    merged = spans.groupBy("train_text", "eval_text").agg(places.alias("places"))
     near = (
         merged.join(texts_t.select(F.col("text_id").alias("train_text"), F.col("canon").alias("a")), "train_text")
         .join(texts_e.select(F.col("text_id").alias("eval_text"), F.col("canon").alias("b")), "eval_text")
         .where("a <> b")
         .where(f"levenshtein(a, b, cast(greatest(length(a), length(b)) div {SHARE} as int)) >= 0")
-        .select("train_text", "eval_text", "covered")
+        .select("train_text", "eval_text", _covered("a", "b", "places").alias("covered"))
     )
     pairs = same.unionByName(near)
     rows_t = train.join(texts_t.select("canon", F.col("text_id").alias("train_text")), "canon").select("train_text", F.col("row_id").alias("train_row_id"))
@@ -254,11 +269,11 @@ def overlaps(train: DataFrame, evals: DataFrame) -> DataFrame:
 
 
 def report(pairs: DataFrame, evals: DataFrame) -> DataFrame:
-    """Per split and source of the evaluation rows: leaked rows, pairs, rows."""
-    hit = pairs.groupBy(F.col("eval_row_id").alias("row_id")).agg(F.count(F.lit(1)).alias("pairs"))
+    """Per split and source of the evaluation rows: leaked rows, pairs, characters of training texts covered, rows."""
+    hit = pairs.groupBy(F.col("eval_row_id").alias("row_id")).agg(F.count(F.lit(1)).alias("pairs"), F.sum("covered").alias("covered"))
     return (
         evals.select("row_id", "split_name", "source")
         .join(hit, "row_id", "left")
         .groupBy("split_name", "source")
-        .agg(F.count(F.lit(1)).alias("eval_rows"), F.count("pairs").alias("leaked_rows"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+        .agg(F.count(F.lit(1)).alias("eval_rows"), F.count("pairs").alias("leaked_rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", "covered")])
     )
