@@ -1,4 +1,5 @@
 import base64
+import itertools
 import random
 import unicodedata
 
@@ -74,30 +75,65 @@ def test_forms(spark):
 # ---- overlaps (1) ---------------------------------------------------------------------
 
 
-def test_overlap_against_all_pairs(spark):
+def least(x, y):
+    """The least edit distance over all orders of the parts."""
+    p, q = looks.parts(x), looks.parts(y)
+    return min(edit("|".join(i), "|".join(j)) for i in itertools.permutations(p) for j in itertools.permutations(q))
+
+
+def brute_overlaps(train, evals):
+    out = set()
+    for i, x in enumerate(train):
+        for j, y in enumerate(evals):
+            if looks.has_word(x) and looks.has_word(y):
+                n = max(len("|".join(looks.parts(t))) for t in (x, y))
+                if least(x, y) <= n // 5:
+                    out.add((i, j + 1000))
+    return out
+
+
+def found_overlaps(spark, train, evals):
+    a, b = overlap.canonical(texts(spark, train)), overlap.canonical(texts(spark, evals).withColumn("row_id", F.col("row_id") + 1000))
+    got = [(r["train_row_id"], r["eval_row_id"]) for r in overlap.overlaps(a, b).collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+@pytest.mark.parametrize("bars", [False, True])
+def test_overlap_against_all_pairs(spark, bars):
     rng = random.Random(4)
-    base = ["".join(rng.choice("天地玄黄宇宙洪荒日月盈昃") for _ in range(rng.choice([3, 5, 6, 7, 10, 11, 14, 15, 19, 20, 25, 31]))) for _ in range(60)]
+    chars = "天地玄黄宇宙洪荒日月盈昃"
+    base = ["".join(rng.choice(chars) for _ in range(rng.choice([3, 5, 6, 7, 10, 11, 14, 15, 19, 20, 25, 31]))) for _ in range(40)]
+    if bars:
+        base = ["|".join(t[i : i + rng.choice([1, 4, 9])] or "x" for i in rng.sample(range(0, len(t)), min(3, len(t)))) for t in base]
 
     def changed(t):
-        t = list(t)
+        t = t.split("|")
+        rng.shuffle(t)
+        t = list("|".join(t))
         for _ in range(rng.randint(0, 6)):
             k = rng.randrange(len(t) + 1)
-            t[k : k + rng.randint(0, 1)] = [rng.choice("天地x")] * rng.randint(0, 1)
+            t[k : k + rng.randint(0, 1)] = [rng.choice("天地x|" if bars else "天地x")] * rng.randint(0, 1)
         return "".join(t)
 
     train = base + [changed(t) for t in base] + [None, "", "!", base[0], base[0]]
-    evals = [changed(rng.choice(base)) for _ in range(80)] + [base[0], None, " "]
-    a, b = overlap.canonical(texts(spark, train)), overlap.canonical(texts(spark, evals).withColumn("row_id", F.col("row_id") + 1000))
-    got = [(r["train_row_id"], r["eval_row_id"]) for r in overlap.overlaps(a, b).collect()]
-    want = set()
-    for i, x in enumerate(train):
-        for j, y in enumerate(evals):
-            if looks.has_word(x) and looks.has_word(y):
-                p, q = "|".join(looks.parts(x)), "|".join(looks.parts(y))
-                if edit(p, q) <= max(len(p), len(q)) // 5:
-                    want.add((i, j + 1000))
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 80
-    assert overlap.overlaps(a.where("false"), b).count() == overlap.overlaps(a, b.where("false")).count() == 0
+    evals = [changed(rng.choice(base)) for _ in range(50)] + [base[0], None, " "]
+    want = brute_overlaps(train, evals)
+    assert found_overlaps(spark, train, evals) == want and len(want) > 40
+    if not bars:
+        a = overlap.canonical(texts(spark, train))
+        assert overlap.overlaps(a.where("false"), a).count() == overlap.overlaps(a, a.where("false")).count() == 0
+
+
+def test_overlap_with_edits_where_parts_begin(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(9))
+    rows = [[word() for _ in range(1 + i % 4)] for i in range(60)]
+    evals = ["｜".join(rng.sample([rng.choice(["一", "龥"]) + p[rng.randint(0, 1) :] for p in own], len(own))) for own in rows]
+    train = ["|".join(own) for own in rows]
+    assert found_overlaps(spark, train, evals) == {(i, i + 1000) for i in range(60)}
+    many = [f"{i}部分" for i in range(12)]
+    assert overlap.near("|".join(many), "|".join([*many[:0:-1], "另部分"])) and not overlap.near("|".join(many), "|".join(many[3:]))
 
 
 def test_shared_passages_are_covered_whole(spark):
@@ -106,16 +142,33 @@ def test_shared_passages_are_covered_whole(spark):
     pairs = overlap.overlaps(a, b)
     assert [tuple(r) for r in pairs.collect()] == [(0, 0, 39)]
     assert overlap.report(pairs, b.select("row_id", F.lit("dev").alias("split_name"), F.lit("s").alias("source"))).first()["covered"] == 39
-    assert overlap.covered_by("甲乙丙丁", "乙丙丁", [1 << 32]) == 3 and overlap.covered_by("abab", "ab", [0, 2 << 32]) == 4
+    assert overlap.covered_by("甲乙丙丁", "乙丙丁") == 3 and overlap.covered_by("ababx", "abab") == 4 and overlap.covered_by("甲", "乙") == 0
+
+
+def test_suffix_order_and_common_prefixes():
+    rng = random.Random(2)
+    own = ["".join(rng.choice("ab|") for _ in range(rng.randint(1, 30))).strip("|") or "a" for _ in range(50)]
+    s = overlap.Suffixes(own)
+    at = np.flatnonzero(~s.stop[: len(s.text)])
+    tail = lambda p: own[s.text[p]][p - s.start[s.text[p]] :][: overlap.DEPTH]
+    order = at[np.lexsort((s.tail[at], s.head[at]))]
+    assert [tail(p) for p in order] == sorted(tail(p) for p in at)
+    shared = overlap.common_prefix(s.head[order], s.tail[order])
+    for k in range(1, len(order)):
+        x, y = tail(order[k - 1]).ljust(8, "\0"), tail(order[k]).ljust(8, "\0")
+        assert shared[k] == next((i for i in range(8) if x[i] != y[i]), 8)
 
 
 def test_hot_prefix_is_split_and_whole(spark, monkeypatch):
     monkeypatch.setattr(overlap, "PARTITION_SUFFIXES", 60)
     monkeypatch.setattr(overlap, "CHUNK", 50)
     train = [f"独家消息{chr(0x4E00 + 7 * i)}{chr(0x5E00 + 3 * i)}记者" for i in range(60)]
-    a, b = overlap.canonical(texts(spark, train)), overlap.canonical(texts(spark, [t.replace("记", "计") for t in train]))
-    got = {(r["train_row_id"], r["eval_row_id"]) for r in overlap.overlaps(a, b).collect()}
-    assert got == {(i, i) for i in range(60)}
+    assert found_overlaps(spark, train, [t.replace("记", "计") for t in train]) == {(i, i + 1000) for i in range(60)}
+
+
+@pytest.mark.parametrize("t", ["独" * 60_000, "|".join(["甲乙"] * 20_000)])
+def test_overlap_of_very_long_texts(spark, t):
+    assert found_overlaps(spark, [t, "x" + t], [t[1:]]) == {(0, 1000), (1, 1000)}
 
 
 # ---- quotas (3) ------------------------------------------------------------------------

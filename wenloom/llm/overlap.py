@@ -1,40 +1,48 @@
 """Same or nearly the same records across splits (problem 1), by suffix arrays.
 
-Texts are compared as in ``copies``: the sorted normalised parts, joined by
-bars. Two texts overlap if the edit distance is at most a fifth of the longer
-one's length. With d allowed edits and the longer text cut into d + 1 pieces,
-one piece occurs unchanged in the shorter text, shifted by at most d.
-
-1. Every distinct text of either side gives its suffixes; of those, the piece
-   starts of its own cut are anchors. A suffix is kept as its first four
-   characters, packed into one number whose order is the order of the suffixes.
-2. Suffixes are range-partitioned: boundaries come from a bounded sample, a
-   prefix that holds more than a partition's share is split by record, and the
-   evaluation side's suffixes of such a prefix go to each of its partitions.
-3. Each partition sorts its texts' suffixes into one suffix array, finds for
-   each anchor the run of suffixes from the other split with the same prefix
-   near the same place, and drops pairs whose letter sets already differ by
-   more than the edits allow.
-4. The pairs are confirmed by edit distance. The places where a pair met are
-   extended to the full common passages, which are merged into the number of
-   characters covered.
-
-Every pair within the distance is found: pieces shorter than four characters
-(texts of 5 to 7, 10, 11 and 15 characters) have suffix keys of their own
-length. Texts under five characters only match if they are equal.
+Texts are compared as in ``copies``: the normalised parts between bars, in any
+order. The distance of two texts is the least edit distance over the orders of
+their parts; they overlap if it is at most a fifth of the longer one's length,
+bars included. Parts are tried in every order where both texts have at most
+ORDERED of them; beyond that, in sorted order and by the cheapest assignment of
+parts to parts, so that equal parts always meet.
+
+With d edits allowed, d + 1 disjoint pieces of the longer text, none over a bar,
+leave one piece that occurs unchanged in the shorter text.
+
+1. Every distinct text of either side gives its suffixes inside the parts. Of
+   its pieces of equal width (at most WIDTH) the d + 1 rarest are anchors, by
+   counts of a bounded sample; which are taken changes the work only.
+2. A suffix of one side is dropped if no anchor of the other side starts with the
+   same characters, told by a bitmap of BITS bits, which errs only by keeping.
+3. The rest is range-partitioned by first characters; boundaries come from the
+   same sample. A prefix that holds more than a partition's share is split by
+   record, and the evaluation side's suffixes of it go to each of its partitions.
+4. Each partition sorts its suffixes and takes the common prefixes of
+   neighbours. Around an anchor the suffixes of the other split whose common
+   prefix is at least the anchor's width form an interval. Pairs whose lengths,
+   places or letter sets differ by more than the edits allow are dropped.
+5. The pairs are confirmed by the distance; their common passages of at least
+   WIDTH characters are merged to the characters covered.
+
+Suffixes are ordered by their first DEPTH characters, which is more than any
+piece has. Every pair within the distance is found.
 
 Defined cases: null and blank texts and texts without a letter or digit match
 nothing; equal texts are one distinct text and each of their rows comes out;
-an empty table on either side gives an empty result; the length of a text is
-not bounded.
+texts under five characters only match if they are equal; an empty table on
+either side gives an empty result; the length of a text is not bounded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,10 +51,15 @@ from wenloom.llm import looks
 from wenloom.sources.tables import cut
 
 SHARE = 5
-WIDTH = 4
-SAMPLE_TEXTS = 2_000
-PARTITION_SUFFIXES = 1_500_000
+WIDTH = 3
+DEPTH = 8
+ORDERED = 4
+SAMPLE_TEXTS = 4_000
+PARTITION_SUFFIXES = 1_000_000
+BITS = 1 << 24
 CHUNK = 4_000_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_BAR = ord("|")
 
 
 @F.pandas_udf(T.StringType())
@@ -58,214 +71,404 @@ def canonical(df: DataFrame, row_id: str = "row_id", text: str = "text") -> Data
     return df.select(F.col(row_id).alias("row_id"), _canon(F.col(text)).alias("canon")).where(F.col("canon").isNotNull())
 
 
-def pieces(n: int) -> list[tuple[int, int]]:
-    """Start and length of the n // 5 + 1 even pieces of a text of n characters."""
-    k = n // SHARE + 1
-    ends = [n * i // k for i in range(k + 1)]
-    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+# ---- pieces ----------------------------------------------------------------------
+
+
+@lru_cache(maxsize=65_536)
+def pieces(sizes: tuple[int, ...]) -> tuple[int, tuple[int, ...]]:
+    """Width and places of disjoint pieces of a text with parts of these sizes; at least one more than its edits."""
+    n = sum(sizes) + len(sizes) - 1
+    need = n // SHARE + 1
+    width = next((w for w in range(WIDTH, 0, -1) if sum(s // w for s in sizes) >= need), 0)
+    if n < SHARE or not width:
+        return 0, ()
+    out, at = [], 0
+    for s in sizes:
+        out += range(at, at + s - width + 1, width)
+        at += s + 1
+    return width, tuple(out)
+
+
+class Suffixes:
+    """The suffixes of a batch of texts; each begins inside a part and has ``width`` characters there."""
+
+    def __init__(self, texts: list[str]):
+        code = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.size = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.start = np.cumsum(self.size + 1) - self.size - 1
+        self.text = np.repeat(np.arange(len(texts)), self.size + 1)
+        padded = np.r_[code, np.zeros(DEPTH, np.uint32)]
+        low = ((padded ^ (padded >> 16)) & 0xFFFF).astype(np.uint64)
+        self.stop = (padded == 0) | (padded == _BAR)
+        inside = np.ones(len(code), bool)
+        self.head, self.tail = np.zeros(len(code), np.uint64), np.zeros(len(code), np.uint64)
+        for i in range(DEPTH):
+            inside &= padded[i : i + len(code)] != 0
+            symbol = np.where(inside, low[i : i + len(code)], 0) << np.uint64(16 * (3 - i % 4))
+            if i < 4:
+                self.head |= symbol
+            else:
+                self.tail |= symbol
+        # Place inside the part: how far the last bar or start is.
+        at = np.arange(len(code))
+        after = np.maximum.accumulate(np.where(np.r_[True, self.stop[: len(code) - 1]], at, 0))
+        self.place = at - after
+        bars = np.bincount(self.text, weights=code == _BAR, minlength=len(texts))
+        self.many = bars > 0
+        h = ((code.astype(np.uint64) * _MIX) >> np.uint64(40)) % np.uint64(126)
+        bit = np.uint64(1) << (h % np.uint64(63))
+        real = code != 0
+        low_bits, high_bits = np.where((h < 63) & real, bit, 0).astype(np.uint64), np.where((h >= 63) & real, bit, 0).astype(np.uint64)
+        self.bits = [np.bitwise_or.reduceat(b, self.start) if len(texts) else np.zeros(0, np.uint64) for b in (low_bits, high_bits)]
+        self.width = np.zeros(len(texts), np.int64)
+        anchors: list[int] = []
+        for k, (t, a) in enumerate(zip(texts, self.start.tolist())):
+            self.width[k], own = pieces(tuple(map(len, t.split("|"))))
+            anchors += [a + i for i in own]
+        self.pieces = np.array(anchors, np.int64)
+
+    def keyed(self, at: np.ndarray, width: int) -> np.ndarray:
+        """First characters of the suffixes, as one number; narrow ones carry their width as last character."""
+        keep = np.uint64(0xFFFFFFFFFFFFFFFF) << np.uint64(16 * (4 - width))
+        key = self.head[at] & keep
+        return (key | (np.uint64(width) << np.uint64(16 * (4 - width - 1)))) >> np.uint64(16) if width < WIDTH else key >> np.uint64(16)
+
+    def anchors(self, count: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, key and width of the rarest pieces of each text, one more than its edits."""
+        at = self.pieces
+        width = self.width[self.text[at]]
+        key = np.zeros(len(at), np.uint64)
+        for w in range(1, WIDTH + 1):
+            own = width == w
+            key[own] = self.keyed(at[own], w)
+        often = count[_slot(key, len(count))] if count is not None else np.zeros(len(at), np.int64)
+        order = np.lexsort((often, self.text[at]))
+        at, key, width = at[order], key[order], width[order]
+        text = self.text[at]
+        first = np.r_[True, text[1:] != text[:-1]] if len(at) else np.zeros(0, bool)
+        rank = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+        ok = rank <= self.size[text] // SHARE
+        return at[ok], key[ok], width[ok]
+
+    def offered(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, key and width of the suffixes that pieces of these widths may meet."""
+        n = len(self.text)
+        ats, keys, widths = [], [], []
+        inside = np.ones(n, bool)
+        for w in range(1, WIDTH + 1):
+            inside = inside & ~self.stop[w - 1 : w - 1 + n]
+            at = np.flatnonzero(inside & asked[np.minimum(self.size, len(asked) - 1), w][self.text])
+            ats.append(at)
+            keys.append(self.keyed(at, w))
+            widths.append(np.full(len(at), w))
+        return np.concatenate(ats), np.concatenate(keys), np.concatenate(widths)
+
+
+def _slot(key: np.ndarray, size: int) -> np.ndarray:
+    return ((key * _MIX) >> np.uint64(32)) % np.uint64(size)
+
+
+# ---- what the driver knows: sample, bitmaps, widths ----------------------------------
+
+LONG = 2_048
+
+
+def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        sizes = b["canon"].map(lambda t: (min(len(t), LONG), pieces(tuple(map(len, t.split("|"))))[0]))
+        yield pd.DataFrame(sorted(set(sizes)), columns=["size", "width"])
 
 
-def widths(n: int) -> set[int]:
-    """Key widths that a partner of n to 5/4 n characters may ask for."""
-    return {min(WIDTH, min(w for _, w in pieces(m))) for m in range(max(n, SHARE), n * SHARE // (SHARE - 1) + 1)}
+def asked_widths(texts: DataFrame) -> np.ndarray:
+    """By size of a text and width: whether a longer text may ask for such suffixes. At most LONG by WIDTH rows reach the driver."""
+    out = np.zeros((LONG + 1, WIDTH + 1), bool)
+    for size, width in texts.select("canon").mapInPandas(_asked, "size int, width int").distinct().collect():
+        # The partner has at least four fifths of the length; all longer texts count as LONG.
+        out[max(0, size - size // SHARE) : size + 1, width] = True
+    return out
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+def _sampled(texts: DataFrame, n: int) -> list[str]:
+    """Texts of a bounded sample, cut short for this purpose only."""
+    rows = texts.sample(min(1.0, 1.5 * SAMPLE_TEXTS / max(n, 1)), seed=7).select(F.substring("canon", 1, 500).alias("canon")).limit(SAMPLE_TEXTS)
+    return [r[0].strip("|") for r in rows.collect()]
+
+
+class Plan:
+    """Piece counts and boundaries from the sample."""
+
+    SLOTS = 1 << 18
+
+    def __init__(self, train: DataFrame, evals: DataFrame):
+        sides = [(t, *t.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("canon")), F.lit(0))).first()) for t in (train, evals)]
+        self.asked = asked_widths(train) | asked_widths(evals)
+        self.count = np.zeros(self.SLOTS, np.int64)
+        kept, total, chars = [], [], 0
+        for t, n, length in sides:
+            texts = _sampled(t, n)
+            if texts:
+                own = Suffixes(texts)
+                _, key, _ = own.offered(self.asked)
+                scale = max(1, n // len(texts))
+                np.add.at(self.count, _slot(key, self.SLOTS), scale)
+                kept.append(key)
+                total.append(np.full(len(key), scale))
+                chars += length
+        self.bounds = np.zeros(0, np.uint64)
+        want = max(-(-chars // PARTITION_SUFFIXES), min(chars // 100_000, train.sparkSession.sparkContext.defaultParallelism * 2))
+        if kept and want > 1:
+            key, weight = np.concatenate(kept), np.concatenate(total)
+            order = np.argsort(key)
+            share = np.cumsum(weight[order])
+            self.bounds = key[order][np.searchsorted(share, share[-1] * np.arange(1, want) / want)]
+
+
+def _bitmap(rows: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the keys of a side's anchors and of its suffixes; at most BITS / 32 rows reach the driver."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            own = Suffixes(b["canon"].tolist())
+            out = []
+            for kind, key in ((0, own.anchors(plan.count)[1]), (1, own.offered(plan.asked)[1])):
+                slot = np.unique(_slot(key, BITS).astype(np.int64))
+                word = slot >> 6
+                first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(slot) else np.zeros(0, np.int64)
+                bit = np.uint64(1) << (slot & 63).astype(np.uint64)
+                if len(first):
+                    out.append(pd.DataFrame({"kind": np.int32(kind), "word": word[first], "bit": np.bitwise_or.reduceat(bit, first).view(np.int64)}))
+            if out:
+                yield pd.concat(out)
 
-def _packed(code: np.ndarray, width: int) -> np.ndarray:
-    """The first ``width`` characters from each place on, 16 bits each; the low bits hold the width's complement."""
-    low = ((code ^ (code >> 16)) & 0xFFFF).astype(np.uint64)
-    n = len(low) - width + 1
-    out = np.zeros(n, np.uint64)
-    for i in range(width):
-        out |= low[i : i + n] << np.uint64(16 * (3 - i))
-    return out
+    words = rows.select("canon").mapInPandas(run, "kind int, word long, bit long").groupBy("kind", "word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros((2, BITS // 64), np.uint64)
+    out[words["kind"].to_numpy(), words["word"].to_numpy()] = words["bit"].to_numpy().view(np.uint64)
+    return out[0], out[1]
 
 
-def _bits(code: np.ndarray) -> tuple[int, int]:
-    """The set of characters, hashed to 126 bits."""
-    h = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    h = h % np.uint64(126)
-    a = np.bitwise_or.reduce(np.where(h < 63, np.uint64(1) << (h % np.uint64(63)), np.uint64(0)))
-    b = np.bitwise_or.reduce(np.where(h >= 63, np.uint64(1) << (h % np.uint64(63)), np.uint64(0)))
-    return int(a), int(b)
+def _has(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    slot = _slot(key, BITS)
+    return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-_SUFFIX = "key long, width int, text_id long, place int, size int, anchor boolean, evals boolean, bits_a long, bits_b long"
+# ---- suffixes in their partitions ------------------------------------------------------
 
+_ENTRY = "part int, head long, tail long, text_id long, place int, size int, many boolean, anchor boolean, evals boolean, bits_a long, bits_b long"
 
-def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out: dict[str, list] = {k: [] for k in ("key", "width", "text_id", "place", "size", "anchor", "evals", "bits_a", "bits_b")}
-        for text_id, canon, evals in zip(b["text_id"], b["canon"], b["evals"], strict=True):
-            n = len(canon)
-            code = _codes(canon)
-            x, y = _bits(code)
-            starts = {a for a, _ in pieces(n)} if n >= SHARE else set()
-            own = min(WIDTH, min(w for _, w in pieces(n))) if n >= SHARE else 0
-            for width in widths(n) | ({own} if own else set()):
-                if width > n:
-                    continue
-                key = _packed(code, width)
-                m = len(key)
-                out["key"].append(key.view(np.int64))
-                out["width"].append(np.full(m, width, np.int32))
-                out["text_id"].append(np.full(m, text_id, np.int64))
-                out["place"].append(np.arange(m, dtype=np.int32))
-                out["size"].append(np.full(m, n, np.int32))
-                anchor = np.zeros(m, bool)
-                if width == own:
-                    anchor[[s for s in starts if s < m]] = True
-                out["anchor"].append(anchor)
-                out["evals"].append(np.full(m, evals, bool))
-                out["bits_a"].append(np.full(m, x, np.int64))
-                out["bits_b"].append(np.full(m, y, np.int64))
-        if out["key"]:
-            yield pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
-
-
-def _boundaries(both: DataFrame) -> list[int]:
-    """At most one key per PARTITION_SUFFIXES suffixes, from a bounded sample of texts, cut short for this purpose only."""
-    n, total = both.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("canon")), F.lit(0))).first()
-    want = max(1, -(-total // PARTITION_SUFFIXES), min(total // 100_000, both.sparkSession.sparkContext.defaultParallelism * 2))
-    if want == 1:
-        return []
-    rows = both.sample(min(1.0, 1.5 * SAMPLE_TEXTS / max(n, 1)), seed=7).select("text_id", F.substring("canon", 1, 500).alias("canon"), "evals").limit(SAMPLE_TEXTS).collect()
-    parts = [b["key"].to_numpy() for b in _suffixes(iter([pd.DataFrame(rows, columns=["text_id", "canon", "evals"])]))]
-    if not parts:
-        return []
-    keys = np.sort(np.concatenate(parts).view(np.uint64))
-    return [int(x) for x in keys[np.arange(1, want) * len(keys) // want]]
-
-
-def _placed(bounds: list[int]):
+
+def _placed(plan: Plan, evals: bool, other: tuple[np.ndarray, np.ndarray] | None):
     """Suffixes with their partition; a key that is several boundaries holds several shares, which its records split."""
-    edge = np.array(bounds, np.uint64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _suffixes(batches):
-            key = b["key"].to_numpy().view(np.uint64)
-            lo, hi = np.searchsorted(edge, key, "left"), np.searchsorted(edge, key, "right")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = Suffixes(b.column(1).to_pylist())
+            ids = b.column(0).to_numpy()
+            asks, offers = s.anchors(plan.count), s.offered(plan.asked)
+            at, key, width = (np.concatenate(v) for v in zip(asks, offers))
+            anchor = np.arange(len(at)) < len(asks[0])
+            if other is not None:
+                ok = np.where(anchor, _has(other[1], key), _has(other[0], key))
+                at, key, width, anchor = at[ok], key[ok], width[ok], anchor[ok]
+            lo, hi = np.searchsorted(plan.bounds, key, "left"), np.searchsorted(plan.bounds, key, "right")
             # A key equal to a boundary starts at its first partition; with one boundary it fills only part of two.
             hi = np.where(hi - lo > 1, hi, lo)
             reach = hi - lo + 1
-            evals = b["evals"].to_numpy()
-            mix = (b["text_id"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            one = b.assign(part=lo + (mix % reach.astype(np.uint64)).astype(np.int64))
-            many = evals & (reach > 1)
-            yield one[~many]
-            if many.any():
-                times = reach[many]
-                copy = b[many].loc[np.repeat(b.index[many], times)]
-                first = np.repeat(np.cumsum(times) - times, times)
-                yield copy.assign(part=np.repeat(lo[many], times) + np.arange(len(first)) - first)
+            text = s.text[at]
+            part = lo + ((ids[text].astype(np.int64).view(np.uint64) * _MIX >> np.uint64(33)) % reach.astype(np.uint64)).astype(np.int64)
+            if evals and (reach > 1).any():
+                who = np.repeat(np.arange(len(at)), reach)
+                step = np.arange(len(who)) - np.repeat(np.cumsum(reach) - reach, reach)
+                at, key, width, anchor, text, part = at[who], key[who], width[who], anchor[who], text[who], lo[who] + step
+            whole = width == WIDTH
+            head = np.where(whole, s.head[at], key << np.uint64(16))
+            columns = [part.astype(np.int32), head.view(np.int64), np.where(whole, s.tail[at], 0).view(np.int64), ids[text], s.place[at].astype(np.int32), s.size[text].astype(np.int32)]
+            columns += [s.many[text], anchor, np.full(len(at), evals), s.bits[0][text].view(np.int64), s.bits[1][text].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in _ENTRY.split(", ")])
 
     return run
 
 
+def common_prefix(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Equal leading characters of each suffix and the one before it; the first has none."""
+
+    def equal(x: np.ndarray) -> np.ndarray:
+        return sum((x >> np.uint64(16 * (3 - i)) == 0).astype(np.int8) for i in range(4))
+
+    a, b = equal(head[1:] ^ head[:-1]), equal(tail[1:] ^ tail[:-1])
+    return np.r_[np.int8(0), np.where(a == 4, a + b, a)] if len(head) else np.zeros(0, np.int8)
+
+
+def _once(at: np.ndarray, run: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One suffix of each text and interval, and whether there are more, so that their places say nothing."""
+    at = at[np.lexsort((text[at], run[at]))]
+    first = np.flatnonzero(np.r_[True, (run[at[1:]] != run[at[:-1]]) | (text[at[1:]] != text[at[:-1]])]) if len(at) else at
+    return at[first], np.diff(np.r_[first, len(at)]) > 1
+
+
 def _array(b: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one partition's suffix array: (train, eval, places in both)."""
+    """Pairs of texts that meet in one partition's suffix array."""
     d = {k: b[k].to_numpy() for k in b.columns}
-    key, width = d["key"].view(np.uint64), d["width"]
-    order = np.lexsort((d["place"], width, key))
+    head, tail = d["head"].view(np.uint64), d["tail"].view(np.uint64)
+    order = np.lexsort((tail, head))
     d = {k: v[order] for k, v in d.items()}
-    key, width = d["key"].view(np.uint64), d["width"]
+    head, tail = d["head"].view(np.uint64), d["tail"].view(np.uint64)
+    # Intervals of the suffix array: neighbours with a common prefix as long as a piece.
+    run = (np.cumsum(common_prefix(head, tail) < WIDTH) - 1).astype(np.int64) << 32
     found = []
     for evals in (True, False):
         one = d["evals"] == evals
-        rest = np.flatnonzero(~one)
-        ask = np.flatnonzero(one & d["anchor"])
+        rest, more = _once(np.flatnonzero(~one & ~d["anchor"]), run, d["text_id"])
+        ask, most = _once(np.flatnonzero(one & d["anchor"]), run, d["text_id"])
         if not len(rest) or not len(ask):
             continue
-        # Runs of equal prefixes, numbered; within one, suffixes are sorted by place.
-        start = np.r_[True, (key[1:] != key[:-1]) | (width[1:] != width[:-1])]
-        run = (np.cumsum(start) - 1).astype(np.int64) << 32
-        there = run[rest] + d["place"][rest]
-        size = d["size"][ask]
-        slack = size // SHARE
-        lo = np.searchsorted(there, run[ask] + np.maximum(0, d["place"][ask] - slack), "left")
-        hi = np.searchsorted(there, run[ask] + d["place"][ask] + slack, "right")
-        many = hi - lo
-        bound = np.cumsum(many)
+        many = d["many"].copy()
+        many[rest] |= more
+        many[ask] |= most
+        where = run + np.where(many, np.int64(1 << 31), d["place"])
+        rest = rest[np.argsort(where[rest], kind="stable")]
+        there = where[rest]
+        # Without bars on both sides the places differ by the edits at most; with bars anywhere is near.
+        plain = ask[~many[ask]]
+        slack = d["size"][plain] // SHARE
+        asks = np.r_[plain, plain, ask[many[ask]]]
+        low = np.r_[run[plain] + np.maximum(0, d["place"][plain] - slack), run[plain] + (1 << 31), run[ask[many[ask]]]]
+        high = np.r_[run[plain] + d["place"][plain] + slack, run[plain] + (1 << 31), run[ask[many[ask]]] + (1 << 31)]
+        lo, hi = np.searchsorted(there, low, "left"), np.searchsorted(there, high, "right")
+        times = hi - lo
+        bound = np.cumsum(times)
         at = 0
-        while at < len(ask):
+        while at < len(asks):
             base = bound[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(bound, base + CHUNK, "right")))
-            n = many[at:to]
+            n = times[at:to]
             total = int(n.sum())
             if total:
-                q = np.repeat(ask[at:to], n)
+                q = np.repeat(asks[at:to], n)
                 m = rest[np.repeat(lo[at:to] - (np.cumsum(n) - n), n) + np.arange(total)]
                 # The longer text asks, on equal lengths the evaluation one; its length tells the edits.
-                short = d["size"][m]
-                own = d["size"][q]
+                short, own = d["size"][m], d["size"][q]
                 ok = (short <= own if evals else short < own) & (own - short <= own // SHARE)
                 q, m = q[ok], m[ok]
-                own = d["size"][q]
                 off = np.bitwise_count(d["bits_a"][q] ^ d["bits_a"][m]).astype(np.int32) + np.bitwise_count(d["bits_b"][q] ^ d["bits_b"][m])
-                ok = off <= 2 * (own // SHARE)
+                ok = off <= 2 * (d["size"][q] // SHARE)
                 q, m = q[ok], m[ok]
                 t, e = (m, q) if evals else (q, m)
-                found.append(pd.DataFrame({"train_text": d["text_id"][t], "eval_text": d["text_id"][e], "place": d["place"][t], "other": d["place"][e]}))
+                found.append(pd.DataFrame({"train_text": d["text_id"][t], "eval_text": d["text_id"][e]}).drop_duplicates())
             at = to
     if not found:
-        return pd.DataFrame({"train_text": [], "eval_text": [], "place": [], "other": []}, dtype="int64")
+        return pd.DataFrame({"train_text": [], "eval_text": []}, dtype="int64")
     return pd.concat(found, ignore_index=True).drop_duplicates()
 
 
-def covered_by(a: str, b: str, places: list[int]) -> int:
-    """Characters of ``a`` in passages common with ``b``; places: of both, as place << 32 | other."""
-    on, reached = bytearray(len(a)), {}
-    for p in sorted(places):
-        i, j = p >> 32, p & 0xFFFFFFFF
-        if i < reached.get(i - j, -1):
-            continue
-        low, high = i, i
-        while low and low > i - j and a[low - 1] == b[low - 1 - i + j]:
-            low -= 1
-        while high < len(a) and high - i + j < len(b) and a[high] == b[high - i + j]:
-            high += 1
-        on[low:high] = b"\1" * (high - low)
-        reached[i - j] = high
+# ---- distance and coverage -----------------------------------------------------------------
+
+
+def edits(a: str, b: str, most: int) -> int:
+    """Edit distance, ``most`` + 1 if it is more; one big number holds a column of the table."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    if not a or not b:
+        return max(len(a), len(b))
+    seen: dict[str, int] = {}
+    for i, c in enumerate(a):
+        seen[c] = seen.get(c, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for k, c in enumerate(b):
+        same = seen.get(c, 0)
+        flat = (((same & up) + up) ^ up) | same | down
+        rise, fall = down | ~(flat | up) & full, up & flat
+        score += bool(rise & last) - bool(fall & last)
+        if score - (len(b) - k - 1) > most:
+            return most + 1
+        rise = rise << 1 | 1
+        up, down = (fall << 1 | ~(flat | rise)) & full, rise & flat & full
+    return score
+
+
+def _assigned(a: list[str], b: list[str], most: int) -> int:
+    """Equal parts cancel out; the rest meets by the cheapest pairs first, left-over parts are dropped or added with their bars."""
+    left, right = list(a), []
+    for p in b:
+        if p in left:
+            left.remove(p)
+        else:
+            right.append(p)
+    cost = sorted((edits(p, q, most), i, j) for i, p in enumerate(left) for j, q in enumerate(right) if abs(len(p) - len(q)) <= most)
+    used_i: set[int] = set()
+    used_j: set[int] = set()
+    total = 0
+    for c, i, j in cost:
+        if i not in used_i and j not in used_j and c <= most:
+            used_i.add(i)
+            used_j.add(j)
+            total += c
+    total += sum(len(p) + 1 for i, p in enumerate(left) if i not in used_i) + sum(len(p) + 1 for j, p in enumerate(right) if j not in used_j)
+    return min(total, most + 1)
+
+
+def near(a: str, b: str) -> bool:
+    """Whether the distance is at most a fifth of the longer text."""
+    most = max(len(a), len(b)) // SHARE
+    if abs(len(a) - len(b)) > most:
+        return False
+    if edits(a, b, most) <= most:
+        return True
+    if "|" not in a and "|" not in b:
+        return False
+    p, q = a.split("|"), b.split("|")
+    if _assigned(p, q, most) <= most:
+        return True
+    if max(len(p), len(q)) > ORDERED:
+        return False
+    return any(edits("|".join(x), "|".join(y), most) <= most for x in permutations(p) for y in permutations(q))
+
+
+def covered_by(a: str, b: str) -> int:
+    """Characters of ``a`` in passages of at least WIDTH characters common with ``b``."""
+    if a == b:
+        return len(a)
+    grams = {b[j : j + WIDTH] for j in range(len(b) - WIDTH + 1)}
+    on = bytearray(len(a))
+    for i in range(len(a) - WIDTH + 1):
+        if a[i : i + WIDTH] in grams:
+            on[i : i + WIDTH] = b"\1" * WIDTH
     return sum(on)
 
 
 @F.pandas_udf(T.LongType())
-def _covered(a: pd.Series, b: pd.Series, places: pd.Series) -> pd.Series:
-    return pd.Series([covered_by(x, y, p.tolist()) for x, y, p in zip(a, b, places)], dtype="int64")
+def _confirmed(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Characters covered, null if the texts are too far apart."""
+    return pd.Series([covered_by(x, y) if near(x, y) else None for x, y in zip(a, b)], dtype="Int64")
 
 
-def _text_ids(canon: DataFrame, evals: bool) -> DataFrame:
-    return canon.groupBy("canon").agg(F.min("row_id").alias("text_id"), F.count(F.lit(1)).alias("copies")).withColumn("evals", F.lit(evals))
+def _texts(canon: DataFrame) -> DataFrame:
+    return canon.groupBy("canon").agg(F.min("row_id").alias("text_id")).select("text_id", "canon")
 
 
 def overlaps(train: DataFrame, evals: DataFrame) -> DataFrame:
     """``train_row_id, eval_row_id, covered``: all overlapping pairs of two canonical tables.
 
-    ``covered``: characters of the training text inside the full common passages
-    through places where the suffix arrays met; equal texts are covered in full.
+    ``covered``: characters of the training text inside the common passages.
     """
-    texts_t, texts_e = cut(_text_ids(train, False)), cut(_text_ids(evals, True))
-    same = texts_t.select("canon", F.col("text_id").alias("train_text")).join(texts_e.select("canon", F.col("text_id").alias("eval_text")), "canon")
-    same = same.select("train_text", "eval_text", F.length("canon").cast("long").alias("covered"))
-    both = texts_t.unionByName(texts_e)
-    placed = both.select("text_id", "canon", "evals").mapInPandas(_placed(_boundaries(both)), _SUFFIX + ", part long")
-    spans = placed.groupBy("part").applyInPandas(_array, "train_text long, eval_text long, place long, other long")
-    places = F.collect_set(F.shiftleft("place", 32).bitwiseOR(F.col("other")))
-    merged = spans.groupBy("train_text", "eval_text").agg(places.alias("places"))
-    near = (
-        merged.join(texts_t.select(F.col("text_id").alias("train_text"), F.col("canon").alias("a")), "train_text")
-        .join(texts_e.select(F.col("text_id").alias("eval_text"), F.col("canon").alias("b")), "eval_text")
-        .where("a <> b")
-        .where(f"levenshtein(a, b, cast(greatest(length(a), length(b)) div {SHARE} as int)) >= 0")
-        .select("train_text", "eval_text", _covered("a", "b", "places").alias("covered"))
-    )
-    pairs = same.unionByName(near)
-    rows_t = train.join(texts_t.select("canon", F.col("text_id").alias("train_text")), "canon").select("train_text", F.col("row_id").alias("train_row_id"))
-    rows_e = evals.join(texts_e.select("canon", F.col("text_id").alias("eval_text")), "canon").select("eval_text", F.col("row_id").alias("eval_row_id"))
-    return pairs.join(rows_e, "eval_text").join(rows_t, "train_text").select("train_row_id", "eval_row_id", "covered")
+    texts_t, texts_e = cut(_texts(train)), cut(_texts(evals))
+    plan = Plan(texts_t, texts_e)
+    rare = _bitmap(texts_e, plan)
+    sides = [t.select("text_id", "canon").mapInArrow(_placed(plan, e, o), _ENTRY) for t, e, o in ((texts_t, False, rare), (texts_e, True, None))]
+    pairs = sides[0].unionByName(sides[1]).groupBy("part").applyInPandas(_array, "train_text long, eval_text long")
+    named_t, named_e = texts_t.select(F.col("text_id").alias("train_text"), F.col("canon").alias("a")), texts_e.select(F.col("text_id").alias("eval_text"), F.col("canon").alias("b"))
+    met = cut(pairs.distinct()).join(named_e, "eval_text").join(named_t, "train_text")
+    close = met.withColumn("covered", _confirmed("a", "b")).where("covered is not null").select("a", "b", "covered")
+    # Texts too short for an edit have no pieces.
+    small = f"length(canon) < {SHARE}"
+    same = texts_t.where(small).join(texts_e.where(small), "canon").select(F.col("canon").alias("a"), F.col("canon").alias("b"), F.length("canon").cast("long").alias("covered"))
+    found = cut(close.unionByName(same))
+    rows_t, rows_e = train.select(F.col("row_id").alias("train_row_id"), F.col("canon").alias("a")), evals.select(F.col("row_id").alias("eval_row_id"), F.col("canon").alias("b"))
+    return found.join(rows_e, "b").join(rows_t, "a").select("train_row_id", "eval_row_id", "covered")
 
 
 def report(pairs: DataFrame, evals: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def _evals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    train = cut(overlap.canonical(spread(table(spark, folder, "train").select("row_id", "text"))))
+    train = cut(overlap.canonical(spread(table(spark, folder, "train").select("row_id", "text"), 1)))
     return overlap.overlaps(train, cut(overlap.canonical(_evals(spark, folder))))
 
 
@@ -62,12 +62,12 @@ def p4_nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    records = cut(copies.canonical(spread(table(spark, folder, "train").select("row_id", "text"))))
+    records = cut(copies.canonical(spread(table(spark, folder, "train").select("row_id", "text"), 1)))
     return copies.members(records, copies.collapse(records))
 
 
 def p5_collapsed(spark: SparkSession, folder: str) -> DataFrame:
-    records = copies.canonical(spread(table(spark, folder, "train").select("row_id", "text")))
+    records = copies.canonical(spread(table(spark, folder, "train").select("row_id", "text"), 1))
     return copies.collapse(records).select("first_row_id", "leaves", "copies")
 
 
@@ -85,11 +85,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_forms(spark: SparkSession, folder: str) -> DataFrame:
-    return forms.forms(spread(table(spark, folder, "train").select("row_id", "text"))).select("row_id", "form")
+    return forms.forms(spread(table(spark, folder, "train").select("row_id", "text"), 1)).select("row_id", "form")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return forms.lookalikes(cut(forms.forms(spread(table(spark, folder, "train").select("row_id", "text")))))
+    return forms.lookalikes(cut(forms.forms(spread(table(spark, folder, "train").select("row_id", "text"), 1))))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
