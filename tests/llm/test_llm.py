@@ -258,7 +258,10 @@ def test_similar_with_falling_spectrum(spark):
 # ---- terms (6) ---------------------------------------------------------------------------
 
 
-def test_terms(spark):
+@pytest.mark.parametrize("batch", [1_000_000, 300])
+def test_terms(spark, monkeypatch, batch):
+    monkeypatch.setattr(terms, "BATCH_TOKENS", batch)
+    monkeypatch.setattr(terms, "ROW_PAIRS", 7)
     rng = random.Random(2)
     rows = [(i, [rng.choice(["a", "b", "c", "A", "", " ", None, "x" * 5000]) for _ in range(rng.randint(0, 9))] + ["hot"]) for i in range(400)]
     rows += [(500, None), (501, []), (502, ["once"]), (0, ["hot", "again"])]
