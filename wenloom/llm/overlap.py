@@ -7,21 +7,23 @@ bars included. Parts are tried in every order where both texts have at most
 ORDERED of them; beyond that, in sorted order and by the cheapest assignment of
 parts to parts, so that equal parts always meet.
 
-With d edits allowed, d + 1 disjoint pieces of the longer text, none over a bar,
-leave one piece that occurs unchanged in the shorter text.
-
-1. Every distinct text of either side gives its suffixes inside the parts. Of
-   its pieces of equal width (at most WIDTH) the d + 1 rarest are anchors, by
-   counts of a bounded sample; which are taken changes the work only.
-2. A suffix of one side is dropped if no anchor of the other side starts with the
-   same characters, told by a bitmap of BITS bits, which errs only by keeping.
+The side with more characters asks, the other offers. An asking text of n
+characters has partners of at most 5n / 4, so at most n / 4 edits; with d of them
+d + 1 disjoint pieces of it, none over a bar, leave one that occurs unchanged in
+the partner.
+
+1. Every distinct offering text gives its suffixes inside the parts. Of an asking
+   text's pieces of equal width (at most WIDTH) the rarest are anchors, by counts
+   of a bounded sample; which are taken changes the work only.
+2. An anchor is dropped if no offered suffix starts with its characters, told by
+   a bitmap of BITS bits, which errs only by keeping.
 3. The rest is range-partitioned by first characters; boundaries come from the
-   same sample. A prefix that holds more than a partition's share is split by
-   record, and the evaluation side's suffixes of it go to each of its partitions.
+   same sample. A prefix that holds more than a partition's share is split by the
+   asking records, and the offered suffixes of it go to each of its partitions.
 4. Each partition sorts its suffixes and takes the common prefixes of
-   neighbours. Around an anchor the suffixes of the other split whose common
-   prefix is at least the anchor's width form an interval. Pairs whose lengths,
-   places or letter sets differ by more than the edits allow are dropped.
+   neighbours. The offered suffixes around an anchor whose common prefix is at
+   least a piece form an interval. Pairs whose lengths, places or letter sets
+   differ by more than the edits allow are dropped.
 5. The pairs are confirmed by the distance; their common passages of at least
    WIDTH characters are merged to the characters covered.
 
@@ -30,7 +32,7 @@ piece has. Every pair within the distance is found.
 
 Defined cases: null and blank texts and texts without a letter or digit match
 nothing; equal texts are one distinct text and each of their rows comes out;
-texts under five characters only match if they are equal; an empty table on
+texts under four characters only match if they are equal; an empty table on
 either side gives an empty result; the length of a text is not bounded.
 """
 
@@ -76,11 +78,11 @@ def canonical(df: DataFrame, row_id: str = "row_id", text: str = "text") -> Data
 
 @lru_cache(maxsize=65_536)
 def pieces(sizes: tuple[int, ...]) -> tuple[int, tuple[int, ...]]:
-    """Width and places of disjoint pieces of a text with parts of these sizes; at least one more than its edits."""
+    """Width and places of disjoint pieces of a text with parts of these sizes; at least one more than any partner's edits."""
     n = sum(sizes) + len(sizes) - 1
-    need = n // SHARE + 1
+    need = n // (SHARE - 1) + 1
     width = next((w for w in range(WIDTH, 0, -1) if sum(s // w for s in sizes) >= need), 0)
-    if n < SHARE or not width:
+    if n < SHARE - 1 or not width:
         return 0, ()
     out, at = [], 0
     for s in sizes:
@@ -115,11 +117,8 @@ class Suffixes:
         self.place = at - after
         bars = np.bincount(self.text, weights=code == _BAR, minlength=len(texts))
         self.many = bars > 0
-        h = ((code.astype(np.uint64) * _MIX) >> np.uint64(40)) % np.uint64(126)
-        bit = np.uint64(1) << (h % np.uint64(63))
-        real = code != 0
-        low_bits, high_bits = np.where((h < 63) & real, bit, 0).astype(np.uint64), np.where((h >= 63) & real, bit, 0).astype(np.uint64)
-        self.bits = [np.bitwise_or.reduceat(b, self.start) if len(texts) else np.zeros(0, np.uint64) for b in (low_bits, high_bits)]
+        bit = np.where(code != 0, np.uint64(1) << ((code.astype(np.uint64) * _MIX) >> np.uint64(40)) % np.uint64(63), np.uint64(0))
+        self.bits = np.bitwise_or.reduceat(bit, self.start)
         self.width = np.zeros(len(texts), np.int64)
         anchors: list[int] = []
         for k, (t, a) in enumerate(zip(texts, self.start.tolist())):
@@ -133,22 +132,21 @@ class Suffixes:
         key = self.head[at] & keep
         return (key | (np.uint64(width) << np.uint64(16 * (4 - width - 1)))) >> np.uint64(16) if width < WIDTH else key >> np.uint64(16)
 
-    def anchors(self, count: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place, key and width of the rarest pieces of each text, one more than its edits."""
+    def anchors(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place, key, width and rank (rarest first) of as many pieces of each text as a partner may need."""
         at = self.pieces
         width = self.width[self.text[at]]
         key = np.zeros(len(at), np.uint64)
         for w in range(1, WIDTH + 1):
             own = width == w
             key[own] = self.keyed(at[own], w)
-        often = count[_slot(key, len(count))] if count is not None else np.zeros(len(at), np.int64)
-        order = np.lexsort((often, self.text[at]))
+        order = np.lexsort((count[_slot(key, len(count))], self.text[at]))
         at, key, width = at[order], key[order], width[order]
         text = self.text[at]
         first = np.r_[True, text[1:] != text[:-1]] if len(at) else np.zeros(0, bool)
         rank = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        ok = rank <= self.size[text] // SHARE
-        return at[ok], key[ok], width[ok]
+        ok = rank <= self.size[text] // (SHARE - 1)
+        return at[ok], key[ok], width[ok], rank[ok]
 
     def offered(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place, key and width of the suffixes that pieces of these widths may meet."""
@@ -179,12 +177,12 @@ def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(sorted(set(sizes)), columns=["size", "width"])
 
 
-def asked_widths(texts: DataFrame) -> np.ndarray:
-    """By size of a text and width: whether a longer text may ask for such suffixes. At most LONG by WIDTH rows reach the driver."""
+def asked_widths(asking: DataFrame) -> np.ndarray:
+    """By size of an offering text and width: whether a text may ask for such suffixes. At most LONG by WIDTH rows reach the driver."""
     out = np.zeros((LONG + 1, WIDTH + 1), bool)
-    for size, width in texts.select("canon").mapInPandas(_asked, "size int, width int").distinct().collect():
-        # The partner has at least four fifths of the length; all longer texts count as LONG.
-        out[max(0, size - size // SHARE) : size + 1, width] = True
+    for size, width in asking.select("canon").mapInPandas(_asked, "size int, width int").distinct().collect():
+        # A partner has 4/5 to 5/4 of the length; all longer texts count as LONG.
+        out[size - size // SHARE : size * SHARE // (SHARE - 1) + 1, width] = True
     return out
 
 
@@ -199,53 +197,45 @@ class Plan:
 
     SLOTS = 1 << 18
 
-    def __init__(self, train: DataFrame, evals: DataFrame):
-        sides = [(t, *t.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("canon")), F.lit(0))).first()) for t in (train, evals)]
-        self.asked = asked_widths(train) | asked_widths(evals)
+    def __init__(self, asking: DataFrame, offering: DataFrame):
+        self.asked = asked_widths(asking)
         self.count = np.zeros(self.SLOTS, np.int64)
-        kept, total, chars = [], [], 0
-        for t, n, length in sides:
-            texts = _sampled(t, n)
-            if texts:
-                own = Suffixes(texts)
-                _, key, _ = own.offered(self.asked)
-                scale = max(1, n // len(texts))
+        keys, weights = [], []
+        for texts, asks in ((offering, False), (asking, True)):
+            n = texts.count()
+            sample = _sampled(texts, n)
+            if sample:
+                own, scale = Suffixes(sample), max(1, n // len(sample))
+                key = own.offered(self.asked)[1]
                 np.add.at(self.count, _slot(key, self.SLOTS), scale)
-                kept.append(key)
-                total.append(np.full(len(key), scale))
-                chars += length
+                keys.append(own.anchors(self.count)[1] if asks else key)
+                weights.append(np.full(len(keys[-1]), scale))
         self.bounds = np.zeros(0, np.uint64)
-        want = max(-(-chars // PARTITION_SUFFIXES), min(chars // 100_000, train.sparkSession.sparkContext.defaultParallelism * 2))
-        if kept and want > 1:
-            key, weight = np.concatenate(kept), np.concatenate(total)
+        if keys:
+            key, weight = np.concatenate(keys), np.concatenate(weights)
+            total = int(weight.sum())
+            want = max(-(-total // PARTITION_SUFFIXES), min(total // 100_000, asking.sparkSession.sparkContext.defaultParallelism * 2))
             order = np.argsort(key)
             share = np.cumsum(weight[order])
-            self.bounds = key[order][np.searchsorted(share, share[-1] * np.arange(1, want) / want)]
+            self.bounds = key[order][np.searchsorted(share, total * np.arange(1, want) / want)]
 
 
-def _bitmap(rows: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of the keys of a side's anchors and of its suffixes; at most BITS / 32 rows reach the driver."""
+def _bitmap(offering: DataFrame, plan: Plan) -> np.ndarray:
+    """Bits of the keys of all offered suffixes; at most BITS / 64 rows reach the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            own = Suffixes(b["canon"].tolist())
-            out = []
-            for kind, key in ((0, own.anchors(plan.count)[1]), (1, own.offered(plan.asked)[1])):
-                slot = np.unique(_slot(key, BITS).astype(np.int64))
+            slot = np.unique(_slot(Suffixes(b["canon"].tolist()).offered(plan.asked)[1], BITS).astype(np.int64)) if len(b) else []
+            if len(slot):
                 word = slot >> 6
-                first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(slot) else np.zeros(0, np.int64)
+                first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
                 bit = np.uint64(1) << (slot & 63).astype(np.uint64)
-                if len(first):
-                    out.append(pd.DataFrame({"kind": np.int32(kind), "word": word[first], "bit": np.bitwise_or.reduceat(bit, first).view(np.int64)}))
-            if out:
-                yield pd.concat(out)
+                yield pd.DataFrame({"word": word[first], "bit": np.bitwise_or.reduceat(bit, first).view(np.int64)})
 
-    words = rows.select("canon").mapInPandas(run, "kind int, word long, bit long").groupBy("kind", "word").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros((2, BITS // 64), np.uint64)
-    out[words["kind"].to_numpy(), words["word"].to_numpy()] = words["bit"].to_numpy().view(np.uint64)
-    return out[0], out[1]
+    words = offering.select("canon").mapInPandas(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(BITS // 64, np.uint64)
+    out[words["word"].to_numpy()] = words["bit"].to_numpy().view(np.uint64)
+    return out
 
 
 def _has(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -255,11 +245,12 @@ def _has(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 # ---- suffixes in their partitions ------------------------------------------------------
 
-_ENTRY = "part int, head long, tail long, text_id long, place int, size int, many boolean, anchor boolean, evals boolean, bits_a long, bits_b long"
+#: ``place``: inside the part; ``about``: size << 32 | rank << 2 | many parts << 1 | asks.
+_ENTRY = "part int, head long, tail long, text_id long, place int, about long, bits long"
 
 
-def _placed(plan: Plan, evals: bool, other: tuple[np.ndarray, np.ndarray] | None):
-    """Suffixes with their partition; a key that is several boundaries holds several shares, which its records split."""
+def _placed(plan: Plan, known: np.ndarray | None):
+    """Suffixes with their partition: anchors if ``known`` is the bitmap of what is offered, else what is offered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,26 +258,28 @@ def _placed(plan: Plan, evals: bool, other: tuple[np.ndarray, np.ndarray] | None
                 continue
             s = Suffixes(b.column(1).to_pylist())
             ids = b.column(0).to_numpy()
-            asks, offers = s.anchors(plan.count), s.offered(plan.asked)
-            at, key, width = (np.concatenate(v) for v in zip(asks, offers))
-            anchor = np.arange(len(at)) < len(asks[0])
-            if other is not None:
-                ok = np.where(anchor, _has(other[1], key), _has(other[0], key))
-                at, key, width, anchor = at[ok], key[ok], width[ok], anchor[ok]
+            if known is not None:
+                found = s.anchors(plan.count)
+                ok = _has(known, found[1])
+                at, key, width, rank = (x[ok] for x in found)
+            else:
+                at, key, width = s.offered(plan.asked)
+                rank = np.zeros(len(at), np.int64)
+            # A key that is several boundaries holds several shares: its anchors are split by record, its offers copied.
             lo, hi = np.searchsorted(plan.bounds, key, "left"), np.searchsorted(plan.bounds, key, "right")
             # A key equal to a boundary starts at its first partition; with one boundary it fills only part of two.
-            hi = np.where(hi - lo > 1, hi, lo)
-            reach = hi - lo + 1
+            reach = np.where(hi - lo > 1, hi - lo, 0) + 1
             text = s.text[at]
-            part = lo + ((ids[text].astype(np.int64).view(np.uint64) * _MIX >> np.uint64(33)) % reach.astype(np.uint64)).astype(np.int64)
-            if evals and (reach > 1).any():
+            if known is not None:
+                part = lo + ((ids[text].astype(np.int64).view(np.uint64) * _MIX >> np.uint64(33)) % reach.astype(np.uint64)).astype(np.int64)
+            else:
                 who = np.repeat(np.arange(len(at)), reach)
-                step = np.arange(len(who)) - np.repeat(np.cumsum(reach) - reach, reach)
-                at, key, width, anchor, text, part = at[who], key[who], width[who], anchor[who], text[who], lo[who] + step
+                part = lo[who] + np.arange(len(who)) - np.repeat(np.cumsum(reach) - reach, reach)
+                at, key, width, rank, text = at[who], key[who], width[who], rank[who], text[who]
             whole = width == WIDTH
             head = np.where(whole, s.head[at], key << np.uint64(16))
-            columns = [part.astype(np.int32), head.view(np.int64), np.where(whole, s.tail[at], 0).view(np.int64), ids[text], s.place[at].astype(np.int32), s.size[text].astype(np.int32)]
-            columns += [s.many[text], anchor, np.full(len(at), evals), s.bits[0][text].view(np.int64), s.bits[1][text].view(np.int64)]
+            about = s.size[text] << 32 | rank << 2 | s.many[text].astype(np.int64) << 1 | (known is not None)
+            columns = [part.astype(np.int32), head.view(np.int64), np.where(whole, s.tail[at], np.uint64(0)).view(np.int64), ids[text], s.place[at].astype(np.int32), about, s.bits[text].view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in _ENTRY.split(", ")])
 
     return run
@@ -318,49 +311,40 @@ def _array(b: pd.DataFrame) -> pd.DataFrame:
     head, tail = d["head"].view(np.uint64), d["tail"].view(np.uint64)
     # Intervals of the suffix array: neighbours with a common prefix as long as a piece.
     run = (np.cumsum(common_prefix(head, tail) < WIDTH) - 1).astype(np.int64) << 32
-    found = []
-    for evals in (True, False):
-        one = d["evals"] == evals
-        rest, more = _once(np.flatnonzero(~one & ~d["anchor"]), run, d["text_id"])
-        ask, most = _once(np.flatnonzero(one & d["anchor"]), run, d["text_id"])
-        if not len(rest) or not len(ask):
-            continue
-        many = d["many"].copy()
-        many[rest] |= more
-        many[ask] |= most
-        where = run + np.where(many, np.int64(1 << 31), d["place"])
-        rest = rest[np.argsort(where[rest], kind="stable")]
-        there = where[rest]
-        # Without bars on both sides the places differ by the edits at most; with bars anywhere is near.
-        plain = ask[~many[ask]]
-        slack = d["size"][plain] // SHARE
-        asks = np.r_[plain, plain, ask[many[ask]]]
-        low = np.r_[run[plain] + np.maximum(0, d["place"][plain] - slack), run[plain] + (1 << 31), run[ask[many[ask]]]]
-        high = np.r_[run[plain] + d["place"][plain] + slack, run[plain] + (1 << 31), run[ask[many[ask]]] + (1 << 31)]
-        lo, hi = np.searchsorted(there, low, "left"), np.searchsorted(there, high, "right")
-        times = hi - lo
-        bound = np.cumsum(times)
-        at = 0
-        while at < len(asks):
-            base = bound[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(bound, base + CHUNK, "right")))
-            n = times[at:to]
-            total = int(n.sum())
-            if total:
-                q = np.repeat(asks[at:to], n)
-                m = rest[np.repeat(lo[at:to] - (np.cumsum(n) - n), n) + np.arange(total)]
-                # The longer text asks, on equal lengths the evaluation one; its length tells the edits.
-                short, own = d["size"][m], d["size"][q]
-                ok = (short <= own if evals else short < own) & (own - short <= own // SHARE)
-                q, m = q[ok], m[ok]
-                off = np.bitwise_count(d["bits_a"][q] ^ d["bits_a"][m]).astype(np.int32) + np.bitwise_count(d["bits_b"][q] ^ d["bits_b"][m])
-                ok = off <= 2 * (d["size"][q] // SHARE)
-                q, m = q[ok], m[ok]
-                t, e = (m, q) if evals else (q, m)
-                found.append(pd.DataFrame({"train_text": d["text_id"][t], "eval_text": d["text_id"][e]}).drop_duplicates())
-            at = to
+    asks_ = (d["about"] & 1).astype(bool)
+    size, rank, place = d["about"] >> 32, (d["about"] & 0xFFFFFFFF) >> 2, d["place"].astype(np.int64)
+    many = (d["about"] & 2).astype(bool)
+    rest, more = _once(np.flatnonzero(~asks_), run, d["text_id"])
+    many[rest] |= more
+    where = run + np.where(many, np.int64(1 << 31), place)
+    rest = rest[np.argsort(where[rest], kind="stable")]
+    there = where[rest]
+    # Without bars on both sides the places differ by the edits at most; with bars anywhere is near.
+    ask = np.flatnonzero(asks_)
+    plain, free = ask[~many[ask]], ask[many[ask]]
+    slack = size[plain] // (SHARE - 1)
+    asks = np.r_[plain, plain, free]
+    low = np.r_[run[plain] + np.maximum(0, place[plain] - slack), run[plain] + (1 << 31), run[free]]
+    high = np.r_[run[plain] + place[plain] + slack, run[plain] + (1 << 31), run[free] + (1 << 31)]
+    lo, hi = np.searchsorted(there, low, "left"), np.searchsorted(there, high, "right")
+    times = hi - lo
+    bound = np.cumsum(times)
+    found, at = [], 0
+    while at < len(asks):
+        base = bound[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(bound, base + CHUNK, "right")))
+        n = times[at:to]
+        total = int(n.sum())
+        if total:
+            q = np.repeat(asks[at:to], n)
+            m = rest[np.repeat(lo[at:to] - (np.cumsum(n) - n), n) + np.arange(total)]
+            edits = np.maximum(size[q], size[m]) // SHARE
+            # The rarest pieces, one more than the edits, are enough.
+            ok = (np.abs(size[q] - size[m]) <= edits) & (rank[q] <= edits) & (np.bitwise_count(d["bits"][q] ^ d["bits"][m]) <= 2 * edits)
+            found.append(pd.DataFrame({"ask": d["text_id"][q[ok]], "offer": d["text_id"][m[ok]]}).drop_duplicates())
+        at = to
     if not found:
-        return pd.DataFrame({"train_text": [], "eval_text": []}, dtype="int64")
+        return pd.DataFrame({"ask": [], "offer": []}, dtype="int64")
     return pd.concat(found, ignore_index=True).drop_duplicates()
 
 
@@ -456,15 +440,17 @@ def overlaps(train: DataFrame, evals: DataFrame) -> DataFrame:
     ``covered``: characters of the training text inside the common passages.
     """
     texts_t, texts_e = cut(_texts(train)), cut(_texts(evals))
-    plan = Plan(texts_t, texts_e)
-    rare = _bitmap(texts_e, plan)
-    sides = [t.select("text_id", "canon").mapInArrow(_placed(plan, e, o), _ENTRY) for t, e, o in ((texts_t, False, rare), (texts_e, True, None))]
-    pairs = sides[0].unionByName(sides[1]).groupBy("part").applyInPandas(_array, "train_text long, eval_text long")
-    named_t, named_e = texts_t.select(F.col("text_id").alias("train_text"), F.col("canon").alias("a")), texts_e.select(F.col("text_id").alias("eval_text"), F.col("canon").alias("b"))
-    met = cut(pairs.distinct()).join(named_e, "eval_text").join(named_t, "train_text")
+    chars = [t.agg(F.sum(F.length("canon"))).first()[0] or 0 for t in (texts_t, texts_e)]
+    asking, offering, names = (texts_t, texts_e, ("t", "e")) if chars[0] >= chars[1] else (texts_e, texts_t, ("e", "t"))
+    plan = Plan(asking, offering)
+    anchors = asking.select("text_id", "canon").mapInArrow(_placed(plan, _bitmap(offering, plan)), _ENTRY)
+    offers = offering.select("text_id", "canon").mapInArrow(_placed(plan, None), _ENTRY)
+    pairs = anchors.unionByName(offers).groupBy("part").applyInPandas(_array, "ask long, offer long").select(F.col("ask").alias(names[0]), F.col("offer").alias(names[1]))
+    named_t, named_e = texts_t.select(F.col("text_id").alias("t"), F.col("canon").alias("a")), texts_e.select(F.col("text_id").alias("e"), F.col("canon").alias("b"))
+    met = cut(pairs.distinct()).join(named_e, "e").join(named_t, "t")
     close = met.withColumn("covered", _confirmed("a", "b")).where("covered is not null").select("a", "b", "covered")
     # Texts too short for an edit have no pieces.
-    small = f"length(canon) < {SHARE}"
+    small = f"length(canon) < {SHARE - 1}"
     same = texts_t.where(small).join(texts_e.where(small), "canon").select(F.col("canon").alias("a"), F.col("canon").alias("b"), F.length("canon").cast("long").alias("covered"))
     found = cut(close.unionByName(same))
     rows_t, rows_e = train.select(F.col("row_id").alias("train_row_id"), F.col("canon").alias("a")), evals.select(F.col("row_id").alias("eval_row_id"), F.col("canon").alias("b"))
