@@ -255,6 +255,53 @@ def test_similar_with_falling_spectrum(spark):
     assert sure and sure <= got <= may
 
 
+def shapes(n=2_000):
+    """Vectors without and with strong directions, in clusters, and most of them nearly equal."""
+    rng = np.random.default_rng(11)
+    noise = rng.normal(size=(n, 100))
+    strong = np.r_[np.ones(2), np.full(98, 0.1)]
+    centers = rng.normal(size=(20, 100)) * 2
+    hot = noise * np.where(rng.random((n, 1)) < 0.9, 0.05, 1) + np.r_[3, np.zeros(99)]
+    return {"isotropic": noise, "low rank": noise * strong, "clusters": centers[rng.integers(0, 20, n)] + noise, "hot cell": hot}
+
+
+@pytest.mark.parametrize("shape", ["isotropic", "low rank", "clusters", "hot cell"])
+def test_recall_of_similar_vectors(spark, monkeypatch, shape):
+    for name, rows in (("PART_ROWS", 400), ("MEMBER_ROWS", 700), ("QUERY_ROWS", 300), ("PAIRS", 5_000)):
+        monkeypatch.setattr(similar, name, rows)
+    x = similar._unit(shapes()[shape])
+    x[1::20] = similar._unit(x[::20] + np.random.default_rng(1).normal(size=(100, 100)) * 0.04)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, v array<float>")
+    vectors = similar.prepared(df, "f", "row_id", "v")
+    c = x.astype(np.float64) @ x.T.astype(np.float64)
+    sure, may = (np.triu(c >= 0.95 + e, 1) for e in (1e-5, -1e-5))
+    for exact in (True, False):
+        got = np.zeros(c.shape, bool)
+        found = similar.alike(vectors, 0.95, 300, exact).toPandas()
+        got[found["low_row_id"], found["high_row_id"]] = True
+        assert len(found) == got.sum() and not (got & ~may).any() and sure.any()
+        assert not (sure & ~got).any() if exact else (sure & got).sum() >= 0.999 * sure.sum()
+    np.fill_diagonal(c, -2)
+    tenth = -np.sort(-c, axis=1)[:, 9]
+    for exact, least in ((True, 1.0), (False, 0.99)):
+        near = similar.nearest(vectors, 10, None, 300, exact).toPandas()
+        assert len(near) == 10 * len(x)
+        assert np.mean(c[near["row_id"], near["other_row_id"]] >= tenth[near["row_id"]] - 1e-5) >= least
+
+
+def test_bits_that_may_differ():
+    rng = np.random.default_rng(3)
+    x = similar._unit(rng.normal(size=(20_000, 100)))
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    y = similar._unit(0.9 * x + np.sqrt(1 - 0.81) * away / np.linalg.norm(away, axis=1, keepdims=True))
+    off = np.bitwise_count(similar.encode(x)[0] ^ similar.encode(y)[0]).sum(axis=1)
+    assert off.max() <= similar.most_bits(0.9) < 64 and similar.most_bits(1.0) == 0 and similar.most_bits(-1.0) == 128
+    guess = similar.Estimate(x[:500])
+    wrong = np.abs(guess.of(y[:500]) - y[:500] @ x[:500].T)
+    assert np.mean(wrong <= guess.off) > 0.9
+
+
 # ---- terms (6) ---------------------------------------------------------------------------
 
 

@@ -5,23 +5,32 @@ out. Vectors are scaled to length one and turned by a fixed random rotation of
 WIDE dimensions; the signs are the code, packed into WIDE bits, and the inner
 product of a vector with its own code is its correction scalar f.
 
-For a query q and a coded vector o, <code, q> / f estimates <o, q>; its error is
-sqrt(1 - <o, q>^2) * sqrt(1 - f^2) / f / sqrt(WIDE - 1) times a standard normal
-number. SIGMAS of these (``alike``) or two (``nearest``) give the bounds that
-choose vectors for reranking by the exact cosine.
-
-Vectors are grouped into cells around centroids of a bounded sample
-(SAMPLE_ROWS). A cell is compared in parts: each task holds the codes of one
-cell and the queries of one part. A cell above CELL_ROWS is not split again: where
-many vectors are equal or close, one task holds all of them and their pairs.
-
+Inner products are estimated from packed bits by counting ones:
+
+* code and vector (``nearest``): the query is rounded to PLANES bits a dimension,
+  one packed word row per bit; <code, q> / f estimates <o, q>, with an error of
+  sqrt(1 - <o, q>^2) * sqrt(1 - f^2) / f / sqrt(WIDE - 1) times a standard normal
+  number, of which REACH are allowed.
+* code and code (``alike``): two vectors at an angle differ in each bit with
+  probability angle / pi; pairs that differ in more bits than a pair at the wanted
+  cosine does but once in 1 / MISS are dropped. Next to its code a vector is moved
+  as 8-bit numbers, whose cosine is off by less than ROUNDED and drops most of the
+  rest.
+
+What is left is reranked by the exact cosine. Vectors are grouped into cells
+around centroids of a bounded sample (SAMPLE_ROWS). A task compares one part of a
+cell's members with one part of its visitors; parts hold about PART_ROWS (``alike``)
+or MEMBER_ROWS and QUERY_ROWS (``nearest``) vectors, by each cell's own share of
+the sample, so that a cell of many equal or close vectors is many tasks. Pairs
+leave a task in chunks.
+
+* ``alike``: all pairs with at least a given cosine. A vector visits every cell
+  whose border is no farther from it than the angle of that cosine, so a partner
+  in any direction is met, whatever the vectors' spectrum. ``exact=True`` moves
+  vectors instead of codes and compares cosines only.
 * ``nearest``: the k most similar of each vector. Every vector visits its
-  ``probes`` nearest cells (all cells if None). The k-th largest lower bound of
-  a cell chooses what is reranked.
-* ``alike``: all pairs with at least a given cosine. A vector visits every
-  cell whose border is no farther from it than the angle of that cosine, so a
-  partner in any direction is met; only codes and 8-bit queries are moved, and
-  only pairs within the bounds meet their vectors.
+  ``probes`` nearest cells; None visits all cells. ``exact=True`` compares every
+  member of the visited cells by cosine.
 
 Defined cases: null, empty, short, long, all-zero vectors and such with NaN or
 infinity are no cases; equal vectors are partners with cosine one; ties are
@@ -34,6 +43,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import acos, pi
 
 import numpy as np
 import pandas as pd
@@ -42,11 +52,17 @@ from pyspark.sql import functions as F
 
 DIMENSION = 100
 WIDE = 128
-SIGMAS = 4.5
+PLANES = 4
+REACH = 2.0
+MISS = 1e-7
+ROUNDED = 0.015
+PROBES = 64
 CELL_ROWS = 32_768
-PART_ROWS = 8_192
+PART_ROWS = 16_384
+MEMBER_ROWS = 32_768
+QUERY_ROWS = 8_192
 SAMPLE_ROWS = 20_000
-CHUNK = 512
+PAIRS = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -65,7 +81,7 @@ def usable(df: DataFrame, vector: str = "vector") -> DataFrame:
 
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -75,11 +91,6 @@ def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.packbits(r > 0, axis=1), np.abs(r).sum(axis=1) / np.sqrt(WIDE), r
 
 
-def signs(packed: np.ndarray) -> np.ndarray:
-    """Codes as unit vectors."""
-    return (np.unpackbits(packed, axis=1).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(WIDE))
-
-
 def error(f: np.ndarray) -> np.ndarray:
     """Standard deviation of the estimate for an orthogonal query."""
     return np.sqrt(np.maximum(0, 1 - f * f)) / f / np.sqrt(WIDE - 1)
@@ -99,19 +110,28 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def _fit(vectors: DataFrame, cell_rows: int) -> tuple[dict[str, np.ndarray], dict[str, int]]:
-    """Centroids of each family's cells, and parts of a cell; one row per family and a bounded sample reach the driver."""
-    size = {r[0]: r[1] for r in vectors.groupBy("family").count().collect()}
-    out = {}
-    for family, n in size.items():
-        k = -(-n // cell_rows)
-        if k == 1:
-            out[family] = np.zeros((1, DIMENSION), np.float32)
-            continue
-        own = vectors.where(F.col("family") == family)
-        rows = own.sample(min(1.0, 1.2 * SAMPLE_ROWS / n), seed=3).select("vector").limit(SAMPLE_ROWS).toArrow()
-        out[family] = centroids(_unit(rows.column(0).combine_chunks().flatten().to_numpy().reshape(-1, DIMENSION)), k)
-    return out, {family: -(-n // len(out[family]) // PART_ROWS) for family, n in size.items()}
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Vectors as 8-bit numbers; their length is divided out when they are read."""
+    top = np.abs(x).max(axis=1, keepdims=True)
+    return np.rint(x / top * 127).astype(np.int8).view(np.uint8)
+
+
+@lru_cache(maxsize=8)
+def most_bits(cosine: float) -> int:
+    """Bits in which all but MISS of the pairs at this cosine differ at most: the binomial tail."""
+    p = acos(max(-1.0, min(1.0, cosine))) / pi
+    if p == 0:
+        return 0
+    if p >= 1:
+        return WIDE
+    term, left, k = (1 - p) ** WIDE, 1.0, 0
+    while k < WIDE:
+        left -= term
+        if left <= MISS:
+            break
+        term *= (WIDE - k) / (k + 1) * p / (1 - p)
+        k += 1
+    return k
 
 
 def _visits(x: np.ndarray, c: np.ndarray, cosine: float | None, probes: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -135,107 +155,237 @@ def _visits(x: np.ndarray, c: np.ndarray, cosine: float | None, probes: int | No
     return home, visit
 
 
-_ROW = "family string, cell int, part int, member boolean, row_id long, code binary, f float, query binary"
+class Cells:
+    """Centroids of each family, and the parts of each cell; one row per family and a bounded sample reach the driver."""
+
+    def __init__(self, vectors: DataFrame, cell_rows: int, cosine: float | None, probes: int | None):
+        self.centers: dict[str, np.ndarray] = {}
+        self.members: dict[str, np.ndarray] = {}
+        self.visitors: dict[str, np.ndarray] = {}
+        for family, n in sorted((r[0], r[1]) for r in vectors.groupBy("family").count().collect()):
+            own = vectors.where(F.col("family") == family)
+            rows = own.sample(min(1.0, 1.2 * SAMPLE_ROWS / n), seed=3).select("vector").limit(SAMPLE_ROWS).toArrow()
+            k = -(-n // cell_rows)
+            x = _unit(rows.column(0).combine_chunks().flatten().to_numpy().reshape(-1, DIMENSION)) if rows.num_rows else np.zeros((0, DIMENSION), np.float32)
+            c = centroids(x, k) if k > 1 and len(x) else np.zeros((1, DIMENSION), np.float32)
+            home, visit = _visits(x, c, cosine, probes)
+            scale = n / max(1, len(x))
+            self.centers[family] = c
+            self.members[family] = np.bincount(home, minlength=len(c)) * scale
+            if cosine is not None:
+                visit[np.arange(len(x)), home] = False
+            self.visitors[family] = visit.sum(axis=0) * scale
+
+    def parts(self, family: str, rows: int, queries: int) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of members and of visitors of each cell."""
+        up = lambda n, most: np.maximum(1, np.ceil(1.1 * n / most)).astype(np.int64)
+        return up(self.members[family], rows), up(self.visitors[family], queries)
+
+
+def _part(ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    mix = (ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    return (mix % parts.astype(np.uint64)).astype(np.int64)
+
+
+#: A bundle of vectors for one task: ``role`` 0 members, 1 members that also ask, 2 visitors.
+_BUNDLE = "family string, cell int, mpart int, qpart int, role int, ids binary, data binary"
 
 
-def _route(cells: dict[str, np.ndarray], parts: dict[str, int], cosine: float | None, probes: int | None):
-    """Rows of the tasks: each code once per part of its cell, each query once per visited cell."""
+def _bundles(where: dict[tuple, list[np.ndarray]], family: str, ids: np.ndarray, data: np.ndarray) -> pd.DataFrame:
+    rows = [(family, cell, m, q, role, ids[at].tobytes(), data[at].tobytes()) for (cell, m, q, role), own in where.items() for at in (np.concatenate(own),)]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _BUNDLE.split(", ")])
+
+
+def _grouped(*keys: np.ndarray) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+    """Places of the rows of each combination of keys."""
+    if not len(keys[0]):
+        return
+    order = np.lexsort(keys[::-1])
+    own = np.stack([k[order] for k in keys])
+    first = np.flatnonzero(np.r_[True, (own[:, 1:] != own[:, :-1]).any(axis=0)])
+    for a, b in zip(first, np.append(first[1:], len(order))):
+        yield tuple(own[:, a].tolist()), order[a:b]
+
+
+def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    for b in batches:
+        for family, own in b.groupby("family", sort=False):
+            yield family, own["row_id"].to_numpy().astype(np.int64), _unit(np.stack(own["vector"].to_numpy()))
+
+
+def _route_pairs(cells: Cells, cosine: float, exact: bool):
+    """Each member goes to the parts that come after its own; each visitor to all parts of the cell."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for family, own in b.groupby("family", sort=False):
-                x = _unit(np.stack(own["vector"].to_numpy()))
-                packed, f, r = encode(x)
-                ids = own["row_id"].to_numpy()
-                c = cells[family]
-                home, visit = _visits(x, c, cosine, probes)
-                part = _part(ids, parts[family])
-                if cosine is None:
-                    query = [v.tobytes() for v in x]
-                else:
-                    top = np.abs(r).max(axis=1, keepdims=True)
-                    small = np.rint(r / top * 127).astype(np.int8)
-                    query = [np.float32(t / 127).tobytes() + v.tobytes() for t, v in zip(top[:, 0], small)]
-                who, cell = np.nonzero(visit)
-                yield pd.DataFrame({"family": family, "cell": cell.astype(np.int32), "part": part[who], "member": False, "row_id": ids[who], "code": None, "f": np.float32(0), "query": [query[i] for i in who]})
-                code = [v.tobytes() for v in packed]
-                times = parts[family]
-                who = np.repeat(np.arange(len(ids)), times)
-                to = np.tile(np.arange(times, dtype=np.int32), len(ids))
-                yield pd.DataFrame({"family": family, "cell": home[who].astype(np.int32), "part": to, "member": True, "row_id": ids[who], "code": [code[i] for i in who], "f": f[who].astype(np.float32), "query": [query[i] for i in who] if cosine is None else None})
+        for family, ids, x in _batches(batches):
+            home, visit = _visits(x, cells.centers[family], cosine, None)
+            parts, guests = cells.parts(family, PART_ROWS, PART_ROWS)
+            data = x if exact else np.concatenate([encode(x)[0], rounded(x)], axis=1)
+            where: dict[tuple, list[np.ndarray]] = {}
+            for (cell, p), at in _grouped(home, _part(ids, parts[home])):
+                for q in range(p, int(parts[cell])):
+                    where.setdefault((cell, p, q, 0), []).append(at)
+                for m in range(p + 1):
+                    where.setdefault((cell, m, p, 1), []).append(at)
+                for v in range(int(guests[cell]) if cells.visitors[family][cell] or len(parts) > 1 else 0):
+                    where.setdefault((cell, p, int(parts[cell]) + v, 0), []).append(at)
+            visit[np.arange(len(ids)), home] = False
+            who, cell = np.nonzero(visit)
+            for (c, v), at in _grouped(cell, _part(ids[who], guests[cell])):
+                for m in range(int(parts[c])):
+                    where.setdefault((c, m, int(parts[c]) + v, 2), []).append(who[at])
+            yield _bundles(where, family, ids, data)
 
     return run
 
 
-def _part(ids: np.ndarray, parts: int) -> np.ndarray:
-    mix = (ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    return (mix % np.uint64(parts)).astype(np.int32)
-
-
-def _halves(b: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    member = b["member"].to_numpy()
-    return b[member], b[~member]
-
-
-def _alike(cosine: float):
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        m, q = _halves(b)
-        out = []
-        if len(m) and len(q):
-            code = signs(np.frombuffer(b"".join(m["code"]), np.uint8).reshape(len(m), -1)) / m["f"].to_numpy()[:, None]
-            ids, qid = m["row_id"].to_numpy(), q["row_id"].to_numpy()
-            raw = np.frombuffer(b"".join(q["query"]), np.uint8).reshape(len(q), -1)
-            scale = raw[:, :4].copy().view(np.float32)
-            turned = raw[:, 4:].view(np.int8).astype(np.float32) * scale
-            # Rounding to 8 bits moves the estimate by little; the bound allows for it.
-            least = (cosine - SIGMAS * np.sqrt(1 - cosine**2) * error(m["f"].to_numpy()) - 0.01).astype(np.float32)
-            for i in range(0, len(q), CHUNK):
-                a, o = np.nonzero(turned[i : i + CHUNK] @ code.T >= least)
-                ok = qid[a + i] != ids[o]
-                out.append(np.c_[qid[a[ok] + i], ids[o[ok]]])
-        pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"family": b["family"].iloc[0], "low": pairs.min(axis=1, initial=2**62), "high": pairs.max(axis=1, initial=-(2**62))}).drop_duplicates()
+def _joined(b: pd.DataFrame, width: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(b"".join(b["ids"]), np.int64)
+    return ids, np.frombuffer(b"".join(b["data"]), kind).reshape(len(ids), width)
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(batches), ignore_index=True)
+
+
+def _alike(cosine: float, exact: bool):
+    limit = most_bits(cosine)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b = _whole(batches)
+        role = b["role"].to_numpy()
+        width, kind = (DIMENSION, np.float32) if exact else (WIDE // 8 + DIMENSION, np.uint8)
+        (ids, mine), (qid, theirs) = _joined(b[role == 0], width, kind), _joined(b[role > 0], width, kind)
+        if not exact:
+            (code, mine), (ask, theirs) = ((_words(v[:, : WIDE // 8]).T.copy(), _unit(v[:, WIDE // 8 :].view(np.int8))) for v in (mine, theirs))
+        # Members of the same cell are met once, by the one with the smaller id, or in both orders in different parts.
+        within = bool((role == 1).any())
+        same_part = within and b["mpart"].iloc[0] == b["qpart"].iloc[0]
+        family = b["family"].iloc[0]
+        found, held = [], 0
+        step = max(1, 131_072 // max(1, len(ids)))
+        for i in range(0, len(qid) if len(ids) else 0, step):
+            if exact:
+                a, o = np.nonzero(theirs[i : i + step] @ mine.T >= np.float32(cosine - 1e-5))
+            else:
+                off = np.bitwise_count(ask[0, i : i + step, None] ^ code[0])
+                off += np.bitwise_count(ask[1, i : i + step, None] ^ code[1])
+                a, o = np.divmod(np.flatnonzero(off <= limit), len(ids))
+                ok = np.einsum("ij,ij->i", theirs[a + i], mine[o]) >= cosine - ROUNDED
+                a, o = a[ok], o[ok]
+            keep = qid[a + i] < ids[o] if same_part else qid[a + i] != ids[o]
+            if keep.any():
+                x, y = qid[a[keep] + i], ids[o[keep]]
+                found.append((np.minimum(x, y), np.maximum(x, y)))
+                held += len(x)
+            if held >= PAIRS:
+                yield pd.DataFrame({"family": family, "low": np.concatenate([f[0] for f in found]), "high": np.concatenate([f[1] for f in found])})
+                found, held = [], 0
+        if found:
+            yield pd.DataFrame({"family": family, "low": np.concatenate([f[0] for f in found]), "high": np.concatenate([f[1] for f in found])})
 
     return run
 
 
-def _nearest(k: int):
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        m, q = _halves(b)
-        got: dict[str, list] = {"row_id": [], "other": [], "cosine": []}
-        if len(m) and len(q):
-            f = m["f"].to_numpy()
-            code = signs(np.frombuffer(b"".join(m["code"]), np.uint8).reshape(len(m), -1)) / f[:, None]
-            off = (error(f) * 2).astype(np.float32)
-            x = np.frombuffer(b"".join(m["query"]), np.float32).reshape(len(m), -1)
-            y = np.frombuffer(b"".join(q["query"]), np.float32).reshape(len(q), -1)
-            ids, qid = m["row_id"].to_numpy(), q["row_id"].to_numpy()
-            for i in range(0, len(q), CHUNK):
-                guess = (y[i : i + CHUNK] @ rotation()) @ code.T
-                guess[qid[i : i + CHUNK, None] == ids] = -2
-                low = guess - off
-                kth = np.partition(low, -min(k, low.shape[1]), axis=1)[:, -min(k, low.shape[1])]
-                a, o = np.nonzero(guess + off >= kth[:, None])
-                exact = np.empty(len(a), np.float32)
-                for s in range(0, len(a), 65536):
-                    exact[s : s + 65536] = np.einsum("ij,ij->i", y[a[s : s + 65536] + i], x[o[s : s + 65536]])
-                exact[qid[a + i] == ids[o]] = -2
-                order = np.lexsort((ids[o], -exact, a))
-                a, o, exact = a[order], o[order], exact[order]
-                start = np.r_[True, a[1:] != a[:-1]]
-                rank = np.arange(len(a)) - np.maximum.accumulate(np.where(start, np.arange(len(a)), 0))
-                top = (rank < k) & (exact > -1.5)
-                got["row_id"].append(qid[a[top] + i])
-                got["other"].append(ids[o[top]])
-                got["cosine"].append(exact[top].astype(np.float64))
-        return pd.DataFrame({"family": b["family"].iloc[0], **{k: np.concatenate(v) if v else np.empty(0) for k, v in got.items()}}).astype({"row_id": "int64", "other": "int64"})
+def _route_queries(cells: Cells, probes: int | None):
+    """Each member once per part of its cell's visitors, each query once per part of the members of each visited cell."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for family, ids, x in _batches(batches):
+            home, visit = _visits(x, cells.centers[family], None, probes)
+            parts, guests = cells.parts(family, MEMBER_ROWS, QUERY_ROWS)
+            where: dict[tuple, list[np.ndarray]] = {}
+            for (cell, m), at in _grouped(home, _part(ids, parts[home])):
+                for q in range(int(guests[cell])):
+                    where.setdefault((cell, m, q, 0), []).append(at)
+            who, cell = np.nonzero(visit)
+            for (c, q), at in _grouped(cell, _part(ids[who], guests[cell])):
+                for m in range(int(parts[c])):
+                    where.setdefault((c, m, q, 2), []).append(who[at])
+            yield _bundles(where, family, ids, x)
 
     return run
 
 
-def _tasks(vectors: DataFrame, cell_rows: int, cosine: float | None, probes: int | None) -> DataFrame:
-    cells, parts = _fit(vectors, cell_rows)
-    return vectors.mapInPandas(_route(cells, parts, cosine, probes), _ROW).groupBy("family", "cell", "part")
+def _words(packed: np.ndarray) -> np.ndarray:
+    """Packed bytes as 64-bit words."""
+    return np.ascontiguousarray(packed).view(np.uint64)
+
+
+class Estimate:
+    """<o, q> of coded members and queries, from packed bits and the members' correction scalars."""
+
+    def __init__(self, x: np.ndarray):
+        packed, self.f, _ = encode(x)
+        self.code = _words(packed).T.copy()
+        self.ones = np.bitwise_count(self.code).sum(axis=0, dtype=np.float32)
+        self.off = (REACH * error(self.f)).astype(np.float32)
+
+    def of(self, q: np.ndarray) -> np.ndarray:
+        r = q @ rotation()
+        low = r.min(axis=1, keepdims=True)
+        step = np.maximum((r.max(axis=1, keepdims=True) - low) / (2**PLANES - 1), 1e-12)
+        u = np.rint((r - low) / step).astype(np.uint8)
+        total = np.zeros((len(q), self.code.shape[1]), np.uint16)
+        for j in range(PLANES):
+            plane = _words(np.packbits(u >> j & 1, axis=1))
+            met = np.bitwise_count(plane[:, :1] & self.code[0])
+            met += np.bitwise_count(plane[:, 1:] & self.code[1])
+            total += met.astype(np.uint16) << np.uint16(j)
+        # Signs are 2 * bit - 1; dimensions hold low + step * u.
+        flat = low * WIDE + step * u.sum(axis=1, keepdims=True, dtype=np.float32)
+        return (2 * (low * self.ones + step * total) - flat) / (np.float32(np.sqrt(WIDE)) * self.f)
+
+
+def _best(a: np.ndarray, value: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest values of each query number, ties by the smaller id."""
+    order = np.lexsort((tie, -value, a))
+    own = a[order]
+    start = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, bool)
+    rank = np.arange(len(own)) - np.maximum.accumulate(np.where(start, np.arange(len(own)), 0))
+    return order[rank < k]
+
+
+def _nearest(k: int, exact: bool):
+    def cosines(q: np.ndarray, x: np.ndarray, a: np.ndarray, o: np.ndarray) -> np.ndarray:
+        out = np.empty(len(a), np.float32)
+        for s in range(0, len(a), 65_536):
+            out[s : s + 65_536] = np.einsum("ij,ij->i", q[a[s : s + 65_536]], x[o[s : s + 65_536]])
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b = _whole(batches)
+        role, family = b["role"].to_numpy(), b["family"].iloc[0]
+        ids, x = _joined(b[role == 0], DIMENSION, np.float32)
+        qid, y = _joined(b[role > 0], DIMENSION, np.float32)
+        if not len(ids):
+            return
+        bits = None if exact else Estimate(x)
+        sample = np.linspace(0, len(ids) - 1, min(len(ids), 2_048)).astype(np.int64)
+        # A quantile of the sample beyond which about 16 k members lie.
+        rank = min(len(sample), max(k, -(-16 * k * len(sample) // len(ids))))
+        step = max(1, 262_144 // len(ids))
+        for i in range(0, len(qid), step):
+            q, own = y[i : i + step], qid[i : i + step]
+            guess = q @ x.T if exact else bits.of(q)
+            guess[own[:, None] == ids] = -2
+            some = -np.partition(-guess[:, sample], rank - 1, axis=1)[:, rank - 1]
+            a, o = np.nonzero(guess >= np.maximum(some, -1.5)[:, None])
+            sure = guess[a, o] if exact else cosines(q, x, a, o)
+            if not exact:
+                # The k-th best of these by exact cosine bounds what the others must reach.
+                best = _best(a, sure, ids[o], k)
+                last = np.full(len(q), 3, np.float32)
+                np.minimum.at(last, a[best], sure[best])
+                last[np.bincount(a[best], minlength=len(q)) < k] = -3
+                a, o = np.divmod(np.flatnonzero((guess + bits.off >= last[:, None]) & (guess > -1.5)), len(ids))
+                sure = cosines(q, x, a, o)
+                ok = sure >= last[a] - np.float32(1e-6)
+                a, o, sure = a[ok], o[ok], sure[ok]
+            best = _best(a, sure, ids[o], k)
+            yield pd.DataFrame({"family": family, "row_id": own[a[best]], "other": ids[o[best]], "cosine": sure[best].astype(np.float64)})
+
+    return run
 
 
 def prepared(df: DataFrame, family: str, row_id: str, vector: str) -> DataFrame:
@@ -244,20 +394,31 @@ def prepared(df: DataFrame, family: str, row_id: str, vector: str) -> DataFrame:
     return usable(rows.where("row_id is not null"))
 
 
-def alike(vectors: DataFrame, cosine: float, cell_rows: int = CELL_ROWS) -> DataFrame:
+def _by_task(f):
+    """Type hints tell Spark that groups come and go in batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return f(batches)
+
+    run.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+    return run
+
+
+def alike(vectors: DataFrame, cosine: float, cell_rows: int = CELL_ROWS, exact: bool = False) -> DataFrame:
     """``family, low_row_id, high_row_id, cosine``: all pairs with at least this cosine."""
-    near = _tasks(vectors, cell_rows, cosine, None).applyInPandas(_alike(cosine), "family string, low long, high long").distinct()
+    tasks = vectors.mapInPandas(_route_pairs(Cells(vectors, cell_rows, cosine, None), cosine, exact), _BUNDLE).groupBy("family", "cell", "mpart", "qpart")
+    near = tasks.applyInPandas(_by_task(_alike(cosine, exact)), "family string, low long, high long").distinct()
     left = vectors.select("family", F.col("row_id").alias("low"), F.col("vector").alias("a"))
     right = vectors.select("family", F.col("row_id").alias("high"), F.col("vector").alias("b"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     pairs = near.join(left, ["family", "low"]).join(right, ["family", "high"])
-    exact = dot("a", "b") / F.sqrt(dot("a", "a")) / F.sqrt(dot("b", "b"))
-    return pairs.select("family", F.col("low").alias("low_row_id"), F.col("high").alias("high_row_id"), exact.alias("cosine")).where(F.col("cosine") >= cosine)
+    sure = dot("a", "b") / F.sqrt(dot("a", "a")) / F.sqrt(dot("b", "b"))
+    return pairs.select("family", F.col("low").alias("low_row_id"), F.col("high").alias("high_row_id"), sure.alias("cosine")).where(F.col("cosine") >= cosine)
 
 
-def nearest(vectors: DataFrame, k: int = 10, probes: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, probes: int | None = PROBES, cell_rows: int = CELL_ROWS, exact: bool = False) -> DataFrame:
     """``family, row_id, rank, other_row_id, cosine``: the k most similar vectors of every vector."""
-    found = _tasks(vectors, cell_rows, None, probes).applyInPandas(_nearest(k), "family string, row_id long, other long, cosine double")
+    tasks = vectors.mapInPandas(_route_queries(Cells(vectors, cell_rows, None, probes), probes), _BUNDLE).groupBy("family", "cell", "mpart", "qpart")
+    found = tasks.applyInPandas(_by_task(_nearest(k, exact)), "family string, row_id long, other long, cosine double")
     rank = F.row_number().over(Window.partitionBy("family", "row_id").orderBy(F.desc("cosine"), "other"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("family", "row_id", "rank", F.col("other").alias("other_row_id"), "cosine")
-
