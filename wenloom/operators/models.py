@@ -10,6 +10,7 @@ fits; such rows are scored null; one class is always predicted.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wenloom.functions import vectors as V
-from wenloom.operators import corpus, trees
+from wenloom.operators import corpus, growth, trees
 from wenloom.operators.reduce import long_form
 from wenloom.sources.tables import cut
 
@@ -58,19 +59,22 @@ class TreeModel(Model):
         return V.one_hot(trees.predict_column([self.tree], x)[0], list(range(len(self.labels))))
 
 
+def _grown(rows: DataFrame, criterion: trees.Criterion, bins: int | None, *own, features: dict[int, list[int]] | None = None) -> dict[int, trees.Tree]:
+    """By histograms; without bins by exact thresholds over all distinct values."""
+    return growth.fit(rows, criterion, bins, *own, features=features) if bins else trees.grow(rows, criterion, *own, features=features)
+
+
 @dataclass(frozen=True)
 class DecisionTree:
     max_depth: int | None = None
     min_split: int = 2
     min_leaf: int = 1
-    bins: int | None = None
+    bins: int | None = growth.BINS
 
     def fit(self, df: DataFrame) -> TreeModel:
         rows, labels = prepared(df)
-        if self.bins:
-            rows = trees.binned(rows, self.bins)
-        grown = trees.grow(rows.select(F.lit(0).alias("tree"), "x", "y", F.lit(1.0).alias("w")), trees.Gini(len(labels)), self.max_depth, self.min_split, self.min_leaf)
-        return TreeModel(labels, grown[0])
+        rows = rows.select(F.lit(0).alias("tree"), "x", "y", F.lit(1.0).alias("w"))
+        return TreeModel(labels, _grown(rows, trees.Gini(len(labels)), self.bins, self.max_depth, self.min_split, self.min_leaf)[0])
 
 
 @dataclass(frozen=True)
@@ -78,10 +82,11 @@ class RegressionTree:
     max_depth: int | None = 3
     min_split: int = 2
     min_leaf: int = 1
+    bins: int | None = growth.BINS
 
     def fit(self, df: DataFrame, target: str = "t") -> trees.Tree:
         rows = df.where(F.col(target).isNotNull()).select(F.lit(0).alias("tree"), F.col("x").cast("array<double>").alias("x"), F.col(target).cast("double").alias("t"), F.lit(1.0).alias("w"))
-        return trees.grow(rows, trees.Variance(), self.max_depth, self.min_split, self.min_leaf)[0]
+        return _grown(rows, trees.Variance(), self.bins, self.max_depth, self.min_split, self.min_leaf)[0]
 
 
 @dataclass
@@ -103,6 +108,7 @@ class RandomForest:
     max_features: str | int | None = "sqrt"
     seed: int = 42
     block: int = 20
+    bins: int | None = growth.BINS
 
     def subset(self, tree: int, size: int) -> list[int]:
         """One draw without replacement for the whole tree."""
@@ -120,7 +126,7 @@ class RandomForest:
         for a in range(0, self.n_trees, self.block):
             own = range(a, min(a + self.block, self.n_trees))
             bag = drawn.where(F.col("tree").between(own[0], own[-1])).join(rows, "row_id").select("tree", "x", "y", F.col("times").cast("double").alias("w"))
-            grown |= trees.grow(cut(bag), trees.Gini(len(labels)), self.max_depth, self.min_split, 1, {t: self.subset(t, size) for t in own})
+            grown |= _grown(cut(bag), trees.Gini(len(labels)), self.bins, self.max_depth, self.min_split, 1, features={t: self.subset(t, size) for t in own})
         return ForestModel(labels, [grown[t] for t in sorted(grown)])
 
 
@@ -157,6 +163,7 @@ class Boosting:
     cost: float = 0.0
     least_hessian: float = 1.0
     seed: int = 42
+    bins: int | None = growth.BINS
 
     def fit(self, df: DataFrame) -> BoostModel:
         if self.kind not in ("residual", "gradient"):
@@ -166,8 +173,13 @@ class Boosting:
         share = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
         n = sum(share.values())
         model = BoostModel(labels, [float(np.log(share.get(c, 0) / n + TINY)) for c in range(k)], self.rate)
-        state = cut(rows.withColumn("f", F.array(*[F.lit(s) for s in model.start])))
         criterion = trees.Gradient(self.penalty, self.cost, self.least_hessian) if self.kind == "gradient" else trees.Variance()
+        rows = cut(rows)
+        if self.bins:
+            drawn = (lambda state, r: corpus.row_subsample(state, self.subsample, k, "row_id", self.seed + r)) if self.subsample < 1 else None
+            model.rounds, model.losses = growth.boost(rows, model.start, self.rate, self.n_rounds, criterion, self.max_depth, self.min_split, self.min_leaf, self.bins, drawn)
+            return model
+        state = rows.withColumn("f", F.array(*[F.lit(s) for s in model.start]))
         for r in range(self.n_rounds):
             chance = state.withColumn("q", V.softmax(F.col("f")))
             flat = chance.select("row_id", "x", "y", F.posexplode("q").alias("tree", "q")).withColumn("hit", (F.col("y") == F.col("tree")).cast("double"))
@@ -264,20 +276,23 @@ class LinearModel(Model):
         return V.softmax(F.array(*[V.dot(x, F.array(*[F.lit(float(v)) for v in w])) + F.lit(float(b)) for w, b in zip(self.weights, self.bias)]))
 
 
+def gradient_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Sums of the gradient (the bias last) and the loss over some rows."""
+    p = growth.softmax(x @ w.T + b)
+    loss = float(-np.log(p[np.arange(len(y)), y] + TINY).sum())
+    p[np.arange(len(y)), y] -= 1
+    return np.c_[p.T @ x, p.sum(axis=0)], loss
+
+
 def _partial_gradient(w: np.ndarray, b: np.ndarray):
     def run(batches):
         total, n, loss = None, 0, 0.0
         for f in batches:
             if not len(f):
                 continue
-            x, y = np.stack(f["x"].to_numpy()), f["y"].to_numpy()
-            z = x @ w.T + b
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(axis=1, keepdims=True)
-            loss += float(-np.log(p[np.arange(len(y)), y] + TINY).sum())
-            p[np.arange(len(y)), y] -= 1
-            g = np.c_[p.T @ x, p.sum(axis=0)]
+            x, y = growth.matrix(f["x"]), f["y"].to_numpy()
+            g, own = gradient_sums(x, y, w, b)
+            loss += own
             total = g if total is None else total + g
             n += len(y)
         if total is not None:
@@ -311,17 +326,36 @@ class SoftmaxRegression:
     def fit(self, df: DataFrame) -> LinearModel:
         rows, labels = prepared(df)
         rows = cut(rows)
-        size = rows.select(F.size("x")).first()[0]
+        n, size = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
         w = np.random.RandomState(self.seed).randn(size, len(labels)).T * self.init
         b = np.zeros(len(labels))
+        if n * size > growth.LOCAL_CELLS:
+            return LinearModel(labels, *self.descended(lambda w, b: softmax_gradient(rows, w, b), w, b))
+
+        def here(f: pd.DataFrame) -> pd.DataFrame:
+            # The same steps in one task; in the order of the ids, so that sums don't depend on the partitions.
+            f = f.sort_values("row_id", kind="stable")
+            x, y = growth.matrix(f["x"]), f["y"].to_numpy()
+
+            def gradient(w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+                g, loss = gradient_sums(x, y, w, b)
+                return g[:, :-1] / len(y), g[:, -1] / len(y), loss / len(y)
+
+            v, c, losses = self.descended(gradient, w, b)
+            return pd.DataFrame({"w": [v.tobytes()], "b": [c.tobytes()], "losses": [losses]})
+
+        r = rows.select(F.lit(0).alias("g"), "row_id", "x", "y").groupBy("g").applyInPandas(here, "w binary, b binary, losses array<double>").first()
+        return LinearModel(labels, np.frombuffer(r["w"]).reshape(len(labels), size), np.frombuffer(r["b"]), list(r["losses"]))
+
+    def descended(self, gradient, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[float]]:
         losses: list[float] = []
         for _ in range(self.steps):
-            gw, gb, loss = softmax_gradient(rows, w, b)
+            gw, gb, loss = gradient(w, b)
             losses.append(loss + 0.5 * self.penalty * float((w * w).sum()))
             if len(losses) > 1 and abs(losses[-1] - losses[-2]) < self.tol:
                 break
             w, b = w - self.rate * (gw + self.penalty * w), b - self.rate * gb
-        return LinearModel(labels, w, b, losses)
+        return w, b, losses
 
 
 @dataclass
@@ -347,113 +381,143 @@ class SvmModel(Model):
         return F.transform(self.votes(x), lambda v: v / F.lit(float(max(1, len(self.pairs)))))
 
 
-def _sgd(w: np.ndarray, b: float, x: np.ndarray, y: np.ndarray, rate: float, shrink: float, sign: float) -> tuple[np.ndarray, float]:
-    for v, t in zip(x, y):
-        if t * (v @ w + b) < 1:
-            w = w - rate * (2 * shrink * w - t * v)
-            b = b + sign * rate * t
-        else:
-            w = w - rate * 2 * shrink * w
-    return w, b
+def hinge_epochs(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray, pairs: list[tuple[int, int]], epochs: int, rate: float, shrink: float, sign: float) -> None:
+    """Rows one after another, each a step of all pairs of its class at once; ``w`` and ``b`` change in place."""
+    of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for c in np.unique(y).tolist():
+        own = [(k, 1.0 if c == i else -1.0) for k, (i, j) in enumerate(pairs) if c in (i, j)]
+        of[c] = np.array([k for k, _ in own]), np.array([t for _, t in own])
+    labels = y.tolist()
+    keep = 1 - rate * 2 * shrink
+    for _ in range(epochs):
+        for v, c in zip(x, labels):
+            at, t = of[c]
+            own = w[at]
+            step = rate * t * (t * (own @ v + b[at]) < 1)
+            w[at] = keep * own + step[:, None] * v
+            b[at] += sign * step
 
 
 @dataclass(frozen=True)
 class PairwiseSvm:
     """Linear hinge SGD for every pair of classes.
 
-    Every epoch runs over each partition's rows in the order of their ids and
-    the partitions' weights are averaged by rows, so no pair is one task; with
-    ``partitions=1`` an epoch is sequential. ``bias_sign=-1`` turns the bias
-    step round, as some implementations do.
+    Rows fall into shards of about ``shard_rows`` by the hash of their ids. A
+    shard's epochs run over its rows in the order of their ids, in one task; at
+    ``rounds`` points the shards' weights are averaged by rows. So the weights
+    don't depend on the partitions, and up to ``shard_rows`` rows an epoch is
+    sequential over all. ``bias_sign=-1`` turns the bias step round, as some
+    implementations do.
     """
 
     rate: float = 0.001
     epochs: int = 1000
     bias_sign: float = 1.0
-    partitions: int | None = None
+    shard_rows: int = 4_096
+    rounds: int = 10
+
+    def _epochs(self, w: np.ndarray, b: np.ndarray, pairs: list[tuple[int, int]], epochs: int):
+        def run(f: pd.DataFrame) -> pd.DataFrame:
+            f = f.sort_values("row_id", kind="stable")
+            v, c, y = w.copy(), b.copy(), f["y"].to_numpy()
+            hinge_epochs(growth.matrix(f["x"]), y, v, c, pairs, epochs, self.rate, 1 / self.epochs, self.bias_sign)
+            seen = np.array([((y == i) | (y == j)).sum() for i, j in pairs], np.float64)
+            return pd.DataFrame({"k": np.arange(len(pairs)), "n": seen, "v": [(np.append(a, d) * m).tolist() for a, d, m in zip(v, c, seen)]})
+
+        return run
 
     def fit(self, df: DataFrame) -> SvmModel:
         rows, labels = prepared(df)
-        if self.partitions:
-            rows = rows.repartition(self.partitions)
-        rows = cut(rows.sortWithinPartitions("row_id"))
-        size = rows.select(F.size("x")).first()[0]
+        rows = cut(rows)
+        n, size = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+        shards = max(1, -(-n // self.shard_rows))
+        rows = rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(shards)))
         pairs = [(i, j) for i in range(len(labels)) for j in range(i + 1, len(labels))]
         w, b = np.zeros((len(pairs), size)), np.zeros(len(pairs))
-        shrink = 1 / self.epochs
-        for _ in range(self.epochs):
-            state, rate, sign = (w, b), self.rate, self.bias_sign
-
-            def run(batches, state=state):
-                f = [g for g in batches if len(g)]
-                if not f:
-                    return
-                x, y = np.stack([v for g in f for v in g["x"]]), np.concatenate([g["y"].to_numpy() for g in f])
-                out = []
-                for k, (i, j) in enumerate(pairs):
-                    own = (y == i) | (y == j)
-                    v, c = _sgd(state[0][k], state[1][k], x[own], np.where(y[own] == i, 1.0, -1.0), rate, shrink, sign)
-                    out.append((k, int(own.sum()), [*v.tolist(), float(c)]))
-                yield pd.DataFrame(out, columns=["k", "n", "v"])
-
-            flat = rows.select("x", "y").mapInPandas(run, "k int, n long, v array<double>").select("k", "n", F.posexplode("v").alias("i", "v"))
-            moved = flat.groupBy("k", "i").agg(F.sum(F.col("v") * F.col("n")).alias("v"), F.sum("n").alias("n")).collect()
+        rounds = 1 if shards == 1 else max(1, min(self.rounds, self.epochs))
+        for r in range(rounds):
+            epochs = self.epochs * (r + 1) // rounds - self.epochs * r // rounds
+
+            # A row per pair and weight: sums of small tables, however many shards.
+            flat = rows.groupBy("shard").applyInPandas(self._epochs(w, b, pairs, epochs), "k int, n double, v array<double>").select("k", "n", F.posexplode("v").alias("i", "v"))
             both = np.c_[w, b]
-            for r in moved:
-                if r["n"]:
-                    both[r["k"], r["i"]] = r["v"] / r["n"]
-            w, b = both[:, :-1], both[:, -1]
+            for row in flat.groupBy("k", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect():
+                if row["n"]:
+                    both[row["k"], row["i"]] = row["v"] / row["n"]
+            w, b = both[:, :-1].copy(), both[:, -1].copy()
         return SvmModel(labels, pairs, w, b)
 
 
 # ---- neighbours ------------------------------------------------------------------
 
 
-def _nearest(queries: list[tuple[int, np.ndarray]], k: int):
-    ids = np.array([i for i, _ in queries], np.int64)
-    q = np.stack([v for _, v in queries]).astype(np.float64)
-    q /= np.linalg.norm(q, axis=1, keepdims=True) + TINY
+#: Values (rows times features) up to which the training rows go to every task.
+SENT_VALUES = 4_000_000
+SHARD_ROWS = 65_536
+_NEAR = "query_id long, row_id long, similarity double, rank int"
 
-    def run(batches):
-        for f in batches:
-            if not len(f):
-                continue
-            x = np.stack(f["x"].to_numpy()).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True) + TINY
-            own = f["row_id"].to_numpy()
-            order = np.argsort(own, kind="stable")
-            x, own = x[order], own[order]
-            for a in range(0, len(q), 2048):
-                s = np.round(q[a : a + 2048] @ x.T, 12)
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(top)), top.shape[1])
-                yield pd.DataFrame({"query_id": ids[a + rows], "row_id": own[top.ravel()], "similarity": s[rows, top.ravel()]})
 
-    return run
+def _directions(x: np.ndarray) -> np.ndarray:
+    return x / (np.linalg.norm(x, axis=1, keepdims=True) + TINY)
+
+
+def _nearest(ids: np.ndarray, x: np.ndarray, asks: np.ndarray, q: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """The k most similar of the rows (in the order of their ids) for each query."""
+    for a in range(0, len(q), 512):
+        s = np.round(q[a : a + 512] @ x.T, 12)
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        n = top.shape[1]
+        yield pd.DataFrame({"query_id": np.repeat(asks[a : a + 512], n), "row_id": ids[top.ravel()], "similarity": np.take_along_axis(s, top, 1).ravel(), "rank": np.tile(np.arange(1, n + 1, dtype=np.int32), len(top))})
+
+
+def _ordered(ids: list, x: list) -> tuple[np.ndarray, np.ndarray]:
+    own = np.concatenate(ids)
+    order = np.argsort(own, kind="stable")
+    return own[order], _directions(np.concatenate(x))[order]
 
 
-def cosine_neighbours(train: DataFrame, queries: DataFrame, k: int = 5, block: int = 20_000) -> DataFrame:
+def cosine_neighbours(train: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``query_id, row_id, similarity, rank``: the k most similar training rows of each query row.
 
-    Queries go to the training rows in blocks of bounded size; each batch of
-    training rows keeps its k best, so only those are shuffled. Ties go to the
-    smaller id; a row that is also a query is its own neighbour.
+    Training rows of at most SENT_VALUES values are sent to the tasks of the
+    queries, which then needn't be shuffled and may be a stream. More fall into
+    shards of about SHARD_ROWS; every shard holds its rows and lets the queries
+    pass by in batches, and only the k best of each shard are shuffled. Ties go to
+    the smaller id; a row that is also a query is its own neighbour.
     """
     rows = train.where("x is not null").select("row_id", F.col("x").cast("array<double>").alias("x"))
     asks = queries.where("x is not null").select("row_id", F.col("x").cast("array<double>").alias("x"))
-    n = asks.count()
-    blocks = max(1, -(-n // block))
-    out = None
-    for i in range(blocks):
-        own = asks if blocks == 1 else asks.where(F.pmod(F.xxhash64("row_id"), F.lit(blocks)) == i)
-        held = [(r[0], np.array(r[1])) for r in own.collect()]
-        if held:
-            found = rows.mapInPandas(_nearest(held, k), "query_id long, row_id long, similarity double")
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        return train.sparkSession.createDataFrame([], "query_id long, row_id long, similarity double, rank int")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
+    if not n:
+        return asks.where("false").selectExpr("row_id as query_id", "row_id", "0.0D as similarity", "0 as rank")
+    if n * size <= SENT_VALUES:
+        held = rows.toPandas()
+        sent = train.sparkSession.sparkContext.broadcast(_ordered([held["row_id"].to_numpy()], [growth.matrix(held["x"])]))
+
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    yield from _nearest(*sent.value, b["row_id"].to_numpy(), _directions(growth.matrix(b["x"])), k)
+
+        return asks.mapInPandas(ask, _NEAR)
+    shards = -(-n // SHARD_ROWS)
+    placed = rows.select(F.pmod(F.xxhash64("row_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "row_id", "x")
+    asked = asks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "row_id", "x")
+    both = placed.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("asks")
+
+    def passing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, x, known = [], [], None
+        for b in batches:
+            own, q = b[b["asks"] == 0], b[b["asks"] == 1]
+            if len(own):
+                ids.append(own["row_id"].to_numpy())
+                x.append(growth.matrix(own["x"]))
+            if len(q) and ids:
+                known = known or _ordered(ids, x)
+                yield from _nearest(*known, q["row_id"].to_numpy(), _directions(growth.matrix(q["x"])), k)
+
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id"))
+    return both.mapInPandas(passing, _NEAR).withColumn("rank", best).where(F.col("rank") <= k)
 
 
 def neighbour_vote(near: DataFrame, labels: DataFrame) -> DataFrame:

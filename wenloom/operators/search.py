@@ -9,7 +9,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wenloom.functions import vectors as V
 from wenloom.operators import corpus, metrics, reduce
+from wenloom.sources.tables import cut
 
 
 def balanced(df: DataFrame, label: str = "y") -> DataFrame:
@@ -45,11 +47,18 @@ def grid_search(spark: SparkSession, train: dict[str, DataFrame], val: dict[str,
     names = list(train)
     triples = [tuple(r) for r in reduce.weight_grid(spark, step).collect()]
 
+    def joined(families: dict[str, DataFrame]) -> DataFrame:
+        """One row per id with every family's vector and the label; written once for all triples."""
+        out = labels.select("row_id", "y")
+        for n in names:
+            out = out.join(families[n].select("row_id", F.col("x").alias(f"x_{n}")), "row_id")
+        return cut(out)
+
+    a, b = joined(train), joined(val)
+
     def score(w: tuple[float, ...]) -> tuple[float, ...]:
-        own = dict(zip(names, w))
-        a = reduce.fuse(train, own).join(labels, "row_id")
-        b = reduce.fuse(val, own).join(labels, "row_id")
-        return (*w, macro_f1(logistic(a, b)))
+        x = V.weighted_sum([F.col(f"x_{n}").cast("array<double>") for n in names], list(w))
+        return (*w, macro_f1(logistic(*(f.select("row_id", "y", x.alias("x")) for f in (a, b)))))
 
     with ThreadPool(workers) as pool:
         rows = pool.map(score, triples)

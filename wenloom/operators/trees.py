@@ -4,9 +4,8 @@ Rows have ``tree``, ``x`` (array of doubles), ``w`` (weight) and their targets.
 A level is one job for all open nodes of all trees: statistics are summed per
 node, feature and distinct value (before the shuffle), prefix sums over the
 values give each threshold's left side, and the best threshold per node reaches
-the driver, one row a node. With ``bins`` values are first rounded up to
-quantile edges, so that a window never sees more than ``bins`` rows; without,
-thresholds are exact and a window has a row per distinct value.
+the driver, one row a node. Thresholds are exact, and a window has a row per
+distinct value of a feature in a node; ``growth`` bounds that by bins.
 
 A split sends ``x[feature] <= threshold`` left; NaN and null go right. Ties of
 gain (12 digits) go to the smaller feature, then the smaller threshold. Defined
@@ -74,9 +73,10 @@ class Tree:
 
 
 def predict_column(trees: list[Tree], x: Column) -> Column:
-    """``array<double>`` with each tree's value: generated CASE for small trees, Arrow batches for large ones."""
+    """``array<double>`` with each tree's value, null for a null vector: generated CASE for small trees, Arrow batches for large ones."""
     if sum(len(t.nodes) for t in trees) <= MAX_CASE_NODES:
-        return F.array(*[t.column(x).cast("double") for t in trees])
+        return F.when(x.isNotNull(), F.array(*[t.column(x).cast("double") for t in trees]))
+
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def walk(v: pd.Series) -> pd.Series:
         out = np.empty(len(v), object)
@@ -114,6 +114,30 @@ class Gini:
     def allowed(self, left: dict[str, Column], right: dict[str, Column], least: int) -> Column:
         return (left["n"] >= least) & (right["n"] >= least)
 
+    @property
+    def width(self) -> int:
+        return self.classes
+
+    def stats(self, b: pd.DataFrame) -> np.ndarray:
+        return b["w"].to_numpy(np.float64)[:, None] * (b["y"].to_numpy()[:, None] == np.arange(self.classes))
+
+    def rows(self, total: np.ndarray) -> float:
+        return float(total.sum())
+
+    def single(self, total: np.ndarray) -> bool:
+        return int((total > 0).sum()) <= 1
+
+    def leaf(self, total: np.ndarray) -> int:
+        return int(np.argmax(total))
+
+    def gains(self, total: np.ndarray, left: np.ndarray, least: int) -> np.ndarray:
+        right = total - left
+        n, a, b = total.sum(), left.sum(axis=1), right.sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = lambda s, m: m / n * (1 - ((s / m[:, None]) ** 2).sum(axis=1))
+            gain = 1 - ((total / n) ** 2).sum() - part(left, a) - part(right, b)
+        return np.where((a >= least) & (b >= least) & (b > 0), gain, -np.inf)
+
     def value(self, r) -> int:
         counts = [r[f"t_c{k}"] for k in range(self.classes)]
         return counts.index(max(counts))
@@ -134,6 +158,27 @@ class Variance:
 
     gain = Gini.gain
     allowed = Gini.allowed
+    width = 2
+
+    def stats(self, b: pd.DataFrame) -> np.ndarray:
+        w = b["w"].to_numpy(np.float64)
+        return np.stack([w, w * b["t"].to_numpy(np.float64)], axis=1)
+
+    def rows(self, total: np.ndarray) -> float:
+        return float(total[0])
+
+    def single(self, total: np.ndarray) -> bool:
+        return False
+
+    def leaf(self, total: np.ndarray) -> float:
+        return float(total[1] / total[0])
+
+    def gains(self, total: np.ndarray, left: np.ndarray, least: int) -> np.ndarray:
+        n, s = left.T
+        m, t = total[0] - n, total[1] - s
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = (s * s / n + t * t / m) / total[0] - (total[1] / total[0]) ** 2
+        return np.where((n >= least) & (m >= least) & (m > 0), gain, -np.inf)
 
     def value(self, r) -> float:
         return r["t_s"] / r["t_n"]
@@ -149,6 +194,24 @@ class Gradient:
     penalty: float = 1.0
     cost: float = 0.0
     least_hessian: float = 1.0
+    width = 3
+
+    def stats(self, b: pd.DataFrame) -> np.ndarray:
+        w = b["w"].to_numpy(np.float64)
+        return np.stack([w, w * b["g"].to_numpy(np.float64), w * b["h"].to_numpy(np.float64)], axis=1)
+
+    rows = Variance.rows
+    single = Variance.single
+
+    def leaf(self, total: np.ndarray) -> float:
+        return float(-total[1] / (total[2] + self.penalty))
+
+    def gains(self, total: np.ndarray, left: np.ndarray, least: int) -> np.ndarray:
+        n, g, h = left.T
+        score = lambda a, b: a * a / (b + self.penalty)
+        gain = 0.5 * (score(g, h) + score(total[1] - g, total[2] - h) - score(total[1], total[2])) - self.cost
+        fine = (n > 0) & (total[0] - n > 0) & (h >= self.least_hessian) & (total[2] - h >= self.least_hessian)
+        return np.where(fine, gain, -np.inf)
 
     def sums(self) -> dict[str, Column]:
         return {"n": F.sum("w"), "g": F.sum(F.col("w") * F.col("g")), "h": F.sum(F.col("w") * F.col("h"))}
@@ -195,16 +258,6 @@ def best_splits(flat: DataFrame, by: list[str], criterion: Criterion, min_leaf:
     return per_feature.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
 
 
-def binned(df: DataFrame, bins: int, vector: str = "x") -> DataFrame:
-    """Values rounded up to one of ``bins`` quantiles of their feature."""
-    flat = df.select(F.posexplode(F.col(vector)).alias("idx", "value"))
-    levels = F.percentile_approx("value", F.array(*[F.lit((i + 1) / bins) for i in range(bins)]), 10_000)
-    edges = [sorted(set(r["e"])) for r in flat.groupBy("idx").agg(levels.alias("e")).orderBy("idx").collect()]
-    table = F.array(*[F.array(*[F.lit(float(e)) for e in own]) for own in edges])
-    up = lambda v, i: F.coalesce(F.get(F.filter(F.get(table, i), lambda e: e >= v), F.lit(0)), F.element_at(F.get(table, i), -1))
-    return df.withColumn(vector, F.transform(F.col(vector), up))
-
-
 def grow(rows: DataFrame, criterion: Criterion, max_depth: int | None = None, min_split: int = 2, min_leaf: int = 1, features: dict[int, list[int]] | None = None) -> dict[int, Tree]:
     """Trees by number. ``features``: which features a tree may use; None for all."""
     rows = rows.where("x is not null").withColumn("node", F.lit(1).cast("long"))

@@ -31,18 +31,26 @@ class WordVectorModel:
         return df.select(row_id).join(rows, row_id, "left").select(row_id, F.coalesce("x", F.array_repeat(F.lit(0.0), self.size)).alias("x"))
 
 
+#: Rows whose words one task trains on at a time.
+TASK_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class WordVectors:
+    """Skip-gram vectors. ``partitions``: None takes one per TASK_ROWS rows, whose weights are averaged after each epoch."""
+
     size: int = 100
     window: int = 5
     min_count: int = 5
     epochs: int = 10
     seed: int = 42
-    partitions: int = 1
+    rate: float = 0.025
+    partitions: int | None = None
 
     def fit(self, df: DataFrame, tokens: str = "tokens") -> WordVectorModel:
         rows = df.where(F.col(tokens).isNotNull()).select(F.filter(tokens, lambda t: t.isNotNull()).alias("tokens"))
-        trained = Word2Vec(vectorSize=self.size, windowSize=self.window, minCount=self.min_count, maxIter=self.epochs, seed=self.seed, numPartitions=self.partitions, inputCol="tokens", outputCol="out").fit(rows)
+        partitions = self.partitions or max(1, -(-rows.count() // TASK_ROWS))
+        trained = Word2Vec(vectorSize=self.size, windowSize=self.window, minCount=self.min_count, maxIter=self.epochs, seed=self.seed, stepSize=self.rate, numPartitions=partitions, inputCol="tokens", outputCol="out").fit(rows)
         from pyspark.ml.functions import vector_to_array
 
         return WordVectorModel(trained.getVectors().select("word", vector_to_array("vector").alias("vector")), self.size)
