@@ -38,7 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import SparkFiles
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -190,29 +190,33 @@ def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
     return rows.mapInArrow(_encoder(v), "doc_id long, han boolean, at array<int>")
 
 
-def _matrix(b: pd.DataFrame, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Terms, unit values, row starts and row norms of a batch of statements."""
-    size = b["at"].map(len).to_numpy()
-    at = np.concatenate(b["at"].to_numpy())
-    value = weight[at]
-    start = np.cumsum(size) - size
-    norm = np.sqrt(np.add.reduceat(value * value, start))
-    return at, value / np.repeat(np.maximum(norm, 1e-12), size), start, norm
+_ROWS = 16_384
+BLOCK = 256  # terms summed in one row of a shuffle
+SUM_BLOCKS = 640  # blocks a task sums at once, 96 KB each
 
 
-def _embed(b: pd.DataFrame, weight: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at, value, start, norm = _matrix(b, weight)
-    return np.add.reduceat(basis[at] * value[:, None].astype(np.float32), start), norm
+@dataclass
+class Statements:
+    """Statements of a batch: terms one after another, where each statement starts, and its weight."""
 
+    at: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    norm: np.ndarray
 
-_ROWS = 16_384
-BLOCK = 256  # terms summed in one row of a shuffle
-SUM_BLOCKS = 640  # blocks a task sums at once, 96 KB each
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.start)), self.size)
 
 
-def _pieces(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    for i in range(0, len(b), _ROWS):
-        yield b.iloc[i : i + _ROWS]
+def _pieces(batches: Iterator[pa.RecordBatch], weight: np.ndarray) -> Iterator[tuple[pa.RecordBatch, Statements]]:
+    for whole in batches:
+        for i in range(0, whole.num_rows, _ROWS):
+            b = whole.slice(i, _ROWS)
+            at = b.column("at").flatten().to_numpy()
+            size = np.diff(b.column("at").offsets.to_numpy()).astype(np.int64)
+            start = np.cumsum(size) - size
+            yield b, Statements(at, start, size, np.maximum(np.sqrt(np.add.reduceat(weight[at] ** 2, start)), 1e-12))
 
 
 class Matrix:
@@ -249,86 +253,123 @@ class Matrix:
         return self
 
 
-def _summed(rows: DataFrame, work, shape: tuple[int, int]) -> np.ndarray:
-    """Sum over all partitions of a small matrix."""
+def _summed(rows: DataFrame, work, shape: tuple[int, int], weight: np.ndarray) -> np.ndarray:
+    """Sum over all partitions of a small matrix; one matrix per group of partitions reaches the driver."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, any_ = np.zeros(shape), False
-        for b in batches:
-            for piece in _pieces(b):
-                any_ = True
-                total += work(piece)
+        for b, s in _pieces(batches, weight):
+            any_ = True
+            total += work(b, s)
         if any_:
-            yield pd.DataFrame({"m": [total.tobytes()]})
+            grp = TaskContext.get().partitionId() % GROUPS
+            yield pa.RecordBatch.from_arrays([pa.array([grp], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["grp", "m"])
 
-    parts = rows.mapInPandas(run, "m binary").collect()
+    def add(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"m": [sum(np.frombuffer(m, np.float64) for m in b["m"]).tobytes()]})
+
+    parts = rows.mapInArrow(run, "grp int, m binary").groupBy("grp").applyInPandas(add, "m binary").collect()
     return sum((np.frombuffer(m, np.float64).reshape(shape) for (m,) in parts), np.zeros(shape))
 
 
-def _iterated(rows: DataFrame, v: Vocabulary, basis: Matrix) -> Matrix:
-    """The statements' matrix, transposed, times itself and ``basis``. Of a block of terms only the rows met are moved."""
-    rank = basis.shape[1]
+GROUPS = 64
+
+
+def random_signs(at: np.ndarray, rank: int) -> np.ndarray:
+    """Rows of a fixed random matrix of -1 and 1, worked out from the terms' numbers."""
+    words = -(-rank // 64)
+    mix = (at.astype(np.uint64)[:, None] * np.uint64(words) + np.arange(1, words + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    mix = (mix ^ (mix >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mix = (mix ^ (mix >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    mix ^= mix >> np.uint64(31)
+    return np.unpackbits(mix.view(np.uint8), axis=1)[:, :rank].astype(np.float32) * 2 - 1
+
 
-    def flushed(sums: dict[int, np.ndarray], met: dict[int, np.ndarray]) -> pd.DataFrame:
+def _iterated(rows: DataFrame, v: Vocabulary, basis: Matrix | None, rank: int) -> Matrix:
+    """The statements' matrix, transposed, times itself and ``basis`` (None: random signs).
+
+    Of a block of terms only the rows met are moved, and partitions in groups are
+    added first, so that no task gathers a block of every partition.
+    """
+
+    def flushed(sums: dict[int, np.ndarray], met: dict[int, np.ndarray]) -> pa.RecordBatch:
         own = [(k, np.flatnonzero(met[k]).astype(np.int16).tobytes(), m[met[k]].tobytes()) for k, m in sums.items()]
-        return pd.DataFrame(own, columns=["k", "at", "m"])
+        k, at, m = zip(*own)
+        grp = TaskContext.get().partitionId() % GROUPS
+        return pa.RecordBatch.from_arrays([pa.array([grp] * len(k), pa.int32()), pa.array(k, pa.int32()), pa.array(at, pa.binary()), pa.array(m, pa.binary())], ["grp", "k", "at", "m"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = basis.open()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None if basis is None else basis.open()
         sums: dict[int, np.ndarray] = {}
         met: dict[int, np.ndarray] = {}
-        for b in batches:
-            for piece in _pieces(b):
-                at, value, start, _ = _matrix(piece, v.weight)
-                value = value.astype(np.float32)[:, None]
-                inner = np.add.reduceat(own[at] * value, start)
-                order = np.argsort(at, kind="stable")
-                row = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(at)]))[order]
-                at, value = at[order], value[order]
-                head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                out, at = np.add.reduceat(inner[row] * value, head), at[head]
-                edge = np.flatnonzero(np.r_[True, at[1:] // BLOCK != at[:-1] // BLOCK, True])
-                for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                    k = int(at[i]) // BLOCK
-                    if k not in sums:
-                        sums[k], met[k] = np.zeros((BLOCK, rank), np.float32), np.zeros(BLOCK, bool)
-                    sums[k][at[i:j] % BLOCK] += out[i:j]
-                    met[k][at[i:j] % BLOCK] = True
-                if len(sums) > SUM_BLOCKS:
-                    yield flushed(sums, met)
-                    sums, met = {}, {}
+        for _, s in _pieces(batches, v.weight):
+            far = random_signs(s.at, rank) if own is None else own[s.at]
+            far *= v.weight[s.at, None]
+            # Both sides of the product are divided by the statement's norm; the terms' weights come after the sum.
+            inner = np.add.reduceat(far, s.start) / (s.norm * s.norm)[:, None].astype(np.float32)
+            order = np.argsort(s.at, kind="stable")
+            at = s.at[order]
+            head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            np.take(inner, s.row[order], axis=0, out=far)
+            at = at[head]
+            out = np.add.reduceat(far, head) * v.weight[at, None]
+            edge = np.flatnonzero(np.r_[True, at[1:] // BLOCK != at[:-1] // BLOCK, True])
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                k = int(at[i]) // BLOCK
+                if k not in sums:
+                    sums[k], met[k] = np.zeros((BLOCK, rank), np.float32), np.zeros(BLOCK, bool)
+                sums[k][at[i:j] % BLOCK] += out[i:j]
+                met[k][at[i:j] % BLOCK] = True
+            if len(sums) > SUM_BLOCKS:
+                yield flushed(sums, met)
+                sums, met = {}, {}
         if sums:
             yield flushed(sums, met)
 
     def add(b: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((BLOCK, rank))
+        total, seen = np.zeros((BLOCK, rank)), np.zeros(BLOCK, bool)
         for at, m in zip(b["at"], b["m"]):
-            total[np.frombuffer(at, np.int16)] += np.frombuffer(m, np.float32).reshape(-1, rank)
-        return pd.DataFrame({"k": [b["k"].iloc[0]], "m": [total.astype(np.float32).tobytes()]})
-
-    out = Matrix(basis.shape)
+            own_at = np.frombuffer(at, np.int16)
+            total[own_at] += np.frombuffer(m, np.float32).reshape(-1, rank)
+            seen[own_at] = True
+        return pd.DataFrame({"k": [b["k"].iloc[0]], "at": [np.flatnonzero(seen).astype(np.int16).tobytes()], "m": [total[seen].astype(np.float32).tobytes()]})
+
+    parts = rows.mapInArrow(run, "grp int, k int, at binary, m binary")
+    if rows.rdd.getNumPartitions() > GROUPS:
+        parts = parts.groupBy("grp", "k").applyInPandas(add, "k int, at binary, m binary")
+    out = Matrix((len(v.names), rank))
     x = out.writable()
-    for k, m in rows.mapInPandas(run, "k int, at binary, m binary").groupBy("k").applyInPandas(add, "k int, m binary").toLocalIterator():
-        own = x[k * BLOCK : (k + 1) * BLOCK]
-        own[:] = np.frombuffer(m, np.float32).reshape(-1, rank)[: len(own)]
+    for k, at, m in parts.groupBy("k").applyInPandas(add, "k int, at binary, m binary").toLocalIterator():
+        x[k * BLOCK + np.frombuffer(at, np.int16).astype(np.int64)] = np.frombuffer(m, np.float32).reshape(-1, rank)
     x.flush()
     return out
 
 
 def svd_basis(rows: DataFrame, v: Vocabulary, rank: int = RANK, passes: int = 2) -> Matrix:
     """Right singular vectors of the statements' matrix: terms by rank."""
-    spark = rows.sparkSession
-    basis = Matrix((len(v.names), rank))
-    x, rng = basis.writable(), np.random.default_rng(5)
-    for i in range(0, len(x), _ROWS):
-        x[i : i + _ROWS] = rng.standard_normal(x[i : i + _ROWS].shape)
-    x.flush()
-    basis = basis.orthonormal().shared(spark)
+    basis = None
     for _ in range(passes):
-        basis = _iterated(rows, v, basis).orthonormal().shared(spark)
+        basis = _iterated(rows, v, basis, rank).orthonormal().shared(rows.sparkSession)
     return basis
 
 
+def measured(rows: DataFrame, v: Vocabulary, basis: Matrix) -> DataFrame:
+    """With ``length``: of each statement's image in the space, the norms of the statement and the image multiplied."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = basis.open()
+        for b, s in _pieces(batches, v.weight):
+            far = own[s.at]
+            far *= v.weight[s.at, None]
+            e = np.add.reduceat(far, s.start)
+            length = np.sqrt(np.einsum("ij,ij->i", e, e))
+            # Too light a statement is on no class.
+            length[s.norm < LEAST_WEIGHT] = np.inf
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(length.astype(np.float32))], ["doc_id", "han", "at", "length"])
+
+    return rows.mapInArrow(run, "doc_id long, han boolean, at array<int>, length float")
+
+
 def seeds(v: Vocabulary, basis: Matrix) -> np.ndarray:
     """2 * CLASSES centroids: of statements in other scripts, then of such in ideographs."""
     x = basis.writable()
@@ -339,29 +380,44 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def assign(b: pd.DataFrame, weight: np.ndarray, basis: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Centroid (-1: none), cosine, norm and direction of each statement."""
-    e, norm = _embed(b, weight, basis)
-    e = _scaled(e)
-    near = e @ centers.T
-    han = b["han"].to_numpy().astype(bool)
-    near[han, :CLASSES] = -1
-    near[~han, CLASSES:] = -1
-    best = np.argmax(near, axis=1)
-    cosine = near[np.arange(len(b)), best]
-    return np.where((norm >= LEAST_WEIGHT) & (cosine >= LEAST_COSINE), best, -1), cosine, norm, e
+def projected(v: Vocabulary, basis: Matrix, centers: np.ndarray) -> Matrix:
+    """What each term adds to the inner products with the centroids: terms by centroids."""
+    out = Matrix((len(v.names), len(centers)))
+    x, y = basis.writable(), out.writable()
+    for i in range(0, len(x), _ROWS):
+        y[i : i + _ROWS] = (x[i : i + _ROWS] @ centers.T) * v.weight[i : i + _ROWS, None]
+    y.flush()
+    return out
 
 
-def refine(rows: DataFrame, v: Vocabulary, basis: Matrix, centers: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    for _ in range(rounds):
+def assign(b: pa.RecordBatch, s: Statements, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centroid (-1: none) of each statement, and the length of its image."""
+    length = np.maximum(b.column("length").to_numpy(), 1e-12)
+    inner = np.add.reduceat(near[s.at], s.start)
+    han = b.column("han").to_numpy(zero_copy_only=False)
+    inner[han, :CLASSES] = -np.inf
+    inner[~han, CLASSES:] = -np.inf
+    best = np.argmax(inner, axis=1)
+    with np.errstate(invalid="ignore"):
+        cosine = np.where(np.isfinite(length), inner[np.arange(len(best)), best] / length, -1)
+    return np.where(cosine >= LEAST_COSINE, best, -1), length
 
-        def work(b: pd.DataFrame, centers: np.ndarray = centers) -> np.ndarray:
-            best, _, _, e = assign(b, v.weight, basis.open(), centers)
-            out = np.zeros(centers.shape)
-            np.add.at(out, best[best >= 0], e[best >= 0])
-            return out
 
-        moved = _summed(rows, work, centers.shape)
+def refine(rows: DataFrame, v: Vocabulary, basis: Matrix, centers: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Centroids moved to the sum of the directions of the statements assigned to them."""
+    for _ in range(rounds):
+        near = projected(v, basis, centers).shared(rows.sparkSession)
+
+        def work(b: pa.RecordBatch, s: Statements, near: Matrix = near) -> np.ndarray:
+            best, length = assign(b, s, near.open())
+            row = s.row
+            on = best[row] >= 0
+            terms, place = np.unique(s.at[on], return_inverse=True)
+            value = v.weight[s.at[on]] / length[row[on]]
+            cells = np.bincount(best[row[on]] * len(terms) + place, value, len(centers) * len(terms)).reshape(len(centers), -1)
+            return cells @ basis.open()[terms]
+
+        moved = _summed(rows, work, centers.shape, v.weight)
         some = moved.any(axis=1)
         centers = np.where(some[:, None], _scaled(moved), centers)
     return centers
@@ -369,16 +425,18 @@ def refine(rows: DataFrame, v: Vocabulary, basis: Matrix, centers: np.ndarray, r
 
 def on_classes(rows: DataFrame, v: Vocabulary, basis: Matrix | None, centers: np.ndarray) -> DataFrame:
     """``doc_id, label_id, statements``: how many statements of each document are on each class."""
+    if basis is None:
+        return rows.where("false").selectExpr("doc_id", "0 as label_id", "0L as statements")
+    near = projected(v, basis, centers).shared(rows.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for piece in _pieces(b):
-                best = assign(piece, v.weight, basis.open(), centers)[0]
-                on = best >= 0
-                own = pd.DataFrame({"doc_id": piece["doc_id"].to_numpy()[on], "label_id": (best[on] % CLASSES).astype(np.int32)})
-                yield own.groupby(["doc_id", "label_id"]).size().rename("n").reset_index()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, s in _pieces(batches, v.weight):
+            best, _ = assign(b, s, near.open())
+            on = best >= 0
+            own = pd.DataFrame({"doc_id": b.column("doc_id").to_numpy()[on], "label_id": (best[on] % CLASSES).astype(np.int32)})
+            yield pa.RecordBatch.from_pandas(own.groupby(["doc_id", "label_id"]).size().rename("n").reset_index(), preserve_index=False)
 
-    return rows.mapInPandas(run, "doc_id long, label_id int, n long").groupBy("doc_id", "label_id").agg(F.sum("n").alias("statements"))
+    return rows.mapInArrow(run, "doc_id long, label_id int, n long").groupBy("doc_id", "label_id").agg(F.sum("n").alias("statements"))
 
 
 def model(headlines: DataFrame, docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Vocabulary, Matrix | None, np.ndarray]:
@@ -388,6 +446,7 @@ def model(headlines: DataFrame, docs: DataFrame, labels: DataFrame) -> tuple[Dat
     if not v.names:
         return rows, v, None, np.zeros((2 * CLASSES, RANK), np.float32)
     basis = svd_basis(rows, v, min(RANK, len(v.names)))
+    rows = cut(measured(rows, v, basis))
     return rows, v, basis, refine(rows, v, basis, seeds(v, basis))
 
 
