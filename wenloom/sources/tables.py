@@ -18,7 +18,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach; the session's own setting wins.
 
-    Only where the setting is empty (local tests) a temporary folder is made.
+    Only where the setting is empty and the master local (tests) a temporary
+    folder is made; a cluster without one is an error.
     """
     sc = spark.sparkContext
     told = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
@@ -26,6 +27,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         told = tempfile.mkdtemp(prefix="wenloom-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(told)
@@ -40,6 +43,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` has written and nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    root = checkpoint_dir(df.sparkSession).rstrip("/")
+    for file in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if path.getName().startswith("wenloom-") and path.getParent().toString().split(":")[-1].rstrip("/").endswith(root.split(":")[-1].lstrip("/")):
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            return
+
+
 def spread(df: DataFrame, waves: int = 3) -> DataFrame:
     """Rebalance a scan that yields fewer partitions than ``waves`` per core.
 
