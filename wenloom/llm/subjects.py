@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wenloom.llm import looks
-from wenloom.sources.tables import cut
+from wenloom.sources.tables import cut, release
 
 CLASSES = 10
 RANK = 96
@@ -101,33 +101,36 @@ def cut_texts(texts: list[str | None]) -> Cut:
     return Cut(text, pair, np.fromiter((k for k, _ in seen), np.int64, len(seen)), [w for _, w in seen])
 
 
+_COUNTS = [f"n{k}" for k in range(CLASSES)]
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms of labelled texts, counted per batch before they are shuffled."""
+    """Terms of labelled texts with their counts by class, added up per batch before they are shuffled."""
     for b in batches:
         labels = b.column("labels").to_pylist()
         c = cut_texts(b.column("text").to_pylist())
-        terms, label, n = [], [], []
+        number = {w: i for i, w in enumerate(dict.fromkeys(c.words))}
+        word = np.fromiter((number[w] for w in c.words), np.int64, len(c.words))
+        pair, back = np.unique(c.pair & 0xFFFFFFFF, return_inverse=True)
+        term, statement = np.concatenate([back, word + len(pair)]), np.concatenate([c.pair >> 32, c.word_at])
+        n = np.zeros((CLASSES, len(pair) + len(number)), np.int64)
         for k in range(CLASSES):
             own = np.fromiter((k in x for x in labels), bool, len(labels))[c.text]
-            if not own.any():
-                continue
-            key, count = np.unique(c.pair[own[c.pair >> 32]] & 0xFFFFFFFF, return_counts=True)
-            words = Counter(w for w, t in zip(c.words, own[c.word_at].tolist()) if t)
-            terms += [chr(x >> 16) + chr(x & 0xFFFF) for x in key.tolist()] + list(words)
-            n += count.tolist() + list(words.values())
-            label += [k] * (len(key) + len(words))
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(label, pa.int32()), pa.array(n, pa.int64())], ["term", "label", "n"])
+            n[k] = np.bincount(term[own[statement]], minlength=n.shape[1])
+        some = n.any(axis=0)
+        names = [chr(x >> 16) + chr(x & 0xFFFF) for x in pair.tolist()] + list(number)
+        terms = [w for w, on in zip(names, some.tolist()) if on]
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array(x[some]) for x in n]], ["term", *_COUNTS])
 
 
 def term_counts(headlines: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``term, n``: for each term its counts by class, from all labelled rows."""
+    """``term, n0 ...``: for each term its counts by class, from all labelled rows."""
     fine = F.col("label_id").between(0, CLASSES - 1)
     one = headlines.where(fine).select("text", F.array("label_id").alias("labels"))
     own = labels.where(fine).groupBy("doc_id").agg(F.collect_set("label_id").alias("labels"))
     rows = one.unionByName(docs.join(own, "doc_id").select("text", "labels"))
-    flat = rows.mapInArrow(_counted, "term string, label int, n long").groupBy("term", "label").agg(F.sum("n").alias("n"))
-    sums = [F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(CLASSES)]
-    return flat.groupBy("term").agg(*sums).where(" + ".join(f"n{k}" for k in range(CLASSES)) + f" >= {LEAST_COUNT}")
+    counted = rows.mapInArrow(_counted, "term string, " + ", ".join(f"{n} long" for n in _COUNTS))
+    return counted.groupBy("term").agg(*[F.sum(n).alias(n) for n in _COUNTS]).where(" + ".join(_COUNTS) + f" >= {LEAST_COUNT}")
 
 
 class Vocabulary:
@@ -285,6 +288,17 @@ def random_signs(at: np.ndarray, rank: int) -> np.ndarray:
     return np.unpackbits(mix.view(np.uint8), axis=1)[:, :rank].astype(np.float32) * 2 - 1
 
 
+def _halved(x: np.ndarray) -> bytes:
+    """Rows of numbers for the way to the next task: the largest of each row, and the others by it in half precision."""
+    top = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-30).astype(np.float32)
+    return np.concatenate([top.view(np.float16), (x / top).astype(np.float16)], axis=1).tobytes()
+
+
+def _read(m: bytes, rank: int) -> np.ndarray:
+    x = np.frombuffer(m, np.float16).reshape(-1, rank + 2)
+    return x[:, 2:].astype(np.float32) * np.ascontiguousarray(x[:, :2]).view(np.float32)
+
+
 def _iterated(rows: DataFrame, v: Vocabulary, basis: Matrix | None, rank: int) -> Matrix:
     """The statements' matrix, transposed, times itself and ``basis`` (None: random signs).
 
@@ -293,7 +307,7 @@ def _iterated(rows: DataFrame, v: Vocabulary, basis: Matrix | None, rank: int) -
     """
 
     def flushed(sums: dict[int, np.ndarray], met: dict[int, np.ndarray]) -> pa.RecordBatch:
-        own = [(k, np.flatnonzero(met[k]).astype(np.int16).tobytes(), m[met[k]].tobytes()) for k, m in sums.items()]
+        own = [(k, np.flatnonzero(met[k]).astype(np.int16).tobytes(), _halved(m[met[k]])) for k, m in sums.items()]
         k, at, m = zip(*own)
         grp = TaskContext.get().partitionId() % GROUPS
         return pa.RecordBatch.from_arrays([pa.array([grp] * len(k), pa.int32()), pa.array(k, pa.int32()), pa.array(at, pa.binary()), pa.array(m, pa.binary())], ["grp", "k", "at", "m"])
@@ -330,9 +344,9 @@ def _iterated(rows: DataFrame, v: Vocabulary, basis: Matrix | None, rank: int) -
         total, seen = np.zeros((BLOCK, rank)), np.zeros(BLOCK, bool)
         for at, m in zip(b["at"], b["m"]):
             own_at = np.frombuffer(at, np.int16)
-            total[own_at] += np.frombuffer(m, np.float32).reshape(-1, rank)
+            total[own_at] += _read(m, rank)
             seen[own_at] = True
-        return pd.DataFrame({"k": [b["k"].iloc[0]], "at": [np.flatnonzero(seen).astype(np.int16).tobytes()], "m": [total[seen].astype(np.float32).tobytes()]})
+        return pd.DataFrame({"k": [b["k"].iloc[0]], "at": [np.flatnonzero(seen).astype(np.int16).tobytes()], "m": [_halved(total[seen])]})
 
     parts = rows.mapInArrow(run, "grp int, k int, at binary, m binary")
     if rows.rdd.getNumPartitions() > GROUPS:
@@ -340,7 +354,7 @@ def _iterated(rows: DataFrame, v: Vocabulary, basis: Matrix | None, rank: int) -
     out = Matrix((len(v.names), rank))
     x = out.writable()
     for k, at, m in parts.groupBy("k").applyInPandas(add, "k int, at binary, m binary").toLocalIterator():
-        x[k * BLOCK + np.frombuffer(at, np.int16).astype(np.int64)] = np.frombuffer(m, np.float32).reshape(-1, rank)
+        x[k * BLOCK + np.frombuffer(at, np.int16).astype(np.int64)] = _read(m, rank)
     x.flush()
     return out
 
@@ -446,7 +460,8 @@ def model(headlines: DataFrame, docs: DataFrame, labels: DataFrame) -> tuple[Dat
     if not v.names:
         return rows, v, None, np.zeros((2 * CLASSES, RANK), np.float32)
     basis = svd_basis(rows, v, min(RANK, len(v.names)))
-    rows = cut(measured(rows, v, basis))
+    plain, rows = rows, cut(measured(rows, v, basis))
+    release(plain)
     return rows, v, basis, refine(rows, v, basis, seeds(v, basis))
 
 
