@@ -240,6 +240,9 @@ class Matrix:
     def open(self) -> np.ndarray:
         return np.load(SparkFiles.get(self.name), mmap_mode="r")
 
+    def done(self) -> None:
+        """It stays: an executor that comes later may still fetch it."""
+
     def orthonormal(self) -> Matrix:
         """Its columns made orthonormal in place, by blocks of rows; those without own direction become zero."""
         x = self.writable()
@@ -394,14 +397,34 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def projected(v: Vocabulary, basis: Matrix, centers: np.ndarray) -> Matrix:
+SENT_BYTES = 64_000_000
+
+
+class Sent:
+    """A matrix of at most SENT_BYTES as a broadcast that can be taken back."""
+
+    def __init__(self, spark: SparkSession, x: np.ndarray):
+        self.value = spark.sparkContext.broadcast(x)
+
+    def open(self) -> np.ndarray:
+        return self.value.value
+
+    def done(self) -> None:
+        self.value.destroy()
+
+
+def projected(spark: SparkSession, v: Vocabulary, basis: Matrix, centers: np.ndarray) -> Matrix | Sent:
     """What each term adds to the inner products with the centroids: terms by centroids."""
-    out = Matrix((len(v.names), len(centers)))
-    x, y = basis.writable(), out.writable()
+    shape = (len(v.names), len(centers))
+    small = 4 * shape[0] * shape[1] <= SENT_BYTES
+    out = None if small else Matrix(shape)
+    x, y = basis.writable(), np.empty(shape, np.float32) if small else out.writable()
     for i in range(0, len(x), _ROWS):
         y[i : i + _ROWS] = (x[i : i + _ROWS] @ centers.T) * v.weight[i : i + _ROWS, None]
+    if small:
+        return Sent(spark, y)
     y.flush()
-    return out
+    return out.shared(spark)
 
 
 def assign(b: pa.RecordBatch, s: Statements, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -420,9 +443,9 @@ def assign(b: pa.RecordBatch, s: Statements, near: np.ndarray) -> tuple[np.ndarr
 def refine(rows: DataFrame, v: Vocabulary, basis: Matrix, centers: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Centroids moved to the sum of the directions of the statements assigned to them."""
     for _ in range(rounds):
-        near = projected(v, basis, centers).shared(rows.sparkSession)
+        near = projected(rows.sparkSession, v, basis, centers)
 
-        def work(b: pa.RecordBatch, s: Statements, near: Matrix = near) -> np.ndarray:
+        def work(b: pa.RecordBatch, s: Statements, near: Matrix | Sent = near) -> np.ndarray:
             best, length = assign(b, s, near.open())
             row = s.row
             on = best[row] >= 0
@@ -432,6 +455,7 @@ def refine(rows: DataFrame, v: Vocabulary, basis: Matrix, centers: np.ndarray, r
             return cells @ basis.open()[terms]
 
         moved = _summed(rows, work, centers.shape, v.weight)
+        near.done()
         some = moved.any(axis=1)
         centers = np.where(some[:, None], _scaled(moved), centers)
     return centers
@@ -441,7 +465,7 @@ def on_classes(rows: DataFrame, v: Vocabulary, basis: Matrix | None, centers: np
     """``doc_id, label_id, statements``: how many statements of each document are on each class."""
     if basis is None:
         return rows.where("false").selectExpr("doc_id", "0 as label_id", "0L as statements")
-    near = projected(v, basis, centers).shared(rows.sparkSession)
+    near = projected(rows.sparkSession, v, basis, centers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, s in _pieces(batches, v.weight):
