@@ -1,6 +1,9 @@
 import base64
 import itertools
+import pathlib
 import random
+import subprocess
+import sys
 import unicodedata
 
 import numpy as np
@@ -375,6 +378,47 @@ def test_leaks(spark):
     assert leaks.passages(d.where("false"), t).count() == leaks.passages(d, t.where("false")).count() == 0
 
 
+REPETITIVE = """
+import resource
+import numpy as np
+from wenloom.llm import leaks
+unit = "春风又绿江南岸明月何时照我还此处有一句重复的话"
+own = leaks.Items([(0, unit * 3 + "".join(chr(0x5000 + i) for i in range(80))), (1, unit * 4)])
+doc = unit[:20] * 50_000 + (unit * 3)[5:] + "".join(chr(0x5000 + i) for i in range(40)) + unit * 400
+found = leaks.search(own, leaks.Index([doc]), [np.frombuffer(doc.encode("utf-32-le"), np.uint32)])
+print(len(doc), sorted({f[0] for f in found}), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1000)
+"""
+
+
+def test_repetitive_documents_need_little_memory():
+    out = subprocess.run([sys.executable, "-c", REPETITIVE], capture_output=True, text=True, cwd=pathlib.Path(__file__).parents[2], check=True).stdout
+    size, rest = out.split(" ", 1)
+    found, peak = rest.rsplit(" ", 1)
+    assert int(size) > 1_000_000 and found == "[0, 1]" and int(peak) < 1_000
+
+
+def test_long_items_with_shifts():
+    rng = random.Random(3)
+    item = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(2_000))
+    part = item[300:1500]
+    noisy = part[:200] + "增" + part[200:500] + part[501:900] + "改" + part[901:]
+    doc = "前" * 50 + noisy + "后" * 50
+    own = leaks.Items([(0, item)])
+    found = leaks.search(own, leaks.Index([doc, ""]), [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (doc, "")])
+    assert len(found) == 1 and found[0][:2] == (0, 0) and abs(found[0][2] - 300) <= 70 and found[0][3] <= 55 and found[0][4] >= 1_150
+    assert leaks.merged([(0, 10, 5), (3, 14, 6), (0, 40, 5)]) == [(0, 10, 10), (0, 40, 5)]
+
+
+def test_many_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 200)
+    monkeypatch.setattr(leaks, "SHARD_CHARS", 300)
+    rng = random.Random(1)
+    word = [("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(60))) for _ in range(12)]
+    d = spark.createDataFrame([(i, "前言" + w + "后记") for i, w in enumerate(word)], "doc_id long, text string").repartition(3)
+    got = {tuple(r) for r in leaks.leaked(leaks.passages(d, d.selectExpr("doc_id as item_id", "substring(text, 3, 60) as text"))).collect()}
+    assert got == {(i, i) for i in range(12)}
+
+
 @pytest.mark.parametrize("n", [3, 10, 19, 20, 21, 40, 61, 120, 400])
 def test_phrases_cannot_be_missed(n):
     length, stride, need = leaks.plan(n)

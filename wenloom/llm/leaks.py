@@ -9,11 +9,14 @@ added character in twenty.
 Such a piece of L characters has an unaltered stretch of at least
 (L - L//20) / (L//20 + 1); phrases of a length and stride that no such stretch
 can miss are searched backwards in an FM-index of each shard of documents.
-Positions come from sampled suffixes. Documents with enough phrases near one
-diagonal are aligned with the item, and the spans come out merged.
+Positions come from sampled suffixes. Diagonals of a pair of item and document
+fall into overlapping windows of bounded width, each as wide as the shifts of a
+whole piece and more; windows with enough different phrases are aligned, and the
+spans of a pair that touch come out merged.
 
-Items are searched in blocks of bounded size; only a block is sent to the
-tasks. Documents aren't shuffled.
+Items are searched in blocks of bounded size. Each block is a file that executors
+fetch; an index is built once per shard and searched for all blocks. Documents
+aren't shuffled.
 
 Defined cases: null, empty and blank documents hold nothing; items without
 letters beyond the lead-in leak nowhere; equal items and repeated documents
@@ -22,13 +25,18 @@ are reported each by their own id; a text of any length is indexed whole.
 
 from __future__ import annotations
 
+import os
+import pickle
+import tempfile
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,54 +92,113 @@ def longest(value: np.ndarray, allow: int = 0) -> tuple[int, int]:
     return int(low[k]), int(end[k] - low[k])
 
 
+WINDOW = 64
+_GAP = np.zeros(1, np.uint32)
+STEP_ROWS = 256
+
+
+def straight(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray) -> tuple[int, int, int]:
+    """The first piece of half the item on one diagonal, those with most phrases first."""
+    n = len(item)
+    own, many = np.unique(diagonals, return_counts=True)
+    for d in own[np.argsort(-many, kind="stable")].tolist():
+        lo, hi = max(0, -d), min(n, len(doc) - d)
+        same = doc[lo + d : hi + d] == item[lo:hi]
+        # A piece of half the item has no more alterations than these.
+        if 2 * np.count_nonzero(same) < n - n // RARE - 1:
+            continue
+        a, size = longest(np.where(same, 1, 1 - RARE))
+        if 2 * size >= n:
+            return lo + a, lo + a + d, size
+    return 0, 0, 0
+
+
+def plausible(item: np.ndarray, texts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each place in the joined texts where the item would begin, by a window's least diagonal: whether enough of it is near.
+
+    A piece of L characters leaves at most (3 L + 40) / 20 of them in no run of
+    three on any diagonal, see ``align``; that bound is worked out for many windows
+    at once, for those no wider than a piece's shifts.
+    """
+    n, slack = len(item), len(item) // RARE
+    out = np.zeros(len(at), bool)
+    reach = np.arange(-slack, n + 2 * slack)
+    step = max(1, 2_000_000 // len(reach))
+    for i in range(0, len(at), step):
+        near = texts[np.clip(at[i : i + step, None] + reach, 0, len(texts) - 1)]
+        some = np.zeros((len(near), max(0, n - 2)), bool)
+        for d in range(3 * slack + 1):
+            same = near[:, d : d + n] == item
+            some |= same[:, :-2] & same[:, 1:-1] & same[:, 2:]
+        covered = np.zeros((len(near), n), bool)
+        for k in range(3):
+            covered[:, k : n - 2 + k] |= some
+        out[i : i + step] = covered.sum(axis=1) >= 0.425 * n - 2
+    return out
+
+
+def _same(item: np.ndarray, doc: np.ndarray, d: np.ndarray, i: int, j: int) -> np.ndarray:
+    """Where characters i to j of the item equal the document's on the diagonals."""
+    at = np.arange(i, j)[:, None] + d
+    return (doc[np.clip(at, 0, len(doc) - 1)] == item[i:j, None]) & (at >= 0) & (at < len(doc))
+
+
+def _covered(item: np.ndarray, doc: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Characters of the item in a run of three on any of the diagonals."""
+    n = len(item)
+    out = np.zeros(n, bool)
+    for i in range(0, n, STEP_ROWS):
+        same = _same(item, doc, d, i, min(n, i + STEP_ROWS + 2))
+        some = np.flatnonzero((same[:-2] & same[1:-1] & same[2:]).any(axis=1)) + i
+        for k in range(3):
+            out[some + k] = True
+    return out
+
+
 def align(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray) -> tuple[int, int, int]:
-    """Start in the item, start in the document and length of the longest shared piece near the diagonals."""
+    """Start in the item, start in the document and length of the longest shared piece near the diagonals.
+
+    Scores are kept for every STEP_ROWS characters and the rows between are worked
+    out again on the way back, so that memory grows with the window's width only.
+    """
     n = len(item)
     slack = n // RARE
-    own = np.unique(diagonals)
-    d = np.arange(own[0] - slack, own[-1] + slack + 1)
-    at = np.arange(n)[:, None] + d
-    same = (at >= 0) & (at < len(doc))
-    same &= doc[np.clip(at, 0, len(doc) - 1)] == item[:, None]
-    # One diagonal that does is enough.
-    matched = same.sum(axis=0)
-    for k in own[np.argsort(-matched[own - d[0]], kind="stable")] - d[0]:
-        if 2 * matched[k] < n - slack - 1 and len(d) > 1:
-            break
-        a, size = longest(np.where(same[:, k], 1, 1 - RARE))
-        if 2 * size >= n or len(d) == 1:
-            return a, a + int(d[k]), size
+    found = straight(item, doc, diagonals)
+    if found[2] or not slack:
+        return found
+    d = np.arange(int(diagonals.min()) - slack, int(diagonals.max()) + slack + 1)
     # A piece with e alterations has e + 1 unaltered runs; each either has three
     # characters or loses two, so few of its characters lie in no run of three.
-    run = same[:-2] & same[1:-1] & same[2:]
-    covered = np.zeros(n, bool)
-    if n > 2:
-        some = run.any(axis=1)
-        covered[:-2] |= some
-        covered[1:-1] |= some
-        covered[2:] |= some
-    if 2 * longest(np.where(covered, 3, 3 - RARE), 2 * RARE)[1] < n:
+    if 2 * longest(np.where(_covered(item, doc, d), 3, 3 - RARE), 2 * RARE)[1] < n:
         return 0, 0, 0
-    value = np.where(same, 1, 1 - RARE)
-    slope = RARE * np.arange(len(d))
-    score = np.zeros(len(d))
-    source = np.empty((n, len(d)), np.int32)
-    for i in range(n):
-        raised = score + slope
-        best = np.maximum.accumulate(raised)
-        stay = best - slope + value[i]
-        drop = np.append(score[1:], -np.inf) + 1 - RARE
-        origin = np.maximum.accumulate(np.where(raised == best, np.arange(len(d)), 0))
-        down = drop > stay
-        source[i] = np.where(down, np.arange(len(d)) + 1, origin)
-        score = np.where(down, drop, stay)
-    path, k = np.empty(n, np.int64), int(np.argmax(score))
-    gain = np.empty(n)
-    for i in reversed(range(n)):
-        path[i] = k
-        k2 = int(source[i, k])
-        gain[i] = 1 - RARE if k2 > k else value[i, k] - RARE * (k - k2)
-        k = k2
+    slope, width = RARE * np.arange(len(d)), np.arange(len(d))
+
+    def rows(score: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        value = np.where(_same(item, doc, d, i, j), 1, 1 - RARE)
+        source = np.empty((j - i, len(d)), np.int32)
+        drop = np.full(len(d), -np.inf)
+        for r in range(j - i):
+            raised = score + slope
+            best = np.maximum.accumulate(raised)
+            stay = best - slope + value[r]
+            drop[:-1] = score[1:] + (1 - RARE)
+            down = drop > stay
+            source[r] = np.where(down, width + 1, np.maximum.accumulate(np.where(raised == best, width, 0)))
+            score = np.where(down, drop, stay)
+        return score, source, value
+
+    starts = list(range(0, n, STEP_ROWS))
+    kept = [np.zeros(len(d))]
+    for i in starts:
+        kept.append(rows(kept[-1], i, min(n, i + STEP_ROWS))[0])
+    path, gain, k = np.empty(n, np.int64), np.empty(n), int(np.argmax(kept[-1]))
+    for i, score in zip(reversed(starts), reversed(kept[:-1])):
+        _, source, value = rows(score, i, min(n, i + STEP_ROWS))
+        for r in reversed(range(len(source))):
+            path[i + r] = k
+            k2 = int(source[r, k])
+            gain[i + r] = 1 - RARE if k2 > k else value[r, k] - RARE * (k - k2)
+            k = k2
     a, size = longest(gain)
     return a, a + int(d[path[min(a, n - 1)]]), size
 
@@ -157,9 +224,20 @@ class Items:
             self.phrases.append((matrix, np.cumsum(many) - many, many, uses))
 
 
-def search(items: Items, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans (start in the item, start in the text, length) of one pair, those that touch in the text as one."""
+    out: list[tuple[int, int, int]] = []
+    for i, j, n in sorted(spans, key=lambda s: s[1]):
+        if out and j <= out[-1][1] + out[-1][2]:
+            a, b, m = out[-1]
+            out[-1] = min(a, i), b, max(m, j + n - b)
+        else:
+            out.append((i, j, n))
+    return out
+
+
+def search(items: Items, index: Index, codes: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
     """Item, text, start in the item, start in the text and length of every leaked passage."""
-    index = Index(texts)
     hits = []
     for matrix, first, many, uses in items.phrases:
         phrase, position = index.search(matrix)
@@ -172,34 +250,70 @@ def search(items: Items, texts: list[str]) -> list[tuple[int, int, int, int, int
     item, place, position = np.concatenate(hits).T
     doc = np.searchsorted(index.starts, position, "right") - 1
     diagonal = position - index.starts[doc] - place
-    order = np.lexsort((diagonal, doc, item))
-    item, doc, diagonal = item[order], doc[order], diagonal[order]
-    # Neighbouring diagonals of one pair of item and text form a group.
-    slack = np.array([len(c) // RARE for c in items.codes])[item]
-    new = np.r_[True, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(diagonal) > slack[1:])]
+    # A window begins every ``step`` diagonals and reaches a piece's shifts into the next.
+    size = np.array([len(c) for c in items.codes], np.int64)[item]
+    slack = size // RARE
+    step = 4 * slack + WINDOW
+    window = (diagonal + size) // step
+    both = np.flatnonzero((diagonal + size) - window * step <= slack)
+    item, doc, diagonal, place, window = (np.r_[x, x[both]] for x in (item, doc, diagonal, place, window))
+    window[len(window) - len(both) :] -= 1
+    order = np.lexsort((place, window, doc, item))
+    item, doc, diagonal, place, window = (x[order] for x in (item, doc, diagonal, place, window))
+    new = np.r_[True, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (window[1:] != window[:-1])]
     starts = np.flatnonzero(new)
-    size = np.diff(np.r_[starts, len(item)])
-    out, codes = [], {}
-    for a, n in zip(starts[size >= items.need[item[starts]]], size[size >= items.need[item[starts]]]):
-        k, t = int(item[a]), int(doc[a])
-        if t not in codes:
-            codes[t] = np.frombuffer(texts[t].encode("utf-32-le", "surrogatepass"), np.uint32)
-        own = items.codes[k]
-        i, j, length = align(own, codes[t], diagonal[a : a + n])
-        if 2 * length >= len(own) and length:
-            out.append((k, t, i, j, length))
-    return out
-
-
-def _searcher(items: Items):
+    ends = np.r_[starts[1:], len(item)]
+    different = np.add.reduceat(np.r_[True, (place[1:] != place[:-1])] | new, starts, dtype=np.int64)
+    enough = different >= items.need[item[starts]]
+    low, high = np.minimum.reduceat(diagonal, starts), np.maximum.reduceat(diagonal, starts)
+    texts = np.concatenate([x for c in codes for x in (c, _GAP)])
+    for k in np.unique(item[starts[enough]]).tolist():
+        own = np.flatnonzero(enough & (item[starts] == k))
+        own = own[high[own] - low[own] <= len(items.codes[k]) // RARE]
+        if len(items.codes[k]) > 2:
+            enough[own] = plausible(items.codes[k], texts, index.starts[doc[starts[own]]] + low[own])
+    spans: dict[tuple[int, int], list] = defaultdict(list)
+    for a, b in zip(starts[enough].tolist(), ends[enough].tolist()):
+        own = items.codes[item[a]]
+        found = align(own, codes[doc[a]], diagonal[a:b])
+        if found[2] and 2 * found[2] >= len(own):
+            spans[int(item[a]), int(doc[a])].append(found)
+    return [(k, t, *s) for (k, t), own in spans.items() for s in merged(own)]
+
+
+class Blocks:
+    """Blocks of items as files that each executor fetches once; a single block is kept open."""
+
+    def __init__(self, spark: SparkSession, blocks: Iterator[Items]):
+        self.names = []
+        for block in blocks:
+            path = os.path.join(tempfile.gettempdir(), f"items-{uuid.uuid4().hex}.pickle")
+            with open(path, "wb") as f:
+                pickle.dump(block, f)
+            spark.sparkContext.addFile(path)
+            self.names.append(os.path.basename(path))
+
+    def __iter__(self) -> Iterator[Items]:
+        for name in self.names:
+            with open(SparkFiles.get(name), "rb") as f:
+                yield pickle.load(f)
+
+
+def _searcher(blocks: Blocks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            found = search(items, texts) if any(texts) else []
-            k, t, i, j, n = np.array(found, np.int64).reshape(-1, 5).T
+            found: list[tuple[int, int, int, int, int]] = []
+            if any(texts):
+                index = Index(texts)
+                codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+                for items in only or blocks:
+                    found += [(items.ids[k], *rest) for k, *rest in search(items, index, codes)]
+            item, t, i, j, n = np.array(found, np.int64).reshape(-1, 5).T
             docs = pa.concat_arrays(ids).take(pa.array(t))
-            cols = [pa.array(np.array(items.ids, np.int64)[k]), docs, pa.array(i), pa.array(j), pa.array(n)]
+            cols = [pa.array(item), docs, pa.array(i), pa.array(j), pa.array(n)]
             return pa.RecordBatch.from_arrays(cols, ["item_id", "doc_id", "item_start", "doc_start", "span"])
 
+        only = list(blocks) if len(blocks.names) == 1 else None
         ids: list[pa.Array] = []
         texts: list[str] = []
         held = 0
@@ -226,13 +340,14 @@ def passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     schema = "item_id long, doc_id long, item_start long, doc_start long, span long"
     total = worded.agg(F.sum(F.length("wording"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_CHARS))
-    out = None
-    for k in range(blocks):
-        own = worded.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else worded
-        block = Items(sorted((r[0], r[1]) for r in own.collect()))
-        found = rows.mapInArrow(_searcher(block), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+
+    def made() -> Iterator[Items]:
+        # A block at a time is on the driver.
+        for k in range(blocks):
+            own = worded.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else worded
+            yield Items(sorted((r[0], r[1]) for r in own.collect()))
+
+    return rows.mapInArrow(_searcher(Blocks(docs.sparkSession, made())), schema)
 
 
 def leaked(found: DataFrame) -> DataFrame:
