@@ -193,7 +193,7 @@ def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
     return rows.mapInArrow(_encoder(v), "doc_id long, han boolean, at array<int>")
 
 
-_ROWS = 16_384
+_ROWS = 4_096
 BLOCK = 256  # terms summed in one row of a shuffle
 SUM_BLOCKS = 640  # blocks a task sums at once, 96 KB each
 
@@ -288,7 +288,10 @@ def random_signs(at: np.ndarray, rank: int) -> np.ndarray:
     mix = (mix ^ (mix >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     mix = (mix ^ (mix >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     mix ^= mix >> np.uint64(31)
-    return np.unpackbits(mix.view(np.uint8), axis=1)[:, :rank].astype(np.float32) * 2 - 1
+    out = np.unpackbits(mix.view(np.uint8), axis=1)[:, :rank].astype(np.float32)
+    out *= 2
+    out -= 1
+    return out
 
 
 def _halved(x: np.ndarray) -> bytes:
