@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,9 +187,9 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
-def _encoder(path: str):
+def _encoder(file: str):
     def made(ids: list[pa.Array], texts: list[str]) -> pa.RecordBatch:
-        own = encode(texts, path)
+        own = encode(texts, SparkFiles.get(file))
         ends = np.r_[0, np.cumsum([len(x) for x in own])].astype(np.int32)
         flat = np.concatenate(own).astype(np.int32) if own else np.empty(0, np.int32)
         return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
@@ -214,4 +215,6 @@ def _encoder(path: str):
 def encoded(df: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """``doc_id, ids`` of every document, without special tokens; a null id stays null."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_encoder(f"{folder}/{name}.tiktoken"), "doc_id long, ids array<int>")
+    # The file is on the driver; executors fetch it once.
+    df.sparkSession.sparkContext.addFile(f"{folder}/{name}.tiktoken")
+    return rows.mapInArrow(_encoder(f"{name}.tiktoken"), "doc_id long, ids array<int>")

@@ -14,8 +14,8 @@ are one record by their key.
    count of smaller hash buckets of its category plus its rank in its bucket,
    so no category is ever sorted in one task.
 
-The tree has a handful of nodes and the plans are a table of needs per
-category: both are bounded by MAX_CELLS, which is checked.
+Each plan is allocated by itself, in the task of its rows; only one plan's
+categories are in one place.
 
 Defined cases: rows without key or label are no records; a record with two
 labels counts in both; a null share or minimum is zero; a plan or category
@@ -30,10 +30,10 @@ import math
 from collections import defaultdict
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CELLS = 200_000
 BUCKETS = 4096
 
 
@@ -103,25 +103,22 @@ def plan_report(plans: DataFrame, count: DataFrame, tree: DataFrame) -> DataFram
 
     ``tree``: ``label_id, path`` with the names of the ancestors.
     """
-    spark = plans.sparkSession
     have = count.groupBy("label_id").agg(F.sum("n").alias("available"))
     cells = needed(plans).join(have, "label_id", "left").join(tree.select("label_id", "path"), "label_id", "left")
     cells = cells.select("plan_id", "label_id", "needed", F.coalesce("available", F.lit(0)).alias("available"), F.coalesce("path", F.array().cast("array<string>")).alias("path"))
-    rows = cells.limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells of plan and category")
-    by_plan = defaultdict(list)
-    for r in rows:
-        by_plan[r["plan_id"]].append(r)
-    out = []
-    for plan, own in by_plan.items():
-        need = defaultdict(int)
+
+    def allocated(b: pd.DataFrame) -> pd.DataFrame:
+        # Rows without a category ask for nothing that exists.
+        own = b.astype({"label_id": object}).where(b["label_id"].notna(), None).to_dict("records")
+        need: dict = defaultdict(int)
         for r in own:
-            need[r["label_id"]] = max(need[r["label_id"]], r["needed"])
-        have = {r["label_id"]: r["available"] for r in own}
+            need[r["label_id"]] = max(need[r["label_id"]], int(r["needed"]))
+        have = {r["label_id"]: int(r["available"]) for r in own}
         give = allocate({r["label_id"]: tuple(r["path"]) for r in own}, need, have)
-        out += [(plan, leaf, n, have[leaf], give[leaf], max(0, n - have[leaf])) for leaf, n in need.items()]
-    return spark.createDataFrame(out, "plan_id int, label_id int, needed long, available long, drawn long, short long")
+        out = [(b["plan_id"].iloc[0], leaf, n, have[leaf], give[leaf], max(0, n - have[leaf])) for leaf, n in need.items()]
+        return pd.DataFrame(out, columns=["plan_id", "label_id", "needed", "available", "drawn", "short"]).astype({"label_id": "Int32"})
+
+    return cells.groupBy("plan_id").applyInPandas(allocated, "plan_id int, label_id int, needed long, available long, drawn long, short long")
 
 
 def draw(distinct: DataFrame, count: DataFrame, report: DataFrame) -> DataFrame:
@@ -129,8 +126,9 @@ def draw(distinct: DataFrame, count: DataFrame, report: DataFrame) -> DataFrame:
     before = count.withColumn("before", F.sum("n").over(Window.partitionBy("label_id").orderBy("bucket")) - F.col("n")).drop("n")
     most = report.groupBy("label_id").agg(F.max("drawn").alias("most"))
     # At most BUCKETS rows a category; buckets beyond every quota are never ranked.
-    wanted = before.join(F.broadcast(most), "label_id").where("before < most").drop("most")
+    wanted = before.join(most, "label_id").where("before < most").drop("most")
     rank = F.row_number().over(Window.partitionBy("label_id", "bucket").orderBy("mix", "key"))
+    # Adaptive execution broadcasts the plans where they are few.
     ranked = distinct.join(wanted, ["label_id", "bucket"]).withColumn("rank", F.col("before") + rank)
     plans = report.select("plan_id", "label_id", "drawn").where("drawn > 0")
-    return ranked.join(F.broadcast(plans), "label_id").where("rank <= drawn").select("plan_id", "label_id", "row_id")
+    return ranked.join(plans, "label_id").where("rank <= drawn").select("plan_id", "label_id", "row_id")
