@@ -284,7 +284,7 @@ def test_encoder_takes_all_splits_and_characters(spark, tmp_path):
     texts = {"train": ["的" * 40 + "甲", "龘x", None], "dev": ["的" * 40 + "乙"], "test": ["丙" * 200]}
     for i, (n, own) in enumerate(texts.items()):
         spark.createDataFrame([(10 * i + j, t) for j, t in enumerate(own)], "row_id long, text string").write.parquet(f"{tmp_path}/{n}.parquet")
-    got = {r["row_id"]: r for r in queries.queries()["char_encode_whole"](spark, str(tmp_path)).collect()}
+    got = {r["row_id"]: r for r in queries.queries()["char_encode"](spark, str(tmp_path)).collect()}
     assert set(got) == {0, 1, 2, 10, 20} and all(len(r["ids"]) == len(r["mask"]) == 128 and 100 not in r["ids"] for r in got.values())
     assert sum(got[0]["mask"]) == 43 and got[0]["ids"] != got[10]["ids"] and sum(got[20]["mask"]) == 128
     vocab = {c: 200 + i for i, c in enumerate("x的甲乙丙龘")}
@@ -299,7 +299,7 @@ def test_whole_splits_and_covariance(spark, embeddings):
     rows = spark.read.parquet(f"{embeddings}/embeddings.parquet").orderBy("vec_id").collect()
     x, y = np.array([r["embedding"] for r in rows], np.float64), np.array([r["label"] for r in rows])
     run = lambda name: queries.queries()[name](spark, embeddings)
-    got = {(r["i"], r["j"]): r["cov"] for r in run("covariance_whole").collect()}
+    got = {(r["i"], r["j"]): r["cov"] for r in run("covariance").collect()}
     c = np.cov(x.T)
     assert set(got) == {(i, j) for i in range(64) for j in range(i, 64)} and all(abs(v - c[k]) < 1e-6 for k, v in got.items())
 
@@ -322,9 +322,9 @@ def test_whole_splits_and_covariance(spark, embeddings):
         for t in np.unique(x[:, j])[:-1]:
             gains[:, j] = np.maximum(gains[:, j], score(x[:, j] <= t))
     for i, name in enumerate(("gini", "mse", "xgb")):
-        best = run(f"best_split_{name}_whole").collect()
+        best = run(f"best_split_{name}").collect()
         assert len(best) == 1 and best[0]["idx"] == gains[i].argmax() == 63 and abs(best[0]["gain"] - gains[i].max()) < 1e-5
-    own = {r["idx"]: r["gain"] for r in run("xgb_split_gain_whole").collect()}
+    own = {r["idx"]: r["gain"] for r in run("xgb_split_gain").collect()}
     assert len(own) == 64 and all(abs(own[j] - gains[2, j]) < 1e-5 for j in own)
 
 

@@ -48,8 +48,8 @@ def words(text: Column) -> Column:
 
 def without_stopwords(tokens: Column, stopwords: list[str]) -> Column:
     """Tokens that are no stop-word and not blank; repeats stay, case counts."""
-    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
-    return F.filter(tokens, lambda t: ~F.array_contains(stop, t) & (F.trim(t) != ""))
+    # Many words become a hash set in the plan.
+    return F.filter(tokens, lambda t: (~t.isin(*stopwords) if stopwords else F.lit(True)) & (F.trim(t) != ""))
 
 
 def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:

@@ -123,3 +123,28 @@ def label_index(df: DataFrame, label: str) -> DataFrame:
     """``label, idx``: distinct labels in sorted order, from 0; a label set is small by nature."""
     distinct = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label")).distinct()
     return distinct.withColumn("idx", F.row_number().over(Window.orderBy("label")) - 1)
+
+
+def together(frames: dict[str, DataFrame]) -> DataFrame:
+    """Rows of several splits with their ``split``."""
+    out = None
+    for name, df in frames.items():
+        own = df.withColumn("split", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def token_stats(df: DataFrame, by: str = "split_name", tokens: str = "tokens") -> DataFrame:
+    """``by, n, mean_tokens`` of the rows that have a token list."""
+    return df.where(F.col(tokens).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens)).alias("mean_tokens"))
+
+
+def first_rows(df: DataFrame, n: int, by: str = "split", row_id: str = "row_id") -> DataFrame:
+    """The first n rows of each split by id, for a look at them."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(row_id))
+    return df.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")
+
+
+def shortened(text: Column, size: int = 50) -> Column:
+    """For display: the first characters, and dots if there are more."""
+    return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("..."))).otherwise(text)

@@ -36,6 +36,18 @@ def prepared(df: DataFrame) -> tuple[DataFrame, list]:
     return known.select("row_id", "x", index[F.col("label")].alias("y")), labels
 
 
+def log_priors(rows: DataFrame, label: str = "y") -> DataFrame:
+    """``label, f0``: the logarithm of each label's share, where boosting starts."""
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    share = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total))
+    return share.select(label, F.log(F.col("n") / F.col("total") + F.lit(TINY)).alias("f0"))
+
+
+def class_pairs(labels: list) -> list[tuple[int, int]]:
+    """Places of each two labels."""
+    return [(i, j) for i in range(len(labels)) for j in range(i + 1, len(labels))]
+
+
 @dataclass
 class Model:
     labels: list
@@ -170,9 +182,8 @@ class Boosting:
             raise ValueError(f"unknown kind of boosting: {self.kind}")
         rows, labels = prepared(df)
         k = len(labels)
-        share = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-        n = sum(share.values())
-        model = BoostModel(labels, [float(np.log(share.get(c, 0) / n + TINY)) for c in range(k)], self.rate)
+        start = {r["y"]: r["f0"] for r in log_priors(rows).collect()}
+        model = BoostModel(labels, [start[c] for c in range(k)], self.rate)
         criterion = trees.Gradient(self.penalty, self.cost, self.least_hessian) if self.kind == "gradient" else trees.Variance()
         rows = cut(rows)
         if self.bins:
@@ -432,7 +443,7 @@ class PairwiseSvm:
         n, size = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
         shards = max(1, -(-n // self.shard_rows))
         rows = rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(shards)))
-        pairs = [(i, j) for i in range(len(labels)) for j in range(i + 1, len(labels))]
+        pairs = class_pairs(labels)
         w, b = np.zeros((len(pairs), size)), np.zeros(len(pairs))
         rounds = 1 if shards == 1 else max(1, min(self.rounds, self.epochs))
         for r in range(rounds):

@@ -277,3 +277,62 @@ def cumulative(spark: SparkSession, ratio: np.ndarray, least: float = 0.95) -> D
 
 def ml_vector(column: str) -> Column:
     return array_to_vector(F.col(column).cast("array<double>"))
+
+
+def joined_families(families: dict[str, DataFrame], labels: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Rows that all families (``row_id`` and a column of the family's name) and the labels have."""
+    out = None
+    for df in families.values():
+        out = df if out is None else out.join(df, row_id)
+    return out.join(labels, row_id)
+
+
+def squared_error(df: DataFrame, vector: str, other: str, row_id: str = "row_id") -> DataFrame:
+    """``idx, mse``: mean squared difference of two vector columns by dimension."""
+    gap = F.zip_with(F.col(vector), F.col(other), lambda a, b: (a - b) * (a - b))
+    return df.select(row_id, F.posexplode(gap).alias("idx", "e")).groupBy("idx").agg(F.avg("e").alias("mse"))
+
+
+def differences(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """How two columns ``a`` and ``b`` differ, and where ``a`` lies."""
+    gap = F.abs(F.col("a") - F.col("b"))
+    return pairs.groupBy(*by).agg(
+        F.max(gap).alias("max_diff"), F.avg(gap).alias("mean_diff"), F.median(gap).alias("median_diff"), F.corr("a", "b").alias("corr"), F.min("a").alias("low"), F.max("a").alias("high"), F.stddev_pop("a").alias("std")
+    )
+
+
+def compared_with_ml(df: DataFrame, k: int) -> DataFrame:
+    """Components scores of ``fit_pca`` and of Spark's own PCA, signs aligned: ``differences`` by component."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
+
+    rows = df.where("x is not null").select("row_id", F.col("x").cast("array<double>").alias("x"))
+    fitted = fit_pca(rows, k)
+    theirs = PCA(k=k, inputCol="v", outputCol="z").fit(rows.select(ml_vector("x").alias("v")))
+    parts = np.array(theirs.pc.toArray()).T
+    sign = np.sign((parts * fitted.components).sum(axis=1))
+    shift = parts @ fitted.mean
+    own = fitted.transform(rows, out="a").select("row_id", "a", ml_vector("x").alias("v"))
+    z = theirs.transform(own).select("row_id", "a", vector_to_array("z").alias("z"))
+    aligned = F.zip_with(F.zip_with("z", _literal(shift), lambda x, m: x - m), _literal(sign), lambda x, s: x * s)
+    pairs = z.select(F.posexplode(F.arrays_zip(F.col("a"), aligned.alias("b"))).alias("idx", "p")).select("idx", "p.a", "p.b")
+    return differences(pairs, ["idx"])
+
+
+def properties(df: DataFrame, k: int) -> DataFrame:
+    """``property, value``: what must hold of a PCA of all components and of one of ``k``.
+
+    ``orthonormal``: largest entry of the components' Gram matrix less the identity.
+    ``variance``: sum of all components' variances, the trace of the covariance.
+    ``reconstruction``: squared error per row of k components less the dropped variance.
+    """
+    rows = df.where("x is not null").select("row_id", F.col("x").cast("array<double>").alias("x"))
+    n, size = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    whole = fit_pca(rows, size)
+    c = whole.components
+    few = fit_pca(rows, k)
+    back = few.inverse(few.transform(rows, out="z"), "z", "back")
+    error = squared_error(back, "x", "back").agg(F.sum("mse")).first()[0]
+    dropped = float(whole.variance[k:].sum()) * (n - 1) / n
+    out = [("orthonormal", float(np.abs(c @ c.T - np.eye(len(c))).max())), ("variance", float(whole.variance.sum())), ("reconstruction", abs(error - dropped))]
+    return df.sparkSession.createDataFrame(out, "property string, value double")

@@ -83,3 +83,8 @@ def results_json(results: DataFrame, path: str) -> None:
     ordered = F.reverse(F.array_sort(F.collect_list(F.struct("f1_macro", F.struct(F.col("w1").alias("tfidf"), F.col("w2").alias("word2vec"), F.col("w3").alias("bert")).alias("weights")))))
     rows = results.agg(ordered.alias("all_results")).select(F.col("all_results")[0]["weights"].alias("best_weights"), F.col("all_results")[0]["f1_macro"].alias("best_f1_macro"), "all_results")
     rows.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def fold_summary(scores: DataFrame, score: str = "f1_macro") -> DataFrame:
+    """``mean, std``: over the folds, with the population deviation."""
+    return scores.agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wenloom.functions import vectors as V
 from wenloom.sources.tables import cut
 
 MAX_CASE_NODES = 300
@@ -235,6 +236,22 @@ class Gradient:
 Criterion = Gini | Variance | Gradient
 
 
+def leaf_column(criterion: Criterion, s: dict[str, Column]) -> Column:
+    """The value of a leaf with these sums."""
+    if isinstance(criterion, Gini):
+        return V.argmax(F.array(*[s[f"c{k}"] for k in range(criterion.classes)]))
+    return s["s"] / s["n"] if isinstance(criterion, Variance) else -s["g"] / (s["h"] + F.lit(criterion.penalty))
+
+
+def summary(rows: DataFrame, by: list[str], criterion: Criterion) -> DataFrame:
+    """``by, rows, impurity, leaf``: what groups of rows with ``w`` and targets would be as leaves (no impurity by gradients)."""
+    sums = criterion.sums()
+    own = rows.groupBy(*by).agg(*[c.cast("double").alias(f"__{k}") for k, c in sums.items()])
+    s = {k: F.col(f"__{k}") for k in sums}
+    impurity = F.lit(None).cast("double") if isinstance(criterion, Gradient) else criterion.impurity(s)
+    return own.select(*by, s["n"].alias("rows"), impurity.alias("impurity"), leaf_column(criterion, s).alias("leaf"))
+
+
 def split_gains(flat: DataFrame, by: list[str], criterion: Criterion, min_leaf: int = 1) -> DataFrame:
     """``by, idx, value, gain, t_*``: the gain of each threshold (null if not allowed) and the node's totals."""
     sums = criterion.sums()

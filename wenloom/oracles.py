@@ -70,7 +70,7 @@ _GRID = "grid as (select round(i * 0.1, 6) as w1, round(j * 0.1, 6) as w2, round
 
 
 def _split_sql(stats: str, total: str, gain: str, allowed: str) -> str:
-    return f"""with {_FLAT}, small as (select * from flat where idx < 8), cell as (select idx, value, {stats} from small group by 1, 2),
+    return f"""with {_FLAT}, cell as (select idx, value, {stats} from flat group by 1, 2),
  run as (select *, {total} from cell window l as (partition by idx order by value rows unbounded preceding), t as (partition by idx)),
  gains as (select idx, value, round({gain}, 12) as gain from run where {allowed})"""
 
@@ -88,7 +88,10 @@ def _gini(side: str) -> str:
 
 _GH = "sum(0.1 - case when y = 0 then 1.0 else 0.0 end) as g, sum(cast(0.09 as double)) as h, count(*) as n"
 _GH_RUN = "sum(g) over l as lg, sum(h) over l as lh, sum(g) over t as tg, sum(h) over t as th, sum(n) over l as ln, sum(n) over t as tn"
-_GH_SPLIT = _split_sql(_GH, _GH_RUN, "0.5 * (lg * lg / (lh + 1) + (tg - lg) * (tg - lg) / (th - lh + 1) - tg * tg / (th + 1))", "tn > ln and lh >= 1 and th - lh >= 1")
+_GH_GAIN = "0.5 * (lg * lg / (lh + 1) + (tg - lg) * (tg - lg) / (th - lh + 1) - tg * tg / (th + 1))"
+_Q = "(select avg(case when y = 0 then 1.0 else 0.0 end) from emb)"
+_ROUND = f"sum({_Q} - case when y = 0 then 1.0 else 0.0 end) as g, sum({_Q} * (1 - {_Q})) as h, count(*) as n"
+_GH_SPLIT = _split_sql(_GH, _GH_RUN, _GH_GAIN, "tn > ln and lh >= 1 and th - lh >= 1")
 
 _NEAR = f"""{_FLAT}, tr as (select * from flat where row_id % 10 < 7), te as (select * from flat where row_id % 10 >= 7),
  norms as (select row_id, sqrt(sum(value * value)) + 1e-10 as n from flat group by 1),
@@ -98,9 +101,18 @@ _NEAR = f"""{_FLAT}, tr as (select * from flat where row_id % 10 < 7), te as (se
 _MNB = """least as (select min(value) as m from tr), cells as (select y, idx, sum(value - m + 1e-10) + 1.0 as s from tr, least group by 1, 2),
  logs as (select y, idx, ln(s) - ln(sum(s) over (partition by y)) as logp from cells),
  priors as (select y, ln(count(*) / sum(count(*)) over ()) as log_prior from (select distinct row_id, y from tr) group by 1)"""
-_CHARS = "的年月日时分小大中新市民专家业内"
-_IDS = f"""enc as (select row_id, list_concat([101], list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda c: c <> ''),
-   lambda c: case when instr('{_CHARS}', c) > 0 then 199 + instr('{_CHARS}', c) else 100 end), [102])[1:32] as ids from train)"""
+_ALL = "corpus as (select row_id, text from train union all select row_id, text from dev union all select row_id, text from test)"
+_IDS = f"""{_ALL}, chars as (select row_id, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) as place from corpus where text is not null),
+ vocab as (select c, 199 + row_number() over (order by c) as id from (select distinct c from chars where c <> '')),
+ own as (select row_id, list(id order by place) as ids from chars join vocab using (c) group by 1),
+ enc as (select row_id, list_concat([101], coalesce(ids, []), [102])[1:128] as ids from corpus left join own using (row_id))"""
+_WORD_LIST = "['业内人士', '内存在', '专家业', '记者', '内存', '存在', '专家', '市民', '网友', '业内', '小时', '分钟', '年度', '票房']"
+_SEGMENT = rf"""with recursive runs as (select row_id, unnest(regexp_extract_all(text, '\p{{Han}}+|[\p{{Latin}}\p{{Greek}}\p{{Cyrillic}}\p{{Armenian}}\p{{Hiragana}}\p{{Katakana}}\p{{Hangul}}\p{{Lm}}\p{{N}}_ªº]+|[^\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{B}}\x{{1C}}-\x{{1F}}]')) as run,
+   generate_subscripts(regexp_extract_all(text, '\p{{Han}}+|[\p{{Latin}}\p{{Greek}}\p{{Cyrillic}}\p{{Armenian}}\p{{Hiragana}}\p{{Katakana}}\p{{Hangul}}\p{{Lm}}\p{{N}}_ªº]+|[^\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{B}}\x{{1C}}-\x{{1F}}]'), 1) as place from train),
+ cut as (select row_id, place, 0 as step, '' as token, run as rest from runs
+   union all select row_id, place, step + 1, token, substr(rest, len(token) + 1) from (
+     select row_id, place, step, rest, case when not regexp_matches(rest, '^\p{{Han}}') then rest else coalesce(list_filter({_WORD_LIST}, lambda w: starts_with(rest, w))[1], rest[1]) end as token from cut where rest <> ''))
+ select t.row_id, case when text is not null then coalesce(tokens, '') end as tokens from (select row_id, text from train) t left join (select row_id, string_agg(token, '|' order by place, step) as tokens from cut where step > 0 group by 1) using (row_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -148,8 +160,8 @@ def oracle_sql() -> dict[str, str]:
             v as (select term, ln((1.0 + (select count(*) from docs)) / (1.0 + df)) + 1.0 as idf from (select * from s where df >= 2 and df <= 0.8 * (select count(*) from docs) order by total desc, term limit 8000)),
             k as (select term, cast(i as int) as idx, cast('0x' || md5(term)[1 + 4 * i : 4 + 4 * i] as bigint) / 65535 as x from (select term from c group by 1 having sum(tf) >= 5), range(4) r(i))
             select row_id, idx, round(sum(tf * coalesce(idf, 1.0) * x) / sum(tf * coalesce(idf, 1.0)), 6) + 0.0 as value from c join k using (term) left join v using (term) group by 1, 2""",
-        "char_encode": f"with {_IDS} select row_id, array_to_string(list_concat(ids, list_transform(range(32 - len(ids)), lambda i: 0)), ',') as ids from enc",
-        "bert_encode": f"with {_IDS} select row_id, array_to_string(list_transform(range(32), lambda i: case when i < len(ids) then 1 else 0 end), ',') as mask, 32 as length from enc",
+        "char_encode": f"with {_IDS} select row_id, array_to_string(list_concat(ids, list_transform(range(128 - len(ids)), lambda i: 0)), ',') as ids from enc",
+        "bert_encode": f"with {_IDS} select row_id, array_to_string(list_transform(range(128), lambda i: case when i < len(ids) then 1 else 0 end), ',') as mask, 128 as length from enc",
         "zscore_fit": f"with {_FLAT} select cast(idx as int) as idx, round(avg(value), 6) + 0.0 as mean, round(stddev_pop(value), 6) + 0.0 as std from flat group by 1",
         "zscore_lineitem": "select cast(idx as int) as idx, round(avg(value), 4) + 0.0 as mean, round(stddev_pop(value), 4) + 0.0 as std from (select unnest([0, 1, 2, 3]) as idx, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) as value from lineitem) group by 1",
         "zscore_transform": f"with {_FLAT}, s as (select idx, avg(value) as m, stddev_pop(value) as d from flat group by 1) select row_id, cast(idx as int) as idx, round((value - m) / d, 6) + 0.0 as value from flat join s using (idx)",
@@ -159,7 +171,7 @@ def oracle_sql() -> dict[str, str]:
             join (select row_id, x_w2v from word2vec_features) using (row_id) join (select row_id, x_fused from fused_features) using (row_id) join (select row_id, split_name, y from preprocessed_data) using (row_id)""",
         "weight_grid": f"with {_GRID} select * from grid",
         "top_weights": f"with {_GRID} select w1, w2, w3, round(w1 * 0.5 + w2 * w3, 6) + 0.0 as f1_macro from grid order by 4 desc, 1, 2, 3 limit 10",
-        "covariance": f"with {_FLAT} select cast(a.idx as int) as i, cast(b.idx as int) as j, round(covar_samp(a.value, b.value), 8) + 0.0 as cov from flat a join flat b on a.row_id = b.row_id and a.idx <= b.idx where b.idx < 8 group by 1, 2",
+        "covariance": f"with {_FLAT} select cast(a.idx as int) as i, cast(b.idx as int) as j, round(covar_samp(a.value, b.value), 8) + 0.0 as cov from flat a join flat b on a.row_id = b.row_id and a.idx <= b.idx group by 1, 2",
         "cumulative_variance": f"""with {_FLAT}, v as (select idx, var_pop(value) as v from flat group by 1), c as (select idx, round(sum(v) over (order by idx) / sum(v) over (), 9) as c from v)
             select cast(idx as int) as idx, round(c, 6) + 0.0 as cumulative, idx = (select min(idx) from c where c.c >= 0.95) as enough from c""",
         "reconstruction_mse": f"with {_FLAT} select cast(idx as int) as idx, round(avg(pow(value - floor(value * 100) / 100, 2)), 9) + 0.0 as mse from flat group by 1",
@@ -188,6 +200,12 @@ def oracle_sql() -> dict[str, str]:
         "best_split_xgb": _GH_SPLIT + _BEST,
         "xgb_split_gain": _GH_SPLIT + " select cast(idx as int) as idx, round(max(gain), 6) + 0.0 as gain from gains group by 1",
         "xgb_leaf_weight": "select label as y, round(-sum(0.1 - case when label = 0 then 1.0 else 0.0 end) / (sum(0.09) + 1), 6) + 0.0 as weight from embeddings group by 1",
+        "tree_root_split": _split_sql(_GINI_COUNTS, _GINI_RUN, f"{_gini('t')} - ln / tn * {_gini('l')} - (tn - ln) / tn * {_gini('r')}", "tn > ln") + " select cast(idx as int) as idx, round(value, 8) + 0.0 as threshold from gains order by gains.gain desc, gains.idx, value limit 1",
+        "xgb_root_split": _split_sql(_ROUND, _GH_RUN, _GH_GAIN, "tn > ln and lh >= 1 and th - lh >= 1") + " select cast(idx as int) as idx, round(value, 8) + 0.0 as threshold from gains order by gains.gain desc, gains.idx, value limit 1",
+        "lr_first_step": f"""with {_FLAT}, long as (select row_id, y, idx, value from flat union all select row_id, y, 64, 1.0 from emb), n as (select count(*) as n from emb)
+            select cast(c as int) as y, cast(idx as int) as idx, round(-sum(value * (0.1 - case when long.y = c then 1.0 else 0.0 end)) / any_value(n), 6) + 0.0 as weight from long, n, range(10) k(c) group by 1, 2""",
+        "pca_properties": f"with {_FLAT} select 'orthonormal' as property, 0.0 as value union all select 'reconstruction', 0.0 union all select 'variance', round(sum(v), 5) + 0.0 from (select var_samp(value) as v from flat group by idx)",
+        "segment": _SEGMENT,
         "tree_predict": "select vec_id as row_id, case when embedding[1]::double <= 0.0 then case when embedding[2]::double <= 0.05 then 1 else 2 end else 3 end as p from embeddings",
         "boost_init": "select y, round(ln(count(*) / (select count(*) from preprocessed_data where y is not null) + 1e-10), 6) + 0.0 as f0 from preprocessed_data where y is not null group by 1",
         "mnb_fit": f"with {_FLAT}, tr as (select * from flat), {_MNB} select y, cast(idx as int) as idx, round(logp, 6) + 0.0 as logp, round(log_prior, 6) + 0.0 as log_prior from logs join priors using (y)",

@@ -7,6 +7,7 @@ DataFrame plans, so one text and a table of any size take the same way.
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
@@ -15,17 +16,22 @@ from pyspark.sql import functions as F
 
 from wenloom.functions import text as X
 from wenloom.operators import encoder, ensemble, metrics, models, reduce, search, store, terms
+from wenloom.operators.segment import Segmenter
 from wenloom.operators.wordvec import WordVectorModel, WordVectors
 from wenloom.sources.tables import cut
 
 TOKENIZERS = {"unicode_word": X.WORD, "ideographic": X.IDEOGRAPHIC}
 
 
-def tokens(df: DataFrame, stopwords: list[str] | None = None, tokenizer: str = "ideographic", text: str = "text") -> DataFrame:
-    """With ``tokens``: cleaned, cut, without stop-words (None keeps all)."""
-    if tokenizer not in TOKENIZERS:
+def tokens(df: DataFrame, stopwords: list[str] | None = None, tokenizer: str | Segmenter = "ideographic", text: str = "text") -> DataFrame:
+    """With ``tokens``: cleaned, cut by a pattern or a dictionary, without stop-words (None keeps all)."""
+    clean = X.clean_text(F.col(text))
+    if isinstance(tokenizer, Segmenter):
+        cut_ = tokenizer.column(clean)
+    elif tokenizer in TOKENIZERS:
+        cut_ = X.tokenize(clean, TOKENIZERS[tokenizer])
+    else:
         raise ValueError(f"unknown tokenizer: {tokenizer}")
-    cut_ = X.tokenize(X.clean_text(F.col(text)), TOKENIZERS[tokenizer])
     return df.withColumn("tokens", X.without_stopwords(cut_, stopwords or []))
 
 
@@ -156,7 +162,7 @@ class Classifier:
     features: Features
     fitted: ensemble.Stacked
     stopwords: list[str]
-    tokenizer: str = "ideographic"
+    tokenizer: str | Segmenter = "ideographic"
 
     def predict(self, df: DataFrame, method: str = "voting") -> DataFrame:
         vectors = self.features.transform(tokens(df, self.stopwords, self.tokenizer).select("row_id", "tokens"))
@@ -169,13 +175,17 @@ class Classifier:
     def save(self, spark: SparkSession, path: str) -> None:
         self.features.save(spark, f"{path}/features")
         store.save_stacked(spark, self.fitted, f"{path}/ensemble")
-        about = json.dumps({"stopwords": self.stopwords, "tokenizer": self.tokenizer}, ensure_ascii=False)
+        cutter = {"words": self.tokenizer.counts, "method": self.tokenizer.method} if isinstance(self.tokenizer, Segmenter) else self.tokenizer
+        about = json.dumps({"stopwords": self.stopwords, "tokenizer": cutter}, ensure_ascii=False)
         spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Classifier:
         about = json.loads(spark.read.text(f"{path}/about").first()[0])
-        return Classifier(Features.load(spark, f"{path}/features"), store.load_stacked(spark, f"{path}/ensemble"), about["stopwords"], about["tokenizer"])
+        cutter = about["tokenizer"]
+        if isinstance(cutter, dict):
+            cutter = Segmenter(cutter["words"], method=cutter["method"])
+        return Classifier(Features.load(spark, f"{path}/features"), store.load_stacked(spark, f"{path}/ensemble"), about["stopwords"], cutter)
 
     def evaluate(self, splits: dict[str, DataFrame], method: str = "voting") -> DataFrame:
         """``split`` and the metrics of labelled splits with ``row_id, text, y``."""
@@ -186,13 +196,32 @@ class Classifier:
         return metrics.model_metrics(out, ["split"])
 
 
-def train(train_rows: DataFrame, val_rows: DataFrame, base: dict[str, dict], stop: list[str] | None = None, features: Features | None = None, folds: int = 5, meta: models.SoftmaxRegression | None = None) -> Classifier:
+def train(train_rows: DataFrame, val_rows: DataFrame, base: dict[str, dict], stop: list[str] | None = None, features: Features | None = None, folds: int = 5, meta: models.SoftmaxRegression | None = None, tokenizer: str | Segmenter = "ideographic") -> Classifier:
     """Fits features and ensemble on ``row_id, text, y``."""
-    known = tokens(train_rows.where("y is not null"), stop)
+    known = tokens(train_rows.where("y is not null"), stop, tokenizer)
     features = (features or Features()).fit(known.select("row_id", "tokens"))
     vectors = lambda df: cut(features.transform(df.select("row_id", "tokens")).join(df.select("row_id", "y"), "row_id"))
-    fitted = ensemble.fit_stacked(vectors(known), vectors(tokens(val_rows.where("y is not null"), stop)), base, folds, meta)
-    return Classifier(features, fitted, stop or [])
+    fitted = ensemble.fit_stacked(vectors(known), vectors(tokens(val_rows.where("y is not null"), stop, tokenizer)), base, folds, meta)
+    return Classifier(features, fitted, stop or [], tokenizer)
+
+
+def compared(base: dict[str, dict], splits: dict[str, DataFrame], by: str = "train") -> DataFrame:
+    """``model, split, seconds`` and the metrics of base models, each fitted on one of the splits (``row_id, x, y``).
+
+    ``seconds``: of fitting, for the split fitted on, and of scoring.
+    """
+    rows, out = [], None
+    for name, own in base.items():
+        began = time.time()
+        fitted = models.base_model(name, **own).fit(splits[by])
+        took = time.time() - began
+        for split, df in splits.items():
+            began = time.time()
+            scored = cut(fitted.transform(df.where("y is not null")).select(F.lit(name).alias("model"), F.lit(split).alias("split"), "y", "p"))
+            rows.append((name, split, (took if split == by else 0.0) + time.time() - began))
+            out = scored if out is None else out.unionByName(scored)
+    times = splits[by].sparkSession.createDataFrame(rows, "model string, split string, seconds double")
+    return metrics.model_metrics(out, ["model", "split"]).join(F.broadcast(times), ["model", "split"])
 
 
 def optimise(spark: SparkSession, train_rows: dict[str, DataFrame], val_rows: dict[str, DataFrame], labels: DataFrame, step: float, path: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wenloom.functions import text as X
 from wenloom.functions import vectors as V
 from wenloom.operators import corpus, encoder, ensemble, metrics, models, reduce, search, terms, trees
-from wenloom.operators.models import TINY
+from wenloom.operators import segment as segmenting
 from wenloom.sources import lines
 from wenloom.sources.tables import spread, table
 
@@ -63,8 +63,8 @@ def filter_selected_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def three_splits(spark: SparkSession, d: str) -> DataFrame:
-    parts = [table(spark, d, n).select("row_id", "label_id").withColumn("split", F.lit(n)) for n in ("train", "dev", "test")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("split", "label_id").agg(F.count(F.lit(1)).alias("n"))
+    parts = {n: table(spark, d, n).select("row_id", "label_id") for n in ("train", "dev", "test")}
+    return corpus.together(parts).groupBy("split", "label_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -140,7 +140,7 @@ def stopword_antijoin(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _tokens(spark, d).where("tokens is not null").groupBy("split_name").agg(F.count(F.lit(1)).alias("n"), _r(F.avg(F.size("tokens"))).alias("mean_tokens"))
+    return corpus.token_stats(_tokens(spark, d)).select("split_name", "n", _r(F.col("mean_tokens")).alias("mean_tokens"))
 
 
 @query
@@ -202,21 +202,36 @@ def w2v_weighted_pool(spark: SparkSession, d: str) -> DataFrame:
     return terms.pooled(counts.withColumnRenamed("term", "word"), vectors, vocab).select("row_id", "idx", _r(F.col("value")).alias("value"))
 
 
-_CHARS = {c: 200 + i for i, c in enumerate("的年月日时分小大中新市民专家业内")}
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Row and text of all three splits."""
+    return corpus.together({n: table(spark, d, n).select("row_id", "text") for n in ("train", "dev", "test")}).drop("split")
 
 
 def _encoded(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "train").select("row_id", X.encode_characters(F.col("text"), encoder.vocabulary_map(_CHARS), 32).alias("e"))
+    """At full length, with every character of the corpus."""
+    rows = _texts(spark, d)
+    return encoder.character_ids(rows, encoder.corpus_vocabulary(rows))
 
 
 @query
 def char_encode(spark: SparkSession, d: str) -> DataFrame:
-    return _encoded(spark, d).select("row_id", F.array_join("e.ids", ",").alias("ids"))
+    return _encoded(spark, d).select("row_id", F.array_join("ids", ",").alias("ids"))
 
 
 @query
 def bert_encode(spark: SparkSession, d: str) -> DataFrame:
-    return _encoded(spark, d).select("row_id", F.array_join("e.mask", ",").alias("mask"), F.size("e.ids").alias("length"))
+    return _encoded(spark, d).select("row_id", F.array_join("mask", ",").alias("mask"), F.size("ids").alias("length"))
+
+
+#: Words of the SQL-checked segmentation, longest first.
+WORDS = ["内存在", "专家业", "业内人士", "记者", "内存", "存在", "专家", "市民", "网友", "业内", "小时", "分钟", "年度", "票房"]
+
+
+@query
+def segment(spark: SparkSession, d: str) -> DataFrame:
+    """Longest words of a dictionary and a user dictionary; ideographs else one by one."""
+    cutter = segmenting.Segmenter(WORDS[4:], WORDS[:4])
+    return table(spark, d, "train").select("row_id", F.array_join(cutter.column(F.col("text")), "|").alias("tokens"))
 
 
 # ---- vectors --------------------------------------------------------------------
@@ -226,11 +241,6 @@ def _emb(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").alias("y"))
 
 
-def _eight(spark: SparkSession, d: str) -> DataFrame:
-    """The first eight dimensions, for the split kernels."""
-    return _emb(spark, d).withColumn("x", F.slice("x", 1, 8))
-
-
 def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = corpus.with_split(_emb(spark, d))
     return rows.where("split = 'train'").drop("split"), rows.where("split <> 'train'").drop("split")
@@ -270,7 +280,7 @@ def feature_family_join(spark: SparkSession, d: str) -> DataFrame:
     """Rows that all three families and the labels have, with the vectors' sizes."""
     own = {n: table(spark, d, f).select("row_id", F.size(c).alias(n)) for n, f, c in (("bert", "bert_features_pca_100d", "x_pca"), ("word2vec", "word2vec_features", "x_w2v"), ("fused", "fused_features", "x_fused"))}
     labels = table(spark, d, "preprocessed_data").select("row_id", "split_name", "y")
-    return own["bert"].join(own["word2vec"], "row_id").join(own["fused"], "row_id").join(labels, "row_id").select("row_id", "split_name", "y", *[F.when(F.col(n) >= 0, F.col(n)).alias(n) for n in own])
+    return reduce.joined_families(own, labels).select("row_id", "split_name", "y", *[F.when(F.col(n) >= 0, F.col(n)).alias(n) for n in own])
 
 
 @query
@@ -282,18 +292,11 @@ def weight_grid(spark: SparkSession, d: str) -> DataFrame:
 def top_weights(spark: SparkSession, d: str) -> DataFrame:
     """The ten best triples by a score that any engine can work out."""
     score = F.col("w1") * 0.5 + F.col("w2") * F.col("w3")
-    scored = reduce.weight_grid(spark, 0.1).select("w1", "w2", "w3", _r(score).alias("f1_macro"))
-    return scored.orderBy(F.desc("f1_macro"), "w1", "w2", "w3").limit(10)
+    return search.ranked(reduce.weight_grid(spark, 0.1).select("w1", "w2", "w3", _r(score).alias("f1_macro")))
 
 
 @query
 def covariance(spark: SparkSession, d: str) -> DataFrame:
-    return reduce.covariance(_eight(spark, d)).select("i", "j", _r(F.col("cov"), 8).alias("cov"))
-
-
-@query
-def covariance_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Of all dimensions; ``covariance`` has the first eight, as its SQL."""
     return reduce.covariance(_emb(spark, d)).select("i", "j", _r(F.col("cov"), 8).alias("cov"))
 
 
@@ -310,17 +313,18 @@ def pca_variance(spark: SparkSession, d: str) -> DataFrame:
 @query
 def cumulative_variance(spark: SparkSession, d: str) -> DataFrame:
     """Share of each dimension's variance, running, with the first that reaches 0.95."""
-    fit = reduce.zscore_fit(_emb(spark, d)).select("idx", (F.col("std") * F.col("std")).alias("v"))
-    run = F.sum("v").over(Window.orderBy("idx")) / F.sum("v").over(Window.partitionBy())
-    own = fit.select("idx", F.round(run, 9).alias("c"))
-    return own.select("idx", _r(F.col("c")).alias("cumulative"), (F.col("idx") == F.min(F.when(F.col("c") >= 0.95, F.col("idx"))).over(Window.partitionBy())).alias("enough"))
+    import numpy as np
+
+    v = np.array([r["std"] ** 2 for r in reduce.zscore_fit(_emb(spark, d)).orderBy("idx").collect()])
+    run = reduce.cumulative(spark, v / v.sum())
+    return run.select((F.col("k") - 1).alias("idx"), _r(F.col("cumulative")).alias("cumulative"), "enough")
 
 
 @query
 def reconstruction_mse(spark: SparkSession, d: str) -> DataFrame:
     """Of rounding to two digits, by dimension."""
-    flat = reduce.long_form(_emb(spark, d))
-    return flat.groupBy("idx").agg(_r(F.avg(F.pow(F.col("value") - F.floor(F.col("value") * 100) / 100, 2)), 9).alias("mse"))
+    rows = _emb(spark, d).withColumn("z", F.transform("x", lambda v: F.floor(v * 100) / 100))
+    return reduce.squared_error(rows, "x", "z").select("idx", _r(F.col("mse"), 9).alias("mse"))
 
 
 @query
@@ -369,36 +373,53 @@ def layer_norm(spark: SparkSession, d: str) -> DataFrame:
 def diff_stats(spark: SparkSession, d: str) -> DataFrame:
     """Of each value and its reversed row's, by dimension."""
     pairs = _emb(spark, d).select(F.posexplode(F.arrays_zip(F.col("x"), F.reverse("x").alias("z"))).alias("idx", "p")).select("idx", F.col("p.x").alias("a"), F.col("p.z").alias("b"))
-    gap = F.abs(F.col("a") - F.col("b"))
-    return pairs.groupBy("idx").agg(
-        _r(F.max(gap)).alias("max_diff"), _r(F.avg(gap)).alias("mean_diff"), _r(F.median(gap)).alias("median_diff"), _r(F.corr("a", "b")).alias("corr"), _r(F.min("a")).alias("low"), _r(F.max("a")).alias("high"), _r(F.stddev_pop("a")).alias("std")
-    )
+    own = reduce.differences(pairs, ["idx"])
+    return own.select("idx", *[_r(F.col(c)).alias(c) for c in own.columns if c != "idx"])
+
+
+@query
+def pca_properties(spark: SparkSession, d: str) -> DataFrame:
+    return reduce.properties(_emb(spark, d), 32).select("property", _r(F.col("value"), 5).alias("value"))
+
+
+@query
+def pca_against_ml(spark: SparkSession, d: str) -> DataFrame:
+    """Largest and mean differences to Spark's own PCA, by component."""
+    own = reduce.compared_with_ml(_emb(spark, d), 10)
+    return own.select("idx", *[_r(F.col(c)).alias(c) for c in ("max_diff", "mean_diff", "corr")])
 
 
 # ---- models ---------------------------------------------------------------------
 
 
+def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with source and the label's index, and the labels by index."""
+    rows = table(spark, d, "train").where("label_id is not null")
+    index = corpus.label_index(rows, "label_id")
+    return rows.join(F.broadcast(index), F.col("label_id") == F.col("label")).select("source", F.col("idx").alias("y"), F.lit(1.0).alias("w")), index
+
+
 @query
 def gini_impurity(spark: SparkSession, d: str) -> DataFrame:
-    counts = table(spark, d, "train").where("label_id is not null").groupBy("source", "label_id").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
-    return total.select("source", _r(1 - F.col("q") / (F.col("n") * F.col("n"))).alias("gini"))
+    rows, index = _labelled(spark, d)
+    return trees.summary(rows, ["source"], trees.Gini(index.count())).select("source", _r(F.col("impurity")).alias("gini"))
 
 
 @query
 def mse_impurity(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(_r(F.var_pop("l_quantity"), 4).alias("mse"), _r(F.avg("l_quantity"), 4).alias("leaf"))
+    rows = table(spark, d, "lineitem").select("l_returnflag", F.lit(1.0).alias("w"), F.col("l_quantity").cast("double").alias("t"))
+    return trees.summary(rows, ["l_returnflag"], trees.Variance()).select("l_returnflag", _r(F.col("impurity"), 4).alias("mse"), _r(F.col("leaf"), 4).alias("leaf"))
 
 
 @query
 def majority_label(spark: SparkSession, d: str) -> DataFrame:
-    counts = table(spark, d, "train").where("label_id is not null").groupBy("source", "label_id").agg(F.count(F.lit(1)).alias("n"))
-    first = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "label_id"))
-    return counts.withColumn("r", first).where("r = 1").select("source", "label_id")
+    rows, index = _labelled(spark, d)
+    leaves = trees.summary(rows, ["source"], trees.Gini(index.count()))
+    return leaves.join(F.broadcast(index), F.col("leaf") == F.col("idx")).select("source", F.col("label").alias("label_id"))
 
 
-def _flat(spark: SparkSession, d: str, *targets, rows=_eight) -> DataFrame:
-    return rows(spark, d).select(F.lit(1.0).alias("w"), *targets, F.posexplode("x").alias("idx", "value"))
+def _flat(spark: SparkSession, d: str, *targets) -> DataFrame:
+    return _emb(spark, d).select(F.lit(1.0).alias("w"), *targets, F.posexplode("x").alias("idx", "value"))
 
 
 def _best(flat: DataFrame, criterion) -> DataFrame:
@@ -415,10 +436,10 @@ def best_split_mse(spark: SparkSession, d: str) -> DataFrame:
     return _best(_flat(spark, d, F.col("y").cast("double").alias("t")), trees.Variance())
 
 
-def _gradients(spark: SparkSession, d: str, rows=_eight) -> DataFrame:
+def _gradients(spark: SparkSession, d: str) -> DataFrame:
     """First round of class 0 against a flat start."""
     g = F.lit(0.1) - (F.col("y") == 0).cast("double")
-    return _flat(spark, d, g.alias("g"), F.lit(0.09).alias("h"), rows=rows)
+    return _flat(spark, d, g.alias("g"), F.lit(0.09).alias("h"))
 
 
 @query
@@ -437,33 +458,36 @@ def _best_gains(flat: DataFrame) -> DataFrame:
     return gains.groupBy("idx").agg(_r(F.max("gain")).alias("gain"))
 
 
-# Over all dimensions; the four queries above have the first eight, as their SQL.
-
-
 @query
-def best_split_gini_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _best(_flat(spark, d, "y", rows=_emb), trees.Gini(10))
+def xgb_leaf_weight(spark: SparkSession, d: str) -> DataFrame:
+    g = F.lit(0.1) - (F.col("y") == 0).cast("double")
+    rows = _emb(spark, d).select("y", F.lit(1.0).alias("w"), g.alias("g"), F.lit(0.09).alias("h"))
+    return trees.summary(rows, ["y"], trees.Gradient()).select("y", _r(F.col("leaf")).alias("weight"))
 
 
-@query
-def best_split_mse_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _best(_flat(spark, d, F.col("y").cast("double").alias("t"), rows=_emb), trees.Variance())
+def _root(tree: trees.Tree) -> list[tuple[int, float]]:
+    return [(tree.nodes[1].feature, round(tree.nodes[1].threshold, 8))]
 
 
 @query
-def best_split_xgb_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _best(_gradients(spark, d, _emb), trees.Gradient())
+def tree_root_split(spark: SparkSession, d: str) -> DataFrame:
+    """The first split of the fitted tree."""
+    return spark.createDataFrame(_root(models.DecisionTree(max_depth=1).fit(_emb(spark, d)).tree), "idx int, threshold double")
 
 
 @query
-def xgb_split_gain_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _best_gains(_gradients(spark, d, _emb))
+def xgb_root_split(spark: SparkSession, d: str) -> DataFrame:
+    """The first split of the first class's tree in the first round."""
+    fitted = models.xgb(n_rounds=1, max_depth=1).fit(_emb(spark, d))
+    return spark.createDataFrame(_root(fitted.rounds[0][0]), "idx int, threshold double")
 
 
 @query
-def xgb_leaf_weight(spark: SparkSession, d: str) -> DataFrame:
-    sums = _emb(spark, d).groupBy("y").agg(F.sum(F.lit(0.1) - (F.col("y") == 0).cast("double")).alias("g"), F.sum(F.lit(0.09)).alias("h"))
-    return sums.select("y", _r(-F.col("g") / (F.col("h") + 1)).alias("weight"))
+def lr_first_step(spark: SparkSession, d: str) -> DataFrame:
+    """Weights and bias (last) after one step from zero."""
+    fitted = models.SoftmaxRegression(steps=1, init=0.0, rate=1.0).fit(_emb(spark, d))
+    out = [(c, i, float(v)) for c, own in enumerate(zip(fitted.weights, fitted.bias)) for i, v in enumerate([*own[0], own[1]])]
+    return spark.createDataFrame(out, "y int, idx int, w double").select("y", "idx", _r(F.col("w")).alias("weight"))
 
 
 _TREE = trees.Tree({1: trees.Node(0, 0, 0.0), 2: trees.Node(0, 1, 0.05), 3: trees.Node(3), 4: trees.Node(1), 5: trees.Node(2)})
@@ -477,9 +501,7 @@ def tree_predict(spark: SparkSession, d: str) -> DataFrame:
 @query
 def boost_init(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "preprocessed_data").where("y is not null")
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    share = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total))
-    return share.select("y", _r(F.log(F.col("n") / F.col("total") + F.lit(TINY))).alias("f0"))
+    return models.log_priors(rows).select("y", _r(F.col("f0")).alias("f0"))
 
 
 @query
@@ -507,8 +529,8 @@ def softmax_lr_step(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ovo_pairs(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "class_dim").where("selected").select("name")
-    return a.join(F.broadcast(a.select(F.col("name").alias("other"))), F.col("name") < F.col("other"))
+    names = sorted(r[0] for r in table(spark, d, "class_dim").where("selected").select("name").collect())
+    return spark.createDataFrame([(names[i], names[j]) for i, j in models.class_pairs(names)], "name string, other string")
 
 
 def _votes(spark: SparkSession, d: str) -> DataFrame:
@@ -636,7 +658,7 @@ def cv_summary(spark: SparkSession, d: str) -> DataFrame:
     """Mean and population deviation of the accuracy over five folds."""
     folds = corpus.kfold(_predictions(spark, d).where("model = 'A'"), 5)
     own = metrics.accuracy(metrics.pair_counts(folds, ["fold"]), ["fold"])
-    return own.agg(_r(F.avg("accuracy")).alias("mean"), _r(F.stddev_pop("accuracy"), 6).alias("std"))
+    return search.fold_summary(own, "accuracy").select(_r(F.col("mean")).alias("mean"), _r(F.col("std")).alias("std"))
 
 
 # ---- trained models, without SQL twins -------------------------------------------
@@ -694,12 +716,6 @@ def cv_scores(spark: SparkSession, d: str) -> DataFrame:
     return search.cross_validate(_split(spark, d)[0])
 
 
-def _texts(spark: SparkSession, d: str) -> DataFrame:
-    """Row and text of all three splits."""
-    train, dev, test = (table(spark, d, n).select("row_id", "text") for n in ("train", "dev", "test"))
-    return train.unionByName(dev).unionByName(test)
-
-
 @query
 def encoder_vectors(spark: SparkSession, d: str) -> DataFrame:
     rows = _texts(spark, d)
@@ -708,13 +724,6 @@ def encoder_vectors(spark: SparkSession, d: str) -> DataFrame:
     return encoder.encoded(spread(rows), encoder.random_weights(c), c, vocab)
 
 
-@query
-def char_encode_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Ids and mask at full length with the corpus's characters; ``char_encode`` and ``bert_encode`` have those of their SQL."""
-    rows = _texts(spark, d)
-    return encoder.character_ids(rows, encoder.corpus_vocabulary(rows))
-
-
 @query
 def w2v_vectors(spark: SparkSession, d: str) -> DataFrame:
     from wenloom.operators.wordvec import WordVectors
