@@ -176,6 +176,14 @@ class Cells:
                 visit[np.arange(len(x)), home] = False
             self.visitors[family] = visit.sum(axis=0) * scale
 
+    def tasks(self, rows: int, queries: int, within: bool) -> int:
+        """How many combinations of parts there are."""
+        total = 0
+        for family in self.centers:
+            m, q = self.parts(family, rows, queries)
+            total += int((m * q + (m * (m + 1) // 2 if within else 0)).sum())
+        return total
+
     def parts(self, family: str, rows: int, queries: int) -> tuple[np.ndarray, np.ndarray]:
         """Parts of members and of visitors of each cell."""
         up = lambda n, most: np.maximum(1, np.ceil(1.1 * n / most)).astype(np.int64)
@@ -187,6 +195,14 @@ def _part(ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
     return (mix % parts.astype(np.uint64)).astype(np.int64)
 
 
+_TASK = ("family", "cell", "mpart", "qpart")
+
+
+def _spread(bundles: DataFrame, tasks: int) -> DataFrame:
+    """Tasks of much work and few bytes, so each mostly gets its own partition instead of being merged by size."""
+    return bundles.repartition(max(1, min(20_000, 3 * tasks)), *_TASK)
+
+
 #: A bundle of vectors for one task: ``role`` 0 members, 1 members that also ask, 2 visitors.
 _BUNDLE = "family string, cell int, mpart int, qpart int, role int, ids binary, data binary"
 
@@ -406,8 +422,9 @@ def _by_task(f):
 
 def alike(vectors: DataFrame, cosine: float, cell_rows: int = CELL_ROWS, exact: bool = False) -> DataFrame:
     """``family, low_row_id, high_row_id, cosine``: all pairs with at least this cosine."""
-    tasks = vectors.mapInPandas(_route_pairs(Cells(vectors, cell_rows, cosine, None), cosine, exact), _BUNDLE).groupBy("family", "cell", "mpart", "qpart")
-    near = tasks.applyInPandas(_by_task(_alike(cosine, exact)), "family string, low long, high long").distinct()
+    cells = Cells(vectors, cell_rows, cosine, None)
+    tasks = _spread(vectors.mapInPandas(_route_pairs(cells, cosine, exact), _BUNDLE), cells.tasks(PART_ROWS, PART_ROWS, True))
+    near = tasks.groupBy(*_TASK).applyInPandas(_by_task(_alike(cosine, exact)), "family string, low long, high long").distinct()
     left = vectors.select("family", F.col("row_id").alias("low"), F.col("vector").alias("a"))
     right = vectors.select("family", F.col("row_id").alias("high"), F.col("vector").alias("b"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -418,7 +435,8 @@ def alike(vectors: DataFrame, cosine: float, cell_rows: int = CELL_ROWS, exact:
 
 def nearest(vectors: DataFrame, k: int = 10, probes: int | None = PROBES, cell_rows: int = CELL_ROWS, exact: bool = False) -> DataFrame:
     """``family, row_id, rank, other_row_id, cosine``: the k most similar vectors of every vector."""
-    tasks = vectors.mapInPandas(_route_queries(Cells(vectors, cell_rows, None, probes), probes), _BUNDLE).groupBy("family", "cell", "mpart", "qpart")
-    found = tasks.applyInPandas(_by_task(_nearest(k, exact)), "family string, row_id long, other long, cosine double")
+    cells = Cells(vectors, cell_rows, None, probes)
+    tasks = _spread(vectors.mapInPandas(_route_queries(cells, probes), _BUNDLE), cells.tasks(MEMBER_ROWS, QUERY_ROWS, False))
+    found = tasks.groupBy(*_TASK).applyInPandas(_by_task(_nearest(k, exact)), "family string, row_id long, other long, cosine double")
     rank = F.row_number().over(Window.partitionBy("family", "row_id").orderBy(F.desc("cosine"), "other"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("family", "row_id", "rank", F.col("other").alias("other_row_id"), "cosine")
