@@ -284,7 +284,9 @@ def test_encoder_takes_all_splits_and_characters(spark, tmp_path):
     texts = {"train": ["的" * 40 + "甲", "龘x", None], "dev": ["的" * 40 + "乙"], "test": ["丙" * 200]}
     for i, (n, own) in enumerate(texts.items()):
         spark.createDataFrame([(10 * i + j, t) for j, t in enumerate(own)], "row_id long, text string").write.parquet(f"{tmp_path}/{n}.parquet")
-    got = {r["row_id"]: r for r in queries.queries()["char_encode"](spark, str(tmp_path)).collect()}
+    got = {r["row_id"]: r for r in queries._encoded(spark, str(tmp_path)).collect()}
+    joined = {r["row_id"]: r["ids"] for r in queries.queries()["char_encode"](spark, str(tmp_path)).collect()}
+    assert joined == {k: ",".join(map(str, r["ids"])) for k, r in got.items()}
     assert set(got) == {0, 1, 2, 10, 20} and all(len(r["ids"]) == len(r["mask"]) == 128 and 100 not in r["ids"] for r in got.values())
     assert sum(got[0]["mask"]) == 43 and got[0]["ids"] != got[10]["ids"] and sum(got[20]["mask"]) == 128
     vocab = {c: 200 + i for i, c in enumerate("x的甲乙丙龘")}
