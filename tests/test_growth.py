@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wenloom.operators import growth, models, trees
+from wenloom.operators import growth, models, terms, trees
 from wenloom.operators.models import Boosting, DecisionTree, PairwiseSvm, RandomForest, RegressionTree, SoftmaxRegression
 
 
@@ -99,3 +99,12 @@ def test_neighbours_by_shards_and_by_sent_rows(data, monkeypatch):
     monkeypatch.setattr(models, "SHARD_ROWS", 50)
     assert run() == sent and len(sent) == 4 * asks.count()
     assert models.cosine_neighbours(data.where("false"), asks).count() == 0
+
+
+def test_terms_are_numbered_without_a_limit(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{j:03d}" for j in range(i % 7, 300, 7))) for i in range(40)], "row_id long, text string").repartition(4)
+    whole, some = (terms.Tfidf(max_features=n, low=1, high=1).fit(df) for n in (None, 500))
+    a, b = ({r["term"]: (r["idx"], round(r["idf"], 9)) for r in m.vocab.collect()} for m in (whole, some))
+    assert a == b and sorted(i for i, _ in a.values()) == list(range(300)) and some.bounded and not whole.bounded
+    rows = lambda m: sorted((r["row_id"], r["idx"], round(r["value"], 9)) for r in m.transform(df).collect())
+    assert rows(whole) == rows(some)

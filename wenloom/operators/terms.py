@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from wenloom.functions.text import word_ngrams
 from wenloom.sources.tables import cut
 
+#: Terms of a vocabulary up to which it is broadcast.
+MOST_SENT = 100_000
+
 
 def term_counts(df: DataFrame, tokens: str = "tokens", row_id: str = "row_id") -> DataFrame:
     """``row_id, term, tf``."""
@@ -30,12 +33,19 @@ def vocabulary(stats: DataFrame, n_docs: DataFrame, max_features: int | None = 8
     """``term, idx, df, total``: the most frequent terms, numbered alphabetically.
 
     ``n_docs``: one row with ``n``. The limit bounds the table, so its two
-    sorts never see more than ``max_features`` rows in one task.
+    sorts never see more than ``max_features`` rows in one task; without one the
+    terms are numbered in ranges, whose sizes add up to each range's first number.
     """
     kept = stats.join(F.broadcast(n_docs)).where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n"))).drop("n")
     if max_features is not None:
         kept = kept.orderBy(F.desc("total"), "term").limit(max_features)
-    return kept.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)
+        return kept.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)
+    placed = cut(kept.repartitionByRange("term").withColumn("__part", F.spark_partition_id()))
+    # A row per range, as many as there are partitions.
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy("term")) - 1
+    return placed.join(F.broadcast(before), "__part").withColumn("idx", (rank + F.col("__before")).cast("int")).drop("__part", "__before")
 
 
 def idf(vocab: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -43,15 +53,18 @@ def idf(vocab: DataFrame, n_docs: DataFrame) -> DataFrame:
     return vocab.join(F.broadcast(n_docs)).withColumn("idf", F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0).drop("n")
 
 
-def weighted(counts: DataFrame, vocab: DataFrame, row_id: str = "row_id", tf: str = "count", norm: str | None = "l2") -> DataFrame:
+def weighted(counts: DataFrame, vocab: DataFrame, row_id: str = "row_id", tf: str = "count", norm: str | None = "l2", bounded: bool = False) -> DataFrame:
     """``row_id, term, idx, value``: tf times idf; ``tf='relative'`` divides by the row's tokens.
 
-    Relative frequencies count all of a row's tokens, in the vocabulary or not.
+    Relative frequencies count all of a row's tokens, in the vocabulary or not. A
+    ``bounded`` vocabulary (at most MOST_SENT terms) is broadcast, so that a row's
+    cells stay where they are.
     """
     own = counts
     if tf == "relative":
         own = own.withColumn("tf", F.col("tf") / F.sum("tf").over(Window.partitionBy(row_id)))
-    rows = own.join(vocab.select("term", "idx", "idf"), "term").withColumn("value", F.col("tf") * F.col("idf"))
+    known = vocab.select("term", "idx", "idf")
+    rows = own.join(F.broadcast(known) if bounded else known, "term").withColumn("value", F.col("tf") * F.col("idf"))
     if norm == "l2":
         rows = rows.withColumn("value", F.col("value") / F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(row_id))))
     return rows.select(row_id, "term", "idx", "value")
@@ -64,9 +77,10 @@ class TfidfModel:
     high: int
     tf: str = "count"
     norm: str | None = "l2"
+    bounded: bool = False
 
     def transform(self, df: DataFrame, text: str = "text", row_id: str = "row_id") -> DataFrame:
-        return weighted(term_counts(gram_rows(df, text, row_id, self.low, self.high), "grams", row_id), self.vocab, row_id, self.tf, self.norm)
+        return weighted(term_counts(gram_rows(df, text, row_id, self.low, self.high), "grams", row_id), self.vocab, row_id, self.tf, self.norm, self.bounded)
 
 
 def gram_rows(df: DataFrame, text: str, row_id: str, low: int, high: int) -> DataFrame:
@@ -87,7 +101,7 @@ class Tfidf:
 
     def _fitted(self, counts: DataFrame, df: DataFrame) -> TfidfModel:
         n = df.agg(F.count(F.lit(1)).alias("n"))
-        return TfidfModel(idf(vocabulary(term_df(counts), n, self.max_features, self.min_df, self.max_df), n), self.low, self.high, self.tf, self.norm)
+        return TfidfModel(idf(vocabulary(term_df(counts), n, self.max_features, self.min_df, self.max_df), n), self.low, self.high, self.tf, self.norm, self.max_features is not None and self.max_features <= MOST_SENT)
 
     def fit(self, df: DataFrame, text: str = "text", row_id: str = "row_id") -> TfidfModel:
         return self._fitted(term_counts(gram_rows(df, text, row_id, self.low, self.high), "grams", row_id), df)
@@ -96,7 +110,7 @@ class Tfidf:
         """The model and the weighted rows; the texts are cut and counted once."""
         counts = cut(term_counts(gram_rows(df, text, row_id, self.low, self.high), "grams", row_id))
         model = self._fitted(counts, df)
-        return model, weighted(counts, model.vocab, row_id, self.tf, self.norm)
+        return model, weighted(counts, model.vocab, row_id, self.tf, self.norm, model.bounded)
 
 
 def pooled(tokens: DataFrame, vectors: DataFrame, weights: DataFrame, row_id: str = "row_id") -> DataFrame:

@@ -108,7 +108,7 @@ class Features:
         """``df``: ``row_id, tokens`` of the training rows."""
         docs = self._texts(df)
         self.tfidf = terms.Tfidf(self.max_features, self.min_df).fit(docs)
-        self.tfidf = terms.TfidfModel(cut(self.tfidf.vocab), self.tfidf.low, self.tfidf.high)
+        self.tfidf = terms.TfidfModel(cut(self.tfidf.vocab), self.tfidf.low, self.tfidf.high, bounded=self.tfidf.bounded)
         rows = cut(reduce.sparse_rows(self.tfidf.transform(docs)))
         self.pca = reduce.fit_sparse_pca(rows, df.count(), self.tfidf.vocab.count(), self.size, seed=self.seed)
         self.words = WordVectors(size=len(self.pca.components), min_count=2, seed=self.seed).fit(df)
