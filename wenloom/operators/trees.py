@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 from wenloom.functions import vectors as V
 from wenloom.sources.tables import cut
 
-MAX_CASE_NODES = 300
+#: Above this many nodes the generated code, which models repeat per label, would pass the limit of a method.
+MAX_CASE_NODES = 40
 
 
 @dataclass
