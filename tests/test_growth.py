@@ -33,6 +33,34 @@ def test_bins_give_exact_trees_where_values_fit(data):
         assert same([t for r in a.rounds for t in r], [t for r in b.rounds for t in r]) and np.allclose(a.losses, b.losses)
 
 
+def test_sorted_rows_and_histograms_give_the_same_tree(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(300, 6)), 1)
+    x[::7, 2] = np.nan
+    w, hit = np.ones(300), rng.random(300) > 0.5
+    for criterion, stats in ((trees.Variance(), [w, rng.normal(size=300)]), (trees.Gradient(), [w, rng.normal(size=300), rng.random(300)]), (trees.Gini(2), [hit, ~hit])):
+        own = growth.local_edges(x, 40)
+        grown = []
+        for share in (0, 2, 1_000):
+            monkeypatch.setattr(growth, "SORTED_SHARE", share)
+            for allowed in (None, np.array([4, 1, 2])):
+                grown.append(growth.grow_here(growth.coded(x, own), np.stack(stats, axis=1).astype(float), own, growth.Shape(own), criterion, None, 4, 2, allowed))
+        for (a, u), (b, v) in zip(grown[:2] * 2, grown[2:], strict=True):
+            assert same([a], [b]) and np.allclose(u, v) and len(a.nodes) > 20
+
+
+def test_trees_may_be_deeper_than_an_integer_has_bits(spark, data, tmp_path):
+    # Each split takes off the largest target.
+    steps = spark.createDataFrame([(i, [float(i)], 3.0**i) for i in range(75)], "row_id long, x array<double>, t double")
+    tree = RegressionTree(max_depth=None).fit(steps)
+    assert max(tree.nodes).bit_length() > 64
+    trees.save(spark, {0: tree}, str(tmp_path / "t"))
+    assert same([tree], [trees.load(spark, str(tmp_path / "t"))[0][0]])
+    x = np.arange(75.0)[:, None]
+    own = growth.local_edges(x, growth.BINS)
+    assert np.allclose(growth.leaf_values(tree, growth.coded(x, own), own), tree.walk(x)) and np.allclose(tree.walk(x), 3.0 ** np.arange(75))
+
+
 def test_partitions_and_one_task_grow_the_same(data, monkeypatch):
     fits = [
         lambda: [DecisionTree(max_depth=4).fit(data).tree],

@@ -33,6 +33,8 @@ BINS = 1_024
 LOCAL_CELLS = 20_000_000
 #: Codes of all features together; more features have fewer bins, at least 32.
 MOST_CODES = 4_000_000
+#: A node's rows are sorted once they hold at most so many values a cell.
+SORTED_SHARE = 2
 BLOCK = 16
 GROUPS = 64
 KEEP = 10
@@ -116,20 +118,67 @@ def _stops(depth: int, total: np.ndarray, criterion: Criterion, max_depth: int |
     return (max_depth is not None and depth >= max_depth) or criterion.rows(total) < min_split or criterion.single(total)
 
 
-def grow_here(codes: np.ndarray, stats: np.ndarray, own: list[np.ndarray], shape: Shape, criterion: Criterion, max_depth: int | None, min_split: int, min_leaf: int, allowed: np.ndarray | None = None) -> tuple[Tree, np.ndarray]:
-    """One tree of the rows at hand, and each row's leaf value."""
+def presorted(codes: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray] | None:
+    """Rows in the order of each feature's codes, and those codes; None where the histograms have fewer cells than that."""
+    if codes.size > SORTED_SHARE * shape.cells:
+        return None
+    order = np.ascontiguousarray(np.argsort(codes, axis=0, kind="stable").T)
+    return order, np.take_along_axis(codes.T, order, axis=1)
+
+
+def sorted_split(order: np.ndarray, code: np.ndarray, stats: list[np.ndarray | None], total: np.ndarray, criterion: Criterion, least: int) -> tuple[float, int, int]:
+    """As ``best_split``, from sorted rows (features by rows) and each statistic of all rows, None if it is one everywhere."""
+    n = order.shape[1]
+    left = [np.arange(1.0, n + 1) if own is None else np.cumsum(v := own.take(order), axis=1, out=v) for own in stats]
+    gain = criterion.gains_of(total, left, least)
+    gain[:, -1:] = -np.inf
+    np.copyto(gain[:, :-1], -np.inf, where=code[:, :-1] == code[:, 1:])
+    gain = gain.ravel()
+    k = int(np.argmax(gain)) if n else 0
+    if not n or not np.round(gain[k], 12) > 0:
+        return 0.0, -1, 0
+    # Only those within the rounding of the largest may share its rounded gain.
+    near = np.flatnonzero(gain >= gain[k] - 2e-12)
+    k = int(near[np.argmax(np.round(gain[near], 12))])
+    return float(np.round(gain[k], 12)), k // n, int(code.flat[k])
+
+
+def grow_here(codes: np.ndarray, stats: np.ndarray, own: list[np.ndarray], shape: Shape, criterion: Criterion, max_depth: int | None, min_split: int, min_leaf: int, allowed: np.ndarray | None = None, ordered: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[Tree, np.ndarray]:
+    """One tree of the rows at hand, and each row's leaf value.
+
+    Large nodes take histograms; smaller ones sort their rows by each feature once
+    (``ordered``: all rows, sorted beforehand) and hand the order down.
+    """
     tree, values = Tree(), np.zeros(len(codes))
-    open_ = [(1, 0, np.arange(len(codes)))]
+    across = [None if i == 0 and criterion.counts_rows and (own == 1).all() else np.ascontiguousarray(own) for i, own in enumerate(stats.T)]
+    goes = np.zeros(len(codes), bool)
+    columns = np.arange(codes.shape[1]) if allowed is None else np.unique(allowed)
+    if ordered is not None and allowed is not None:
+        ordered = ordered[0][columns], ordered[1][columns]
+    open_ = [(1, 0, np.arange(len(codes)), stats.sum(axis=0), ordered)]
     while open_:
-        at, depth, rows = open_.pop()
-        total = stats[rows].sum(axis=0)
+        at, depth, rows, total, ordered = open_.pop()
         node = tree.nodes[at] = Node(criterion.leaf(total))
         if not _stops(depth, total, criterion, max_depth, min_split):
-            gain, feature, code = best_split(*histogram(codes[rows], stats[rows], shape), total, shape, criterion, min_leaf, allowed)
+            if ordered is None and (found := presorted(codes[np.ix_(rows, columns)], shape)) is not None:
+                ordered = rows[found[0]], found[1]
+            if ordered is None:
+                gain, feature, code = best_split(*histogram(codes[rows], stats[rows], shape), total, shape, criterion, min_leaf, allowed)
+            else:
+                gain, feature, code = sorted_split(*ordered, across, total, criterion, min_leaf)
+                feature = int(columns[feature])
             if gain > 0:
                 node.feature, node.threshold = feature, float(own[feature][code])
                 left = codes[rows, feature] <= code
-                open_ += [(2 * at, depth + 1, rows[left]), (2 * at + 1, depth + 1, rows[~left])]
+                if ordered is not None:
+                    goes[rows] = left
+                    to = goes.take(ordered[0])
+                for i, part in enumerate((rows[left], rows[~left])):
+                    sums, down = stats[part].sum(axis=0), None
+                    if ordered is not None and not _stops(depth + 1, sums, criterion, max_depth, min_split):
+                        places = np.flatnonzero(~to if i else to)
+                        down = tuple(x.take(places).reshape(len(columns), -1) for x in ordered)
+                    open_.append((2 * at + i, depth + 1, part, sums, down))
                 continue
         values[rows] = node.value
     return tree, values
@@ -138,28 +187,28 @@ def grow_here(codes: np.ndarray, stats: np.ndarray, own: list[np.ndarray], shape
 # ---- over partitions -----------------------------------------------------------------------
 
 
-def _reached(tree: Tree, codes: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
-    """The deepest known node of each row."""
-    at = np.ones(len(codes), np.int64)
+def _reached(tree: Tree, codes: np.ndarray, own: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """The deepest known nodes and the rows that reach them; numbers of deep nodes are larger than any integer type."""
     open_ = [(1, np.arange(len(codes)))]
     while open_:
         node, rows = open_.pop()
-        at[rows] = node
         n = tree.nodes.get(node)
-        if n is None or n.feature < 0 or not len(rows):
+        if n is None or n.feature < 0:
+            if len(rows):
+                yield node, rows
             continue
         left = codes[rows, n.feature] <= np.searchsorted(own[n.feature], n.threshold)
         open_ += [(2 * node, rows[left]), (2 * node + 1, rows[~left])]
-    return at
 
 
 def leaf_values(tree: Tree, codes: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
-    at = _reached(tree, codes, own)
-    nodes, back = np.unique(at, return_inverse=True)
-    return np.array([tree.nodes[int(i)].value for i in nodes], np.float64)[back]
+    out = np.zeros(len(codes))
+    for node, rows in _reached(tree, codes, own):
+        out[rows] = tree.nodes[node].value
+    return out
 
 
-_CELLS = "tree int, node long, block int, grp int, cells binary, sums binary, total binary"
+_CELLS = "tree int, node string, block int, grp int, cells binary, sums binary, total binary"
 
 
 def _added(criterion: Criterion):
@@ -196,10 +245,8 @@ def grow_wide(rows: DataFrame, prepare: Callable[[pd.DataFrame], dict[int, tuple
                 if not len(b):
                     continue
                 for t, (codes, stats) in prepare(b).items():
-                    node = _reached(grown[t], codes, own)
-                    for n in np.unique(node).tolist():
+                    for n, at in _reached(grown[t], codes, own):
                         if (t, n) in wanted:
-                            at = node == n
                             held.setdefault((t, n), []).append((codes[at], stats[at]))
             grp = TaskContext.get().partitionId() % GROUPS
             for (t, n), parts in held.items():
@@ -207,7 +254,7 @@ def grow_wide(rows: DataFrame, prepare: Callable[[pd.DataFrame], dict[int, tuple
                 cells, sums = histogram(codes, stats, shape)
                 ends = np.append(np.searchsorted(cells, edge), len(cells))
                 total = stats.sum(axis=0).tobytes()
-                yield pd.DataFrame([(t, n, k, grp, cells[ends[k] : ends[k + 1]].tobytes(), sums[ends[k] : ends[k + 1]].tobytes(), total) for k in range(blocks)], columns=[c.split()[0] for c in _CELLS.split(", ")])
+                yield pd.DataFrame([(t, str(n), k, grp, cells[ends[k] : ends[k + 1]].tobytes(), sums[ends[k] : ends[k + 1]].tobytes(), total) for k in range(blocks)], columns=[c.split()[0] for c in _CELLS.split(", ")])
 
         def decide(b: pd.DataFrame) -> pd.DataFrame:
             head = b.iloc[0]
@@ -218,10 +265,10 @@ def grow_wide(rows: DataFrame, prepare: Callable[[pd.DataFrame], dict[int, tuple
             return pd.DataFrame([(head["tree"], head["node"], gain, feature, code, total.tobytes())], columns=["tree", "node", "gain", "feature", "code", "total"])
 
         cells = rows.mapInPandas(run, _CELLS).groupBy("tree", "node", "block", "grp").applyInPandas(_added(criterion), _CELLS)
-        found = cells.groupBy("tree", "node", "block").applyInPandas(decide, "tree int, node long, gain double, feature int, code int, total binary").collect()
+        found = cells.groupBy("tree", "node", "block").applyInPandas(decide, "tree int, node string, gain double, feature int, code int, total binary").collect()
         best: dict[tuple[int, int], tuple] = {}
         for r in found:
-            key = (r["tree"], r["node"])
+            key = (r["tree"], int(r["node"]))
             new = (-r["gain"], r["feature"], r["code"], r["total"])
             if key not in best or (r["gain"] > 0 and new < best[key]):
                 best[key] = new
@@ -239,10 +286,10 @@ def grow_wide(rows: DataFrame, prepare: Callable[[pd.DataFrame], dict[int, tuple
 
 
 def table(trees: dict[int, Tree]) -> pd.DataFrame:
-    return pd.DataFrame([(t, *n) for t, tree in trees.items() for n in tree.table()], columns=["tree", "node", "feature", "threshold", "leaf", "value"])
+    return pd.DataFrame([(t, str(n[0]), *n[1:]) for t, tree in trees.items() for n in tree.table()], columns=["tree", "node", "feature", "threshold", "leaf", "value"])
 
 
-TABLE = "tree int, node long, feature int, threshold double, leaf boolean, value double"
+TABLE = "tree int, node string, feature int, threshold double, leaf boolean, value double"
 
 
 def from_table(rows: list) -> dict[int, Tree]:
@@ -327,20 +374,21 @@ def boost(rows: DataFrame, start: list[float], rate: float, rounds: int, criteri
             x, y = matrix(b["x"]), b["y"].to_numpy()
             own = local_edges(x, most)
             codes, shape = coded(x, own), Shape(own)
+            ordered = presorted(codes, shape)
             f = np.tile(np.array(start), (len(y), 1))
             out = []
             for r in range(rounds):
                 q = softmax(f)
                 for c in range(k):
-                    tree, values = grow_here(codes, _class_stats(criterion, q, y, c), own, shape, criterion, max_depth, min_split, min_leaf)
+                    tree, values = grow_here(codes, _class_stats(criterion, q, y, c), own, shape, criterion, max_depth, min_split, min_leaf, ordered=ordered)
                     f[:, c] += rate * values
                     out.append(table({r * k + c: tree}))
-                out.append(pd.DataFrame([(-1, r, -1, 0.0, True, float(-np.log(softmax(f)[np.arange(len(y)), y] + 1e-10).mean()))], columns=out[0].columns))
+                out.append(pd.DataFrame([(-1, str(r), -1, 0.0, True, float(-np.log(softmax(f)[np.arange(len(y)), y] + 1e-10).mean()))], columns=out[0].columns))
             return pd.concat(out)
 
         got = rows.select(F.lit(0).alias("g"), "row_id", "x", "y").groupBy("g").applyInPandas(here, TABLE).collect()
         trees = list(from_table([r for r in got if r["tree"] >= 0]).values())
-        losses = [r["value"] for r in sorted((r for r in got if r["tree"] < 0), key=lambda r: r["node"])]
+        losses = [r["value"] for r in sorted((r for r in got if r["tree"] < 0), key=lambda r: int(r["node"]))]
         return [trees[i : i + k] for i in range(0, len(trees), k)], losses
     own = edges(rows, size, most)
     state = coded_rows(rows.select("row_id", "x", "y").withColumn("f", F.array(*[F.lit(float(s)) for s in start])), own)

@@ -140,6 +140,12 @@ class Gini:
             gain = 1 - ((total / n) ** 2).sum() - part(left, a) - part(right, b)
         return np.where((a >= least) & (b >= least) & (b > 0), gain, -np.inf)
 
+    #: Whether the first statistic is the rows' weight.
+    counts_rows = False
+
+    def gains_of(self, total: np.ndarray, left: list[np.ndarray], least: int) -> np.ndarray:
+        return self.gains(total, np.stack([s.ravel() for s in left]).T, least).reshape(left[0].shape)
+
     def value(self, r) -> int:
         counts = [r[f"t_c{k}"] for k in range(self.classes)]
         return counts.index(max(counts))
@@ -176,11 +182,24 @@ class Variance:
         return float(total[1] / total[0])
 
     def gains(self, total: np.ndarray, left: np.ndarray, least: int) -> np.ndarray:
-        n, s = left.T
+        return self.gains_of(total, list(left.T), least)
+
+    counts_rows = True
+
+    def gains_of(self, total: np.ndarray, left: list[np.ndarray], least: int) -> np.ndarray:
+        """Sums to the left one by one; the weights may be a row for all features."""
+        n, s = left
         m, t = total[0] - n, total[1] - s
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = (s * s / n + t * t / m) / total[0] - (total[1] / total[0]) ** 2
-        return np.where((n >= least) & (m >= least) & (m > 0), gain, -np.inf)
+            gain = s * s
+            gain /= n
+            t *= t
+            t /= m
+            gain += t
+            gain /= total[0]
+            gain -= (total[1] / total[0]) ** 2
+        np.copyto(gain, -np.inf, where=~((n >= least) & (m >= least) & (m > 0)))
+        return gain
 
     def value(self, r) -> float:
         return r["t_s"] / r["t_n"]
@@ -209,7 +228,12 @@ class Gradient:
         return float(-total[1] / (total[2] + self.penalty))
 
     def gains(self, total: np.ndarray, left: np.ndarray, least: int) -> np.ndarray:
-        n, g, h = left.T
+        return self.gains_of(total, list(left.T), least)
+
+    counts_rows = True
+
+    def gains_of(self, total: np.ndarray, left: list[np.ndarray], least: int) -> np.ndarray:
+        n, g, h = left
         score = lambda a, b: a * a / (b + self.penalty)
         gain = 0.5 * (score(g, h) + score(total[1] - g, total[2] - h) - score(total[1], total[2])) - self.cost
         fine = (n > 0) & (total[0] - n > 0) & (h >= self.least_hessian) & (total[2] - h >= self.least_hessian)
@@ -277,8 +301,8 @@ def best_splits(flat: DataFrame, by: list[str], criterion: Criterion, min_leaf:
 
 
 def grow(rows: DataFrame, criterion: Criterion, max_depth: int | None = None, min_split: int = 2, min_leaf: int = 1, features: dict[int, list[int]] | None = None) -> dict[int, Tree]:
-    """Trees by number. ``features``: which features a tree may use; None for all."""
-    rows = rows.where("x is not null").withColumn("node", F.lit(1).cast("long"))
+    """Trees by number. ``features``: which features a tree may use; None for all. Nodes are in binary digits, for any depth."""
+    rows = rows.where("x is not null").withColumn("node", F.lit("1"))
     trees: dict[int, Tree] = {}
     depth = 0
     while True:
@@ -297,21 +321,21 @@ def grow(rows: DataFrame, criterion: Criterion, max_depth: int | None = None, mi
             if not stop:
                 node.feature, node.threshold = r["idx"], r["value"]
                 splits.append((r["tree"], r["node"], r["idx"], r["value"]))
-            tree.nodes[r["node"]] = node
+            tree.nodes[int(r["node"], 2)] = node
         if not splits:
             return trees
         # A row per open node: no more than the driver already holds.
-        table = rows.sparkSession.createDataFrame(splits, "tree int, node long, feature int, threshold double")
+        table = rows.sparkSession.createDataFrame(splits, "tree int, node string, feature int, threshold double")
         moved = rows.join(F.broadcast(table), ["tree", "node"])
         v = F.get("x", F.col("feature"))
         left = (v <= F.col("threshold")) & ~F.isnan(v)
-        rows = cut(moved.withColumn("node", F.col("node") * 2 + F.when(left, 0).otherwise(1)).drop("feature", "threshold"))
+        rows = cut(moved.withColumn("node", F.concat("node", F.when(left, "0").otherwise("1"))).drop("feature", "threshold"))
         depth += 1
 
 
 def save(spark: SparkSession, trees: dict[int, Tree], path: str, **about) -> None:
-    rows = [(t, *n) for t, tree in trees.items() for n in tree.table()]
-    spark.createDataFrame(rows, "tree int, node long, feature int, threshold double, leaf boolean, value double").withColumn("about", F.lit(json.dumps(about))).coalesce(1).write.mode("overwrite").parquet(path)
+    rows = [(t, str(n[0]), *n[1:]) for t, tree in trees.items() for n in tree.table()]
+    spark.createDataFrame(rows, "tree int, node string, feature int, threshold double, leaf boolean, value double").withColumn("about", F.lit(json.dumps(about))).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> tuple[dict[int, Tree], dict]:
