@@ -188,6 +188,24 @@ def test_encoder_block(spark):
     assert len(rows) == 3 and all(np.isfinite(r["x"]).all() for r in rows)
 
 
+def test_encoder_computes_equal_texts_once_and_in_the_weights_precision(spark):
+    c = encoder.EncoderConfig(vocab=40, width=8, layers=2, heads=2, inner=16, length=12)
+    w = encoder.random_weights(c)
+    vocab = {ch: 5 + i for i, ch in enumerate("甲乙丙丁abc")}
+    texts = ["甲乙", "甲乙", None, "", "丙" * 30, "a丁c", "甲乙", "a丁c", None, "b"]
+    df = spark.createDataFrame([(i, texts[i % 10]) for i in range(200)], "row_id long, text string").repartition(7)
+    hidden, pool = zip(*(encoder.forward(np.array([ids]), np.ones((1, len(ids)), int), w, c) for ids in (encoder.ids_of(t, vocab, c.length) for t in texts)))
+    assert hidden[0].dtype == np.float32 and pool[0].dtype == np.float32
+    for pooled, want in ((False, [h[0, 0] for h in hidden]), (True, [p[0] for p in pool])):
+        for own in (vocab, encoder.vocabulary_map(vocab)):
+            got = {r["row_id"]: r["x"] for r in encoder.encoded(df, w, c, own, pooled, batch=2).collect()}
+            assert len(got) == 200 and all(np.allclose(got[i], want[i % 10], atol=1e-5) for i in got)
+            assert len({tuple(got[i]) for i in range(0, 200, 10)}) == 1
+    short, _ = encoder.forward(np.array([[1, 2, 3, 0]]), np.array([[1, 1, 1, 0]]), w, c, first=True)
+    whole, _ = encoder.forward(np.array([[1, 2, 3]]), np.ones((1, 3), int), w, c)
+    assert short.shape == (1, 1, 8) and np.allclose(short[:, 0], whole[:, 0], atol=1e-5)
+
+
 def test_pipeline(spark, tmp_path):
     words = {"体育": ["球队", "进球", "裁判"], "财经": ["银行", "利率", "贷款"]}
     rows = [(i, " ".join(words[y][(i + j) % 3] for j in range(3)) + f" 词{i % 4}", y) for i in range(60) for y in (list(words)[i % 2],)]

@@ -4,15 +4,18 @@ Weights are a dict of arrays: loaded from an ``.npz`` file or drawn with a fixed
 seed (there is no network here); they travel once per executor as a broadcast
 variable, whose size the configuration fixes. Defined cases: null and empty
 texts encode the two boundary tokens; long texts are cut after the closing
-token is added; a row's vector doesn't depend on its batch.
+token is added; a row's vector doesn't depend on its batch, but for rounding.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from math import pi, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,10 @@ from wenloom.functions.text import characters, encode_characters
 
 MASKED = -10000.0
 TINY = 1e-12
+WAVES = 3
+PLACES = 256
+#: Rows of one batch of vectors.
+OUT_ROWS = 4_096
 
 
 @dataclass(frozen=True)
@@ -61,30 +68,65 @@ def load_weights(c: EncoderConfig, path: str | None, seed: int = 42) -> dict[str
 
 
 def normed(x: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    m = x.mean(axis=-1, keepdims=True)
-    return (x - m) / np.sqrt(((x - m) ** 2).mean(axis=-1, keepdims=True) + TINY) * scale + shift
-
-
-def attention(x: np.ndarray, mask: np.ndarray, w: dict[str, np.ndarray], layer: int, heads: int) -> np.ndarray:
-    n, length, width = x.shape
-    split = lambda p: (x @ w[f"{layer}.{p}.weight"] + w[f"{layer}.{p}.bias"]).reshape(n, length, heads, -1).transpose(0, 2, 1, 3)
-    q, k, v = split("query"), split("key"), split("value")
-    score = q @ k.transpose(0, 1, 3, 2) / np.sqrt(width / heads) + ((1 - mask) * MASKED)[:, None, None, :]
-    score = np.exp(score - score.max(axis=-1, keepdims=True))
+    x = x - x.mean(axis=-1, keepdims=True)
+    x /= np.sqrt(np.einsum("...i,...i->...", x, x)[..., None] / x.shape[-1] + TINY)
+    x *= scale
+    x += shift
+    return x
+
+
+def gelu(h: np.ndarray) -> np.ndarray:
+    """By tanh; in place where it can be."""
+    t = h * h
+    t *= 0.044715
+    t += 1
+    t *= h
+    t *= sqrt(2 / pi)
+    np.tanh(t, out=t)
+    t += 1
+    t *= h
+    t *= 0.5
+    return t
+
+
+def projected(x: np.ndarray, w: dict[str, np.ndarray], name: str) -> np.ndarray:
+    """One product for all texts and places."""
+    out = x.reshape(-1, x.shape[-1]) @ w[f"{name}.weight"]
+    out += w[f"{name}.bias"]
+    return out.reshape(*x.shape[:-1], -1)
+
+
+def inner(x: np.ndarray, w: dict[str, np.ndarray], layer: int) -> np.ndarray:
+    """The two wide products, by as many places as caches hold."""
+    flat = x.reshape(-1, x.shape[-1])
+    return np.concatenate([projected(gelu(projected(flat[i : i + PLACES], w, f"{layer}.up")), w, f"{layer}.down") for i in range(0, len(flat), PLACES)]).reshape(x.shape)
+
+
+def attention(x: np.ndarray, mask: np.ndarray, w: dict[str, np.ndarray], layer: int, heads: int, asking: int | None = None) -> np.ndarray:
+    """``asking``: how many first places are wanted; None for all."""
+    n, _, width = x.shape
+    split = lambda v, p: projected(v, w, f"{layer}.{p}").reshape(n, v.shape[1], heads, -1).transpose(0, 2, 1, 3)
+    q, k, v = split(x[:, :asking], "query"), split(x, "key"), split(x, "value")
+    score = q @ k.transpose(0, 1, 3, 2)
+    score *= 1 / sqrt(width / heads)
+    score += ((1 - mask) * MASKED).astype(x.dtype)[:, None, None, :]
+    score -= score.max(axis=-1, keepdims=True)
+    np.exp(score, out=score)
     score /= score.sum(axis=-1, keepdims=True)
-    mixed = (score @ v).transpose(0, 2, 1, 3).reshape(n, length, width)
-    return mixed @ w[f"{layer}.out.weight"] + w[f"{layer}.out.bias"]
+    mixed = (score @ v).transpose(0, 2, 1, 3).reshape(n, -1, width)
+    return projected(mixed, w, f"{layer}.out")
 
 
-def forward(ids: np.ndarray, mask: np.ndarray, w: dict[str, np.ndarray], c: EncoderConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden states of all places, and the pooled first one."""
+def forward(ids: np.ndarray, mask: np.ndarray, w: dict[str, np.ndarray], c: EncoderConfig, first: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden states of all places (``first``: of the first one only), and the pooled first one; in the weights' precision."""
     x = w["word"][np.where(ids < c.vocab, ids, 0)] + w["place"][: ids.shape[1]] + w["type"][0]
     x = normed(x, w["norm.scale"], w["norm.shift"])
     for i in range(c.layers):
-        x = normed(x + attention(x, mask, w, i, c.heads), w[f"{i}.after_attention.scale"], w[f"{i}.after_attention.shift"])
-        h = x @ w[f"{i}.up.weight"] + w[f"{i}.up.bias"]
-        h = 0.5 * h * (1 + np.tanh(np.sqrt(2 / np.pi) * (h + 0.044715 * h**3)))
-        x = normed(x + h @ w[f"{i}.down.weight"] + w[f"{i}.down.bias"], w[f"{i}.after_inner.scale"], w[f"{i}.after_inner.shift"])
+        # The last layer's other places reach nothing.
+        asking = 1 if first and i == c.layers - 1 else None
+        x = normed(x[:, :asking] + attention(x, mask, w, i, c.heads, asking), w[f"{i}.after_attention.scale"], w[f"{i}.after_attention.shift"])
+        x = normed(x + inner(x, w, i), w[f"{i}.after_inner.scale"], w[f"{i}.after_inner.shift"])
+    x = x[:, :1] if first else x
     return x, np.tanh(x[:, 0] @ w["pool.weight"] + w["pool.bias"])
 
 
@@ -123,20 +165,43 @@ def character_ids(df: DataFrame, vocab: dict[str, int], length: int = 128, text:
 
 
 def encoded(df: DataFrame, weights: dict[str, np.ndarray], c: EncoderConfig, vocab: Column | dict[str, int], pooled: bool = False, text: str = "text", row_id: str = "row_id", batch: int = 32) -> DataFrame:
-    """``row_id, x``: the first place's hidden state, or the pooled one."""
-    own = df.sparkSession.sparkContext.broadcast(weights)
-    if isinstance(vocab, dict):
-        rows = character_ids(df, vocab, c.length, text, row_id)
-    else:
-        rows = df.select(F.col(row_id).alias("row_id"), encode_characters(F.col(text), vocab, c.length).alias("e")).select("row_id", "e.ids", "e.mask")
-
-    def run(batches):
-        for f in batches:
-            for a in range(0, len(f), batch):
-                b = f.iloc[a : a + batch]
-                ids, mask = np.stack(b["ids"].to_numpy()), np.stack(b["mask"].to_numpy())
-                longest = max(1, int(mask.sum(axis=1).max()))
-                hidden, pool = forward(ids[:, :longest], mask[:, :longest], own.value, c)
-                yield pd.DataFrame({"row_id": b["row_id"].to_numpy(), "x": [v.astype(float).tolist() for v in (pool if pooled else hidden[:, 0])]})
-
-    return rows.mapInPandas(run, "row_id long, x array<double>")
+    """``row_id, x``: the first place's hidden state, or the pooled one.
+
+    Equal texts meet in one partition, next to each other and to texts of their
+    length, so that each is computed once there and few places are padding.
+    """
+    sc = df.sparkSession.sparkContext
+    own, known = sc.broadcast(weights), sc.broadcast(vocab) if isinstance(vocab, dict) else None
+    parts = max(df.rdd.getNumPartitions(), WAVES * sc.defaultParallelism)
+    rows = df.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
+    rows = rows.repartition(parts, "text").sortWithinPartitions(F.length("text"), "text")
+    if known is None:
+        rows = rows.select("row_id", encode_characters(F.col("text"), vocab, c.length).alias("e")).select("row_id", F.slice("e.ids", 1, F.greatest(F.lit(1), F.aggregate("e.mask", F.lit(0), lambda a, b: a + b))).alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, vector = None, None
+        for b in batches:
+            values = b.column(1).to_pylist()
+            if not values:
+                continue
+            # ``at``: the place of each row's vector among those of the distinct texts; 0 is the last batch's last one.
+            new = np.array([i == 0 and vector is None or v != (values[i - 1] if i else last) for i, v in enumerate(values)])
+            at, last = np.cumsum(new), values[-1]
+            found = [np.zeros((1, c.width), np.float32) if vector is None else vector]
+            ids = [values[i] if known is None else ids_of(values[i], known.value, c.length) for i in np.flatnonzero(new)]
+            for i in range(0, len(ids), batch):
+                part = ids[i : i + batch]
+                size = np.array([len(v) for v in part])
+                mask = np.arange(size.max()) < size[:, None]
+                places = np.zeros(mask.shape, np.int64)
+                places[mask] = np.concatenate(part)
+                hidden, pool = forward(places, mask, own.value, c, first=True)
+                found.append(pool if pooled else hidden[:, 0])
+            x = np.concatenate(found)
+            vector = x[at[-1]][None]
+            for i in range(0, len(at), OUT_ROWS):
+                some = x[at[i : i + OUT_ROWS]].astype(np.float64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * c.width), pa.array(some.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(some)), lists], ["row_id", "x"])
+
+    return rows.mapInArrow(run, f"row_id {dict(rows.dtypes)['row_id']}, x array<double>")

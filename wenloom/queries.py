@@ -721,7 +721,7 @@ def encoder_vectors(spark: SparkSession, d: str) -> DataFrame:
     rows = _texts(spark, d)
     vocab = encoder.corpus_vocabulary(rows)
     c = encoder.EncoderConfig(vocab=200 + len(vocab), width=128, layers=2, heads=2, inner=512)
-    return encoder.encoded(spread(rows), encoder.random_weights(c), c, vocab)
+    return encoder.encoded(rows, encoder.random_weights(c), c, vocab)
 
 
 @query
