@@ -292,6 +292,31 @@ def test_recall_of_similar_vectors(spark, monkeypatch, shape):
         assert np.mean(c[near["row_id"], near["other_row_id"]] >= tenth[near["row_id"]] - 1e-5) >= least
 
 
+def test_vectors_are_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(similar, "PART_ROWS", 60)
+    x = similar._unit(np.random.default_rng(8).normal(size=(1_200, 100)))
+    x[1::20] = similar._unit(x[::20] + np.random.default_rng(9).normal(size=(60, 100)) * 0.03)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1_200, x[0].tolist()), (1_200, x[1].tolist())]
+    vectors = similar.prepared(spark.createDataFrame(rows, "row_id long, v array<float>"), "f", "row_id", "v")
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def written():
+        """Shuffled bytes by stage."""
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {s.stageId(): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+
+    before = written()
+    found = similar.alike(vectors, 0.9, 200).toPandas()
+    # Every vector meets every cell here, yet its 408 bytes are moved once, and once for the sample, which holds all of them.
+    assert 0 < sum(v for k, v in written().items() if k not in before) < 3 * 408 * len(rows)
+    full, ids = np.r_[x, x[:2]].astype(np.float64), np.r_[np.arange(1_200), 1_200, 1_200]
+    a, b = np.triu_indices(len(ids), 1)
+    cosine = (full @ full.T)[a, b] / np.linalg.norm(full, axis=1)[a] / np.linalg.norm(full, axis=1)[b]
+    want = sorted((int(i), int(j)) for i, j, c in zip(ids[a], ids[b], cosine) if c >= 0.9 and i != j)
+    assert sorted(zip(found["low_row_id"], found["high_row_id"])) == want and len(want) > 60
+
+
 def test_bits_that_may_differ():
     rng = np.random.default_rng(3)
     x = similar._unit(rng.normal(size=(20_000, 100)))

@@ -1,36 +1,29 @@
-"""Most similar vectors for every vector (problem 4): randomly rotated one-bit codes.
+"""Most similar vectors for every vector (problem 4): bounds first, cosines where they leave a doubt.
 
 A usable vector has DIMENSION finite numbers, not all zero; all others are left
-out. Vectors are scaled to length one and turned by a fixed random rotation of
-WIDE dimensions; the signs are the code, packed into WIDE bits, and the inner
-product of a vector with its own code is its correction scalar f.
-
-Inner products are estimated from packed bits by counting ones:
-
-* code and vector (``nearest``): the query is rounded to PLANES bits a dimension,
-  one packed word row per bit; <code, q> / f estimates <o, q>, with an error of
-  sqrt(1 - <o, q>^2) * sqrt(1 - f^2) / f / sqrt(WIDE - 1) times a standard normal
-  number, of which REACH are allowed.
-* code and code (``alike``): two vectors at an angle differ in each bit with
-  probability angle / pi; pairs that differ in more bits than a pair at the wanted
-  cosine does but once in 1 / MISS are dropped. Next to its code a vector is moved
-  as 8-bit numbers, whose cosine is off by less than ROUNDED and drops most of the
-  rest.
-
-What is left is reranked by the exact cosine. Vectors are grouped into cells
-around centroids of a bounded sample (SAMPLE_ROWS). A task compares one part of a
-cell's members with one part of its visitors; parts hold about PART_ROWS (``alike``)
-or MEMBER_ROWS and QUERY_ROWS (``nearest``) vectors, by each cell's own share of
-the sample, so that a cell of many equal or close vectors is many tasks. Pairs
-leave a task in chunks.
-
-* ``alike``: all pairs with at least a given cosine. A vector visits every cell
-  whose border is no farther from it than the angle of that cosine, so a partner
-  in any direction is met, whatever the vectors' spectrum. ``exact=True`` moves
-  vectors instead of codes and compares cosines only.
+out. Vectors are scaled to length one and grouped into cells around centroids of a
+bounded sample (SAMPLE_ROWS); parts of a cell hold about PART_ROWS (``alike``) or
+MEMBER_ROWS and QUERY_ROWS (``nearest``) vectors, by each cell's own share of the
+sample, so that a cell of many equal or close vectors is many tasks. Pairs leave a
+task in chunks.
+
+* ``alike``: all pairs with at least a given cosine, none missed. Each vector is
+  written once, to the file of its part in the shared folder; a task reads the
+  parts that it compares from there, so the disk taken doesn't grow with the number
+  of comparisons. Of two parts of different cells only vectors meet whose common
+  border is no farther than the angle of that cosine. Vectors are turned to the
+  sample's principal axes; the inner product over the first FIRST of them plus the
+  product of what is left of both lengths bounds the cosine from above, and only
+  pairs whose bound reaches it are computed, last in 64 bits. ``exact=True``
+  takes whole inner products instead of the bound.
 * ``nearest``: the k most similar of each vector. Every vector visits its
   ``probes`` nearest cells; None visits all cells. ``exact=True`` compares every
-  member of the visited cells by cosine.
+  member of the visited cells by cosine, else by codes: the signs of a vector turned
+  by a fixed random rotation of WIDE dimensions, with its inner product with its own
+  code as correction scalar f. The query is rounded to PLANES bits a dimension, one
+  packed word row per bit; <code, q> / f estimates <o, q>, with an error of
+  sqrt(1 - <o, q>^2) * sqrt(1 - f^2) / f / sqrt(WIDE - 1) times a standard normal
+  number, of which REACH are allowed; what is left is reranked by the exact cosine.
 
 Defined cases: null, empty, short, long, all-zero vectors and such with NaN or
 infinity are no cases; equal vectors are partners with cosine one; ties are
@@ -47,15 +40,19 @@ from math import acos, pi
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wenloom.sources.tables import cut_by
+
 DIMENSION = 100
 WIDE = 128
 PLANES = 4
 REACH = 2.0
 MISS = 1e-7
-ROUNDED = 0.015
+FIRST = 31
 PROBES = 64
 CELL_ROWS = 32_768
 PART_ROWS = 16_384
@@ -63,6 +60,9 @@ MEMBER_ROWS = 32_768
 QUERY_ROWS = 8_192
 SAMPLE_ROWS = 20_000
 PAIRS = 1_000_000
+#: Vectors of a block of the product, and pairs of parts of one task where there are more than tasks for all cores.
+TILE = (256, 1_024)
+TASK_PAIRS = 8
 
 
 @lru_cache(maxsize=2)
@@ -110,12 +110,6 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def rounded(x: np.ndarray) -> np.ndarray:
-    """Vectors as 8-bit numbers; their length is divided out when they are read."""
-    top = np.abs(x).max(axis=1, keepdims=True)
-    return np.rint(x / top * 127).astype(np.int8).view(np.uint8)
-
-
 @lru_cache(maxsize=8)
 def most_bits(cosine: float) -> int:
     """Bits in which all but MISS of the pairs at this cosine differ at most: the binomial tail."""
@@ -156,9 +150,10 @@ def _visits(x: np.ndarray, c: np.ndarray, cosine: float | None, probes: int | No
 
 
 class Cells:
-    """Centroids of each family, and the parts of each cell; one row per family and a bounded sample reach the driver."""
+    """Centroids and axes of each family, and the parts of each cell; one row per family and a bounded sample reach the driver."""
 
-    def __init__(self, vectors: DataFrame, cell_rows: int, cosine: float | None, probes: int | None):
+    def __init__(self, vectors: DataFrame, cell_rows: int, probes: int | None):
+        self.axes: dict[str, np.ndarray] = {}
         self.centers: dict[str, np.ndarray] = {}
         self.members: dict[str, np.ndarray] = {}
         self.visitors: dict[str, np.ndarray] = {}
@@ -168,21 +163,16 @@ class Cells:
             k = -(-n // cell_rows)
             x = _unit(rows.column(0).combine_chunks().flatten().to_numpy().reshape(-1, DIMENSION)) if rows.num_rows else np.zeros((0, DIMENSION), np.float32)
             c = centroids(x, k) if k > 1 and len(x) else np.zeros((1, DIMENSION), np.float32)
-            home, visit = _visits(x, c, cosine, probes)
+            home, visit = _visits(x, c, None, probes)
             scale = n / max(1, len(x))
+            self.axes[family] = np.linalg.eigh(x.T.astype(np.float64) @ x)[1][:, ::-1].astype(np.float32)
             self.centers[family] = c
             self.members[family] = np.bincount(home, minlength=len(c)) * scale
-            if cosine is not None:
-                visit[np.arange(len(x)), home] = False
             self.visitors[family] = visit.sum(axis=0) * scale
 
-    def tasks(self, rows: int, queries: int, within: bool) -> int:
+    def tasks(self, rows: int, queries: int) -> int:
         """How many combinations of parts there are."""
-        total = 0
-        for family in self.centers:
-            m, q = self.parts(family, rows, queries)
-            total += int((m * q + (m * (m + 1) // 2 if within else 0)).sum())
-        return total
+        return sum(int((m * q).sum()) for m, q in (self.parts(family, rows, queries) for family in self.centers))
 
     def parts(self, family: str, rows: int, queries: int) -> tuple[np.ndarray, np.ndarray]:
         """Parts of members and of visitors of each cell."""
@@ -203,7 +193,7 @@ def _spread(bundles: DataFrame, tasks: int) -> DataFrame:
     return bundles.repartition(max(1, min(20_000, 3 * tasks)), *_TASK)
 
 
-#: A bundle of vectors for one task: ``role`` 0 members, 1 members that also ask, 2 visitors.
+#: A bundle of vectors for one task: ``role`` 0 members, 2 visitors.
 _BUNDLE = "family string, cell int, mpart int, qpart int, role int, ids binary, data binary"
 
 
@@ -226,35 +216,85 @@ def _grouped(*keys: np.ndarray) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
 def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     for b in batches:
         for family, own in b.groupby("family", sort=False):
-            yield family, own["row_id"].to_numpy().astype(np.int64), _unit(np.stack(own["vector"].to_numpy()))
+            yield family, own["row_id"].to_numpy().astype(np.int64), np.stack(own["vector"].to_numpy()).astype(np.float32)
+
 
+class Blocks:
+    """Numbers of the parts of all families' cells, and of the pairs of parts of one family."""
 
-def _route_pairs(cells: Cells, cosine: float, exact: bool):
-    """Each member goes to the parts that come after its own; each visitor to all parts of the cell."""
+    def __init__(self, cells: Cells):
+        self.families = list(cells.centers)
+        self.cells = cells
+        self.parts = {family: cells.parts(family, PART_ROWS, PART_ROWS)[0] for family in self.families}
+        self.count = [int(self.parts[family].sum()) for family in self.families]
+        self.first = dict(zip(self.families, np.cumsum([0, *self.count]).tolist()))
+        #: Pairs before each family's.
+        self.before = np.cumsum([0, *(n * (n + 1) // 2 for n in self.count)]).tolist()
+
+    def of(self, family: str, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        parts = self.parts[family]
+        home = np.argmax(x @ self.cells.centers[family].T, axis=1)
+        return self.first[family] + (np.cumsum(parts) - parts)[home] + _part(ids, parts[home])
+
+    def pair(self, at: int) -> tuple[str, int, int]:
+        """The family and blocks of a pair; those of one first block follow each other."""
+        k = int(np.searchsorted(self.before, at, "right")) - 1
+        n, rest = self.count[k], at - self.before[k]
+        starts = np.cumsum(np.r_[0, np.arange(n, 1, -1)])
+        i = int(np.searchsorted(starts, rest, "right")) - 1
+        first = self.first[self.families[k]]
+        return self.families[k], first + i, first + i + rest - int(starts[i])
+
+    def cell(self, family: str, block: int) -> int:
+        return int(np.searchsorted(np.cumsum(self.parts[family]), block - self.first[family], "right"))
+
+
+def _homes(blocks: Blocks):
+    """Each vector in the bundle of its block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for family, ids, x in _batches(batches):
-            home, visit = _visits(x, cells.centers[family], cosine, None)
-            parts, guests = cells.parts(family, PART_ROWS, PART_ROWS)
-            data = x if exact else np.concatenate([encode(x)[0], rounded(x)], axis=1)
-            where: dict[tuple, list[np.ndarray]] = {}
-            for (cell, p), at in _grouped(home, _part(ids, parts[home])):
-                for q in range(p, int(parts[cell])):
-                    where.setdefault((cell, p, q, 0), []).append(at)
-                for m in range(p + 1):
-                    where.setdefault((cell, m, p, 1), []).append(at)
-                for v in range(int(guests[cell]) if cells.visitors[family][cell] or len(parts) > 1 else 0):
-                    where.setdefault((cell, p, int(parts[cell]) + v, 0), []).append(at)
-            visit[np.arange(len(ids)), home] = False
-            who, cell = np.nonzero(visit)
-            for (c, v), at in _grouped(cell, _part(ids[who], guests[cell])):
-                for m in range(int(parts[c])):
-                    where.setdefault((c, m, int(parts[c]) + v, 2), []).append(who[at])
-            yield _bundles(where, family, ids, data)
+        for family, ids, raw in _batches(batches):
+            rows = [(block, ids[at].tobytes(), raw[at].tobytes()) for (block,), at in _grouped(blocks.of(family, ids, _unit(raw)))]
+            yield pd.DataFrame(rows, columns=["block", "ids", "data"])
 
     return run
 
 
+class Block:
+    """One part's vectors, read from the shared folder."""
+
+    def __init__(self, folder: str, block: int, axes: np.ndarray, exact: bool):
+        system, path = fs.FileSystem.from_uri(f"{folder}/block={block}")
+        self.ids, self.raw = np.zeros(0, np.int64), np.zeros((0, DIMENSION), np.float32)
+        if system.get_file_info(path).type != fs.FileType.NotFound:
+            files = [f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
+            read = pd.concat([pq.ParquetFile(f, filesystem=system).read(["ids", "data"]).to_pandas() for f in files])
+            self.ids, self.raw = _joined(read, DIMENSION, np.float32)
+        self.length = np.sqrt(_dot(self.raw, self.raw))
+        self.unit = _unit(self.raw)
+        self.bound = self.unit if exact else bound(self.unit, axes)
+
+    def near_border(self, centers: np.ndarray, own: int, other: int, cosine: float) -> np.ndarray:
+        """Places of the vectors that may have a partner in the other cell."""
+        if own == other:
+            return np.arange(len(self.ids))
+        return np.flatnonzero(_visits(self.unit, centers[[own, other]], cosine, None)[1][:, 1])
+
+
+def bound(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Rows whose inner products are at least those of ``x``: the first axes, and the length of the rest."""
+    turned = x @ axes
+    return np.concatenate([turned[:, :FIRST], np.linalg.norm(turned[:, FIRST:], axis=1, keepdims=True)], axis=1)
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products in 64 bits, summed from the first dimension to the last."""
+    total = np.zeros(len(a))
+    for i in range(DIMENSION):
+        total += a[:, i].astype(np.float64) * b[:, i]
+    return total
+
+
 def _joined(b: pd.DataFrame, width: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(b"".join(b["ids"]), np.int64)
     return ids, np.frombuffer(b"".join(b["data"]), kind).reshape(len(ids), width)
@@ -264,50 +304,81 @@ def _whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True)
 
 
-def _alike(cosine: float, exact: bool):
-    limit = most_bits(cosine)
+def _met(a: Block, b: Block, mine: np.ndarray, theirs: np.ndarray, cosine: float, exact: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in both blocks of the pairs whose 32-bit cosine reaches the wanted one; within a block each pair once."""
+    rows, columns = TILE
+    least = np.float32(cosine - (1e-5 if exact else 1e-4))
+    product, reached = np.empty(TILE, np.float32), np.empty(TILE, bool)
+    tall = a.bound[mine]
+    for j in range(0, len(theirs), columns):
+        wide = np.ascontiguousarray(b.bound[theirs[j : j + columns]].T)
+        n = wide.shape[1]
+        for i in range(0, min(len(mine), j + columns) if a is b else len(mine), rows):
+            m = min(rows, len(mine) - i)
+            # Whole tiles are computed in the same memory.
+            full = (m, n) == TILE
+            g = np.matmul(tall[i : i + m], wide, out=product if full else None)
+            ok = np.greater_equal(g, least, out=reached if full else None)
+            # Eight flags at once, as hardly any is set.
+            if full:
+                eight = np.flatnonzero(ok.reshape(-1).view(np.uint64))
+                at = (eight[:, None] * 8 + np.arange(8)).ravel()
+                at = at[ok.reshape(-1)[at]]
+            else:
+                at = np.flatnonzero(ok)
+            if len(at):
+                p, q = np.divmod(at, n)
+                for s in range(0, len(at), 16_384):
+                    x, y = mine[p[s : s + 16_384] + i], theirs[q[s : s + 16_384] + j]
+                    ok = np.einsum("ij,ij->i", a.unit[x], b.unit[y]) >= np.float32(cosine - 1e-5)
+                    if a is b:
+                        ok &= x < y
+                    if ok.any():
+                        yield x[ok], y[ok]
+
+
+def _alike(blocks: Blocks, folder: str, cosine: float, exact: bool):
+    def pairs(a: Block, b: Block, mine: np.ndarray, theirs: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        for p, q in _met(a, b, mine, theirs, cosine, exact):
+            swap = a.ids[p] > b.ids[q]
+            low, high = np.where(swap, b.ids[q], a.ids[p]), np.where(swap, a.ids[p], b.ids[q])
+            first, second = np.where(swap, b.length[q], a.length[p]), np.where(swap, a.length[p], b.length[q])
+            sure = _dot(a.raw[p], b.raw[q]) / first / second
+            ok = (low != high) & (sure >= cosine)
+            yield low[ok], high[ok], sure[ok]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b = _whole(batches)
-        role = b["role"].to_numpy()
-        width, kind = (DIMENSION, np.float32) if exact else (WIDE // 8 + DIMENSION, np.uint8)
-        (ids, mine), (qid, theirs) = _joined(b[role == 0], width, kind), _joined(b[role > 0], width, kind)
-        if not exact:
-            (code, mine), (ask, theirs) = ((_words(v[:, : WIDE // 8]).T.copy(), _unit(v[:, WIDE // 8 :].view(np.int8))) for v in (mine, theirs))
-        # Members of the same cell are met once, by the one with the smaller id, or in both orders in different parts.
-        within = bool((role == 1).any())
-        same_part = within and b["mpart"].iloc[0] == b["qpart"].iloc[0]
-        family = b["family"].iloc[0]
-        found, held = [], 0
-        step = max(1, 131_072 // max(1, len(ids)))
-        for i in range(0, len(qid) if len(ids) else 0, step):
-            if exact:
-                a, o = np.nonzero(theirs[i : i + step] @ mine.T >= np.float32(cosine - 1e-5))
-            else:
-                off = np.bitwise_count(ask[0, i : i + step, None] ^ code[0])
-                off += np.bitwise_count(ask[1, i : i + step, None] ^ code[1])
-                a, o = np.divmod(np.flatnonzero(off <= limit), len(ids))
-                ok = np.einsum("ij,ij->i", theirs[a + i], mine[o]) >= cosine - ROUNDED
-                a, o = a[ok], o[ok]
-            keep = qid[a + i] < ids[o] if same_part else qid[a + i] != ids[o]
-            if keep.any():
-                x, y = qid[a[keep] + i], ids[o[keep]]
-                found.append((np.minimum(x, y), np.maximum(x, y)))
-                held += len(x)
-            if held >= PAIRS:
-                yield pd.DataFrame({"family": family, "low": np.concatenate([f[0] for f in found]), "high": np.concatenate([f[1] for f in found])})
-                found, held = [], 0
-        if found:
-            yield pd.DataFrame({"family": family, "low": np.concatenate([f[0] for f in found]), "high": np.concatenate([f[1] for f in found])})
+        last, a = -1, None
+        for at in (n for b in batches for n in b["id"].tolist()):
+            family, i, j = blocks.pair(at)
+            axes, centers = blocks.cells.axes[family], blocks.cells.centers[family]
+            if i != last:
+                last, a = i, Block(folder, i, axes, exact)
+            b = a if i == j else Block(folder, j, axes, exact)
+            own, other = blocks.cell(family, i), blocks.cell(family, j)
+            mine, theirs = a.near_border(centers, own, other, cosine), b.near_border(centers, other, own, cosine)
+            found, held = [], 0
+            for met in pairs(a, b, mine, theirs):
+                found.append(met)
+                held += len(met[0])
+                if held >= PAIRS:
+                    yield pd.DataFrame({"family": family} | {k: np.concatenate(v) for k, v in zip(_PAIR[1:], zip(*found))})
+                    found, held = [], 0
+            if held:
+                yield pd.DataFrame({"family": family} | {k: np.concatenate(v) for k, v in zip(_PAIR[1:], zip(*found))})
 
     return run
 
 
+_PAIR = ("family", "low_row_id", "high_row_id", "cosine")
+
+
 def _route_queries(cells: Cells, probes: int | None):
     """Each member once per part of its cell's visitors, each query once per part of the members of each visited cell."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for family, ids, x in _batches(batches):
+        for family, ids, raw in _batches(batches):
+            x = _unit(raw)
             home, visit = _visits(x, cells.centers[family], None, probes)
             parts, guests = cells.parts(family, MEMBER_ROWS, QUERY_ROWS)
             where: dict[tuple, list[np.ndarray]] = {}
@@ -422,21 +493,19 @@ def _by_task(f):
 
 def alike(vectors: DataFrame, cosine: float, cell_rows: int = CELL_ROWS, exact: bool = False) -> DataFrame:
     """``family, low_row_id, high_row_id, cosine``: all pairs with at least this cosine."""
-    cells = Cells(vectors, cell_rows, cosine, None)
-    tasks = _spread(vectors.mapInPandas(_route_pairs(cells, cosine, exact), _BUNDLE), cells.tasks(PART_ROWS, PART_ROWS, True))
-    near = tasks.groupBy(*_TASK).applyInPandas(_by_task(_alike(cosine, exact)), "family string, low long, high long").distinct()
-    left = vectors.select("family", F.col("row_id").alias("low"), F.col("vector").alias("a"))
-    right = vectors.select("family", F.col("row_id").alias("high"), F.col("vector").alias("b"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    pairs = near.join(left, ["family", "low"]).join(right, ["family", "high"])
-    sure = dot("a", "b") / F.sqrt(dot("a", "a")) / F.sqrt(dot("b", "b"))
-    return pairs.select("family", F.col("low").alias("low_row_id"), F.col("high").alias("high_row_id"), sure.alias("cosine")).where(F.col("cosine") >= cosine)
+    spark = vectors.sparkSession
+    blocks = Blocks(Cells(vectors, cell_rows, 1))
+    rows = vectors.mapInPandas(_homes(blocks), "block int, ids binary, data binary")
+    folder = cut_by(rows.repartition(max(1, min(20_000, sum(blocks.count))), "block"), "block")
+    total = blocks.before[-1]
+    tasks = max(1, -(-total // TASK_PAIRS), min(total, 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, total, 1, tasks).mapInPandas(_alike(blocks, folder, cosine, exact), "family string, low_row_id long, high_row_id long, cosine double")
 
 
 def nearest(vectors: DataFrame, k: int = 10, probes: int | None = PROBES, cell_rows: int = CELL_ROWS, exact: bool = False) -> DataFrame:
     """``family, row_id, rank, other_row_id, cosine``: the k most similar vectors of every vector."""
-    cells = Cells(vectors, cell_rows, None, probes)
-    tasks = _spread(vectors.mapInPandas(_route_queries(cells, probes), _BUNDLE), cells.tasks(MEMBER_ROWS, QUERY_ROWS, False))
+    cells = Cells(vectors, cell_rows, probes)
+    tasks = _spread(vectors.mapInPandas(_route_queries(cells, probes), _BUNDLE), cells.tasks(MEMBER_ROWS, QUERY_ROWS))
     found = tasks.groupBy(*_TASK).applyInPandas(_by_task(_nearest(k, exact)), "family string, row_id long, other long, cosine double")
     rank = F.row_number().over(Window.partitionBy("family", "row_id").orderBy(F.desc("cosine"), "other"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("family", "row_id", "rank", F.col("other").alias("other_row_id"), "cosine")

@@ -43,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, key: str) -> str:
+    """Write ``df`` to the shared folder, a subfolder ``key=value`` for each value; the URI, for tasks that read single ones."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/wenloom-{uuid.uuid4().hex}")
+    uri = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    df.write.partitionBy(key).parquet(uri)
+    return uri
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table that ``cut`` has written and nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm
