@@ -7,6 +7,8 @@ import sys
 import unicodedata
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +176,50 @@ def test_overlap_of_very_long_texts(spark, t):
     assert found_overlaps(spark, [t, "x" + t], [t[1:]]) == {(0, 1000), (1, 1000)}
 
 
+def test_texts_far_apart_are_not_tried(monkeypatch):
+    """No edits are counted for the orders of parts that hold other characters."""
+    tried = []
+    monkeypatch.setattr(overlap, "edits", lambda a, b, most, f=overlap.edits: tried.append(a) or f(a, b, most))
+    assert not overlap.near("abcdef|ghijkl|mnopqr|stuvwx", "abcdef|GHIJKL|mnopqr|STUVWX") and not tried
+    assert overlap.near("abcdef|ghijkl|mnopqr|stuvwx", "stuvwX|mnopqr|ghijkl|abcdef")
+
+
+@pytest.mark.parametrize("bars", [0.0, 0.5])
+def test_candidates_of_pieces(monkeypatch, bars):
+    rng = np.random.default_rng(17)
+    monkeypatch.setattr(overlap, "CHUNK", 500)
+
+    def text(n):
+        t = rng.choice(list("abcdefgh"), n)
+        return "".join(np.where(rng.random(n) < 0.08, "|", t) if rng.random() < bars else t).strip("|").replace("||", "|")
+
+    def altered(t):
+        t = list(t)
+        for _ in range(len(t) // 5):
+            at = int(rng.integers(0, len(t)))
+            t[at : at + 1] = [[], [t[at], "z"], ["y"]][int(rng.integers(0, 3))]
+        return "".join(t).strip("|").replace("||", "|")
+
+    offers = sorted({text(int(n)) for n in rng.integers(14, 30, 200)})
+    asks = sorted({altered(t) for t in offers * 2} | {text(int(n)) for n in rng.integers(14, 30, 200)})
+
+    class Plan:
+        asked, bounds = np.ones((overlap.LONG + 1, overlap.WIDTH + 1), bool), np.zeros(0, np.uint64)
+        count = np.zeros(1 << 12, np.int64)
+
+    np.add.at(Plan.count, overlap._slot(overlap.Suffixes(offers).offered(Plan.asked)[1], 1 << 12), 1)
+    batch = lambda texts: pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["text_id", "canon"])
+    all_bits = np.full(overlap.BITS // 64, 2**64 - 1, np.uint64)
+    entries = [x.to_pandas() for texts, known in ((asks, all_bits), (offers, None)) for x in overlap._placed(Plan, known)(iter([batch(texts)]))]
+    got = overlap._array(pd.concat(entries, ignore_index=True).drop(columns="part"))
+    met = set(zip(got["ask"], got["offer"]))
+    near = {(i, j) for i, a in enumerate(asks) for j, b in enumerate(offers) if overlap.near(a, b)}
+    assert near <= met and len(near) > 100
+    if not bars:
+        # Of texts without bars the pieces' places leave few others.
+        assert len(met) < 8 * len(near)
+
+
 # ---- quotas (3) ------------------------------------------------------------------------
 
 

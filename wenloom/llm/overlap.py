@@ -23,12 +23,13 @@ the partner.
 4. Each partition sorts its suffixes and takes the common prefixes of
    neighbours. The offered suffixes around an anchor whose common prefix is at
    least a piece form an interval. Pairs whose lengths, places or letter sets
-   differ by more than the edits allow are dropped.
-5. The pairs are confirmed by the distance; their common passages of at least
+   differ by more than the edits allow are dropped. A text's last anchors meet only
+   texts so much longer that they allow as many edits.
+5. The pairs are confirmed by the distance, first by the characters they share; their common passages of at least
    WIDTH characters are merged to the characters covered.
 
-Suffixes are ordered by their first DEPTH characters, which is more than any
-piece has. Every pair within the distance is found.
+Suffixes are moved and ordered by their first WIDTH characters, as many as a piece
+has, ``Suffixes`` holds DEPTH. Every pair within the distance is found.
 
 Defined cases: null and blank texts and texts without a letter or digit match
 nothing; equal texts are one distinct text and each of their rows comes out;
@@ -38,6 +39,7 @@ either side gives an empty result; the length of a text is not bounded.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import permutations
@@ -59,7 +61,7 @@ ORDERED = 4
 SAMPLE_TEXTS = 4_000
 PARTITION_SUFFIXES = 1_000_000
 BITS = 1 << 24
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BAR = ord("|")
 
@@ -246,7 +248,7 @@ def _has(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
 # ---- suffixes in their partitions ------------------------------------------------------
 
 #: ``place``: inside the part; ``about``: size << 32 | rank << 2 | many parts << 1 | asks.
-_ENTRY = "part int, head long, tail long, text_id long, place int, about long, bits long"
+_ENTRY = "part int, head long, text_id long, place int, about long, bits long"
 
 
 def _placed(plan: Plan, known: np.ndarray | None):
@@ -276,10 +278,8 @@ def _placed(plan: Plan, known: np.ndarray | None):
                 who = np.repeat(np.arange(len(at)), reach)
                 part = lo[who] + np.arange(len(who)) - np.repeat(np.cumsum(reach) - reach, reach)
                 at, key, width, rank, text = at[who], key[who], width[who], rank[who], text[who]
-            whole = width == WIDTH
-            head = np.where(whole, s.head[at], key << np.uint64(16))
             about = s.size[text] << 32 | rank << 2 | s.many[text].astype(np.int64) << 1 | (known is not None)
-            columns = [part.astype(np.int32), head.view(np.int64), np.where(whole, s.tail[at], np.uint64(0)).view(np.int64), ids[text], s.place[at].astype(np.int32), about, s.bits[text].view(np.int64)]
+            columns = [part.astype(np.int32), (key << np.uint64(16)).view(np.int64), ids[text], s.place[at].astype(np.int32), about, s.bits[text].view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in _ENTRY.split(", ")])
 
     return run
@@ -305,12 +305,11 @@ def _once(at: np.ndarray, run: np.ndarray, text: np.ndarray) -> tuple[np.ndarray
 def _array(b: pd.DataFrame) -> pd.DataFrame:
     """Pairs of texts that meet in one partition's suffix array."""
     d = {k: b[k].to_numpy() for k in b.columns}
-    head, tail = d["head"].view(np.uint64), d["tail"].view(np.uint64)
-    order = np.lexsort((tail, head))
+    order = np.argsort(d["head"].view(np.uint64), kind="stable")
     d = {k: v[order] for k, v in d.items()}
-    head, tail = d["head"].view(np.uint64), d["tail"].view(np.uint64)
+    head = d["head"].view(np.uint64)
     # Intervals of the suffix array: neighbours with a common prefix as long as a piece.
-    run = (np.cumsum(common_prefix(head, tail) < WIDTH) - 1).astype(np.int64) << 32
+    run = (np.cumsum(common_prefix(head, head) < WIDTH) - 1).astype(np.int64) << 32
     asks_ = (d["about"] & 1).astype(bool)
     size, rank, place = d["about"] >> 32, (d["about"] & 0xFFFFFFFF) >> 2, d["place"].astype(np.int64)
     many = (d["about"] & 2).astype(bool)
@@ -318,34 +317,49 @@ def _array(b: pd.DataFrame) -> pd.DataFrame:
     many[rest] |= more
     where = run + np.where(many, np.int64(1 << 31), place)
     rest = rest[np.argsort(where[rest], kind="stable")]
-    there = where[rest]
-    # Without bars on both sides the places differ by the edits at most; with bars anywhere is near.
+    longest = rest[np.argsort(run[rest] + size[rest], kind="stable")]
+    # The rarest pieces, one more than the edits, are enough: the others only ask texts so long that they allow more edits.
     ask = np.flatnonzero(asks_)
+    late = rank[ask] > size[ask] // SHARE
+    ask, last = ask[~late], ask[late]
+    # Without bars on both sides the places differ by the edits at most; with bars anywhere is near.
     plain, free = ask[~many[ask]], ask[many[ask]]
     slack = size[plain] // (SHARE - 1)
-    asks = np.r_[plain, plain, free]
-    low = np.r_[run[plain] + np.maximum(0, place[plain] - slack), run[plain] + (1 << 31), run[free]]
-    high = np.r_[run[plain] + place[plain] + slack, run[plain] + (1 << 31), run[free] + (1 << 31)]
-    lo, hi = np.searchsorted(there, low, "left"), np.searchsorted(there, high, "right")
-    times = hi - lo
+    found = _meetings(d["text_id"], size, place, many, d["bits"], rest, where, np.r_[plain, plain, free],
+        np.r_[run[plain] + np.maximum(0, place[plain] - slack), run[plain] + (1 << 31), run[free]],
+        np.r_[run[plain] + place[plain] + slack, run[plain] + (1 << 31), run[free] + (1 << 31)])
+    found += _meetings(d["text_id"], size, place, many, d["bits"], longest, run + size, last, run[last] + SHARE * rank[last], run[last] + size[last] * SHARE // (SHARE - 1))
+    if not found:
+        return pd.DataFrame({"ask": [], "offer": []}, dtype="int64")
+    return pd.concat(found, ignore_index=True).drop_duplicates()
+
+
+def _meetings(ids, size, place, many, bits, rest, where, asks, low, high) -> list[pd.DataFrame]:
+    """Pairs of asking and offering texts, these in order of ``where`` and between ``low`` and ``high``, that the edits allow."""
+    lo, hi = np.searchsorted(where[rest], low, "left"), np.searchsorted(where[rest], high, "right")
+    some = np.flatnonzero(hi > lo)
+    asks, lo, times = asks[some], lo[some], (hi - lo)[some]
     bound = np.cumsum(times)
+    there = {k: v[rest] for k, v in {"size": size.astype(np.int32), "place": place.astype(np.int32), "many": many}.items()}
+    mine = {k: v[asks] for k, v in {"size": size.astype(np.int32), "place": place.astype(np.int32), "many": many}.items()}
     found, at = [], 0
     while at < len(asks):
         base = bound[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(bound, base + CHUNK, "right")))
         n = times[at:to]
-        total = int(n.sum())
-        if total:
-            q = np.repeat(asks[at:to], n)
-            m = rest[np.repeat(lo[at:to] - (np.cumsum(n) - n), n) + np.arange(total)]
-            edits = np.maximum(size[q], size[m]) // SHARE
-            # The rarest pieces, one more than the edits, are enough.
-            ok = (np.abs(size[q] - size[m]) <= edits) & (rank[q] <= edits) & (np.bitwise_count(d["bits"][q] ^ d["bits"][m]) <= 2 * edits)
-            found.append(pd.DataFrame({"ask": d["text_id"][q[ok]], "offer": d["text_id"][m[ok]]}).drop_duplicates())
+        m = np.repeat(lo[at:to] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        a, b = np.repeat(mine["size"][at:to], n), there["size"][m]
+        edits = np.maximum(a, b) // SHARE
+        # In a text without bars what is before and behind the piece can't do with fewer edits than their lengths differ by.
+        before = np.repeat(mine["place"][at:to], n) - there["place"][m]
+        apart = a - b
+        least = np.where(np.repeat(mine["many"][at:to], n) | there["many"][m], np.abs(apart), np.abs(before) + np.abs(apart - before))
+        ok = np.flatnonzero(least <= edits)
+        q, m, edits = np.repeat(asks[at:to], n)[ok], rest[m[ok]], edits[ok]
+        ok = np.bitwise_count(bits[q] ^ bits[m]) <= 2 * edits
+        found.append(pd.DataFrame({"ask": ids[q[ok]], "offer": ids[m[ok]]}).drop_duplicates())
         at = to
-    if not found:
-        return pd.DataFrame({"ask": [], "offer": []}, dtype="int64")
-    return pd.concat(found, ignore_index=True).drop_duplicates()
+    return found
 
 
 # ---- distance and coverage -----------------------------------------------------------------
@@ -398,7 +412,8 @@ def _assigned(a: list[str], b: list[str], most: int) -> int:
 def near(a: str, b: str) -> bool:
     """Whether the distance is at most a fifth of the longer text."""
     most = max(len(a), len(b)) // SHARE
-    if abs(len(a) - len(b)) > most:
+    # No order of the parts changes which characters there are.
+    if max(len(a), len(b)) - sum(min(n, b.count(c)) for c, n in Counter(a).items()) > most:
         return False
     if edits(a, b, most) <= most:
         return True
